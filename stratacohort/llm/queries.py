@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filter
+from . import decontaminate, line_dedup, url_filter
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -29,6 +29,29 @@ FROM k LEFT JOIN hot ON k.key = hot.key GROUP BY d
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS s
+       FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT d, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
+       FROM (SELECT d.*, z.n, unnest(range(1, len(w) - z.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) z WHERE len(w) >= z.n)),
+hits AS (SELECT dw.d, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s),
+hw AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(i, i + n)) AS p FROM hits) GROUP BY d),
+hi AS (SELECT d, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT d, item_id::VARCHAR AS item FROM hits) GROUP BY d)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (d) LEFT JOIN hi USING (d)
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [(verdict, *url_filter.parse_rule(rule)) for verdict, rule in RULES]
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -43,5 +66,5 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_url_filter": op10_url_filter}
+ORACLES = {"op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_url_filter": OP10_SQL}

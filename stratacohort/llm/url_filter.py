@@ -38,37 +38,36 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-class Trie:
+def trie_of(rules: Iterable[Rule]) -> list:
     """Nodes are [children by host label, children by path segment, rules that end in a partial segment]."""
-
-    def __init__(self, rules: Iterable[Rule]):
-        self.root: list = [{}, {}, []]
-        for verdict, host, path in rules:
-            if verdict not in ("allow", "block") or not host or (path and path[0] != "/"):
-                raise ValueError(f"not a rule: {verdict!r}, {host!r}, {path!r}")
-            node = self.root
-            for label in reversed(host.split(".")):
-                node = node[0].setdefault(label, [{}, {}, []])
-            whole = path.split("/")  # "/en/1" is "", "en" in full and "1" as a prefix; "" has no segment at all
-            for segment in whole[:-1]:
-                node = node[1].setdefault(segment, [{}, {}, []])
-            node[2].append((whole[-1], (len(host) + len(path), len(host), verdict == "block"), verdict, host + path))
-
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest match."""
-        best: tuple = ()
-        node, labels = self.root, host.split(".") if host else []
-        segments = path.split("/")
-        while labels and (node := node[0].get(labels.pop())):
-            at, i = node, 0
-            while at:
-                rest = segments[i]
-                for prefix, rank, verdict, rule in at[2]:
-                    if rest.startswith(prefix) and (not best or rank > best[0]):
-                        best = (rank, rule, verdict)
-                at = at[1].get(rest) if i + 1 < len(segments) else None
-                i += 1
-        return best[1:] or None
+    root: list = [{}, {}, []]
+    for verdict, host, path in rules:
+        if verdict not in ("allow", "block") or not host or (path and path[0] != "/"):
+            raise ValueError(f"not a rule: {verdict!r}, {host!r}, {path!r}")
+        node = root
+        for label in reversed(host.split(".")):
+            node = node[0].setdefault(label, [{}, {}, []])
+        whole = path.split("/")  # "/en/1" is "", "en" in full and "1" as a prefix; "" has no segment in full
+        for segment in whole[:-1]:
+            node = node[1].setdefault(segment, [{}, {}, []])
+        node[2].append((whole[-1], (len(host) + len(path), len(host), verdict == "block"), host + path, verdict))
+    return root
+
+
+def longest(root: list, host: str, path: str) -> tuple[str | None, str | None]:
+    """Rule and verdict of the longest match."""
+    best: tuple = ((), None, None)
+    node, labels = root, host.split(".") if host else []
+    segments = path.split("/")
+    while labels and (node := node[0].get(labels.pop())):
+        at, i = node, 0
+        while at:
+            for prefix, *found in at[2]:
+                if segments[i].startswith(prefix) and tuple(found[0]) > best[0]:
+                    best = tuple(found)
+            at = at[1].get(segments[i]) if i + 1 < len(segments) else None
+            i += 1
+    return best[1:]
 
 
 def _with_parts(df: DataFrame, url: str) -> DataFrame:
@@ -81,13 +80,13 @@ def judge(df: DataFrame, rules: Iterable[Rule], url: str = "url", default: str =
     rules = list(rules)
     if sum(len(h) + len(p) + 100 for _, h, p in rules) > max_rule_bytes:
         return judge_by_join(df, df.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), url, default)
-    trie = df.sparkSession.sparkContext.broadcast(Trie(rules))
+    trie = df.sparkSession.sparkContext.broadcast(trie_of(rules))  # plain lists and dicts
 
     @F.pandas_udf("rule string, verdict string")
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hosts, paths in batches:
-            found = [trie.value.find(h, p) or (None, default) for h, p in zip(hosts, paths)]
-            yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
+            found = [longest(trie.value, h, p) for h, p in zip(hosts, paths)]
+            yield pd.DataFrame([(r, v or default) for r, v in found], columns=["rule", "verdict"], dtype=object)
 
     df = _with_parts(df, url).withColumn("__match", match("host", "path"))
     return df.withColumns({"rule": F.col("__match.rule"), "verdict": F.col("__match.verdict")}).drop("__match")
