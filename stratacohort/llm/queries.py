@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, url_filter
+from . import decontaminate, line_dedup, quality_rules, url_filter
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -13,6 +13,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+def _em_sql() -> str:
+    """The rounds of expectation maximisation, each a table of rates r{k}(j, g, b) and a prior pr{k}(prior)."""
+    q = quality_rules
+    bound = lambda a, b: f"CASE WHEN {b} > 0 THEN greatest({q.LEAST}, least({q.MOST}, {a} / {b})) ELSE 0.5 END"
+    out = [f"s0 AS MATERIALIZED (SELECT votes, n, CASE WHEN list_contains(votes, -1) THEN 1 - {q.PRIOR}::DOUBLE ELSE {q.PRIOR}::DOUBLE END AS p FROM pat)"]
+    for k in range(q.ROUNDS + 1):
+        out.append(f"pr{k} AS MATERIALIZED (SELECT {bound('sum(n * p)', 'sum(n)')} AS prior FROM s{k})")
+        side = lambda w: bound(f"sum({w}) FILTER (WHERE v = -1)", f"coalesce(sum({w}) FILTER (WHERE v <> 0), 0)")
+        zero = lambda x: x.replace("sum(n * p) FILTER (WHERE v = -1)", "coalesce(sum(n * p) FILTER (WHERE v = -1), 0)").replace("sum(n * (1 - p)) FILTER (WHERE v = -1)", "coalesce(sum(n * (1 - p)) FILTER (WHERE v = -1), 0)")
+        out.append(f"r{k} AS MATERIALIZED (SELECT j, {zero(side('n * p'))} AS g, {zero(side('n * (1 - p)'))} AS b FROM (SELECT *, unnest(votes) AS v, generate_subscripts(votes, 1) AS j FROM s{k}) GROUP BY j)")
+        out.append(f"""s{k + 1} AS MATERIALIZED (SELECT votes, any_value(n) AS n, 1 / (1 + exp(-(any_value(ln(prior / (1 - prior))) + sum(CASE v WHEN -1 THEN ln(g / b) WHEN 1 THEN ln((1 - g) / (1 - b)) ELSE 0 END)))) AS p
+            FROM (SELECT *, unnest(votes) AS v, generate_subscripts(votes, 1) AS j FROM pat) x JOIN r{k} USING (j) CROSS JOIN pr{k} GROUP BY votes)""")
+    return ",\n".join(out)
+
+
+OP3_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT d, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM t),
+win AS (SELECT d, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SELECT d, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT d, count(DISTINCT p)::BIGINT AS n FROM (SELECT d, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY d, s) AS c FROM win) WHERE c >= 2) GROUP BY d),
+li AS (SELECT d, count(*)::BIGINT AS n, (count(*) - count(DISTINCT l))::BIGINT AS dup FROM (SELECT d, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY d),
+c AS (SELECT w.d, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[#*$%&|<>]{2,}')) AS n_runs, len(regexp_extract_all(t, '\p{Lu}\p{Lu}+')) AS n_caps,
+      len(list_filter(w, lambda x: ends_with(x, '|'))) AS n_bars, coalesce(li.n, 0) AS n_lines, coalesce(li.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN li USING (d) LEFT JOIN rep USING (d)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 40 THEN 1 ELSE 0 END, @RATIOS@] AS votes FROM c),
+pat AS MATERIALIZED (SELECT votes, count(*) AS n FROM v GROUP BY votes),
+@EM@
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good
+FROM v JOIN @LAST@ USING (votes)
+"""
+_RATIOS = [("n_symbols", "n_words", 5, 25), ("n_runs", "n_words", 2, 15), ("n_repeat_words", "n_words", 10, 30), ("n_caps", "n_words", 5, 25), ("n_bars", "n_words", 2, 15), ("n_dup_lines", "n_lines", 10, 50)]
+OP3_SQL = (
+    OP3_SQL.replace("@RATIOS@", ", ".join(f"CASE WHEN {b} = 0 THEN 0 WHEN 100 * {a} <= {lo} * {b} THEN 1 WHEN 100 * {a} >= {hi} * {b} THEN -1 ELSE 0 END" for a, b, lo, hi in _RATIOS))
+    .replace("@EM@", _em_sql()).replace("@LAST@", f"s{quality_rules.ROUNDS + 1}")
+)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -66,5 +109,5 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_url_filter": op10_url_filter}
+ORACLES = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_url_filter": OP10_SQL}
