@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, sentencepiece_codec, url_filter
+from . import decontaminate, line_dedup, quality_rules, sentencepiece_codec, url_filter, warc
+from .common import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -104,6 +105,27 @@ FROM d LEFT JOIN hw USING (d) LEFT JOIN hi USING (d)
 """
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(warc.dedup(table(spark, sf_dir, "pages")), path)
+    again = F.col("record_type") == "revisit"
+    id_of = lambda c: F.expr(f"try_cast(substring({c}, 10) AS bigint)")  # noqa: E731  after urn:page:
+    return warc.read(spark, path).select(
+        id_of("record_id").alias("page_id"),
+        F.when(again, F.col("http_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(again, F.col("payload_digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        "record_type", id_of("refers_to").alias("refers_to"),
+    )
+
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+n AS (SELECT *, strlen(h)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM n
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [(verdict, *url_filter.parse_rule(rule)) for verdict, rule in RULES]
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -118,5 +140,5 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op10_url_filter": op10_url_filter}
-ORACLES = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op10_url_filter": op10_url_filter}
+ORACLES = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
