@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, sentencepiece_codec, url_filter, warc
+from . import chat_format, decontaminate, line_dedup, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
 from .common import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -14,6 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.rotate(table(spark, sf_dir, "conversations"))
+    return out.withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
+
+
+OP2_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER () AS r FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
+m AS (SELECT t.conv_id, perspective, turn, role, text, r, coalesce(role = perspective, false) AS own,
+      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' WHEN role IS NULL THEN 'user' ELSE 'user name=' || regexp_replace(role, '[\s<|>]+', '_', 'g') END || chr(10) AS head,
+      replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') || '<|im_end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER w - length(head) - length(body) AS s, row_number() OVER w AS k FROM m
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, r ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, (s // 32768)::BIGINT AS part FROM o),
+z AS (SELECT *, s - min(s) OVER (PARTITION BY conv_id, perspective, part) AS pos FROM q)
+SELECT conv_id, perspective, part, count(*)::BIGINT AS n_messages, count_if(own)::BIGINT AS n_trained, string_agg(head || body, '' ORDER BY k) AS text,
+       coalesce(string_agg((pos + length(head))::BIGINT::VARCHAR || '-' || (pos + length(head) + length(body) - 1)::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (WHERE own), '') AS masks
+FROM z GROUP BY conv_id, perspective, part
+"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -126,6 +147,11 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.col("kept_text").alias("text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [(verdict, *url_filter.parse_rule(rule)) for verdict, rule in RULES]
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
@@ -140,5 +166,5 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op10_url_filter": op10_url_filter}
-ORACLES = {"op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
+QUERIES = {"op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
