@@ -48,9 +48,9 @@ class Powers:
 class Words:
     """Words of a few texts as one byte string, words parted by single spaces, and their places."""
 
-    def __init__(self, texts: list[bytes], powers: Powers):
+    def __init__(self, texts: list[bytes], powers: Powers, table: bytes = _TABLE):
         raw = b" \x20 ".join(texts) + b" " if texts else b" "
-        data = np.frombuffer(raw.translate(_TABLE), np.uint8)
+        data = np.frombuffer(raw.translate(table), np.uint8)
         blank = data == 32
         keep = ~blank
         keep[1:] |= ~blank[:-1]  # the first blank after each word stays

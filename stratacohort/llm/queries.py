@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
 from .common import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.rotate(table(spark, sf_dir, "conversations"))
     return out.withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
@@ -171,5 +175,5 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
 ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
