@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,11 +134,11 @@ class Codec:
         self.whole = build(data)
         self.words = None
         if cuttable(self.model):
-            from tokenizers import normalizers
+            from tokenizers import decoders, normalizers
 
             self.words = build(data)
             self.words.normalizer = normalizers.Sequence([])
-            self.seen: dict[str, int] = {}
+            self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         kinds = [kind for _, _, kind in self.model["pieces"]]
         self.n_pieces = len(kinds)
 
@@ -145,38 +146,43 @@ class Codec:
         normal = self.whole.normalizer.normalize_str
         return [normal(x) if x else "" for x in texts]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the place after each text's last."""
-        if self.words is None:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the place after each text's last, and whether decoding gives each normalised text back."""
+        flat = self.normalised(texts)
+        if self.words is None or any("\x00" in x for x in flat):
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64)
-        flat = pa.array(self.normalised(texts), pa.large_string())
+            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            right = [x == self.plain(y) for x, y in zip(back, flat)]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64), np.array(right, bool)
         # A word is a run of markers and what follows up to the next: cut before each marker that has no marker before it.
-        cut = pc.split_pattern_regex(pc.replace_substring_regex(flat, "([^" + MARK + "])" + MARK, "\\1\x00" + MARK), "\x00") if not any("\x00" in x for x in texts) else None
-        if cut is None:
-            ids = [e.ids for e in self.words.encode_batch_fast(flat.to_pylist(), add_special_tokens=False)]
-            return np.fromiter((i for x in ids for i in x), np.int32), np.cumsum([len(x) for x in ids], dtype=np.int64)
+        cut = pc.replace_substring(pa.array(flat, pa.large_string()), MARK, "\x00" + MARK)
+        for _ in range(2):  # runs of any length are whole after two passes over pairs
+            cut = pc.replace_substring(cut, MARK + "\x00" + MARK, MARK + MARK)
+        cut = pc.split_pattern(cut, "\x00")
         coded = pc.list_flatten(cut).dictionary_encode()
-        each = [e.ids for e in self.words.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+        words = coded.dictionary.to_pylist()
+        each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+        # Words are decoded without what only a text's start loses; a text's decoding is theirs, one after the other.
+        back = self.words.decode_batch(each, skip_special_tokens=False)
+        wrong = np.fromiter((x.replace(MARK, " ") != y for x, y in zip(words, back)), bool, len(words))
         sizes = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.fromiter((i for x in each for i in x), np.int32, int(sizes.sum()))
+        pool = np.fromiter(chain.from_iterable(each), np.int32, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = sizes[word]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(first[word] - (ends - n), n) + np.arange(total)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(first[word] - ends[:-1], n) + np.arange(ends[-1])]
         offsets = cut.offsets.to_numpy()
-        return ids, np.concatenate([[0], ends])[offsets[1:]]
+        errors = np.concatenate([[0], np.cumsum(wrong[word])])[offsets]
+        return ids, ends[offsets[1:]], errors[1:] == errors[:-1]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         return self.whole.decode_batch([ids[a:b].tolist() for a, b in zip(starts, ends)], skip_special_tokens=False)
 
-    def plain(self, text: str) -> str:
-        """What decode(encode(text)) must give."""
-        out = self.whole.normalizer.normalize_str(text) if text else ""
-        out = out.replace(MARK, " ")
+    def plain(self, normalised: str) -> str:
+        """What decoding must give."""
+        out = normalised.replace(MARK, " ")
         return out[1:] if self.model["dummy_prefix"] else out
 
 
@@ -206,14 +212,13 @@ def encode(df: DataFrame, model_path: str, text: str = "text", threads: int = 2,
             for part in _bounded(batch, at):
                 texts = part.column(at).to_pylist()
                 filled = [x or "" for x in texts]
-                found, ends = codec.encode(filled)
+                found, ends, right = codec.encode(filled)
                 null = np.array([x is None for x in texts], bool)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32), mask=np.append(null, False))
                 n = np.diff(np.concatenate([[0], ends]))
                 cols = [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32())), pa.array(n.astype(np.int64), mask=null)]
                 if check:
-                    back = codec.decode(found, ends)
-                    cols.append(pa.array([None if x is None else y == codec.plain(x) for x, y in zip(texts, back)], pa.bool_()))
+                    cols.append(pa.array(right, mask=null))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -256,6 +261,6 @@ def parity(data: bytes, texts: list[str]) -> list[str]:
     import sentencepiece
 
     codec, other = Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
-    ids, ends = codec.encode(texts)
+    ids, ends, _ = codec.encode(texts)
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     return [x for x, a, b in zip(texts, starts, ends) if ids[a:b].tolist() != other.encode(x)]
