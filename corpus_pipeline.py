@@ -1,17 +1,51 @@
-"""A corpus pipeline of five stages.  Each takes (spark, docs, sf_dir); each stage's result is written and reread as the next one's docs."""
+"""A corpus pipeline of five stages over `documents`: quality rules, line dedup, near-dedup, benchmark decontamination, tokens.
+
+Each stage is (name, function) with function(spark, docs, sf_dir); its result is written as Parquet and reread as the
+next one's docs.  All but the last return the columns of `documents`; a stage decides on all that its predecessor kept.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratacohort.llm import decontaminate, line_dedup, near_dedup, quality_rules, sentencepiece_codec
+from stratacohort.llm.common import written
+from stratacohort.llm.queries import PIECE_MODEL, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.reject(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more hold go; n_chars follows the text."""
+    out = line_dedup.dedup(docs)
+    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*docs.columns)
+
 
-STAGES: list = []
-#: Not expressible in SQL as a whole (consistent weighted sampling, tokenizer).
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return near_dedup.dedup(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return sentencepiece_codec.encode(docs, PIECE_MODEL).drop("text")
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("decontaminate", benchmark), ("sentencepiece", tokens)]
+#: Consistent weighted sampling and the tokenizer can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratacohort.llm.common import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
