@@ -1,0 +1 @@
+"""Stratified case/control evaluation of sequence models, on Spark."""
