@@ -1,0 +1,69 @@
+"""Areas under the curve: by hand, by three forms, and their properties."""
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratacohort.operators import auc, pool, scoring
+
+
+def scored(spark, cases, controls, disease="d"):
+    rows = [(disease, "male", 50, 1, float(x)) for x in cases] + [(disease, "male", 50, 0, float(x)) for x in controls]
+    return spark.createDataFrame(rows, "disease string, sex string, age int, label int, logit double")
+
+
+def one(spark, cases, controls):
+    r = auc.cell_auc(scored(spark, cases, controls)).head()
+    return r and (round(r["auc"], 6), None if r["var"] is None else round(r["var"], 6), r["n_diseased"], r["n_healthy"])
+
+
+def test_by_hand(spark):
+    assert one(spark, [0.9, 0.5], [0.5, 0.1, 0.5]) == (0.833333, 0.034722, 2, 3)
+    assert one(spark, [0.5, 0.1, 0.5], [0.9, 0.5])[0] == 0.166667
+    assert one(spark, [1, 1, 1], [1, 1])[0] == 0.5
+    assert one(spark, [0.9], [0.5, 0.1]) == (1.0, None, 1, 2)
+    assert one(spark, [0.9], []) is None
+
+
+def test_three_forms_agree(spark):
+    rnd = random.Random(5)
+    for _ in range(4):
+        cases, controls = ([rnd.randint(0, 12) for _ in range(rnd.randint(2, 30))] for _ in range(2))
+        pairs = sum((a > b) + 0.5 * (a == b) for a in cases for b in controls) / (len(cases) * len(controls))
+        rows = scored(spark, cases, controls)
+        assert auc.cell_auc(rows).head()["auc"] == pytest.approx(pairs)
+        assert auc.auc_by_ranks(rows).head()["auc"] == pytest.approx(pairs)
+        assert auc.cell_auc(rows.withColumn("logit", F.exp("logit"))).head()["auc"] == pytest.approx(pairs)
+        assert one(spark, controls, cases)[0] == pytest.approx(1 - pairs, abs=1e-6)
+
+
+def test_midranks(spark):
+    got = sorted((r["logit"], r["midrank"]) for r in auc.midrank(scored(spark, [1, 2], [2, 2, 5])).collect())
+    assert got == [(1.0, 1.0), (2.0, 3.0), (2.0, 3.0), (2.0, 3.0), (5.0, 5.0)]
+
+
+def test_pooling(spark):
+    cells = spark.createDataFrame([("d", 0.6, 0.01, 3, 10), ("d", 0.8, 0.03, 1, 5), ("e", 0.4, None, 1, 1)], "disease string, auc double, var double, n_diseased long, n_healthy long")
+    rows = {r["disease"]: r for r in pool.disease_auc(cells).collect()}
+    assert (round(rows["d"]["auc"], 9), rows["d"]["n_samples"], rows["d"]["n_diseased"], rows["d"]["n_healthy"]) == (0.7, 2, 4, 15)
+    var = {r["disease"]: r["var"] for r in pool.pooled_variance(cells).collect()}
+    assert var["d"] == pytest.approx(0.01) and var["e"] is None
+    s = pool.summary(pool.disease_auc(cells)).head()
+    assert (s["n_diseases"], s["mean_auc"], s["n_below_half"]) == (2, 0.55, 1)
+    assert pool.disease_auc(cells.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_scores_must_be_numbers(spark, bad):
+    rows = spark.createDataFrame([("d", "male", 50, 1, 1, 2)], "disease string, sex string, age int, label int, row_idx long, seq_point long")
+    scores = spark.createDataFrame([(1, 2, "d", bad)], "row_idx long, seq_point long, disease string, logit double")
+    with pytest.raises(Exception, match="NULL or NaN"):
+        scoring.join_scores(rows, scores).collect()
+
+
+def test_linear_scorer(spark):
+    weights = spark.createDataFrame([("a", "d", 1.0), ("b", "d", 10.0), ("a", "e", 5.0)], "token string, disease string, weight double")
+    prompts = spark.createDataFrame([(0, 3, "a b a"), (1, 1, "c")], "row_idx long, seq_point long, prompt string")
+    listed = spark.createDataFrame([("d",), ("e",)], "disease string")
+    got = {(r["row_idx"], r["disease"]): r["logit"] for r in scoring.LinearScorer(weights).score(prompts, listed).collect()}
+    assert got == {(0, "d"): 12.0, (0, "e"): 10.0, (1, "d"): 0.0, (1, "e"): 0.0}

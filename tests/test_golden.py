@@ -1,0 +1,147 @@
+"""Hand-made sequences with results worked out by hand."""
+import pytest
+from pyspark.sql import functions as F
+
+from stratacohort.config import profile
+from stratacohort.operators import cohort, sequence
+from stratacohort.sources import sinks
+
+DAYS = profile("days", min_history=1)
+G1 = "<BOS> <SEX-1> <R-0> <AGE_50> <ATT-10> <VT-A> A B <ATT-5> A <NY> <ATT-20> C"
+G2 = "<BOS> <SEX-2> <R-0> <AGE_50> <ATT-10> A <NY> <ATT-10> B <ATT-1> C"
+G3 = "<BOS> <SEX-1> <R-0> <AGE_40> <ATT-3> <VT-A> X X X <ATT-4> A <ATT-2> B"
+G7 = "<BOS> <SEX-1> <R-0> <AGE_59> <ATT-10> A <NY> <ATT-20> B <ATT-1> C"
+
+
+def sequence_of(text):
+    return " ".join(f"<DX-MAJOR_{t}>" if len(t) == 1 and t in "ABCD" else t for t in text.split(" "))
+
+
+def traj(spark, *texts, thru=None, total=None):
+    rows = [(i, str(i), sequence_of(t), thru if thru is not None else len(t.split(" ")) - 1, total if total is not None else len(t.split(" ")) - 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "row_idx long, person_id string, seq string, token_count_thru_2022 int, total_token_count int")
+
+
+def points(spark, text, config=DAYS):
+    rows = sequence.points(sequence.truncate(traj(spark, text), config), config)
+    return sorted((r["pos"], r["token"][-2], r["q"], r["loc"]) for r in rows.collect())
+
+
+def stage1(spark, *texts, config=DAYS):
+    return sequence.stage1(traj(spark, *texts), config)[1]
+
+
+def targets(spark, text, config=DAYS):
+    rows = cohort.targets(cohort.patients(stage1(spark, text, config=config), config))
+    return [(r["token"] and r["token"][-2], r["pred_idx"], r["pred_q"], r["seq_point"], r["age"]) for r in rows.orderBy("k").collect()]
+
+
+def members(spark, texts, diseases="ABCD", config=DAYS):
+    listed = spark.createDataFrame([(f"<DX-MAJOR_{d}>",) for d in diseases], "disease string")
+    rows = cohort.cohort(stage1(spark, *texts, config=config), listed, config).collect()
+    return sorted((r["disease"][-2], r["sex"], r["age"], r["row_idx"], r["seq_point"], r["label"]) for r in rows)
+
+
+def test_walkers(spark):
+    first = [(6, "A", 73090, 8), (7, "B", 73090, 8), (12, "C", 74591, 12)]
+    assert points(spark, G1) == first
+    assert points(spark, G1, profile("days", first_occurrence=False)) == [*first[:2], (9, "A", 73110, 11), first[2]]
+    assert points(spark, G1, profile("days", absolute=True)) == [*first[:2], (12, "C", 73130, 12)]
+    assert points(spark, G1, profile("days", att_type="week")) == [(6, "A", 73330, 8), (7, "B", 73330, 8), (12, "C", 75071, 12)]
+    assert points(spark, G1, profile("days", att_type="month"))[0][2] == 50 * 1461 + 4 * 300
+
+
+def test_gap_before_the_prefix_ends(spark):
+    """The place is shifted back by a visit, and that gap is not added to the age."""
+    assert points(spark, G3, profile("cli")) == [(10, "A", 58456, 9), (12, "B", 58464, 11)]
+
+
+def test_absolute_age_tokens_keep_the_day(spark):
+    text = "<BOS> <SEX-1> <R-0> <AGE_50> <ATT-10> A <AGE_51> B <ATT-3> C"
+    assert [p[2] for p in points(spark, text, profile("days", absolute=True))] == [50 * 1461 + 40, 51 * 1461 + 40, 51 * 1461 + 12]
+    assert [p[2] for p in points(spark, text)] == [50 * 1461 + 40, 50 * 1461 + 40, 50 * 1461 + 52]
+
+
+def test_prediction_points(spark):
+    assert targets(spark, G1) == [("B", -1, None, None, None), ("C", 1, 73090, 8, 50), (None, 2, 74591, 12, 50)]
+    # B is exactly one offset after A, which is not enough.
+    assert targets(spark, G2) == [("B", -1, None, None, None), ("C", 0, 50 * 1461 + 40, 7, 50), (None, 2, 50 * 1461 + 1461 + 44, 10, 50)]
+
+
+def test_cases_and_controls(spark):
+    found = members(spark, [G1])
+    assert ("C", "male", 50, 0, 8, 1) in found
+    assert not [m for m in found if m[0] == "B"]  # neither a case, without a prediction point, nor a control
+    assert ("A", "male", 50, 0, 8, 0) in found  # the first point does not count
+    assert ("D", "male", 50, 0, 8, 0) in found
+    assert not [m for m in members(spark, [G1], config=profile("days", min_history=1, strict_controls=True)) if m[0] == "A"]
+
+
+def test_bracket_is_the_prediction_points(spark):
+    found = members(spark, [G7])
+    assert {m for m in found if m[5] == 1} == {("B", "male", 50, 0, 7, 1), ("C", "male", 50, 0, 7, 1)}
+    assert {m for m in found if m[0] == "D"} == {("D", "male", 50, 0, 7, 0), ("D", "male", 60, 0, 10, 0)}
+
+
+def test_repeats_count_from_the_second_point(spark):
+    config = profile("days", min_history=1, first_occurrence=False)
+    text = "<BOS> <SEX-1> <R-0> <AGE_50> <ATT-10> A <NY> <NY> <ATT-1> A <NY> <NY> <ATT-5> A"
+    assert [m for m in members(spark, [text], "A", config)] == [("A", "male", 50, 0, 8, 1)]
+
+
+def test_ages_that_fall_are_counted_not_searched(spark):
+    """More than a year of gaps before a new year makes ages fall."""
+    text = "<BOS> <SEX-1> <R-0> <AGE_50> <ATT-800> A <NY> <ATT-1> B <NY> <NY> <ATT-1> C"
+    assert [t[1] for t in targets(spark, text)] == [-1, 0, 2]
+    # C is 53 years: B (51) is history, A (52.2) is not, and one point counted means place 0.
+    assert targets(spark, text)[1][2] == 50 * 1461 + 3200
+
+
+def test_filters(spark):
+    rows = traj(spark, G1, G1).withColumn("token_count_thru_2022", F.col("row_idx").cast("int") + 8)
+    assert [r["row_idx"] for r in sequence.history_filter(rows, profile("days")).collect()] == [1]
+    assert sequence.stage1(traj(spark, "<BOS> <SEX-1> <R-0> <AGE_50> <ATT-10> A"), DAYS)[1].isEmpty()
+    short = sequence.truncate(traj(spark, G1, thru=6), profile("days", longitudinal=False)).head()
+    assert short["n_tok"] == 7 and short["eval_seq"] == sequence_of(G1).rsplit(" ", 6)[0]
+    assert points(spark, G1.replace("<VT-A> A", "<VT-A>  A"))[0][0] == 7  # an empty token takes a place
+    assert points(spark, G1, profile("days", max_length=8)) == [(6, "A", 73090, 8), (7, "B", 73090, 8)]
+    female = sequence.stage1(traj(spark, G1.replace("<SEX-1>", "<SEX-9>")), DAYS)[1]
+    assert {r["sex"] for r in female.collect()} == {"female"}
+
+
+def test_malformed_numbers_fail(spark):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        points(spark, G1.replace("<ATT-10>", "<ATT-ten>"))
+
+
+@pytest.mark.parametrize(("n", "kept", "sentinel"), [(599, True, True), (600, True, False), (601, False, False)])
+def test_point_cap(spark, n, kept, sentinel):
+    text = "<BOS> <SEX-1> <R-0> <AGE_50> " + " ".join(f"<ATT-1> <DX-MAJOR_{i}>" for i in range(n))
+    rows = stage1(spark, text)
+    assert rows.count() == n
+    found = cohort.with_sentinel(rows, DAYS)
+    assert found.count() == (n + sentinel if kept else 0)
+    assert found.where("is_sentinel").count() == int(sentinel)
+
+
+def test_single_bracket_is_five_years_wide(spark):
+    config = profile("days", min_history=1, age_start=40, age_end=50, age_step=10)
+    assert config.brackets == [40] and config.bracket_width == 5
+    older = "<BOS> <SEX-1> <R-0> <AGE_46> <ATT-10> A <NY> <ATT-20> B"
+    assert not [m for m in members(spark, [older], config=config) if m[5] == 1]
+    younger = older.replace("<AGE_46>", "<AGE_44>")
+    assert [m for m in members(spark, [younger], config=config) if m[5] == 1] == [("B", "male", 40, 0, 7, 1)]
+
+
+def test_negative_ages_are_in_no_bracket(spark):
+    assert not [m for m in members(spark, [G1.replace("<AGE_50>", "<AGE_-5>")]) if m[5] == 1]
+
+
+def test_file_formats(spark):
+    kept, rows = sequence.stage1(traj(spark, G1), DAYS)
+    row = sinks.stage1_file(kept, rows).head()
+    assert (row["disease_points"], row["disease_points_ages"], row["disease_points_visit_location"]) == ([6, 7, 12], [18272.5, 18272.5, 18647.75], [8, 8, 12])
+    listed = spark.createDataFrame([("<DX-MAJOR_C>",)], "disease string")
+    other = G1.replace(" C", " D")
+    cells = sinks.stage2_file(cohort.cohort(stage1(spark, G1, other), listed, DAYS), DAYS.bracket_width).collect()
+    assert [(c["case_ids"], c["control_ids"], c["case_seq_points"], c["control_seq_points"], c["age_step"]) for c in cells] == [([0], [1], [8], [8], 10)]
