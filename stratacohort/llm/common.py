@@ -1,11 +1,16 @@
 """Helpers shared by the corpus operators: the cluster's shared folder, written tables, ASCII rules."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the contracts: 0x20 and 0x09-0x0D.  The same set as Java's \s.
 WHITE = " \t\n\x0b\f\r"
@@ -39,6 +44,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Bytes of the Arrow batches that go to Python: rows may be long, and a batch is held whole.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes; a worker gives its memory back after each task, as idle ones wait beside the JVM."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII takes the fast path of lower()."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 #: Windows broadcast at once; each takes its words' bytes (about 100) and some 50 more.
 MAX_WINDOWS = 500_000
 CHUNK_BYTES = 4 << 20
@@ -130,7 +132,7 @@ def _windows_of(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.Rec
 def item_windows(items: DataFrame, size: int = 13, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows of the items: size, hash, words and the items that hold them."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    found = rows.mapInArrow(lambda batches: _windows_of(batches, size), "size int, hash bigint, words binary, item string")
+    found = map_arrow(rows, lambda batches: _windows_of(batches, size), "size int, hash bigint, words binary, item string")
     return found.groupBy("size", "hash", "words").agg(F.collect_set("item").alias("items"))
 
 
@@ -189,9 +191,9 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 13, text: str = "text",
         mine = windows if n_blocks == 1 else windows.where(F.pmod("hash", F.lit(n_blocks)) == block)
         shared = spark.sparkContext.broadcast(block_of(mine.collect()))  # about max_windows rows at most
         if out is None:
-            out = docs.mapInArrow(lambda batches, w=shared: _scan(batches, w.value, at), schema)
+            out = map_arrow(docs, lambda batches, w=shared: _scan(batches, w.value, at), schema)
         else:  # what is found moves, by text
-            more = docs.select(text).mapInArrow(lambda batches, w=shared: _scan(batches, w.value, 0), T.StructType([schema.fields[at], *schema.fields[-3:]]))
+            more = map_arrow(docs.select(text), lambda batches, w=shared: _scan(batches, w.value, 0), T.StructType([schema.fields[at], *schema.fields[-3:]]))
             more = more.where(F.size("spans") > 0).select(F.md5(text).alias("__sum"), F.col("spans").alias("__spans"), F.col("items").alias("__items")).dropDuplicates(["__sum"])
             out = out.withColumn("__sum", F.md5(text)).join(more, "__sum", "left").drop("__sum")
             out = out.withColumns({"spans": F.concat("spans", F.coalesce("__spans", F.array().cast(SPANS))), "items": F.array_union("items", F.coalesce("__items", F.array().cast("array<string>")))}).drop("__spans", "__items")
@@ -236,7 +238,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **option
                 out.append(cut_words(x, [(s["a"], s["b"]) for s in spans]) if x and spans else x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "__cut"])
 
-    return found.mapInArrow(cut, cut_schema).withColumn(text, F.col("__cut")).select(*cols)
+    return map_arrow(found, cut, cut_schema).withColumn(text, F.col("__cut")).select(*cols)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

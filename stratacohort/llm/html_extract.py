@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)""", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -258,4 +260,4 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text", tree: T
             texts = pa.array([main_text(root, x.as_py()) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return map_arrow(pages, run, schema)

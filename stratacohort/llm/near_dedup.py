@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, written
+from .common import WHITE, map_arrow, written
 from .decontaminate import Powers, Words
 
 SHINGLE = 5
@@ -101,11 +101,14 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES):
         n = 1 << TABLE_BITS
-        seeds = np.arange(5 * n * samples, dtype=np.uint64).reshape(5, n, samples)
-        u = ((_mixed((seeds + np.uint64(1)) * _MIX) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        self.r = (-np.log(u[0] * u[1])).astype(np.float32)
-        self.c = np.log(-np.log(u[2] * u[3])).astype(np.float32)
-        self.b = u[4].astype(np.float32)
+
+        def uniform(k: int) -> np.ndarray:
+            numbers = np.arange(k * n * samples + 1, (k + 1) * n * samples + 1, dtype=np.uint64).reshape(n, samples)
+            return ((_mixed(numbers * _MIX) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+        self.r = (-np.log(uniform(0) * uniform(1))).astype(np.float32)
+        self.c = np.log(-np.log(uniform(2) * uniform(3))).astype(np.float32)
+        self.b = uniform(4).astype(np.float32)
         self.samples = samples
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def idf_table(texts: DataFrame) -> np.ndarray:
     """The idf of every word bucket, from all texts: a table of 2 ** DF_BITS numbers."""
-    found = texts.mapInArrow(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = map_arrow(texts, _count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
     df, total = np.zeros(1 << DF_BITS), max(1, int(n[bucket == -1].sum()))
     df[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -265,7 +268,7 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(_node(text).alias("node"), F.col(text).alias("text")).where("node IS NOT NULL")
     idf = spark.sparkContext.broadcast(idf_table(texts.select("text")))
-    sketches = texts.mapInArrow(lambda b: _sketch(b, idf.value), "node binary, bands array<bigint>, marks binary")
+    sketches = map_arrow(texts, lambda b: _sketch(b, idf.value), "node binary, bands array<bigint>, marks binary")
     sketches = written(sketches.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")), "sketches")
 
     members = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -277,7 +280,7 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    links = written(pairs.sortWithinPartitions("a").mapInArrow(lambda b: _verify(b, idf.value), "a binary, b binary"), "links")
+    links = written(map_arrow(pairs.sortWithinPartitions("a"), lambda b: _verify(b, idf.value), "a binary, b binary"), "links")
     comps = written(components(links), "components")
 
     labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -289,7 +292,7 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = rest.select("band", "bucket", "node", "comp", "block", F.explode(meet).alias("m")).select("band", "bucket", "node", "comp", "block", "m.i", "m.j")
     rest = rest.join(sketches, "node").join(held, "node")
     rest = rest.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j", "node")
-    more = written(rest.mapInArrow(lambda b: _close(b, idf.value), "a binary, b binary"), "links")
+    more = written(map_arrow(rest, lambda b: _close(b, idf.value), "a binary, b binary"), "links")
 
     # The new links join components; those that nothing joins stay.
     up = comps.select(F.col("node").alias("n"), F.col("comp").alias("c"))

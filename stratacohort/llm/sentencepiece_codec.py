@@ -27,10 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 MARK = "\u2581"
 #: Kinds of pieces and of models, by the numbers of the public protobuf schema (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Distinct words encoded at once.
+WORDS = 16_384
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -160,13 +164,7 @@ class Codec:
             cut = pc.replace_substring(cut, MARK + "\x00" + MARK, MARK + MARK)
         cut = pc.split_pattern(cut, "\x00")
         coded = pc.list_flatten(cut).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
-        # Words are decoded without what only a text's start loses; a text's decoding is theirs, one after the other.
-        back = self.words.decode_batch(each, skip_special_tokens=False)
-        wrong = np.fromiter((x.replace(MARK, " ") != y for x, y in zip(words, back)), bool, len(words))
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.fromiter(chain.from_iterable(each), np.int32, int(sizes.sum()))
+        sizes, pool, wrong = (np.concatenate(x) for x in zip(*self._words(coded.dictionary)))
         first = np.cumsum(sizes) - sizes
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = sizes[word]
@@ -176,6 +174,19 @@ class Codec:
         errors = np.concatenate([[0], np.cumsum(wrong[word])])[offsets]
         return ids, ends[offsets[1:]], errors[1:] == errors[:-1]
 
+    def _words(self, distinct: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of ids, ids, and faults of distinct words, some thousands at a time: the library's encodings are large.
+
+        Words are decoded without what only a text's start loses; a text's decoding is theirs, one after the other.
+        """
+        for at in range(0, max(1, len(distinct)), WORDS):
+            words = distinct.slice(at, WORDS).to_pylist()
+            each = [e.ids for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
+            back = self.words.decode_batch(each, skip_special_tokens=False)
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            pool = np.fromiter(chain.from_iterable(each), np.int32, int(sizes.sum()))
+            yield sizes, pool, np.fromiter((x.replace(MARK, " ") != y for x, y in zip(words, back)), bool, len(words))
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
         return self.whole.decode_batch([ids[a:b].tolist() for a, b in zip(starts, ends)], skip_special_tokens=False)
@@ -221,7 +232,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", threads: int = 2,
                     cols.append(pa.array(right, mask=null))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
@@ -240,10 +251,10 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
             out = codec.whole.decode_batch([x or [] for x in given], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else y for x, y in zip(given, out)], pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
-def _bounded(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
     start = total = 0

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 SPAN = 3
 MIN_WORDS = 8
 MAX_WORDS = 16
@@ -102,7 +104,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
     schema = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("__id", id_type), T.StructField("__sum", T.LongType()), T.StructField("at", T.IntegerType())])
-    found = rows.mapInArrow(lambda b: _emit(b, span, schema.names), schema)
+    found = map_arrow(rows, lambda b: _emit(b, span, schema.names), schema)
     occurrence = F.struct("__id", "__sum", "at")
     repeated = found.groupBy("h").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = found.join(repeated, "h").where(~occurrence.eqNullSafe(F.col("first")))
@@ -111,4 +113,4 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     out = docs.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left").drop("__sum", "__hid", "__hsum")
     schema_out = T.StructType([*out.schema.fields[:-1], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     at = out.columns.index(text)
-    return out.mapInArrow(lambda b: _remove(b, span, at, schema_out.names), schema_out)
+    return map_arrow(out, lambda b: _remove(b, span, at, schema_out.names), schema_out)
