@@ -65,6 +65,17 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(run, schema)
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names that no operator uses, and those names: extra columns then clash with nothing."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that were set aside, under their own names."""
+    return df.select(*[F.col(hidden).alias(c) for c, hidden in names.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased and nothing else; pure ASCII takes the fast path of lower()."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import aside, map_arrow, restored
 
 #: Windows broadcast at once; each takes its words' bytes (about 100) and some 50 more.
 MAX_WINDOWS = 500_000
@@ -220,15 +220,16 @@ def contaminated(n_hit, n_words, min_share_pct: int = 5):
 
 def remove_documents(docs: DataFrame, items: DataFrame, text: str = "text", min_share_pct: int = 5, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    kept = scan(docs, items, text=text, **options).where(~contaminated(F.col("n_hit"), F.col("n_words"), min_share_pct))
-    return kept.select(*docs.columns)
+    rows, names = aside(docs)
+    kept = scan(rows, items, text=names[text], **options).where(~contaminated(F.col("n_hit"), F.col("n_words"), min_share_pct))
+    return restored(kept, names)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with hit words, and what stands between the words of a span, cut out of their texts; a null text stays null."""
-    cols = docs.columns
-    found = scan(docs, items, text=text, **options)
-    at = found.columns.index(text)
+    rows, names = aside(docs)
+    found = scan(rows, items, text=names[text], **options)
+    at = found.columns.index(names[text])
     cut_schema = T.StructType([*found.schema.fields, T.StructField("__cut", T.StringType())])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +239,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **option
                 out.append(cut_words(x, [(s["a"], s["b"]) for s in spans]) if x and spans else x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "__cut"])
 
-    return map_arrow(found, cut, cut_schema).withColumn(text, F.col("__cut")).select(*cols)
+    return restored(map_arrow(found, cut, cut_schema).withColumn(names[text], F.col("__cut")), names)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

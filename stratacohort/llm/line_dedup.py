@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop_path, new_path, strip_white
+from .common import ascii_lower, aside, drop_path, new_path, restored, strip_white
 
 FANOUT = 4
 
@@ -105,6 +105,13 @@ def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int
     return drop_hot_lines(docs, runs.hot(min_docs), id_col, text, min_chars)
 
 
+def remove_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """dedup() in place: docs with all their columns, hot lines gone from the text."""
+    rows, names = aside(docs)
+    out = dedup(rows, min_docs, min_chars, id_col=names[id_col], text=names[text])
+    return restored(out.withColumn(names[text], F.col("kept_text")), names)
+
+
 def dedup_batch(runs: LineRuns, batch: DataFrame, min_docs: int = 2, min_chars: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One step of a stream: add the batch's run, then drop its lines that the runs hold min_docs times or more."""
     runs.add(batch, text, min_chars)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, map_arrow, written
+from .common import WHITE, aside, map_arrow, restored, written
 from .decontaminate import Powers, Words
 
 SHINGLE = 5
@@ -317,6 +317,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class: that with the smallest id, of equal rows any one; documents without words all stay."""
+    docs, names = aside(docs)
+    id_col, text = names[id_col], names[text]
     node = _node(text)
     comps = near_classes(docs, text).select(F.col("node").alias("__n"), F.col("comp").alias("__comp"))
     rows = docs.select(F.col(id_col).alias("__id"), node.alias("__node")).where("__node IS NOT NULL")
@@ -326,4 +328,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     stays = docs.withColumn("__node", node).join(best, F.col("__node").eqNullSafe(F.col("__bnode")) & F.col(id_col).eqNullSafe(F.col("__bid")), "left")
     stays = stays.where(F.col("__node").isNull() | F.col("__bnode").isNotNull())
     alone = stays.where("__node IS NULL").select(*docs.columns)
-    return stays.where("__node IS NOT NULL").dropDuplicates([id_col, "__node"]).select(*docs.columns).unionByName(alone)
+    return restored(stays.where("__node IS NOT NULL").dropDuplicates([id_col, "__node"]).select(*docs.columns).unionByName(alone), names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, written
+from .common import WHITE, aside, let, restored, written
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
@@ -147,6 +147,5 @@ def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, r
 
 def reject(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that are not kept."""
-    names = [f"__{i}" for i in range(len(docs.columns))]
-    out = judge(docs.toDF(*names), names[docs.columns.index(text)]).where("kept")
-    return out.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns)])
+    rows, names = aside(docs)
+    return restored(judge(rows, names[text]).where("kept"), names)
