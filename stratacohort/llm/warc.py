@@ -119,22 +119,20 @@ class Records:
             return None
         return struct.unpack("<I", self.raw[16:20])[0]
 
-    def _more(self) -> bool:
-        """Inflate or take another piece of this record."""
-        if self.ended or not self._need(1):
+    def _more(self, most: int = 1 << 14) -> bool:
+        """Take or inflate another piece of this record, of `most` bytes at most."""
+        if self.ended:
             return False
+        some = self._need(1)
+        piece, rest = self.raw[: self.step], self.raw[self.step :]
         if not self.zipped:
-            n = min(len(self.raw), self.step)
-            self.text, self.raw = self.text + self.raw[:n], self.raw[n:]
-            return True
-        piece = self.raw[: self.step]
-        self.text += self.inflate.decompress(piece)
-        rest = self.inflate.unused_data
-        used = len(piece) - len(rest)
-        self.used += used
-        self.raw = self.raw[used:]
-        self.ended = self.inflate.eof
-        return True
+            self.text, self.raw = self.text + piece[:most], piece[most:] + rest
+            return some
+        found = self.inflate.decompress(piece, most)
+        left = self.inflate.unconsumed_tail + self.inflate.unused_data
+        self.used += len(piece) - len(left)
+        self.text, self.raw, self.ended = self.text + found, left + rest, self.inflate.eof
+        return some or bool(found)
 
     def block(self) -> bytes:
         """The record's block; the record is used up then."""
@@ -142,7 +140,7 @@ class Records:
         parts, have = [self.text], len(self.text)
         while have < self.left + 4:
             self.text = b""
-            if not self._more():
+            if not self._more(1 << 20):
                 break
             parts.append(self.text)
             have += len(self.text)
@@ -156,7 +154,7 @@ class Records:
         if not self.zipped:
             self.raw = rest + self.raw
             return
-        while not self.ended and self._more():
+        while not self.ended and self._more(1 << 20):
             self.text = b""
 
     def _skip(self) -> None:
