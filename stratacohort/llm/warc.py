@@ -129,7 +129,7 @@ class Records:
             self.text, self.raw = self.text + piece[:most], piece[most:] + rest
             return some
         found = self.inflate.decompress(piece, most)
-        left = self.inflate.unconsumed_tail + self.inflate.unused_data
+        left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
         self.used += len(piece) - len(left)
         self.text, self.raw, self.ended = self.text + found, left + rest, self.inflate.eof
         return some or bool(found)
