@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ., ! or ? and white space, and after line ends; a sentence of more than MAX_WORDS words
-is cut on into pieces of that many, so that any repeated passage of SPAN * MAX_WORDS words or more, made of whole
-sentences, has a full span.  From every sentence on, the run of SPAN consecutive sentences, or of more where these have
-fewer than MIN_WORDS words, is hashed (128 bits, over lower-cased words); the hashes meet globally, and a sentence covered by any occurrence of a repeated span but the first goes.
+A text is cut into sentences: after ., ! or ? and white space, and after line ends.  A sentence of more than MAX_WORDS words
+is cut on, after words of ANCHORS characters and wherever a piece reaches MAX_WORDS.  So any repeated passage of
+SPAN * MAX_WORDS words or more, made of whole sentences, has a full span, and one that begins within a long sentence is cut as
+elsewhere from its first anchor on.  From every sentence on, the run of SPAN consecutive sentences, or of more where these have
+fewer than MIN_WORDS words, is hashed (96 bits, over lower-cased words); the hashes meet globally, and a sentence covered by any occurrence of a repeated span but the first goes.
 
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
@@ -31,8 +32,11 @@ from .common import map_arrow
 SPAN = 3
 MIN_WORDS = 8
 MAX_WORDS = 16
+HASH_BYTES = 12
+#: Lengths of words, about one in twenty, that end a piece of a long sentence.
+ANCHORS = (10, 11)
 _CUT = re.compile(r"[^\s].*?(?:[.!?]+(?=\s)|(?=\s*\n)|\Z)\s*", re.S)
-_WORDS = re.compile(rf"(?:\S+\s*){{1,{MAX_WORDS}}}")
+_WORD = re.compile(r"\S+\s*")
 
 
 def sentences(text: str) -> list[str]:
@@ -40,12 +44,22 @@ def sentences(text: str) -> list[str]:
     out: list[str] = []
     for m in _CUT.finditer(text):
         piece = m[0]
-        out += _WORDS.findall(piece) if piece.count(" ") >= MAX_WORDS else [piece]
+        out += _cut(words) if len(piece) > 2 * MAX_WORDS and len(words := _WORD.findall(piece)) > MAX_WORDS else [piece]
     if out and (lead := len(text) - sum(map(len, out))):
         out[0] = text[:lead] + out[0]
     return out
 
 
+def _cut(words: list[str]) -> list[str]:
+    """The pieces of a long sentence, from its words with their white space."""
+    out, start = [], 0
+    for at, word in enumerate(words, 1):
+        if at - start == MAX_WORDS or len(word.rstrip()) in ANCHORS:
+            out.append("".join(words[start:at]))
+            start = at
+    return [*out, "".join(words[start:])] if start < len(words) else out
+
+
 def runs(pieces: list[str], span: int = SPAN) -> list[int]:
     """The place after each run, by the run's first piece; pieces near the end start no run."""
     n = [len(x.split()) for x in pieces]
@@ -61,24 +75,26 @@ def runs(pieces: list[str], span: int = SPAN) -> list[int]:
     return out
 
 
-def spans(pieces: list[str], span: int = SPAN) -> list[bytes]:
-    """The hash of every run."""
+def spans(pieces: list[str], span: int = SPAN) -> bytes:
+    """The hashes of all runs, HASH_BYTES each."""
     keys = [" ".join(x.lower().split()).encode("utf-8", "surrogatepass") for x in pieces]
-    return [hashlib.blake2b(b"\n".join(keys[a:b]), digest_size=16).digest() for a, b in enumerate(runs(pieces, span))]
+    return b"".join([hashlib.blake2b(b"\n".join(keys[a:b]), digest_size=HASH_BYTES).digest() for a, b in enumerate(runs(pieces, span))])
 
 
 def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    kind = np.dtype([("high", "<i8"), ("low", "<i4")])
     for batch in batches:
         ids, sums, texts = batch.columns
         at, places, hashes = [], [], []
-        for row, text in enumerate(texts.to_pylist()):
-            found = spans(sentences(text or ""), span)
-            at += [row] * len(found)
-            places += range(len(found))
-            hashes += found
-            if len(hashes) > 200_000 or row == len(texts) - 1:
-                take = pa.array(at, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), ids.take(take), sums.take(take), pa.array(places, pa.int32())], names=names)
+        for row, text in enumerate(texts):
+            found = np.frombuffer(spans(sentences(text.as_py() or ""), span), kind)
+            at.append(np.full(len(found), row, np.int32))
+            places.append(np.arange(len(found), dtype=np.int32))
+            hashes.append(found)
+            if sum(map(len, hashes[-64:])) > 100_000 or row % 64 == 63 or row == len(texts) - 1:
+                take, all_hashes = pa.array(np.concatenate(at)), np.concatenate(hashes)
+                high, low = (pa.array(np.ascontiguousarray(all_hashes[x])) for x in ("high", "low"))
+                yield pa.RecordBatch.from_arrays([high, low, ids.take(take), sums.take(take), pa.array(np.concatenate(places))], names=names)
                 at, places, hashes = [], [], []
 
 
@@ -100,14 +116,14 @@ def _remove(batches: Iterable[pa.RecordBatch], span: int, text_at: int, names: l
 def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_sentences, n_removed and kept_text."""
     docs = docs.drop(*[c for c in ("n_sentences", "n_removed", "kept_text") if c in docs.columns])
-    key = F.xxhash64(text).alias("__sum")
+    key = F.hash(text).alias("__sum")  # tells texts of one id apart
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
-    schema = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("__id", id_type), T.StructField("__sum", T.LongType()), T.StructField("at", T.IntegerType())])
+    schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.IntegerType()), T.StructField("at", T.IntegerType())])
     found = map_arrow(rows, lambda b: _emit(b, span, schema.names), schema)
     occurrence = F.struct("__id", "__sum", "at")
-    repeated = found.groupBy("h").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    later = found.join(repeated, "h").where(~occurrence.eqNullSafe(F.col("first")))
+    repeated = found.groupBy("high", "low").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(repeated, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
     places = later.groupBy(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
     docs = docs.withColumn("__sum", key)
     out = docs.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left").drop("__sum", "__hid", "__hsum")
