@@ -77,8 +77,10 @@ def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z lower-cased and nothing else; pure ASCII takes the fast path of lower()."""
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+    """A-Z lower-cased and nothing else; the fast lower() does it where no other capital is in the text."""
+    others = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+    plain = (F.octet_length(c) == F.length(c)) | ~F.regexp_like(c, F.lit(others))
+    return F.when(plain, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def strip_white(c: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, aside, drop_path, new_path, restored, strip_white
+from .common import ascii_lower, aside, drop_path, new_path, restored, strip_white, written
 
 FANOUT = 4
 
@@ -67,9 +67,9 @@ class LineRuns:
     def _sum(self, runs: list[str]) -> DataFrame:
         return self.spark.read.schema("key binary, n bigint").parquet(*runs).groupBy("key").agg(F.sum("n").alias("n"))
 
-    def add(self, docs: DataFrame, text: str = "text", min_chars: int = 1) -> None:
-        """Count the keys of a batch of documents into a run of level 0."""
-        keys = docs.select(F.explode(doc_keys(F.col(text), min_chars)).alias("key"))
+    def add(self, batch: DataFrame) -> None:
+        """Count the keys of a batch of documents, with_keys(), into a run of level 0."""
+        keys = batch.select(F.explode("keys").alias("key"))
         self._write(keys.groupBy("key").agg(F.count("*").alias("n")), 0)
 
     def hot(self, min_docs: int) -> DataFrame:
@@ -80,13 +80,21 @@ class LineRuns:
         return self._sum(runs).where(F.col("n") >= min_docs).select("key")
 
 
-def drop_hot_lines(docs: DataFrame, hot: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
-    """docs with columns n_lines, n_dropped and kept_text: lines whose key is in hot(key) are gone."""
-    at = {"__id": F.col(id_col), "__sum": F.md5(F.coalesce(F.col(text), F.lit("")))}
-    docs = docs.withColumns(at)
-    pairs = docs.select("__id", "__sum", F.explode(doc_keys(F.col(text), min_chars)).alias("key"))
-    hits = pairs.join(hot, "key", "left_semi").groupBy("__id", "__sum").agg(F.collect_set("key").alias("__hot"))
-    hits = hits.select(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum"), "__hot")
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
+    """id, sum (the text's hash) and distinct keys of each document: all that is counted, without the texts; written once, read for every step."""
+    return written(docs.select(F.col(id_col).alias("id"), text_sum(text).alias("sum"), doc_keys(F.col(text), min_chars).alias("keys")), "line-keys")
+
+
+def text_sum(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def drop_hot_lines(docs: DataFrame, keyed: DataFrame, hot: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
+    """docs with columns n_lines, n_dropped and kept_text: lines whose key is in hot(key) are gone; keyed is with_keys(docs)."""
+    docs = docs.withColumns({"__id": F.col(id_col), "__sum": text_sum(text)})
+    pairs = keyed.select("id", "sum", F.explode("keys").alias("key"))
+    hits = pairs.join(hot, "key", "left_semi").groupBy("id", "sum").agg(F.collect_set("key").alias("__hot"))
+    hits = hits.select(F.col("id").alias("__hid"), F.col("sum").alias("__hsum"), "__hot")
     out = docs.join(hits, F.col("__id").eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left")
     lines = lines_of(F.col(text))
     stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__hot", key_hash(x, min_chars)), F.lit(False)))
@@ -99,10 +107,11 @@ def drop_hot_lines(docs: DataFrame, hot: DataFrame, id_col: str = "doc_id", text
 def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = FANOUT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Two passes over all documents: every document goes into the runs, in `batches` batches, then hot lines are dropped."""
     runs = LineRuns(docs.sparkSession, new_path(docs.sparkSession, "line-runs"))
-    part = F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches))
+    keyed = with_keys(docs, id_col, text, min_chars)
+    part = F.pmod(F.xxhash64("id"), F.lit(batches))
     for i in range(batches):  # the batches together are all documents
-        runs.add(docs.where(part == i), text, min_chars)
-    return drop_hot_lines(docs, runs.hot(min_docs), id_col, text, min_chars)
+        runs.add(keyed.where(part == i))
+    return drop_hot_lines(docs, keyed, runs.hot(min_docs), id_col, text, min_chars)
 
 
 def remove_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,5 +123,6 @@ def remove_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col
 
 def dedup_batch(runs: LineRuns, batch: DataFrame, min_docs: int = 2, min_chars: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One step of a stream: add the batch's run, then drop its lines that the runs hold min_docs times or more."""
-    runs.add(batch, text, min_chars)
-    return drop_hot_lines(batch, runs.hot(min_docs), id_col, text, min_chars)
+    keyed = with_keys(batch, id_col, text, min_chars)
+    runs.add(keyed)
+    return drop_hot_lines(batch, keyed, runs.hot(min_docs), id_col, text, min_chars)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratacohort.llm import decontaminate, line_dedup, quality_rules, substring_dedup
-from stratacohort.llm.common import LOWER, UPPER, WHITE, new_path
+from stratacohort.llm.common import LOWER, UPPER, WHITE, ascii_lower, new_path
 
 SCHEMA = "doc_id long, text string, n_words string, key int"  # the last two clash with names that operators use
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards box quietly near a frozen river bank"
@@ -118,7 +118,7 @@ def test_line_dedup(docs, min_docs):
 def test_levels_are_compacted(spark):
     runs = line_dedup.LineRuns(spark, new_path(spark, "runs"), fanout=2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, f"all\nonly {i}")], "doc_id long, text string"))
+        runs.add(line_dedup.with_keys(spark.createDataFrame([(i, f"all\nonly {i}")], "doc_id long, text string")))
     assert [len(x) for x in runs.levels] == [1, 0, 1]  # 5 in binary
     assert runs.hot(5).count() == 1 and runs.hot(1).count() == 6
     files = spark.read.parquet(runs.levels[2][0])
@@ -132,6 +132,12 @@ def test_batches_see_earlier_ones(spark):
     assert [r["kept_text"] for r in line_dedup.dedup_batch(runs, batch("A \nc"), 2).collect()] == ["c"]
 
 
+def test_only_ascii_capitals_are_lowered(spark):
+    texts = ["ABC abc", "Été ÉTÉ", "ΑΣ As ς", "İI ı", "Ⅷ Ⓐ ǅ", "", "日本 ABC", "ẞß SS", "𐐀A"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ascii_lower(F.col("t")).alias("low")).collect()
+    assert all(r["low"] == r["t"].translate(str.maketrans(UPPER, LOWER)) for r in rows)
+
+
 # Decontamination
 
 
@@ -260,9 +266,6 @@ def test_empty_tables(spark):
 
 
 def test_query_digests(spark, sf_dir, duck):
-    import sys
-
-    sys.path.insert(0, "tests")
     from same import assert_same
 
     from stratacohort.llm import queries
