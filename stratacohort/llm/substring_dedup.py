@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, written
 
 SPAN = 3
 MIN_WORDS = 8
@@ -120,7 +120,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
     schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.IntegerType()), T.StructField("at", T.IntegerType())])
-    found = map_arrow(rows, lambda b: _emit(b, span, schema.names), schema)
+    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs")  # read twice
     occurrence = F.struct("__id", "__sum", "at")
     repeated = found.groupBy("high", "low").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = found.join(repeated, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
