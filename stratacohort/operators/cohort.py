@@ -90,8 +90,12 @@ def _controls(config: Config) -> Column:
 
 
 def with_list(rows: DataFrame, diseases: DataFrame) -> DataFrame:
-    """rows with the disease list, a single row of the vocabulary's size, as a column `listed`."""
-    return rows.join(F.broadcast(diseases.agg(F.sort_array(F.collect_set("disease")).alias("listed"))))
+    """rows with the disease list, one value of the vocabulary's size, as a column `listed`: a scalar subquery, not a join."""
+    return rows.withColumn("listed", disease_list(diseases))
+
+
+def disease_list(diseases: DataFrame) -> Column:
+    return diseases.agg(F.sort_array(F.collect_set("disease")).alias("listed")).scalar()
 
 
 def cases(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
+from .cohort import disease_list
 
 
 def unique_pairs(cohort: DataFrame) -> DataFrame:
@@ -44,9 +45,7 @@ class ArithmeticScorer:
     """Column arithmetic for tests: a score from the numbers of a row."""
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
-        listed = diseases.agg(F.sort_array(F.collect_set("disease")).alias("d"))  # one row of the vocabulary's size
-        rows = prompts.select("row_idx", "seq_point").join(F.broadcast(listed))
-        rows = rows.select("row_idx", "seq_point", F.explode("d").alias("disease"))
+        rows = prompts.select("row_idx", "seq_point", F.explode(disease_list(diseases)).alias("disease"))
         return rows.withColumn("logit", arithmetic_logit(F.col("row_idx"), F.col("seq_point"), F.col("disease")))
 
 
@@ -61,32 +60,31 @@ class LinearScorer:
         counts = rows.groupBy("row_idx", "seq_point", "token").agg(F.count("*").alias("n"))
         wanted = self.weights.join(F.broadcast(diseases.select("disease").distinct()), "disease", "left_semi")
         sums = counts.join(wanted, "token").groupBy("row_idx", "seq_point", "disease").agg(F.sum(F.col("n") * F.col("weight")).alias("logit"))
-        listed = diseases.agg(F.sort_array(F.collect_set("disease")).alias("d"))
-        every = prompts.select("row_idx", "seq_point").join(F.broadcast(listed)).select("row_idx", "seq_point", F.explode("d").alias("disease"))
+        every = prompts.select("row_idx", "seq_point", F.explode(disease_list(diseases)).alias("disease"))
         return every.join(sums, ["row_idx", "seq_point", "disease"], "left").fillna(0.0, ["logit"])
 
 
 class ModelScorer:
     """A causal language model, loaded once in each Python worker.
 
-    make_model() returns a function from a list of prompts to an array (prompts x diseases) with the logits of the
-    last token, for the diseases in the order given.  gpus asks for that many GPUs a task through stage-level scheduling.
+    make_model(diseases) returns a function from a list of prompts to an array (prompts x diseases) with the logits of the
+    last token, for the diseases in the order given: only these leave the model.
     """
 
-    def __init__(self, make_model: Callable[[], Callable], batch_size: int = 8, partitions: int | None = None):
+    def __init__(self, make_model: Callable[[list[str]], Callable], batch_size: int = 8, partitions: int | None = None):
         self.make_model, self.batch_size, self.partitions = make_model, batch_size, partitions
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
         from pyspark.ml.functions import predict_batch_udf
 
         make = self.make_model
+        listed = [r["disease"] for r in diseases.select("disease").distinct().orderBy("disease").collect()]  # the vocabulary's size
 
         def load():
-            model = make()
+            model = make(listed)
             return lambda batch: np.asarray(model([str(x) for x in batch]), dtype=np.float32)
 
         predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
-        listed = [r["disease"] for r in diseases.select("disease").distinct().orderBy("disease").collect()]  # the vocabulary's size
         rows = prompts.repartition(self.partitions) if self.partitions else prompts
         # Prompts of like length share a batch, which pads to its longest.
         rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point").select("row_idx", "seq_point", predict("prompt").alias("logits"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ class Evaluation:
     scores: DataFrame
     cells: DataFrame
     pooled: DataFrame
+    persisted: DataFrame | None = None
+
+    def release(self) -> None:
+        """Give back what the run holds in memory and on disk."""
+        if self.persisted is not None:
+            self.persisted.unpersist()
 
 
 def evaluate(traj: DataFrame, config: Config, scorer: scoring.Scorer | None = None, diseases: DataFrame | None = None) -> Evaluation:
@@ -32,11 +39,13 @@ def evaluate(traj: DataFrame, config: Config, scorer: scoring.Scorer | None = No
         traj = sequence.head_fraction(traj, config.sample_frac)
     kept, points = sequence.stage1(traj, config)
     listed = points.select(F.col("token").alias("disease")).distinct() if diseases is None else diseases
-    rows = cohort.two_class(cohort.cohort(points, listed, config))
+    # Counted by cell, asked for and scored: computed once, and again only where an executor is lost.
+    every = cohort.cohort(points, listed, config).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cohort.two_class(every)
     asked = scoring.prompts(scoring.unique_pairs(rows), kept, config)
     scores = scorer.score(asked, listed)
     cells = auc.cell_auc(scoring.join_scores(rows, scores))
-    return Evaluation(config, kept, points, listed, rows, scores, cells, pool.disease_auc(cells))
+    return Evaluation(config, kept, points, listed, rows, scores, cells, pool.disease_auc(cells), every)
 
 
 def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: str, scorer: scoring.Scorer, scorer_key: str, diseases: DataFrame | None = None) -> Evaluation:

@@ -17,7 +17,8 @@ def test_what_has_no_sql(spark, sf_dir):
     assert first == again and len(set(first)) == 100
     scores = QUERIES["score_model"](spark, sf_dir)
     pairs = QUERIES["unique_score_pairs"](spark, sf_dir).count()
-    assert scores.count() == 6 * pairs and scores.where("logit IS NULL").isEmpty()
+    diseases = QUERIES["control_anti_join"](spark, sf_dir).select("disease").distinct().count()
+    assert scores.count() == diseases * pairs and scores.where("logit IS NULL").isEmpty()
 
 
 def test_entry(spark):
