@@ -68,11 +68,12 @@ class ModelScorer:
     """A causal language model, loaded once in each Python worker.
 
     make_model(diseases) returns a function from a list of prompts to an array (prompts x diseases) with the logits of the
-    last token, for the diseases in the order given: only these leave the model.
+    last token, for the diseases in the order given: only these leave the model.  With gpus, tasks ask for that many
+    through a resource profile, and the model is loaded once for each task.
     """
 
-    def __init__(self, make_model: Callable[[list[str]], Callable], batch_size: int = 8, partitions: int | None = None):
-        self.make_model, self.batch_size, self.partitions = make_model, batch_size, partitions
+    def __init__(self, make_model: Callable[[list[str]], Callable], batch_size: int = 8, partitions: int | None = None, gpus: float = 0):
+        self.make_model, self.batch_size, self.partitions, self.gpus = make_model, batch_size, partitions, gpus
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
         from pyspark.ml.functions import predict_batch_udf
@@ -87,12 +88,29 @@ class ModelScorer:
         predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
         rows = prompts.repartition(self.partitions) if self.partitions else prompts
         # Prompts of like length share a batch, which pads to its longest.
-        rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point").select("row_idx", "seq_point", predict("prompt").alias("logits"))
+        rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point")
+        rows = self._on_gpus(rows, listed) if self.gpus else rows.select("row_idx", "seq_point", predict("prompt").alias("logits"))
         rows = rows.select("row_idx", "seq_point", F.posexplode("logits").alias("i", "logit"))
         names = F.array(*[F.lit(x) for x in listed]) if listed else F.array().cast("array<string>")
         return rows.select("row_idx", "seq_point", F.get(names, F.col("i")).alias("disease"), "logit")
 
 
+    def _on_gpus(self, rows: DataFrame, listed: list[str]) -> DataFrame:
+        from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+        make, size = self.make_model, self.batch_size
+        profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", self.gpus)).build
+
+        def run(batches):
+            model = make(listed)
+            for batch in batches:
+                parts = [batch.iloc[i : i + size] for i in range(0, len(batch), size)]
+                logits = [x for p in parts for x in np.asarray(model(list(p["prompt"])), dtype=np.float32).tolist()]
+                yield batch[["row_idx", "seq_point"]].assign(logits=logits)
+
+        return rows.mapInPandas(run, "row_idx long, seq_point long, logits array<float>", profile=profile)
+
+
 def missing_pairs(pairs: DataFrame, cached: DataFrame) -> DataFrame:
     """Pairs that a table of earlier scores doesn't have."""
     return pairs.join(cached.select("row_idx", "seq_point").distinct(), ["row_idx", "seq_point"], "left_anti")

@@ -1,4 +1,4 @@
-"""Sinks, and stages that are computed once for each configuration."""
+"""Sinks, the file formats between stages and back, and stages that are computed once for each configuration."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -6,6 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config
+from ..functions import tokens as tk
+
 
 def write_parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
@@ -38,6 +41,27 @@ def stage1_file(traj: DataFrame, points: DataFrame) -> DataFrame:
     return traj.join(lists, "row_idx")
 
 
+def points_of(stage1: DataFrame, config: Config) -> DataFrame:
+    """Points again from a file of stage 1: tokens are those of the whole sequence at the points' places."""
+    tokens = tk.split_tokens(F.col("seq"))
+    zipped = F.arrays_zip(F.col("disease_points").alias("pos"), F.col("disease_points_ages").alias("age"), F.col("disease_points_visit_location").alias("loc"))
+    rows = stage1.select("row_idx", tk.sex(tokens, config.sex_index).alias("sex"), tokens.alias("tokens"), F.posexplode(zipped).alias("k", "p"))
+    return rows.select(
+        "row_idx", "sex", F.col("k").cast("long").alias("k"), F.get("tokens", F.col("p.pos")).alias("token"),
+        F.col("p.pos").cast("long").alias("pos"), F.round(F.col("p.age") * 4).cast("long").alias("q"), F.col("p.loc").cast("long").alias("loc"),
+    )
+
+
+def cohort_of(stage2: DataFrame) -> DataFrame:
+    """Cohort rows again from a file of stage 2."""
+    def side(name: str, label: int) -> DataFrame:
+        zipped = F.arrays_zip(F.col(f"{name}_ids").alias("row_idx"), F.col(f"{name}_seq_points").alias("seq_point"))
+        rows = stage2.select("disease", "sex", "age", F.explode(zipped).alias("p"))
+        return rows.select("disease", "sex", "age", "p.row_idx", "p.seq_point", F.lit(label).alias("label"))
+
+    return side("case", 1).unionByName(side("control", 0))
+
+
 def stage2_file(cohort: DataFrame, age_step: int) -> DataFrame:
     """One row for each two-class cell, with its ids and scoring points as lists."""
     pick = lambda label, field: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("row_idx", "seq_point")))), lambda x: x[field].cast("long"))

@@ -1,0 +1,59 @@
+"""The three stages as programs, against the plan in one piece."""
+import pytest
+
+from stratacohort.__main__ import main
+from stratacohort.config import profile
+from stratacohort.plans.pipeline import evaluate
+from stratacohort.sources import fixtures, sinks, trajectories
+
+
+def test_three_programs_equal_one_plan(spark, sf_dir, tmp_path):
+    traj = fixtures.trajectories(spark, sf_dir).where("row_idx < 80").drop("row_idx")
+    traj.repartition(3).write.parquet(f"{tmp_path}/shards/a")
+    out = f"{tmp_path}/out"
+    points = main(["points", "--data_dir", f"{tmp_path}/shards", "--output_dir", out, "--demo_end_index", "3", "--longitudinal"], spark)
+    assert {"disease_points", "disease_points_ages", "disease_points_visit_location", "eval_seq", "patient_id"} <= set(points.columns)
+    cells = main(["cohorts", "--data_dir", f"{out}/traj_test_pd.parquet", "--output_dir", out, "--age_group_range", "20,100,10"], spark)
+    areas = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "arithmetic"], spark)
+    whole = evaluate(trajectories.scan_trajectories(spark, f"{tmp_path}/shards"), profile("days"))
+    key = lambda r: (r["disease"], r["sex"], r["age"], r["n_diseased"], r["n_healthy"], round(r["auc"], 9))
+    assert sorted(map(key, areas.collect())) == sorted(map(key, whole.cells.collect()))
+    assert cells.count() == whole.cells.count()
+    pooled = spark.read.option("header", True).csv(f"{out}/auc_results.csv")
+    assert pooled.count() == whole.pooled.count() and pooled.columns == ["disease", "auc", "n_samples", "n_diseased", "n_healthy"]
+    reused = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "no.such:thing", "--skip_logits"], spark)
+    assert reused.count() == whole.cells.count()
+    whole.release()
+
+
+def test_formats_between_stages_round_trip(spark, sf_dir):
+    config = profile("days")
+    run = evaluate(fixtures.trajectories(spark, sf_dir).where("row_idx < 40"), config)
+    columns = ["row_idx", "sex", "k", "token", "pos", "q", "loc"]
+    back = sinks.points_of(sinks.stage1_file(run.traj, run.points), config)
+    assert sorted(map(repr, back.select(columns).collect())) == sorted(map(repr, run.points.select(columns).collect()))
+    columns = ["disease", "sex", "age", "row_idx", "seq_point", "label"]
+    cells = sinks.cohort_of(sinks.stage2_file(run.cohort, config.bracket_width))
+    assert sorted(map(repr, cells.select(columns).collect())) == sorted(map(repr, run.cohort.select(columns).collect()))
+    run.release()
+
+
+def test_disease_lists(spark, sf_dir, tmp_path):
+    traj = fixtures.trajectories(spark, sf_dir).drop("row_idx")
+    traj.write.parquet(f"{tmp_path}/shards")
+    main(["points", "--data_dir", f"{tmp_path}/shards", "--output_dir", str(tmp_path), "--demo_end_index", "3", "--longitudinal", "--sample_size", "120"], spark)
+    cohorts = ["cohorts", "--data_dir", f"{tmp_path}/traj_test_pd.parquet", "--output_dir", str(tmp_path), "--age_group_range", "20,100,10"]
+    found = lambda rows: {r["disease"] for r in rows.collect()}
+    one, two, *_ = sorted(found(main(cohorts, spark)))
+    (tmp_path / "codes.csv").write_text("ICD code\n" + "\n".join([one[10:-1], two[10:-1], "NOSUCH"]) + "\n")
+    fixtures.vocabulary(fixtures.trajectories(spark, sf_dir)).where(f"token <> '{two}'").write.parquet(f"{tmp_path}/vocab")
+    cohorts += ["--icd_code_map_file", f"{tmp_path}/codes.csv"]
+    assert found(main(cohorts, spark)) == {one, two}
+    assert found(main([*cohorts, "--vocab_file", f"{tmp_path}/vocab"], spark)) == {one}
+
+
+def test_bad_options(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        main(["points", "--data_dir", str(tmp_path), "--output_dir", str(tmp_path)], spark)
+    with pytest.raises(ValueError, match="not both"):
+        main(["points", "--data_dir", str(tmp_path), "--output_dir", str(tmp_path), "--sample_size", "1", "--data_size", "2"], spark)
