@@ -123,6 +123,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs")  # read twice
     occurrence = F.struct("__id", "__sum", "at")
     repeated = found.groupBy("high", "low").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = written(repeated, "repeated-runs")  # a table of its own, so that the join can be split at a hot run
     later = found.join(repeated, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
     places = later.groupBy(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
     docs = docs.withColumn("__sum", key)
