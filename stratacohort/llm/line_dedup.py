@@ -73,11 +73,11 @@ class LineRuns:
         self._write(keys.groupBy("key").agg(F.count("*").alias("n")), 0)
 
     def hot(self, min_docs: int) -> DataFrame:
-        """Keys held by at least min_docs documents."""
+        """Keys held by at least min_docs documents, written, so that a join with them can be split at a hot key."""
         runs = [run for level in self.levels for run in level]
         if not runs:
             return self.spark.createDataFrame([], "key binary")
-        return self._sum(runs).where(F.col("n") >= min_docs).select("key")
+        return written(self._sum(runs).where(F.col("n") >= min_docs).select("key"), "hot-keys")
 
 
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 1) -> DataFrame:
