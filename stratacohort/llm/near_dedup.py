@@ -311,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     rows = docs.withColumn("__node", _node(text)).drop(text)
     rows = rows.withColumn("__key", F.coalesce("__node", F.unhex(F.md5(F.concat(F.lit("no words"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))))
     rows = rows.join(comps, F.col("__key") == F.col("__n"), "left").withColumn("__class", F.coalesce("__comp", "__key"))
-    sums = rows.groupBy("__class").agg(F.min(id_col).alias("class_id"), F.count("*").alias("n_docs"))
+    sums = written(rows.groupBy("__class").agg(F.min(id_col).alias("class_id"), F.count("*").alias("n_docs")), "classes")  # its join can then be split at a hot class
     return rows.join(sums, "__class").select(*[c for c in docs.columns if c != text], "class_id", "n_docs")
 
 

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
+from .common import written
+
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, http_length bigint, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns that come from headers.
@@ -336,7 +338,7 @@ def dedup(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("target_uri"), body.alias("body"))
     rows = rows.select("*", F.sha2("body", 256).alias("payload_digest"), F.octet_length("body").cast("long").alias("n"))
     firsts = rows.where(F.col("n") >= min_bytes).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1").select(F.col("payload_digest").alias("key"), "first")
+    firsts = written(firsts.where("copies > 1").select(F.col("payload_digest").alias("key"), "first"), "payloads")  # its join can then be split at a hot payload
     # Small payloads have no partner: a key of their own keeps them apart.
     rows = rows.withColumn("key", F.when(F.col("n") >= min_bytes, F.col("payload_digest")).otherwise(F.concat_ws(":", F.col("payload_digest"), F.col("id").cast("string"))))
     out = rows.join(firsts, "key", "left")
