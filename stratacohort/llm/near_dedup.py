@@ -272,8 +272,10 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     sketches = written(sketches.groupBy("node").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks")), "sketches")
 
     members = sketches.select("node", F.posexplode("bands").alias("band", "bucket"))
+    # Sums that are joined back are written first: such a join can be split at a hot bucket.
     live = members.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members = written(members.join(live.drop("n"), ["band", "bucket"]), "members")
+    live = written(live.select("band", "bucket", "first"), "buckets")
+    members = written(members.join(live, ["band", "bucket"]), "members")
     held = members.select("node").distinct()
     held = written(texts.join(held, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
@@ -285,8 +287,8 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
     labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = labelled.join(mixed.select("band", "bucket", n_blocks.alias("blocks")), ["band", "bucket"])
+    mixed = written(mixed.select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
+    rest = labelled.join(mixed, ["band", "bucket"])
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j")))
     rest = rest.select("band", "bucket", "node", "comp", "block", F.explode(meet).alias("m")).select("band", "bucket", "node", "comp", "block", "m.i", "m.j")
