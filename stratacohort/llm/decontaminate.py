@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import aside, map_arrow, restored
 
 #: Windows broadcast at once; each takes its words' bytes (about 100) and some 50 more.
-MAX_WINDOWS = 500_000
+MAX_WINDOWS = 100_000
 CHUNK_BYTES = 4 << 20
 BITS = 22
 _P = 0x9E3779B97F4A7C15
