@@ -1,10 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ., ! or ? and white space, and after line ends.  A sentence of more than MAX_WORDS words
-is cut on, after words of ANCHORS characters and wherever a piece reaches MAX_WORDS.  So any repeated passage of
-SPAN * MAX_WORDS words or more, made of whole sentences, has a full span, and one that begins within a long sentence is cut as
-elsewhere from its first anchor on.  From every sentence on, the run of SPAN consecutive sentences, or of more where these have
-fewer than MIN_WORDS words, is hashed (96 bits, over lower-cased words); the hashes meet globally, and a sentence covered by any occurrence of a repeated span but the first goes.
+A text is cut into sentences: after ., ! or ? and white space, and after line ends.  Sentences are cut on by winnowing: of every
+CUT_WINDOW words in a row of a sentence, it is cut after the one with the least hash, the last of equal ones.  Such a cut depends on the
+words around it only, so a passage is cut alike wherever it stands, but for a few words at both ends, and no piece has more than
+CUT_WINDOW words.  A run starts where a sentence does, and after the least word of every START_WINDOW words in a row of a sentence (START_WINDOW
+is the larger, so these are some of the cuts).  It ends with the first piece by which it has SPAN ends of sentences and MIN_WORDS words, or
+LONG_WORDS words.  In a passage a start that all copies share comes after 2 * START_WINDOW - 1 words at most, the run has less
+than LONG_WORDS + CUT_WINDOW words, and its end is shared if CUT_WINDOW words of the passage follow; so any passage of
+2 * START_WINDOW + 2 * CUT_WINDOW + LONG_WORDS - 2 = 51 words has a whole run, wherever it begins and ends.  Runs are hashed (96 bits,
+over lower-cased words); the hashes meet globally, and a piece covered by any occurrence of a repeated run but the first goes.
 
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
@@ -19,7 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,54 +38,96 @@ from .common import map_arrow, written
 
 SPAN = 3
 MIN_WORDS = 8
-MAX_WORDS = 16
+LONG_WORDS = 17
+CUT_WINDOW = 6
+START_WINDOW = 12
 HASH_BYTES = 12
-#: Lengths of words, about one in twenty, that end a piece of a long sentence.
-ANCHORS = (10, 11)
-_CUT = re.compile(r"[^\s].*?(?:[.!?]+(?=\s)|(?=\s*\n)|\Z)\s*", re.S)
+_CUT = re.compile(r"\S(?:[^\s.!?]++|[.!?]++(?!\s)|[^\S\n]++(?!\n))*+[.!?]*+\s*+")
 _WORD = re.compile(r"\S+\s*")
+_LOW = (1 << 31) - 1
+
+
+class _Ranks(dict):
+    """Hashes of words; some are kept."""
+
+    def __missing__(self, word: str) -> int:
+        rank = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 31
+        if len(self) < 1 << 16:
+            self[word] = rank
+        return rank
+
+
+_rank = _Ranks().__getitem__
+
+
+class Layout(NamedTuple):
+    """A text's lower-cased words; for each piece, the words up to its end, whether it ends a sentence, and whether a run starts with it."""
+
+    words: list[str]
+    ends: np.ndarray
+    closes: np.ndarray
+    starts: np.ndarray
+
+
+def layout(text: str) -> Layout:
+    parts = [x.split() for x in _CUT.findall(text.lower())]
+    words = list(chain.from_iterable(parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    n, sentence_ends = len(words), np.cumsum(sizes)
+    closing, starting = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    closing[sentence_ends] = True
+    starting[0] = True
+    starting[sentence_ends] = True
+    ending = closing.copy()
+    # The least rank first, and of equal ones the last; windows of the one size are the least of smaller windows.
+    least, width = np.fromiter(map(_rank, words), np.int64, n) | (_LOW - np.arange(n)), 1
+    sentence = np.repeat(np.arange(len(parts)), sizes)
+    for window, marks in ((CUT_WINDOW, ending), (START_WINDOW, starting)):
+        while width < window and len(least):
+            more = min(width, window - width)
+            least, width = np.minimum(least[:-more], least[more:]), width + more
+        within = sentence[: n - window] == sentence[window:] if n > window else slice(0)  # a sentence's end cuts the windows that hold it
+        marks[_LOW - (least[: n - window][within] & _LOW) + 1] = True
+    ends = np.flatnonzero(ending[1:]) + 1
+    return Layout(words, ends, closing[ends], starting[np.append(0, ends[:-1])] if len(ends) else ending[:0])
+
+
+def cut(text: str, ends: np.ndarray) -> list[str]:
+    """The pieces, which joined give the text."""
+    words = _WORD.findall(text)
+    out = ["".join(words[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+    if out and (lead := len(text) - len(text.lstrip())):
+        out[0] = text[:lead] + out[0]
+    return out
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that joined give the text."""
-    out: list[str] = []
-    for m in _CUT.finditer(text):
-        piece = m[0]
-        out += _cut(words) if len(piece) > 2 * MAX_WORDS and len(words := _WORD.findall(piece)) > MAX_WORDS else [piece]
-    if out and (lead := len(text) - sum(map(len, out))):
-        out[0] = text[:lead] + out[0]
-    return out
+    return cut(text, layout(text).ends)
 
 
-def _cut(words: list[str]) -> list[str]:
-    """The pieces of a long sentence, from its words with their white space."""
-    out, start = [], 0
-    for at, word in enumerate(words, 1):
-        if at - start == MAX_WORDS or len(word.rstrip()) in ANCHORS:
-            out.append("".join(words[start:at]))
-            start = at
-    return [*out, "".join(words[start:])] if start < len(words) else out
+def run_ends(found: Layout, span: int = SPAN) -> np.ndarray:
+    """The place after each piece's run, its own place if none starts there; pieces near the end are left out."""
+    _, ends, closes, starts = found
+    n = len(ends)
+    at, close = np.arange(n), np.append(np.flatnonzero(closes), np.full(span, n))
+    begin = np.append(0, ends[:-1])[:n]
+    closed = np.maximum(close[np.searchsorted(close[: len(close) - span], at) + span - 1], np.searchsorted(ends, begin + MIN_WORDS))
+    last = np.minimum(closed, np.searchsorted(ends, begin + LONG_WORDS))
+    return np.where(starts, last + 1, at)[last < n]
 
 
 def runs(pieces: list[str], span: int = SPAN) -> list[int]:
-    """The place after each run, by the run's first piece; pieces near the end start no run."""
-    n = [len(x.split()) for x in pieces]
-    out, end, words = [], 0, 0
-    for start in range(len(pieces)):
-        while end < len(pieces) and (end < start + span or words < MIN_WORDS):
-            words += n[end]
-            end += 1
-        if end < start + span or words < MIN_WORDS:
-            break
-        out.append(end)
-        words -= n[start]
-    return out
+    """run_ends of a text's pieces."""
+    return run_ends(layout("".join(pieces)), span).tolist()
 
 
-def spans(pieces: list[str], span: int = SPAN) -> bytes:
-    """The hashes of all runs, HASH_BYTES each."""
-    keys = [" ".join(x.lower().split()).encode("utf-8", "surrogatepass") for x in pieces]
-    return b"".join([hashlib.blake2b(b"\n".join(keys[a:b]), digest_size=HASH_BYTES).digest() for a, b in enumerate(runs(pieces, span))])
+def spans(found: Layout, span: int = SPAN) -> tuple[list[int], bytes]:
+    """The places where runs start, and their hashes, HASH_BYTES each."""
+    ends = found.ends.tolist()
+    keys = [" ".join(found.words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+    whole = [(a, b) for a, b in enumerate(run_ends(found, span).tolist()) if a < b]
+    return [a for a, _ in whole], b"".join([hashlib.blake2b(b"\n".join(keys[a:b]), digest_size=HASH_BYTES).digest() for a, b in whole])
 
 
 def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +136,10 @@ def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Ite
         ids, sums, texts = batch.columns
         at, places, hashes = [], [], []
         for row, text in enumerate(texts):
-            found = np.frombuffer(spans(sentences(text.as_py() or ""), span), kind)
+            starts, raw = spans(layout(text.as_py() or ""), span)
+            found = np.frombuffer(raw, kind)
             at.append(np.full(len(found), row, np.int32))
-            places.append(np.arange(len(found), dtype=np.int32))
+            places.append(np.array(starts, np.int32))
             hashes.append(found)
             if sum(map(len, hashes[-64:])) > 100_000 or row % 64 == 63 or row == len(texts) - 1:
                 take, all_hashes = pa.array(np.concatenate(at)), np.concatenate(hashes)
@@ -102,13 +152,13 @@ def _remove(batches: Iterable[pa.RecordBatch], span: int, text_at: int, names: l
     for batch in batches:
         kept, n_all, n_gone = [], [], []
         for text, places in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-            pieces = sentences(text or "")
-            gone = np.zeros(len(pieces) + 1, bool)
-            ends = runs(pieces, span) if places else []
+            found = layout(text or "")
+            gone = np.zeros(len(found.ends) + 1, bool)
+            ends = run_ends(found, span) if places else []
             for p in places or ():
                 gone[p : ends[p]] = True
-            kept.append(text if not places else "".join(x for x, y in zip(pieces, gone) if not y))
-            n_all.append(len(pieces))
+            kept.append(text if not places else "".join(x for x, y in zip(cut(text, found.ends), gone) if not y))
+            n_all.append(len(found.ends))
             n_gone.append(int(gone.sum()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], names=names)
 

@@ -248,6 +248,25 @@ def test_passages_over_fifty_words_go(spark):
             assert len(left) <= 0.2 * len(passage.split()), lengths
 
 
+def test_passages_within_sentences_go(spark):
+    """Any passage of 51 words has a whole run, with or without ends of sentences in it, also where it begins and ends within longer sentences."""
+    rnd = random.Random(12)
+    words = lambda n: [f"u{rnd.randint(0, 10**6)}" for _ in range(n)]
+    found = lambda text: {raw[i : i + 12] for raw in [substring_dedup.spans(substring_dedup.layout(text))[1]] for i in range(0, len(raw), 12)}
+    around = lambda passage: " ".join(words(rnd.randint(0, 60)) + passage + words(rnd.randint(0, 60)))
+    for ends in [0] * 400 + [0.03, 0.1, 0.3, 1] * 100:
+        passage = [w + "." * (rnd.random() < ends) for w in words(51)]
+        assert found(around(passage)) & found(around(passage)), passage
+    passages = [words(60) for _ in range(10)]
+    rows = [(10 * k + i, around(p)) for k, p in enumerate(passages) for i in range(3)]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert got[10 * k]["n_removed"] == 0
+        for i in (1, 2):
+            left = got[10 * k + i]["kept_text"].split()
+            assert len(set(left) & set(p)) <= 45 and len(left) < len(rows[3 * k + i][1].split())
+
+
 def test_sentences_join_to_the_text():
     for text in ("A b. C d! E?\n\nF", "  lead. x", "no end", "w " * 50 + ". y", "Hm... ok. \t\nz.", ".", "a.b c.d e"):
         assert "".join(substring_dedup.sentences(text)) == text
