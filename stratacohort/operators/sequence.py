@@ -98,10 +98,26 @@ def filter_ids(traj: DataFrame, ids: DataFrame) -> DataFrame:
     return traj.join(listed, F.col("enrollee_id").cast("string") == F.col("__id"), "left_semi")
 
 
+#: Row numbers in a block that head_fraction counts at once.
+HEAD_BLOCK = 1 << 16
+
+
 def head_fraction(traj: DataFrame, frac: float, n: int | None = None) -> DataFrame:
-    """The first int(n * frac) rows by row_idx; n is counted unless given."""
-    n = traj.count() if n is None else n
-    return traj.where(F.col("row_idx") < int(n * frac))
+    """The first int(n * frac) rows by row_idx, which is distinct but may have gaps; n is counted unless given.
+
+    Rows are counted by blocks of row numbers; only these counts and the numbers in the block of the last row reach the driver.
+    """
+    block = F.floor(F.col("row_idx") / HEAD_BLOCK)
+    counts = sorted(tuple(r) for r in traj.groupBy(block).count().collect())
+    left = int((sum(c for _, c in counts) if n is None else n) * frac)
+    if left <= 0:
+        return traj.where(F.lit(False))
+    for b, c in counts:
+        if left <= c:
+            last = sorted(r["row_idx"] for r in traj.where(block == b).select("row_idx").collect())[left - 1]
+            return traj.where(F.col("row_idx") <= last)
+        left -= c
+    return traj
 
 
 def sample_exact(traj: DataFrame, n: int, seed: int = 42, id_col: str = "person_id") -> DataFrame:

@@ -80,6 +80,18 @@ def test_samples(spark, traj):
             sample_size(*bad)
 
 
+def test_head_fraction_counts_rows_not_numbers(spark, monkeypatch):
+    """Row numbers keep their gaps through filters; the first rows are still int(n * frac) of those that are left."""
+    ids = [3, 1_000_000, 70_000, 70_001, 999_999, 12, 65_536, 500_000, 65_535]
+    rows = spark.createDataFrame([(i,) for i in ids], "row_idx long").repartition(3)
+    for block in (sequence.HEAD_BLOCK, 5):
+        monkeypatch.setattr(sequence, "HEAD_BLOCK", block)
+        for frac in (0, 0.05, 0.2, 0.5, 0.8, 1):
+            assert sorted(r["row_idx"] for r in sequence.head_fraction(rows, frac).collect()) == sorted(ids)[: int(9 * frac)]
+        assert sequence.head_fraction(rows, 0.5, 4).count() == 2 and sequence.head_fraction(rows, 1, 50).count() == 9
+        assert sequence.head_fraction(rows.limit(0), 0.5).count() == 0
+
+
 def test_configurations():
     assert PROFILES["cli"].brackets == [45, 50, 55, 60, 65, 70, 75] and Config().gap_days == 30
     assert profile("driver").lead_q == 1462 and profile("driver", offset_days=0).lead_q == 1 and profile("driver", offset_days=0.1).lead_q == 1
