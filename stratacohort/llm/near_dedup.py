@@ -39,8 +39,8 @@ SHINGLE = 5
 MIN_SIMILARITY_PCT = 80
 BANDS, ROWS = 20, 5
 SAMPLES = BANDS * ROWS
-#: Binomial(100, 0.8) is below this with a probability of 0.2 percent.
-MIN_AGREEMENT = 0.68
+#: Binomial(100, 0.8) is below this with a probability of 4e-9; no band is shared with one of 4e-4.
+MIN_AGREEMENT = 0.55
 DF_BITS = 18
 #: Rows of the tables of random numbers; a shingle takes one by its hash.
 TABLE_BITS = 14

@@ -2,6 +2,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,20 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert got.select("class_id").distinct().count() == len(set(groups))
 
 
+def test_pairs_that_agree_in_few_samples_are_verified():
+    """Near copies whose sketches agree in 60 of 100 samples are linked; texts that are none are not."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join(["other", *words[1:]]), " ".join(f"z{i}" for i in range(200))]
+    marks = np.tile(np.arange(100, dtype=np.uint16), (3, 1))
+    marks[1, 60:] += 1000
+    marks[2, 60:] += 2000
+    row = lambda k: {"bucket": 7, "band": 0, "i": 0, "j": 0, "node": bytes([k]) * 16, "comp": bytes([k]) * 16, "block": 0, "bands": [7], "marks": marks[k].tobytes(), "text": texts[k]}
+    batch = pa.RecordBatch.from_pylist([row(k) for k in range(3)])
+    idf = np.full(1 << nd.DF_BITS, 64, np.int32)
+    links = [(r["a"][0], r["b"][0]) for out in nd._close([batch], idf) for r in out.to_pylist()]
+    assert links == [(0, 1)]
+
+
 def test_components(spark):
     rnd = random.Random(6)
     n = 200
