@@ -3,7 +3,13 @@
 Every rule votes good (1), bad (-1) or abstains (0) on a document; a vote needs a clear case, and what lies between
 its two thresholds is an abstention.  A two-class latent model with, for each rule, its rate of bad votes among good and
 among bad documents (abstentions carry no weight) is fitted by expectation maximisation, without labels, and the
-posterior probability of "good" takes the place of all-must-pass filtering.
+posterior probability of "good" takes the place of all-must-pass filtering.  The fit ends when no rate moves by TOLERANCE
+any more, after ROUNDS rounds at the latest.
+
+No two rules count the same thing, but each fault is seen from two sides, since the model can't tell what a single rule
+sees from that rule's own errors: marks (symbols counted; words that are made of letters and digits alone), repeats (repeated windows of
+words; distinct words in blocks of 64; repeated lines), shouting (runs of capitals; marks that end sentences).  All are shares, so that a
+text's length moves none.
 
 Documents matter to the fit only through their vote pattern, of which there are at most 3 ** (number of rules).  So the
 corpus is reduced by one hash aggregation to a table of patterns with counts, the whole fit is one expression over
@@ -22,8 +28,13 @@ from pyspark.sql import functions as F
 from .common import WHITE, aside, let, restored, written
 
 SYMBOLS = "[#*$%&|<>]"
+#: A word of letters and digits, with the marks that may end it.
+PLAIN = r"(?<!\S)[\p{L}\p{M}\p{Nd}'\u2019-]++[.,;:!?]*+(?!\S)"
 WINDOW = 8
-ROUNDS = 25
+#: Words in a block whose distinct words are counted.
+BLOCK = 64
+ROUNDS = 60
+TOLERANCE = 1e-10
 #: Bounds of a rule's rates, so that no rule alone is ever certain.
 LEAST, MOST = 0.005, 0.995
 #: Share of good documents at the start.
@@ -36,12 +47,11 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
-def repeat_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of so many words that the text holds twice or more."""
-    def hashes(w: Column) -> Column:
-        h = F.transform(w, lambda x: F.xxhash64(x))
-        last = F.size(w) - window
-        each = let(h, lambda v: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(window)])))
+def repeat_words(hashes: Column, window: int = WINDOW) -> Column:
+    """Words, given by their hashes, that lie in a window of so many words that the text holds twice or more."""
+    def windows(h: Column) -> Column:
+        last = F.size(h) - window
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
         return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(each)
 
     def covered(h: Column) -> Column:
@@ -53,7 +63,13 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         )
         return let(places, step)
 
-    return let(hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    return let(windows(hashes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+
+
+def block_distinct(hashes: Column, block: int = BLOCK) -> Column:
+    """Distinct words of every block of so many words, added up."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(block))
+    return F.aggregate(starts, F.lit(0).cast("long"), lambda n, i: n + F.size(F.array_distinct(F.slice(hashes, i + 1, block))))
 
 
 def _counts(text: Column) -> Column:
@@ -62,19 +78,20 @@ def _counts(text: Column) -> Column:
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(WHITE)) != "")
 
     def of(w: Column) -> Column:
+        hashed = let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(repeat_words(h).alias("n_repeat_words"), block_distinct(h).alias("n_block_distinct")))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
-            repeat_words(w).alias("n_repeat_words"),
+            let(lines, lambda v: F.struct((F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"), F.size(v).cast("long").alias("n_lines"))).alias("l"),
+            hashed.alias("h"),
             F.regexp_count(whole, F.lit(r"\p{Lu}\p{Lu}+")).cast("long").alias("n_capitals"),
-            F.regexp_count(whole, F.lit(SYMBOLS + "{2,}")).cast("long").alias("n_symbol_runs"),
-            F.regexp_count(whole, F.lit(r"\|(?=\s|$)")).cast("long").alias("n_bars"),
-            F.size(lines).cast("long").alias("n_lines"),
+            F.regexp_count(whole, F.lit(PLAIN)).cast("long").alias("n_plain"),
+            F.regexp_count(whole, F.lit("[.,;:!?]")).cast("long").alias("n_marks"),
         )
 
-    return let(words_of(text), of)
+    counts = let(words_of(text), of)
+    return let(counts, lambda c: F.struct(*[c[x].alias(x) for x in ("n_words", "word_chars", "n_symbols")], c["l"]["n_dup_lines"].alias("n_dup_lines"), c["h"]["n_repeat_words"].alias("n_repeat_words"), *[c[x].alias(x) for x in ("n_capitals", "n_plain", "n_marks")], c["h"]["n_block_distinct"].alias("n_block_distinct"), c["l"]["n_lines"].alias("n_lines")))
 
 
 def _ratio_vote(part: Column, whole: Column, good_pct: int, bad_pct: int) -> Column:
@@ -82,20 +99,26 @@ def _ratio_vote(part: Column, whole: Column, good_pct: int, bad_pct: int) -> Col
     return F.when(whole == 0, 0).when(100 * part <= good_pct * whole, 1).when(100 * part >= bad_pct * whole, -1).otherwise(0)
 
 
+def _share_vote(part: Column, whole: Column, bad_pct: int, good_pct: int) -> Column:
+    """Bad up to bad_pct percent, good from good_pct percent on."""
+    return -_ratio_vote(part, whole, bad_pct, good_pct)
+
+
 #: Rules by name: votes from the counts.  The percentages are of words, n_dup_lines' of lines.
 RULES = {
     "length": lambda c: F.when(c["n_words"] < 20, -1).when(c["n_words"] >= 40, 1).otherwise(0),
     "symbols": lambda c: _ratio_vote(c["n_symbols"], c["n_words"], 5, 25),
-    "symbol_runs": lambda c: _ratio_vote(c["n_symbol_runs"], c["n_words"], 2, 15),
+    "plain": lambda c: _share_vote(c["n_plain"], c["n_words"], 70, 90),
     "repeats": lambda c: _ratio_vote(c["n_repeat_words"], c["n_words"], 10, 30),
-    "capitals": lambda c: _ratio_vote(c["n_capitals"], c["n_words"], 5, 25),
-    "bars": lambda c: _ratio_vote(c["n_bars"], c["n_words"], 2, 15),
+    "variety": lambda c: _share_vote(c["n_block_distinct"], c["n_words"], 45, 65),
     "lines": lambda c: _ratio_vote(c["n_dup_lines"], c["n_lines"], 10, 50),
+    "capitals": lambda c: _ratio_vote(c["n_capitals"], c["n_words"], 5, 25),
+    "marks": lambda c: _ratio_vote(c["n_marks"], c["n_words"], 40, 80),
 }
 
 
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
-    """patterns(votes array<int>, n bigint) with the posterior of each: one row collects all patterns, at most 3 ** n_rules."""
+    """patterns(votes array<int>, n bigint) with the posterior of each, the model and its rounds: one row collects all patterns, at most 3 ** n_rules."""
     rules = range(n_rules)
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
 
@@ -122,10 +145,20 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
 
     # At the start a document with a bad vote counts as mostly bad.
     start = lambda x: F.when(F.array_contains(x["votes"], -1), F.lit(1 - PRIOR)).otherwise(F.lit(PRIOR))
-    fitted = one.select("p", let(weighed(F.col("p"), start), model).alias("m"))
-    step = lambda m, _: let(weighed(F.col("p"), lambda x: posterior(x["votes"], m)), model)
-    fitted = fitted.select("p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("m"), step).alias("m"))
-    return fitted.select(F.explode("p").alias("x"), "m").select("x.votes", "x.n", posterior(F.col("x.votes"), F.col("m")).alias("p_good"), "m")
+    def moved(a: Column, b: Column) -> Column:
+        """Whether a rate of b is not that of a."""
+        far = lambda x, y: F.abs(x - y) > TOLERANCE
+        out = far(a["prior"], b["prior"])
+        for j in rules:
+            out = out | far(a["good"][j], b["good"][j]) | far(a["bad"][j], b["bad"][j])
+        return out
+
+    state = lambda m, rounds, going: F.struct(m.alias("m"), rounds.alias("rounds"), going.alias("going"))
+    fitted = one.select("p", state(let(weighed(F.col("p"), start), model), F.lit(0), F.lit(True)).alias("s"))
+    better = lambda m: let(weighed(F.col("p"), lambda x: posterior(x["votes"], m)), model)
+    step = lambda s, _: F.when(s["going"], let(better(s["m"]), lambda m: state(m, s["rounds"] + 1, moved(s["m"], m)))).otherwise(s)
+    fitted = fitted.select("p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("s"), step).alias("s")).select("p", "s.m", "s.rounds")
+    return fitted.select(F.explode("p").alias("x"), "m", "rounds").select("x.votes", "x.n", posterior(F.col("x.votes"), F.col("m")).alias("p_good"), "m", "rounds")
 
 
 def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, rules: dict | None = None, rounds: int = ROUNDS) -> DataFrame:

@@ -66,8 +66,9 @@ win AS (SELECT d, i, array_to_string(list_slice(w, i, i + 7), ' ') AS s FROM (SE
 rep AS (SELECT d, count(DISTINCT p)::BIGINT AS n FROM (SELECT d, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY d, s) AS c FROM win) WHERE c >= 2) GROUP BY d),
 li AS (SELECT d, count(*)::BIGINT AS n, (count(*) - count(DISTINCT l))::BIGINT AS dup FROM (SELECT d, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY d),
 c AS (SELECT w.d, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[#*$%&|<>]{2,}')) AS n_runs, len(regexp_extract_all(t, '\p{Lu}\p{Lu}+')) AS n_caps,
-      len(list_filter(w, lambda x: ends_with(x, '|'))) AS n_bars, coalesce(li.n, 0) AS n_lines, coalesce(li.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '\p{Lu}\p{Lu}+')) AS n_caps, len(regexp_extract_all(t, '[.,;:!?]')) AS n_marks,
+      len(list_filter(w, lambda x: regexp_full_match(x, '[\p{L}\p{M}\p{Nd}\x27’-]+[.,;:!?]*'))) AS n_plain,
+      coalesce(list_sum(list_transform(range(1, len(w) + 1, 64), lambda i: len(list_distinct(list_slice(w, i, i + 63))))), 0) AS n_block_distinct, coalesce(li.n, 0) AS n_lines, coalesce(li.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM w LEFT JOIN li USING (d) LEFT JOIN rep USING (d)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, [CASE WHEN n_words < 20 THEN -1 WHEN n_words >= 40 THEN 1 ELSE 0 END, @RATIOS@] AS votes FROM c),
 pat AS MATERIALIZED (SELECT votes, count(*) AS n FROM v GROUP BY votes),
@@ -75,9 +76,10 @@ pat AS MATERIALIZED (SELECT votes, count(*) AS n FROM v GROUP BY votes),
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS p_good
 FROM v JOIN @LAST@ USING (votes)
 """
-_RATIOS = [("n_symbols", "n_words", 5, 25), ("n_runs", "n_words", 2, 15), ("n_repeat_words", "n_words", 10, 30), ("n_caps", "n_words", 5, 25), ("n_bars", "n_words", 2, 15), ("n_dup_lines", "n_lines", 10, 50)]
+#: Counts, what they are shares of, the two percentages, and the votes up to the first and from the second on.
+_RATIOS = [("n_symbols", "n_words", 5, 25, 1), ("n_plain", "n_words", 70, 90, -1), ("n_repeat_words", "n_words", 10, 30, 1), ("n_block_distinct", "n_words", 45, 65, -1), ("n_dup_lines", "n_lines", 10, 50, 1), ("n_caps", "n_words", 5, 25, 1), ("n_marks", "n_words", 40, 80, 1)]
 OP3_SQL = (
-    OP3_SQL.replace("@RATIOS@", ", ".join(f"CASE WHEN {b} = 0 THEN 0 WHEN 100 * {a} <= {lo} * {b} THEN 1 WHEN 100 * {a} >= {hi} * {b} THEN -1 ELSE 0 END" for a, b, lo, hi in _RATIOS))
+    OP3_SQL.replace("@RATIOS@", ", ".join(f"CASE WHEN {b} = 0 THEN 0 WHEN 100 * {a} <= {lo} * {b} THEN {v} WHEN 100 * {a} >= {hi} * {b} THEN {-v} ELSE 0 END" for a, b, lo, hi, v in _RATIOS))
     .replace("@EM@", _em_sql()).replace("@LAST@", f"s{quality_rules.ROUNDS + 1}")
 )
 

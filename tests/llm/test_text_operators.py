@@ -88,7 +88,29 @@ def test_labelled_quality(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     rows = quality_rules.judge(docs, carry=["doc_id"]).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("NOT base_failed").collect()
     good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
-    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
+    assert sum(good) / len(good) > 0.99 and sum(bad) / len(bad) < 0.05
+
+
+def test_the_fit_ends_by_itself(spark):
+    """More rounds change nothing; fewer are not enough."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    patterns = quality_rules.judge(docs).groupBy("votes").agg(F.count("*").alias("n"))
+    n = len(quality_rules.RULES)
+    found, more, few = (quality_rules.fit(patterns, n, rounds).collect() for rounds in (quality_rules.ROUNDS, 500, 1))
+    assert 1 < found[0]["rounds"] < quality_rules.ROUNDS and few[0]["rounds"] == 1
+    p = lambda rows: {tuple(r["votes"]): r["p_good"] for r in rows}
+    assert p(found) == p(more) != p(few)
+
+
+def test_rules_do_not_depend_on_length(spark):
+    """Plain prose gets no bad vote, however long; a fault gets its votes at any length."""
+    rnd = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bdfglmnprst" for b in "aeiou" for c in ("n", "r", "st", "l")]
+    prose = lambda n: " ".join(rnd.choice(words) + (rnd.random() < 0.1) * "." for _ in range(n))
+    rows = [(n, prose(n)) for n in (50, 500, 30_000)] + [(-n, " ".join(w + "###" for w in prose(n).split())) for n in (50, 30_000)]
+    for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        votes = dict(zip(quality_rules.RULES, r["votes"]))
+        assert {x for x, v in votes.items() if v < 0} == ({"symbols", "plain"} if r["doc_id"] < 0 else set())
 
 
 # Line dedup
