@@ -19,11 +19,14 @@ LOWER = UPPER.lower()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset and the master is local, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratacohort-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratacohort-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -31,13 +34,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept as a table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """df, computed once and kept as a table in the shared folder: cuts lineage and survives lost executors.
+
+    Its path is added to `used`, for drop_paths() once nothing reads it any more; tables that a result reads stay.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    if used is not None:
+        used.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, used: list[str]) -> None:
+    """Delete tables that written() made, all but those that are still wanted having been taken from the list."""
+    while used:
+        drop_path(spark, used.pop())
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote into the shared folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

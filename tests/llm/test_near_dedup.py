@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratacohort.llm import near_dedup as nd
 
-SCHEMA = "doc_id long, text string, node string, comp int, class_id string"
+SCHEMA = "doc_id long, text string, node string, comp int, class_id string, __node int, __key string"
 
 
 def copies():
@@ -25,7 +25,7 @@ def copies():
                 for _ in range(rnd.randint(0, max(1, len(text) // 40))):
                     text[rnd.randrange(len(text))] = word()
     rows += [(1000, None), (1001, ""), (1002, " \n"), (1003, "A b"), (1004, "a  B"), (1005, "a c"), (None, rows[0][1]), (2, rows[5][1].upper()), (2, "other text of one id"), (1006, "z " * 40_000), (1007, "z " * 39_999), (1001, "")]
-    return [(i, t, "clash", 1, "clash") for i, t in rows]
+    return [(i, t, "clash", 1, "clash", 2, "clash") for i, t in rows]
 
 
 @pytest.fixture(scope="module")
@@ -64,7 +64,7 @@ def test_classes_are_those_of_all_pairs(spark, docs):
     low = {g: min((i for i in x if i is not None), default=None) for g, x in ids.items()}
     want = sorted(repr((i, low[g], sizes[g])) for (i, *_), g in zip(rows, groups))
     out = nd.classes(docs)
-    assert out.columns == ["doc_id", "node", "comp", "class_id", "n_docs"]
+    assert out.columns == ["doc_id", "node", "comp", "__node", "__key", "class_id", "n_docs"]
     assert sorted(repr((r["doc_id"], r["class_id"], r["n_docs"])) for r in out.collect()) == want
     assert len(low) < 45 < len(rows)
 
@@ -93,25 +93,60 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     for i in range(90):
         rows.append((i, " ".join(text)))
         text[rnd.randrange(120)] = f"c{rnd.randint(0, 10**6)}"
-    rows = [(i, t, "", 0, "") for i, t in rows]
+    rows = [(i, t, "", 0, "", 0, "") for i, t in rows]
     monkeypatch.setattr(nd, "BLOCK", 8)
     got = nd.classes(spark.createDataFrame(rows, SCHEMA).repartition(4))
     groups = brute(spark, rows)
     assert got.select("class_id").distinct().count() == len(set(groups))
 
 
-def test_pairs_that_agree_in_few_samples_are_verified():
-    """Near copies whose sketches agree in 60 of 100 samples are linked; texts that are none are not."""
-    words = [f"w{i}" for i in range(200)]
-    texts = [" ".join(words), " ".join(["other", *words[1:]]), " ".join(f"z{i}" for i in range(200))]
-    marks = np.tile(np.arange(100, dtype=np.uint16), (3, 1))
-    marks[1, 60:] += 1000
-    marks[2, 60:] += 2000
-    row = lambda k: {"bucket": 7, "band": 0, "i": 0, "j": 0, "node": bytes([k]) * 16, "comp": bytes([k]) * 16, "block": 0, "bands": [7], "marks": marks[k].tobytes(), "text": texts[k]}
-    batch = pa.RecordBatch.from_pylist([row(k) for k in range(3)])
-    idf = np.full(1 << nd.DF_BITS, 64, np.int32)
-    links = [(r["a"][0], r["b"][0]) for out in nd._close([batch], idf) for r in out.to_pylist()]
-    assert links == [(0, 1)]
+NO_IDF = nd.Idf(np.zeros(0, np.uint64), np.zeros(0))  # all words are rare: shingles weigh alike
+
+
+def test_all_pairs_of_a_block_are_verified():
+    """Near copies are linked however little their sketches agree; texts that are none are not."""
+    rnd = random.Random(5)
+    texts = [[f"w{rnd.randint(0, 30)}" for _ in range(rnd.choice((6, 60, 300)))] for _ in range(12)]
+    texts += [[*x[:k], "other", *x[k + 1 :]] for x in texts for k in (0, 3)]
+    texts = [" ".join(x) for x in texts]
+    marks = lambda k: np.full(100, k, np.uint16).tobytes()  # noqa: E731  no sample agrees
+    row = lambda k: {"bucket": 7, "band": 0, "i": 0, "j": 0, "node": bytes([k]) * 16, "comp": bytes([k]) * 16, "block": 0, "bands": [7], "marks": marks(k), "text": texts[k]}
+    links = [(r["a"][0], r["b"][0]) for out in nd._close([pa.RecordBatch.from_pylist([row(k) for k in range(len(texts))])], NO_IDF) for r in out.to_pylist()]
+    shingles = [nd.Weigher(NO_IDF).shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for want in ([(a, b) for a in group for b in range(a) if nd.similar(shingles[a], shingles[b])], links):
+        join = list(range(len(texts)))
+        for a, b in want:
+            join = [join[a] if x == join[b] else x for x in join]
+        group = [tuple(join[x] == join[y] for y in range(len(texts))) for x in range(len(texts))] if want is not links else group
+    assert group == [tuple(join[x] == join[y] for y in range(len(texts))) for x in range(len(texts))] and len(links) >= 12
+
+
+def test_long_texts_with_many_shingles():
+    """Texts of 50,000 distinct shingles share rows of random numbers; their sketches estimate as those of short texts do."""
+    rng = np.random.default_rng(9)
+    sampler, off = nd.Sampler(), []
+    for share in (0.5, 0.7, 0.8, 0.9, 0.97):
+        hashes = np.sort(rng.integers(0, 1 << 63, 100_000, dtype=np.uint64) * np.uint64(2))
+        weights = rng.integers(5 * 64, 5 * 128, 100_000)
+        common = int(50_000 * 2 * share / (1 + share))
+        order = rng.permutation(100_000)
+        a, b = (np.sort(np.concatenate([order[:common], x])) for x in (order[common:50_000], order[50_000 : 100_000 - common]))
+        x, y = (hashes[a], weights[a]), (hashes[b], weights[b])
+        low, high = nd.shares(x, y)
+        off.append((sampler(*x) == sampler(*y)).mean() - low / high)
+    assert np.abs(off).max() < 0.15 and abs(np.mean(off)) < 0.05
+
+
+def test_weights_of_words():
+    """Common words by exact hash, all others 128; slots with several words are searched whole."""
+    rng = np.random.default_rng(4)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.arange(50, dtype=np.uint64), np.full(1, 2**64 - 1, np.uint64)]))
+    weights = rng.integers(64, 128, len(hashes))
+    order = rng.permutation(len(hashes))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 1 << 63, 100, dtype=np.uint64)])
+    table = dict(zip(hashes.tolist(), weights.tolist()))
+    assert nd.Idf(hashes[order], weights[order])(asked).tolist() == [table.get(x, 128) for x in asked.tolist()]
 
 
 def test_components(spark):
@@ -155,18 +190,55 @@ def test_weights(spark):
     rows = [("a b c d e f",), ("a b c d e",), ("a x",), (None,)]
     idf = nd.idf_table(spark.createDataFrame(rows, "text string").where("text IS NOT NULL"))
     weigher = nd.Weigher(idf)
-    one = lambda w: int(idf[weigher.buckets(weigher.words(w))][0])
-    assert one("a") == 64 and one("b") == round(64 * (1 + np.log(4 / 3) / np.log(4))) and one("x") == round(64 * (1 + np.log(2) / np.log(4)))
+    one = lambda w: int(idf(weigher.word_hashes(weigher.words(w)))[0])
+    weight = lambda share: round(64 * (1 + np.log(1 / share) / np.log(nd.RARE)))
+    assert one("a") == 64 and one("b") == weight(2 / 3) and one("x") == weight(1 / 3) and one("never") == 128
     hashes, weights = weigher.shingles("A b c d e f")
-    assert len(hashes) == 2 and sorted(weights) == sorted([one("a") + 3 * one("b") + one("e"), 3 * one("b") + one("e") + one("f")])
+    assert len(hashes) == 2 and sorted(weights) == sorted([one("a") + 4 * one("b"), 4 * one("b") + one("f")])
     assert weigher.shingles("a b a b a b a b a b")[1].sum() == 3 * (3 * one("a") + 2 * one("b")) + 3 * (2 * one("a") + 3 * one("b"))
     assert len(weigher.shingles("a b")[0]) == 1 and len(weigher.shingles("  ")[0]) == 0
 
 
+def test_rare_words_need_no_table(spark, monkeypatch):
+    """Counts are exact over partitions and pieces; words below the bound are left out and weigh most."""
+    monkeypatch.setattr(nd, "RARE", 4)
+    rows = [(" ".join(f"w{k}" for k in range(20) if i % (k + 1) == 0) + f" only{i}",) for i in range(40)]
+    idf = nd.idf_table(spark.createDataFrame(rows, "text string").repartition(5))
+    weigher = nd.Weigher(idf)
+    one = lambda w: int(idf(weigher.word_hashes(weigher.words(w)))[0])
+    counts = [sum(i % (k + 1) == 0 for i in range(40)) for k in range(20)]
+    assert [one(f"w{k}") for k in range(20)] == [round(64 * (1 + np.log(40 / n) / np.log(4))) if 4 * n >= 40 else 128 for n in counts]
+    assert len(idf.hashes) == sum(4 * n >= 40 for n in counts) and one("only3") == 128
+    small = [b for b in nd._count_words([pa.record_batch([pa.array(["a b", "b c", "b"])], names=["text"])], most=2)]
+    assert sum(n for b in small for w, n in zip(*b.to_pydict().values()) if w is not None) == 5
+
+
+def test_nothing_is_left_behind(monkeypatch, tmp_path, docs):
+    """Only the tables that the result reads stay."""
+    import os
+
+    from stratacohort.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    out = nd.classes(docs)
+    assert {x.rsplit("-", 1)[0] for x in os.listdir(tmp_path)} == {"near-classes", "classes"} and out.count() == len(copies())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stratacohort.llm.common import shared_dir
+
+    context = SimpleNamespace(master="spark://host:7077", getConf=dict, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf={})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert nd.classes(none).count() == 0 and nd.dedup(none).count() == 0
-    assert nd.classes(spark.createDataFrame([(1, None, "", 0, "")], SCHEMA)).head()["class_id"] == 1
+    assert nd.classes(spark.createDataFrame([(1, None, "", 0, "", 0, "")], SCHEMA)).head()["class_id"] == 1
 
 
 def test_planted_copies_are_found(spark, sf_dir):
