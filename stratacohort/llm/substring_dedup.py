@@ -4,20 +4,22 @@ A text is cut into sentences: after ., ! or ? and white space, and after line en
 CUT_WINDOW words in a row of a sentence, it is cut after the one with the least hash, the last of equal ones.  Such a cut depends on the
 words around it only, so a passage is cut alike wherever it stands, but for a few words at both ends, and no piece has more than
 CUT_WINDOW words.  A run starts where a sentence does, and after the least word of every START_WINDOW words in a row of a sentence (START_WINDOW
-is the larger, so these are some of the cuts).  It ends with the first piece by which it has SPAN ends of sentences and MIN_WORDS words, or
-LONG_WORDS words.  In a passage a start that all copies share comes after 2 * START_WINDOW - 1 words at most, the run has less
+is the larger, so these are some of the cuts).  It ends with the first piece by which it has SPAN ends of sentences and MIN_WORDS words
+(three short sentences repeat by chance, and short notices are for line dedup), or LONG_WORDS words.  In a passage a start that all copies share comes after 2 * START_WINDOW - 1 words at most, the run has less
 than LONG_WORDS + CUT_WINDOW words, and its end is shared if CUT_WINDOW words of the passage follow; so any passage of
 2 * START_WINDOW + 2 * CUT_WINDOW + LONG_WORDS - 2 = 51 words has a whole run, wherever it begins and ends.  Runs are hashed (96 bits,
 over lower-cased words); the hashes meet globally, and a piece covered by any occurrence of a repeated run but the first goes.
 
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
-place) only, and adaptive execution splits a hot hash.  Texts move once, with the places of what goes.  Splitting
-and hashing are done by one function for both passes, in Arrow batches, one text at a time.
+place) only, and adaptive execution splits a hot hash; what is left of it, the occurrences of repeated runs, is written, and the first
+occurrence of each is found among these alone.  Texts move once, with the places of what goes.  Splitting
+and hashing are done by one function for both passes, in Arrow batches, one text at a time.  Used tables are deleted, but those that
+the result reads.
 
 Edge cases: null and empty texts stay as they are, with no sentences; a text with fewer sentences than a span never
-changes; rows with equal id and text are the same document, and are treated alike; a null id sorts first; existing columns with the
-names of outputs are replaced, others pass through.
+changes; rows with equal id and text are the same document, and are treated alike; different texts of one id are told apart by 128
+bits; a null id sorts first; existing columns with the names of outputs are replaced, others pass through, whatever their names.
 """
 from __future__ import annotations
 
@@ -34,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, written
+from .common import aside, drop_paths, map_arrow, written
 
 SPAN = 3
-MIN_WORDS = 8
+MIN_WORDS = 12
 LONG_WORDS = 17
 CUT_WINDOW = 6
 START_WINDOW = 12
@@ -165,19 +167,26 @@ def _remove(batches: Iterable[pa.RecordBatch], span: int, text_at: int, names: l
 
 def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_sentences, n_removed and kept_text."""
-    docs = docs.drop(*[c for c in ("n_sentences", "n_removed", "kept_text") if c in docs.columns])
-    key = F.hash(text).alias("__sum")  # tells texts of one id apart
+    spark, outputs, used = docs.sparkSession, ("n_sentences", "n_removed", "kept_text"), []
+    docs, names = aside(docs)
+    id_col, text = names[id_col], names[text]
+    key = F.unhex(F.md5(text)).alias("__sum")  # tells texts of one id apart; null for a null text, which has no runs
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
-    schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.IntegerType()), T.StructField("at", T.IntegerType())])
-    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs")  # read twice
+    schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.BinaryType()), T.StructField("at", T.IntegerType())])
+    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs", used)  # read twice
+    repeated = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = written(repeated, "repeated-runs", used)  # tables of their own, so that joins can be split at hot runs
+    occurrences = written(found.join(repeated, ["high", "low"]), "occurrences", used)
     occurrence = F.struct("__id", "__sum", "at")
-    repeated = found.groupBy("high", "low").agg(F.min(occurrence).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeated = written(repeated, "repeated-runs")  # a table of its own, so that the join can be split at a hot run
-    later = found.join(repeated, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
+    firsts = written(occurrences.groupBy("high", "low").agg(F.min(occurrence).alias("first")), "first-runs", used)
+    later = occurrences.join(firsts, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
     places = later.groupBy(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
-    docs = docs.withColumn("__sum", key)
-    out = docs.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left").drop("__sum", "__hid", "__hsum")
+    places = written(places, "places")
+    drop_paths(spark, used)
+    out = docs.withColumn("__sum", key)
+    out = out.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left").drop("__sum", "__hid", "__hsum")
     schema_out = T.StructType([*out.schema.fields[:-1], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     at = out.columns.index(text)
-    return map_arrow(out, lambda b: _remove(b, span, at, schema_out.names), schema_out)
+    out = map_arrow(out, lambda b: _remove(b, span, at, schema_out.names), schema_out)
+    return out.select(*[F.col(hidden).alias(c) for c, hidden in names.items() if c not in outputs], *outputs)

@@ -3,6 +3,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,23 +227,54 @@ def test_short_texts_in_long_chunks():
 # Substring dedup
 
 
+def pieces_by_hand(text):
+    """Pieces as (words, ends a sentence, starts a run) and their raw texts, by the docstring's rules, word by word."""
+    raw = re.findall(r"\S+\s*", text)
+    if raw and (lead := text[: len(text) - len(text.lstrip())]):
+        raw[0] = lead + raw[0]
+    ends = [bool(re.search(r"[.!?]\s", x) or "\n" in x.lstrip() or k == len(raw) - 1) for k, x in enumerate(raw)]
+    low = [x.strip().lower() for x in raw]
+    cut, start, begin = set(), {0}, 0
+    for k, e in enumerate(ends):
+        if e:
+            cut.add(k)
+            start.add(k + 1)
+            for window, marks in ((substring_dedup.CUT_WINDOW, cut), (substring_dedup.START_WINDOW, start)):
+                for a in range(begin, k - window + 1):  # a window that holds the sentence's last word cuts nothing
+                    least = min(range(a, a + window), key=lambda j: (zlib.crc32(low[j].encode()), -j))
+                    marks.add(least if marks is cut else least + 1)
+            begin = k + 1
+    out, a = [], 0
+    for k in sorted(cut):
+        out.append((low[a : k + 1], ends[k], a in start, "".join(raw[a : k + 1])))
+        a = k + 1
+    return out
+
+
+def runs_by_hand(pieces):
+    """(first piece, piece after the last) of every run that is whole."""
+    for at, (_, _, starts, _) in enumerate(pieces):
+        words = closed = 0
+        for end in range(at, len(pieces)) if starts else ():
+            words, closed = words + len(pieces[end][0]), closed + pieces[end][1]
+            if closed >= substring_dedup.SPAN and words >= substring_dedup.MIN_WORDS or words >= substring_dedup.LONG_WORDS:
+                yield at, end + 1
+                break
+
+
 def substring_brute(rows):
-    pieces = [(i if i is not None else -1, t, substring_dedup.sentences(t or "")) for i, t, *_ in rows]
-    first, places = {}, collections.defaultdict(list)
-    for i, t, p in pieces:
-        for at, end in enumerate(substring_dedup.runs(p)):
-            places[tuple(" ".join(x.lower().split()) for x in p[at:end])].append((i, t, at, end))
-    gone = collections.defaultdict(set)
+    rows = [(i if i is not None else -1, t) for i, t, *_ in rows]
+    pieces = {t: pieces_by_hand(t or "") for _, t in rows}
+    places = collections.defaultdict(set)
+    for i, t in rows:
+        for at, end in runs_by_hand(pieces[t]):
+            places[tuple(tuple(x[0]) for x in pieces[t][at:end])].add((i, hashlib.md5((t or "").encode()).digest(), at, end, t))
+    gone, copies = collections.defaultdict(set), collections.Counter(rows)
     for found in places.values():
-        if len(found) > 1:
-            low = min(i for i, *_ in found)
-            texts = {t for i, t, *_ in found if i == low}
-            assert len(texts) == 1
-            first = min((at for i, t, at, _ in found if i == low))
-            for i, t, at, end in found:
-                if (i, at) != (low, first):
-                    gone[i, t] |= set(range(at, end))
-    return sorted(repr((i, len(p), len(gone[i, t]), t if not gone[i, t] else "".join(x for k, x in enumerate(p) if k not in gone[i, t]))) for i, t, p in pieces)
+        if sum(copies[i, t] for i, *_, t in found) > 1:
+            for i, _, at, end, t in sorted(found)[1:]:
+                gone[i, t] |= set(range(at, end))
+    return sorted(repr((i, len(pieces[t]), len(gone[i, t]), t if not gone[i, t] else "".join(x[3] for k, x in enumerate(pieces[t]) if k not in gone[i, t]))) for i, t in rows)
 
 
 def test_substring_dedup(spark):
@@ -250,12 +283,33 @@ def test_substring_dedup(spark):
     shared = ["".join(sentence() for _ in range(6)) for _ in range(3)]
     rows = [(i, "".join(sentence() for _ in range(4)) + (rnd.choice(shared) if i % 3 else "") + "".join(sentence() for _ in range(3))) for i in range(40)]
     rows += [(50, None), (None, "Null id. " + shared[0]), (51, ""), (52, "  \n "), (53, shared[1] + shared[1]), (54, "One. Two."), (55, "word " * 3000)]
+    rows += [rows[4], rows[4], (7, "Other text of one id. " + shared[2]), (None, "Another null. " + shared[2] + sentence()), (56, "... ?! x.y z!\n\n" + shared[0].replace(". ", ".  "))]
     rows = [(i, t, "clash", 5) for i, t in rows]
     got = substring_dedup.dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     assert sorted(repr((-1 if r["doc_id"] is None else r["doc_id"], r["n_sentences"], r["n_removed"], r["kept_text"])) for r in got) == substring_brute(rows)
     assert {(r["n_words"], r["key"]) for r in got} == {("clash", 5)}
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """So are texts whose 32-bit hashes are equal; columns may have any name."""
+    texts = spark.range(400_000).select(F.concat(F.lit("text number "), "id").alias("t"))
+    twins = texts.groupBy(F.hash("t")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").head()["ts"][:2]
+    rnd = random.Random(8)
+    shared = " ".join(f"s{rnd.randint(0, 10**6)}" for _ in range(200)) + "."
+    rows = [(None, twins[0], 1, "a", 2)] + [(None, f"{t}. {shared}", 1, "a", 2) for t in twins] + [(5, twins[1], 1, "a", 2)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, __sum int, __id string, n_removed int"))
+    assert got.columns == ["doc_id", "text", "__sum", "__id", "n_sentences", "n_removed", "kept_text"]
+    left = {r["text"]: r["kept_text"] for r in got.collect()}
+    assert left[twins[0]] == twins[0] and left[twins[1]] == twins[1] and sum(len(x) < 400 for x in left.values()) == 3
+
+
+def test_long_white_space_is_cut_in_linear_time():
+    began = time.perf_counter()
+    for text in ("a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b", "." * 1_000_000, "a" + " \n" * 500_000, " . " * 300_000):
+        assert "".join(substring_dedup.sentences(text)) == text
+    assert time.perf_counter() - began < 5
+
+
 def test_passages_over_fifty_words_go(spark):
     """A repeated passage of more than fifty words goes wherever it stands; texts without one stay as they are."""
     rnd = random.Random(4)
