@@ -58,6 +58,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(hadoop(path + ".tmp"), True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.rename(hadoop(path + ".tmp"), hadoop(path))
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in system.listStatus(hadoop)] if system.exists(hadoop) else []
+
+
 #: Bytes of the Arrow batches that go to Python: rows may be long, and a batch is held whole.
 BATCH_BYTES = 8 << 20
 

@@ -139,21 +139,67 @@ def test_line_dedup(docs, min_docs):
     assert {(r["n_words"], r["key"]) for r in got} == {("clash", 5)}
 
 
+def batch_of(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
 def test_levels_are_compacted(spark):
-    runs = line_dedup.LineRuns(spark, new_path(spark, "runs"), fanout=2)
+    runs = line_dedup.LineRuns(spark, new_path(spark, "runs"), min_docs=3, fanout=2)
     for i in range(5):
-        runs.add(line_dedup.with_keys(spark.createDataFrame([(i, f"all\nonly {i}")], "doc_id long, text string")))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]  # 5 in binary
-    assert runs.hot(5).count() == 1 and runs.hot(1).count() == 6
-    files = spark.read.parquet(runs.levels[2][0])
-    assert files.columns == ["key", "n"] and files.agg(F.sum("n")).head()[0] == 8
+        runs.add(line_dedup.with_keys(batch_of(spark, f"all\nonly {i}\nAll")), str(i))
+    assert [len(x) for x in runs.state["levels"]] == [1, 0, 1]  # 5 in binary
+    assert runs.hot().count() == 1
+    rows = [{bytes(r["key"]): r["total"] for r in runs.table(run).collect()} for run in runs.runs]
+    key = lambda x: hashlib.md5(x.encode()).digest()
+    assert rows[0] == {key("only 4"): 1}  # "all" is settled: the last batch's merge-anti-join drops it
+    assert rows[1] == {key("all"): 3} | {key(f"only {i}"): 1 for i in range(4)}
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    """The batch's counts are shuffled once; the runs are read in order, bucket by bucket."""
+    runs = line_dedup.LineRuns(spark, new_path(spark, "runs"), min_docs=3)
+    for i in range(3):
+        runs.add(line_dedup.with_keys(batch_of(spark, *[f"line {k % 7} {i}" for k in range(50)])), str(i))
+    counts = line_dedup.with_keys(batch_of(spark, "x")).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    plan = runs.added(counts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("+- Sort ") + plan.count(":- Sort ") == 1 and plan.count("Bucketed: true") == 3
+    merged = runs.compacted(0, "a_level")
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString() and merged.count() == merged.select("key").distinct().count()
 
 
 def test_batches_see_earlier_ones(spark):
     runs = line_dedup.LineRuns(spark, new_path(spark, "runs"))
-    batch = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert [r["kept_text"] for r in line_dedup.dedup_batch(runs, batch("a\nb"), 2).collect()] == ["a\nb"]
-    assert [r["kept_text"] for r in line_dedup.dedup_batch(runs, batch("A \nc"), 2).collect()] == ["c"]
+    kept = lambda batch, i: sorted(r["kept_text"] for r in line_dedup.dedup_batch(runs, batch, i).collect())
+    assert kept(batch_of(spark, "a\nb", None, "", "b2\n \n"), "0") == ["", "", "a\nb", "b2\n \n"]
+    assert kept(batch_of(spark, "A \nc"), "1") == ["c"]
+    assert kept(batch_of(spark, "d\nd", "d ", "e"), "2") == ["", "", "e"]
+    assert kept(batch_of(spark), "3") == []
+
+
+def test_replay_and_restart(spark):
+    """A batch given twice counts once, also by runs that are opened again; what is not in the manifest is not there."""
+    path = new_path(spark, "runs")
+    first = line_dedup.LineRuns(spark, path)
+    kept = lambda runs, batch, i: [r["kept_text"] for r in line_dedup.dedup_batch(runs, batch, i).collect()]
+    one = batch_of(spark, "a\nb")
+    assert kept(first, one, "monday") == kept(first, one, "monday") == ["a\nb"]
+    first._write(spark.createDataFrame([(b"x" * 16, 9)], "key binary, total long"), 0)  # as by a driver that was lost before the manifest
+    first.close()
+    again = line_dedup.LineRuns(spark, path)
+    assert again.state == first.state and kept(again, one, "monday") == ["a\nb"] and again.hot().count() == 0
+    assert kept(again, batch_of(spark, "b\nc"), "tuesday") == ["c"] and kept(again, one, "monday") == ["a"]
+    with pytest.raises(ValueError, match="up to 2"):
+        line_dedup.LineRuns(spark, path, min_docs=5)
+
+
+def test_many_hot_lines_in_one_document(spark):
+    """Places that go are cut out in linear time."""
+    many = "\n".join(f"hot {i}" for i in range(30_000))
+    rows = spark.createDataFrame([(1, many), (2, "first\n" + many + "\nmiddle\n" + many + "\nlast")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in line_dedup.dedup(rows, 2).collect()}
+    assert got[1]["kept_text"] == "" and got[1]["n_dropped"] == 30_000
+    assert got[2]["kept_text"] == "first\nmiddle\nlast" and got[2]["n_dropped"] == 60_000 and time.perf_counter() - began < 60
 
 
 def test_only_ascii_capitals_are_lowered(spark):
