@@ -1,16 +1,21 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut into flat blocks at block-level tags.  A block's features are its word count and link density, those of the
-blocks before and after it, whether it is a heading, and what surrounds it: article-like elements, page furniture
-(navigation, headers, footers, asides, forms) and telling class, id or role names.  A small decision tree (Gini, trained
-here on `labelled_pages`, a few hundred labelled blocks made by a rule) says which blocks are main text.
+A page is cut into flat blocks at block-level tags.  A block's features are its word count and link density, those of the two
+blocks before and the two after it, whether it is a heading, and what surrounds it: an article (or none on the page), page furniture
+(navigation, headers, footers, asides, forms) and class, id or role names that say so.  A small decision tree (Gini, trained
+here on `labelled_pages`, some thousand labelled blocks made by a rule) says which blocks are main text.  On pages whose mark-up says
+nothing, half of the labelled ones, word counts and link densities alone decide.
+
+A name counts only if it is a whole class, id or role and all its parts are telling or neutral ones ("comment-list", not
+"comment-policy-study"), and never on an article itself.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
-one space.  Scripts, styles, templates, comments and the head are not text.
+one space.  Scripts, styles, templates, comments, the head and hidden elements are not text.
 
 Edge cases: a null or empty page gives the empty string; pages of any length are taken whole; unclosed and misnested tags
-are closed like a browser does for paragraphs and list items; a tag cut off by the end of the page is dropped;
-repeated rows are treated alike; an empty table gives an empty result; an existing column of the output's name is replaced.
+are closed like a browser does for paragraphs and list items; an unclosed script or style ends with the element around it; a tag cut off by
+the end of the page is dropped; repeated rows are treated alike; an empty table gives an empty result; an existing column of the output's
+name is replaced.
 """
 from __future__ import annotations
 
@@ -27,23 +32,33 @@ from pyspark.sql import types as T
 from .common import map_arrow
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*([^\s=>/"']++)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s>"']*+)))?+|.""", re.S)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-#: Elements without text of the page (fixed names of HTML).
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "object", "canvas", "audio", "video", "select"}
+#: Elements whose content is no mark-up and no text of the page (fixed names of HTML).
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
 #: Elements that end a block.
-BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td template tfoot th thead tr ul".split())
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An element of these is closed by the opening of the others.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset"}
+FURNITURE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset", "select"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form", "toolbar", "tablist"}
-#: Words in class and id names.
-TELLING = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback foot footer gdpr head header hidden login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination popup privacy promo promoted promotion related replies reply respond reviews share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar widget".split())
-CONTENT = set("article articlebody content entry main maincontent maintext post prose story text body".split())
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "in_content", "in_named_content", "in_furniture", "in_telling")
+#: Parts of class and id names that tell furniture, that tell main text, and that tell nothing.
+TELLING = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar".split())
+CONTENT = set("article articlebody content entry maincontent maintext post prose story".split())
+NEUTRAL = set("area bar body block bottom box button buttons col column container group inner item items left link links list main middle outer page panel right row section site slot text top unit widget wrap wrapper".split())
+FEATURES = ("words", "link_density", "words_before_2", "link_density_before_2", "words_before", "link_density_before", "words_after", "link_density_after", "words_after_2", "link_density_after_2", "heading", "in_article", "in_named_content", "in_furniture", "in_telling", "page_has_article")
+
+
+def tells(value: str, parts: set[str]) -> bool:
+    """Whether a name, of several in an attribute, has such a part and otherwise only neutral ones and numbers."""
+    for name in value.split():
+        found = {x.lower() for x in _NAMES.findall(name)}
+        if name.lower() in parts or found & parts and all(x in parts or x in NEUTRAL or x.isdigit() for x in found):
+            return True
+    return False
 
 
 class Page:
@@ -53,13 +68,14 @@ class Page:
         self.texts: list[str] = []
         self.rows: list[list[float]] = []
         self.parts: list[str] = []
-        self.stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []
-        self.flags = (False, False, False, False)
+        self.stack: list[tuple[str, tuple[bool, ...]]] = []
+        self.flags = (False,) * 5  # in an article, in named content, in furniture, in something telling, hidden
         self.link_words, self.link, self.heading = 0, False, False
         self._walk(source)
         self._flush()
-        around = [[0.0, 0.0], *[r[:2] for r in self.rows], [0.0, 0.0]]
-        self.rows = [[*r[:2], *around[i], *around[i + 2], *r[2:]] for i, r in enumerate(self.rows)]
+        none = [[0.0, 0.0]] * 2
+        around, has_article = [*none, *[r[:2] for r in self.rows], *none], any(r[3] for r in self.rows)
+        self.rows = [[*r[:2], *around[i], *around[i + 1], *around[i + 3], *around[i + 4], *r[2:], has_article] for i, r in enumerate(self.rows)]
 
     def _walk(self, source: str) -> None:
         at, end = 0, len(source)
@@ -75,6 +91,8 @@ class Page:
             closing, inside = m[1] or m[4], m[3] or m[6] or ""
             if name in RAW and not closing and not inside.endswith("/"):
                 found = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
+                if not found and self.stack:  # not closed: it ends with what it stands in
+                    found = re.compile(f"(?=</{re.escape(self.stack[-1][0])}[\\s/>])", re.I).search(source, at)
                 at = found.end() if found else end
             elif closing:
                 self._close(name)
@@ -82,7 +100,7 @@ class Page:
                 self._open(name, inside)
 
     def _text(self, text: str) -> None:
-        if not text:
+        if not text or self.flags[4]:
             return
         if "&" in text:
             text = html.unescape(text)
@@ -108,25 +126,25 @@ class Page:
             self.flags = flags
         self.heading |= name in HEADINGS
 
-    def _flags(self, name: str, inside: str) -> tuple[bool, bool, bool, bool]:
-        content, named, furniture, telling = self.flags
-        if name in ("article", "main"):
-            content = True
-        if name == "head" or name in FURNITURE or name == "header" and not content:
+    def _flags(self, name: str, inside: str) -> tuple[bool, ...]:
+        article, named, furniture, telling, hidden = self.flags
+        own = name in ("article", "main")
+        if name == "head" or name in FURNITURE or name == "header" and not article:
             furniture = True
-        if inside and "=" in inside or "hidden" in inside:
+        hidden |= name == "template"
+        if "=" in inside or "hidden" in inside:
             for m in _ATTRIBUTE.finditer(inside):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    telling = True
+                    hidden = True
                 elif key == "role":
                     furniture |= value.lower() in FURNITURE_ROLES
-                    content |= value.lower() in ("main", "article")
-                elif key in ("class", "id") and name not in ("html", "body"):
-                    names = {x.lower() for x in _NAMES.findall(value)} | {x.lower() for x in value.split()}
-                    telling |= bool(names & TELLING)
-                    named |= bool(names & CONTENT) and not names & TELLING
-        return content, named, furniture, telling
+                    own |= value.lower() in ("main", "article")
+                elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+                    about = tells(value, TELLING)
+                    telling |= about
+                    named |= not about and tells(value, CONTENT)
+        return article or own, named, furniture, telling, hidden
 
     def _close(self, name: str) -> None:
         if name == "a":
@@ -149,7 +167,7 @@ class Page:
         if text:
             words = text.count(" ") + 1
             self.texts.append(text)
-            self.rows.append([words, min(1.0, self.link_words / words), self.heading, *self.flags])
+            self.rows.append([words, min(1.0, self.link_words / words), self.heading, *self.flags[:4]])
         self.link_words, self.heading = 0, False
 
 
@@ -193,8 +211,12 @@ def is_main(root, row: list[float]) -> bool:
 LABEL = "⁂"
 
 
-def labelled_pages(n: int = 160, seed: int = 7) -> Iterator[str]:
-    """The labelled table: small pages in several layouts; words of main text bear LABEL."""
+def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
+    """The labelled table: small pages in several layouts; words of main text bear LABEL.
+
+    On every other page elements and names say nothing (nested div elements with arbitrary names, some of them misleading): long
+    paragraphs with few links, and what stands between them, are main text; links, and short blocks beside them, are furniture.
+    """
     rnd = random.Random(seed)
     vocabulary = "stone river mild harbour candle seven orchard winter paper lantern copper field quiet ladder market salt window garden thread ferry".split()
     words = lambda a, b: " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(a, b)))
@@ -202,39 +224,58 @@ def labelled_pages(n: int = 160, seed: int = 7) -> Iterator[str]:
     link = lambda a, b: f'<a href="/{rnd.randint(1, 99)}">{words(a, b)}</a>'
     links = lambda k: "<ul>" + "".join(f"<li>{link(1, 3)}</li>" for _ in range(rnd.randint(2, k))) + "</ul>"
     named = lambda tag, names, body: f'<{tag} {rnd.choice(("class", "id"))}="{rnd.choice(names)}">{body}</{tag}>'
-    for _ in range(n):
-        paragraphs = []
+    some = lambda parts: "".join(x for x in parts if rnd.random() < 0.5)
+
+    def paragraphs(least: int) -> list[str]:
+        out = []
         for _ in range(rnd.randint(1, 9)):
             kind = rnd.random()
             if kind < 0.6:
-                paragraphs.append(f"<p>{main(1, rnd.choice((3, 12, 60, 200)))}</p>")
+                out.append(f"<p>{main(least, max(least + 5, rnd.choice((3, 12, 60, 200))))}</p>")
             elif kind < 0.7:
-                paragraphs.append(f'<p>{main(2, 30)} <a href="/x">{main(1, 3)}</a> {main(2, 20)}</p>')
+                out.append(f'<p>{main(max(2, least), 30)} <a href="/x">{main(1, 3)}</a> {main(2, 20)}</p>')
             elif kind < 0.8:
-                paragraphs.append(f"<h2>{main(1, 6)}</h2>")
+                out.append(f"<h2>{main(1, 6)}</h2>")
             elif kind < 0.9:
-                paragraphs.append("<ul>" + "".join(f"<li>{main(1, 15)}</li>" for _ in range(3)) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{main(max(1, least // 2), 15)}</li>" for _ in range(3)) + "</ul>")
             else:
-                paragraphs.append(f"<blockquote>{main(3, 30)}</blockquote>")
+                out.append(f"<blockquote>{main(max(3, least), 30)}</blockquote>")
+        return out
+
+    def by_mark_up() -> str:
+        body = paragraphs(1)
         # Furniture may stand inside the article, too.
-        inner = [named("div", ["ad", "promo", "share", "related"], words(2, 25)), f"<aside>{words(1, 40)}</aside>", f"<nav>{links(4)}</nav>", f"<form><p>{words(2, 20)}</p></form>", f"<footer>{words(2, 20)}</footer>"]
-        for x in inner:
+        body += [x for x in (f'<p><a href="/x">{main(4, 40)}</a></p>', f'<h3><a href="/x">{main(1, 6)}</a></h3>', "<ul>" + "".join(f'<li><a href="/x">{main(1, 9)}</a></li>' for _ in range(4)) + "</ul>") if rnd.random() < 0.15]
+        rnd.shuffle(body)
+        for x in [named("div", ["ad", "promo-box", "share", "related"], words(2, 25)), f"<aside>{words(1, 40)}</aside>", f"<nav>{links(4)}</nav>", f"<form><p>{words(2, 20)}</p></form>", f"<footer>{words(2, 20)}</footer>", named("div", ["comments", "comment-list"], "".join(f"<p>{words(3, 80)}</p>" for _ in range(3)))]:
             if rnd.random() < 0.15:
-                paragraphs.insert(rnd.randint(0, len(paragraphs)), x)
-        body = f"<h1>{main(1, 9)}</h1>" + "".join(paragraphs)
-        layout = rnd.random()
-        if layout < 0.5:
-            body = f"<article>{body}</article>"
-        elif layout < 0.65:
-            body = f"<main>{body}</main>"
-        elif layout < 0.85:
-            body = named("div", ["content", "post", "entry", "article-body", "story"], body)
-        before = [f"<nav>{links(7)}</nav>", f"<header>{words(1, 12)}</header>", named("div", ["ad", "ads", "banner", "sponsored"], words(2, 40)), named("div", ["cookie", "notice", "consent"], f"<p>{words(5, 40)}</p>"), named("div", ["menu", "topbar", "breadcrumb"], link(1, 3) + " " + link(1, 3)), links(6)]
-        after = [f"<aside><p>{words(2, 60)}</p>{links(4)}</aside>", f"<footer>&copy; {words(2, 12)}</footer>", named("div", ["comments", "discussion"], "".join(f"<p>{words(3, 80)}</p>" for _ in range(3))), f"<form><label>{words(1, 4)}</label><p>{words(2, 20)}</p></form>", named("section", ["sidebar", "related", "newsletter"], f"<p>{words(2, 50)}</p>"), named("div", ["footer"], words(2, 15)), links(8)]
-        yield "<html><body>" + "".join(x for x in before if rnd.random() < 0.5) + body + "".join(x for x in after if rnd.random() < 0.5) + "</body></html>"
-
-
-def train(pages: Iterable[str] | None = None, depth: int = 8) -> Tree:
+                body.insert(rnd.randint(0, len(body)), x)
+        whole = f"<h1>{main(1, 9)}</h1>" + "".join(body)
+        kind = rnd.random()
+        if kind < 0.55:
+            whole = named("article", ["ad", "share-list", "x1"], whole) if rnd.random() < 0.2 else f"<article>{whole}</article>"
+        elif kind < 0.75:
+            whole = f"<main>{whole}</main>"
+        else:
+            whole = named("div", ["content", "post-body", "entry", "article-text", "story"], whole)
+        before = [f"<nav>{links(7)}</nav>", f"<header>{words(1, 12)}</header>", named("div", ["ad", "ads", "banner", "x2", "sponsored"], words(2, 60)), named("div", ["cookie-bar", "notice", "x3"], f"<p>{words(5, 40)}</p>"), named("div", ["menu", "topbar", "x4"], link(1, 3) + " " + link(1, 3)), links(6)]
+        after = [f"<aside><p>{words(2, 60)}</p>{links(4)}</aside>", f"<footer>&copy; {words(2, 12)}</footer>", named("div", ["comments", "discussion", "x5"], "".join(f"<p>{words(3, 80)}</p>" for _ in range(3))), f"<form><label>{words(1, 4)}</label><p>{words(2, 20)}</p></form>", named("section", ["sidebar", "related", "x6"], f"<p>{words(2, 50)}</p>"), named("div", ["footer", "x7"], words(2, 15)), links(8)]
+        return some(before) + whole + some(after)
+
+    def by_density() -> str:
+        names = ["x1", "c-2", "box", "row", "left", "ads-free-2", "menu-of-the-day"]
+        if rnd.random() < 0.15:  # a page of a few words
+            return "".join(f"<p>{main(1, 12)}</p>" for _ in range(rnd.randint(1, 3)))
+        body = [f"<p>{main(20, 200)}</p>", *paragraphs(12), f"<p>{main(15, 120)}</p>"]
+        lines = lambda k: "".join(named("div", names, link(1, 5)) if rnd.random() < 0.75 else named("div", names, words(1, 6)) for _ in range(rnd.randint(3, k)))
+        whole = (f"<h1>{main(2, 9)}</h1>" if rnd.random() < 0.8 else "") + "".join(body)
+        return named("div", names, lines(9)) + named("div", names, whole) + named("div", names, lines(9))
+
+    for k in range(n):
+        yield f"<html><body>{by_density() if k % 2 else by_mark_up()}</body></html>"
+
+
+def train(pages: Iterable[str] | None = None, depth: int = 12) -> Tree:
     rows, labels = [], []
     for source in labelled_pages() if pages is None else pages:
         page = Page(source)
