@@ -241,12 +241,14 @@ def contaminated_rows():
 ITEMS = [(1, PASSAGE), (2, "short item"), (3, PASSAGE + " and more words follow here"), (10, ""), (11, None), (12, "Éa Éa"), (2, "x x")]
 
 
-@pytest.mark.parametrize("max_windows", [decontaminate.MAX_WINDOWS, 3])
-def test_decontamination(spark, max_windows):
+@pytest.mark.parametrize(("max_bytes", "bits"), [(decontaminate.MAX_BYTES, 27), (0, 27), (0, 7)])
+def test_decontamination(spark, max_bytes, bits):
+    """By broadcast windows, by a filter and a join, and with a filter so small that it lets nearly all pass."""
     rows = contaminated_rows()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontaminate.scan(docs, items, max_windows=max_windows)
+    got = decontaminate.scan(docs, items, max_bytes=max_bytes, filter_bits=bits)
+    assert got.columns == ["doc_id", "text", "key", "n_words", "spans", "items", "n_hit"] and {r["key"] for r in got.collect()} == {5, 1}
     got = got.select("doc_id", "n_words", "n_hit", F.array_join(F.array_sort("items"), ",").alias("names")).collect()
     assert by_row(got, "doc_id", "n_words", "n_hit", "names") == decontamination(rows, ITEMS)
 
@@ -263,6 +265,23 @@ def test_removal_of_documents_and_spans(spark):
     assert cut[304].split() == []
 
 
+@pytest.mark.parametrize("max_bytes", [decontaminate.MAX_BYTES, 0])
+def test_documents_are_scanned_once(spark, monkeypatch, max_bytes):
+    """Whatever the benchmark's size: one pass of the scanning function over the documents' file, and spans united as by hand."""
+    path = new_path(spark, "docs")
+    spark.createDataFrame(contaminated_rows(), SCHEMA).write.parquet(path)
+    scans = []
+    plain = decontaminate.map_arrow
+    monkeypatch.setattr(decontaminate, "map_arrow", lambda df, f, schema: (scans.append(path in str(df.inputFiles())), plain(df, f, schema))[1])
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.scan(spark.read.parquet(path), items, max_bytes=max_bytes)
+    assert sum(scans) == 1
+    spans = {r["doc_id"]: [(x["a"], x["b"]) for x in r["spans"]] for r in got.collect()}
+    assert spans[300] == [(1, 20)] and spans[304] == [(0, 57)] and spans[302] != spans[303] == [(1, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(path) <= (max_bytes > 0)  # beyond one broadcast, the scan's result is read, not the documents
+
+
 def test_short_texts_in_long_chunks():
     powers = decontaminate.Powers()
     words = decontaminate.Words([b"", b"A b", b"--", "é1-c".encode(), b"d"], powers)
