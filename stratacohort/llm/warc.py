@@ -11,7 +11,9 @@ parsed first; its payload is inflated only if the record passes and `payload` is
 Files are opened with Arrow's file systems (local, HDFS, S3, GCS), in a folder that driver and executors share.
 
 `dedup` marks, of records with equal payloads of `min_bytes` or more, the one with the smallest id as response and
-the others as revisits of it; equal payloads meet by digest, counted before the shuffle.
+the others as revisits of it; equal payloads meet by digest, counted before the shuffle.  Digests and ids alone are shuffled: the digests
+that occur more than once are broadcast if they have at most `max_bytes`.  Beyond that a bit table of them is, of 2 ** FILTER_BITS bits
+whatever their number: records whose bit is not set stay where they are, and only the payloads of the others move, in one join.
 
 Edge cases: a null payload is written as an empty one; a null URL as no header, read as null; a null id as the id "null"; control
 characters and spaces in a URL are percent-encoded; repeated rows are records of their own; an empty table gives an archive
@@ -26,8 +28,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
@@ -39,6 +43,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Columns that come from headers.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 MANIFEST = "_manifest.json"
+#: Bytes of repeated digests that are broadcast, and about what each takes.
+MAX_BYTES, MARK_BYTES = 64 << 20, 150
+FILTER_BITS = 27
 BATCH_BYTES = 4 << 20
 
 
@@ -332,19 +339,40 @@ def write(records: DataFrame, path: str, **options) -> None:
     records.select(*cols).write.format("warc").options(**{k: str(v) for k, v in options.items()}).mode("append").save(path)
 
 
-def dedup(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 100) -> DataFrame:
+def _in_bits(keys: DataFrame, n_bits: int) -> Column:
+    """Whether the bit of the column `key` is set in a table of the bits of all keys, which is made on the executors."""
+    at = F.shiftrightunsigned(F.xxhash64("key"), 64 - n_bits)
+    bits = keys.select(F.shiftright(at, 6).alias("at"), at.alias("b"))
+    bits = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 AS int))")).alias("bits")).toArrow()  # 2 ** (n_bits - 6) rows at most
+    table = np.zeros(1 << (n_bits - 6), np.uint64)
+    table[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        x = at.to_numpy().astype(np.uint64)
+        return pd.Series((shared.value[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return is_set(at)
+
+
+def dedup(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 100, max_bytes: int = MAX_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Records of pages: equal payloads of min_bytes or more are kept once, by the smallest id."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("target_uri"), body.alias("body"))
-    rows = rows.select("*", F.sha2("body", 256).alias("payload_digest"), F.octet_length("body").cast("long").alias("n"))
-    firsts = rows.where(F.col("n") >= min_bytes).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    firsts = written(firsts.where("copies > 1").select(F.col("payload_digest").alias("key"), "first"), "payloads")  # its join can then be split at a hot payload
-    # Small payloads have no partner: a key of their own keeps them apart.
-    rows = rows.withColumn("key", F.when(F.col("n") >= min_bytes, F.col("payload_digest")).otherwise(F.concat_ws(":", F.col("payload_digest"), F.col("id").cast("string"))))
-    out = rows.join(firsts, "key", "left")
+    rows = rows.select("*", F.sha2("body", 256).alias("key"), F.octet_length("body").cast("long").alias("n"))
+    firsts = rows.where(F.col("n") >= min_bytes).groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    firsts = written(firsts.where("copies > 1").select("key", "first"), "payloads")  # its join can then be split at a hot payload
+    large = F.col("n") >= min_bytes
+    if firsts.count() * MARK_BYTES <= max_bytes:
+        out = rows.join(F.broadcast(firsts.withColumnRenamed("key", "__key")), large & (F.col("key") == F.col("__key")), "left")
+    else:
+        marked = rows.withColumn("maybe", large & _in_bits(firsts, filter_bits))
+        once = marked.where(~F.col("maybe")).withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+        out = marked.where("maybe").join(firsts, "key", "left").unionByName(once)
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     uri = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     return out.select(
-        uri(F.col("id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", "payload_digest",
+        uri(F.col("id")).alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.col("key").alias("payload_digest"),
         F.when(again, uri(F.col("first"))).alias("refers_to"), F.col("n").alias("http_length"), F.when(~again, F.encode("body", "UTF-8")).alias("payload"),
     )

@@ -133,9 +133,11 @@ def test_extraction_keeps_rows_and_columns(spark, table):
 # WARC
 
 
-def test_round_trip(spark, table):
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 0}, {"max_bytes": 0, "filter_bits": 7}])
+def test_round_trip(spark, table, options):
+    """With repeated digests broadcast, and with a bit table of them, one of which lets others pass."""
     path = new_path(spark, "warc-test")
-    warc.write(warc.dedup(table), path, max_file_bytes=3000)
+    warc.write(warc.dedup(table, **options), path, max_file_bytes=3000)
     got = {(r["record_id"], r["target_uri"]): r for r in warc.read(spark, path).collect()}
     by_id = {}
     for r in warc.read(spark, path).collect():
@@ -152,6 +154,12 @@ def test_round_trip(spark, table):
     assert {u for _, u in got} >= {None, "http://B.COM/de/x%20y%0A"}
 
 
+def test_payloads_are_not_shuffled(spark, table):
+    rows = warc.dedup(table.select("page_id", "url", "html").repartition(2).sortWithinPartitions("page_id"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("BroadcastExchange") == 1  # the test's own repartition(), and the digests
+
+
 def test_archives_are_readable_by_others(spark, table, tmp_path):
     path = f"{tmp_path}/a"
     warc.write(warc.dedup(table), path)
@@ -161,7 +169,8 @@ def test_archives_are_readable_by_others(spark, table, tmp_path):
     plain, joined, single = (f"{tmp_path}/{n}" for n in ("plain.warc", "joined.warc.gz", "single.warc.gz"))
     open(plain, "wb").write(raw)
     open(joined, "wb").write(b"".join(open(f, "rb").read() for f in files))
-    gzip.open(single, "wb").write(raw.split(b"WARC/1.1\r\n")[0] + b"WARC/1.1\r\n" + raw.split(b"WARC/1.1\r\n")[1])
+    with gzip.open(single, "wb") as f:
+        f.write(b"WARC/1.1\r\n" + raw.split(b"WARC/1.1\r\n")[1])
     whole = sorted(map(repr, warc.read(spark, path).collect()))
     assert sorted(map(repr, warc.read(spark, plain).collect())) == whole == sorted(map(repr, warc.read(spark, joined).collect()))
     assert warc.read(spark, single).count() == 1
