@@ -31,12 +31,12 @@ m AS (SELECT t.conv_id, perspective, turn, role, text, r, coalesce(role = perspe
       replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|') || '<|im_end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, sum(length(head) + length(body)) OVER w - length(head) - length(body) AS s, row_number() OVER w AS k FROM m
       WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, r ROWS UNBOUNDED PRECEDING)),
-q AS (SELECT *, (s // 32768)::BIGINT AS part FROM o),
+q AS (SELECT *, (s // @PART@)::BIGINT AS part FROM o),
 z AS (SELECT *, s - min(s) OVER (PARTITION BY conv_id, perspective, part) AS pos FROM q)
 SELECT conv_id, perspective, part, count(*)::BIGINT AS n_messages, count_if(own)::BIGINT AS n_trained, string_agg(head || body, '' ORDER BY k) AS text,
        coalesce(string_agg((pos + length(head))::BIGINT::VARCHAR || '-' || (pos + length(head) + length(body) - 1)::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (WHERE own), '') AS masks
 FROM z GROUP BY conv_id, perspective, part
-"""
+""".replace("@PART@", str(chat_format.PART_CHARS))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,14 +32,17 @@ def rendered(rows, me):
     return out, masks
 
 
-@pytest.mark.parametrize("part_chars", [10**9, 400])
+@pytest.mark.parametrize("part_chars", [None, 400])
 def test_every_perspective(spark, part_chars):
+    """Whole renderings by default, one row each; and in parts."""
     rows = turns()
-    got = chat_format.rotate(spark.createDataFrame(rows, TURNS).repartition(3), part_chars=part_chars).collect()
+    options = {"part_chars": part_chars} if part_chars else {}
+    got = chat_format.rotate(spark.createDataFrame(rows, TURNS).repartition(3), **options).collect()
+    assert part_chars or {r["part"] for r in got} == {0}
     found = {}
     for r in sorted(got, key=lambda r: r["part"]):
         text, masks = found.get((r["conv_id"], r["perspective"]), ("", []))
-        assert part_chars == 10**9 or len(r["text"]) < part_chars + 200
+        assert not part_chars or len(r["text"]) < part_chars + 200
         found[r["conv_id"], r["perspective"]] = (text + r["text"], masks + [(len(text) + m["start"], len(text) + m["end"]) for m in r["masks"]])
     want = {}
     for conv in {r[0] for r in rows}:
@@ -50,6 +53,19 @@ def test_every_perspective(spark, part_chars):
     assert chat_format.rotate(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_hot_conversations_are_dealt_out(spark):
+    """No turn, one turn for all, or turns far apart: ranges stay even, and equal messages are one row."""
+    rnd = random.Random(3)
+    rows = [(1, turn, rnd.choice(("ann", "bob")), f"{rnd.random()} said") for turn in (None, 7) for _ in range(1500)]
+    rows += [(1, 10**9 * i, "ann", f"at {i}") for i in range(1500)] + [(1, 8, "bob", "the same")] * 1500
+    schema = "conv_id long, turn long, role string, text string"
+    got = {r["perspective"]: r for r in chat_format.rotate(spark.createDataFrame(rows, schema).repartition(5)).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, *r[2:]))
+    for me in ("ann", "bob"):
+        text, masks = rendered([(*r, "", 0) for r in order], me)
+        assert got[me]["text"] == text and [(m["start"], m["end"]) for m in got[me]["masks"]] == masks and got[me]["n_messages"] == 6000
+
+
 def test_masks_are_the_assistants_words(spark, sf_dir):
     for r in chat_format.rotate(queries.table(spark, sf_dir, "conversations")).collect():
         assert len(r["masks"]) == r["n_trained"] == r["text"].count("<|im_start|>assistant\n")
