@@ -8,7 +8,12 @@ library's threads.  `parity` compares ids with the sentencepiece library on give
 Texts are cut where the model cannot join pieces: no piece of such a model holds a marker after another character, so a
 text's encoding is the concatenation of its words' encodings.  The cuts are checked against the vocabulary, and
 the whole normalised text is encoded where a piece breaks the rule.  Each Arrow batch encodes its distinct words
-once and then gathers.  The model's bytes are broadcast: they have a fixed size, and executors need no file.
+once and then gathers.  The model's bytes are broadcast: they have a fixed size, and executors need no file.  A Python worker builds a model's
+codec once.
+
+`encode` checks the round trip: in a batch that is encoded by words, each distinct word is decoded, with a decoder that keeps leading spaces,
+and a text is right if all its words are, as a text's decoding is theirs, one after the other; in a batch encoded as
+whole texts, each text is decoded.  `decode` decodes whole rows.
 
 Edge cases: a null text has null ids, and decodes to null; an empty one has none; texts of any length are taken whole;
 repeated rows get equal ids; an empty table gives an empty result; other columns pass through, and the output columns replace
@@ -19,6 +24,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -91,17 +97,16 @@ def _merges(pieces: list[tuple[str, float, int]]) -> list[tuple[str, str]]:
     return [(a, b) for _, _, _, a, b in sorted(out)]
 
 
-def build(data: bytes):
-    """The tokenizers backend of a model file's bytes."""
+def build(m: dict, merges: list[tuple[str, str]]):
+    """The tokenizers backend of a parsed model; merges are a BPE model's."""
     from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
-    m = parse_model(data)
     if m["suffix"]:
         raise ValueError("models with white space as suffix are not supported")
     pieces = m["pieces"]
     unk = pieces[m["unk_id"]][0]
     if m["type"] == BPE:
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(pieces)}, _merges(pieces), unk_token=unk, fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
+        model = models.BPE({p: i for i, (p, _, _) in enumerate(pieces)}, merges, unk_token=unk, fuse_unk=True, byte_fallback=m["byte_fallback"], cache_capacity=0)
     elif m["type"] == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in pieces], unk_id=m["unk_id"], byte_fallback=m["byte_fallback"])
     else:
@@ -135,12 +140,13 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         self.model = parse_model(data)
-        self.whole = build(data)
+        merges = _merges(self.model["pieces"]) if self.model["type"] == BPE else []
+        self.whole = build(self.model, merges)
         self.words = None
         if cuttable(self.model):
             from tokenizers import decoders, normalizers
 
-            self.words = build(data)
+            self.words = build(self.model, merges)
             self.words.normalizer = normalizers.Sequence([])
             self.words.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         kinds = [kind for _, _, kind in self.model["pieces"]]
@@ -197,8 +203,14 @@ class Codec:
         return out[1:] if self.model["dummy_prefix"] else out
 
 
+@lru_cache(maxsize=1)
+def codec_of(data: bytes, threads: int) -> Codec:
+    """The codec of a model, kept by the Python worker."""
+    return Codec(data, threads)
+
+
 def model_bytes(spark: SparkSession, path: str) -> bytes:
-    """A model file's bytes, from any place that Spark reads."""
+    """A model file's bytes, read by the driver: from its own disk, or from any place that Spark reads."""
     if "://" not in path and os.path.exists(path):
         with open(path, "rb") as f:
             return f.read()
@@ -218,7 +230,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", threads: int = 2,
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, threads)
+        codec = codec_of(shared.value, threads)
         for batch in batches:
             for part in _bounded(batch, at):
                 texts = part.column(at).to_pylist()
@@ -243,7 +255,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, threads)
+        codec = codec_of(shared.value, threads)
         for batch in batches:
             given = batch.column(at).to_pylist()
             if any(not 0 <= i < codec.n_pieces for x in given if x for i in x):
