@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_COLLECTORS: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _COLLECTORS:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """Collects the paths that operators make in the shared folder within the block, for whoever writes their results to delete."""
+    made: list[str] = []
+    _COLLECTORS.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTORS.remove(made)
 
 
 def written(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:

@@ -1,11 +1,9 @@
-"""Chat formatting, the SentencePiece codec and the pipeline."""
+"""Chat formatting, the SentencePiece codec and the driver contract."""
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from stratacohort.llm import chat_format, queries, sentencepiece_codec
-from stratacohort.llm.common import shared_dir
 
 TURNS = "conv_id long, turn long, role string, text string, perspective string, part int"
 
@@ -155,30 +153,6 @@ def test_a_large_unigram_model(spark, sf_dir, model):
     assert right.all() and codec.decode(ids, ends) == [" ".join(t.split(" ")).strip() if "  " not in t else x for t, x in zip(texts[:20], codec.decode(ids, ends))]
 
 
-def test_pipeline_on_whole_documents(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = queries.table(spark, sf_dir, "documents")
-    columns, sizes = docs.columns, [docs.count()]
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r["doc_id"]: r["text"] for r in docs.collect()} if "text" in docs.columns else {}
-        docs = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/pipeline-test-{name}"
-        docs.write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
-        sizes.append(docs.count())
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert docs.columns == columns
-            assert docs.where("n_chars <> length(text)").isEmpty()
-        if name in ("quality_rules", "near_dedup", "decontaminate"):
-            assert sizes[-1] < sizes[-2] and all(before[r["doc_id"]] == r["text"] for r in docs.collect())
-        if name == "line_dedup":
-            assert sizes[-1] == sizes[-2] and any(before[r["doc_id"]] != r["text"] for r in docs.collect())
-    assert docs.columns == [c for c in columns if c != "text"] + ["ids", "n_tokens", "round_trip"]
-    assert docs.where("NOT round_trip").isEmpty() and sizes[-1] > 0.5 * sizes[0]
-    assert sorted(map(repr, corpus_pipeline.run(spark, sf_dir).select("doc_id", "n_tokens").collect())) == sorted(map(repr, docs.select("doc_id", "n_tokens").collect()))
-
-
 def test_entry_without_the_folder(tmp_path):
     """The driver contract holds when the corpus operators are not there."""
     import shutil
@@ -192,11 +166,3 @@ def test_entry_without_the_folder(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline_e2e' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; print(len(e.oracle_sql()))"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
-
-
-def test_documents_of_the_pipeline_are_whole(spark, sf_dir):
-    import corpus_pipeline
-
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = corpus_pipeline.quality(spark, rows, sf_dir)
-    assert kept.select(F.sum("n_chars")).head()[0] == kept.select(F.sum(F.length("text"))).head()[0]
