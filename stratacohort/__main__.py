@@ -2,15 +2,17 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import importlib
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, profile, sample_size
 from .operators import auc, cohort, pool, scoring, sequence
-from .sources import sinks, trajectories
+from .plans.pipeline import first_rows
+from .sources import scratch, sinks, trajectories
 
 
 def stage1(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
@@ -31,45 +33,63 @@ def stage1(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 
 
 def stage2(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Trajectories with points to case and control cells."""
+    """Trajectories with points to cases and controls; cells as lists besides with --lists."""
     start, end, step = (int(x) for x in options.age_group_range.split(","))
     config = profile("cli", offset_days=options.offset, age_start=start, age_end=end, age_step=step, sex_index=options.sex_index)
     points = sinks.points_of(spark.read.parquet(options.data_dir), config)
-    listed = points.select(F.col("token").alias("disease")).distinct()
-    if options.vocab_file:
-        vocab = trajectories.vocabulary(spark, options.vocab_file)
+    used: list[str] = []
+    people = scratch.written(cohort.patients(points, config), "patients", used)
+    listed = people.select(F.explode("seen").alias("disease")).distinct()
+    vocab = trajectories.vocabulary(spark, options.vocab_file) if options.vocab_file else None
+    if vocab is not None:
         codes = options.icd_code_map_file and trajectories.code_list(spark, options.icd_code_map_file)
         listed = (trajectories.known_diseases(vocab, codes) if codes else trajectories.disease_vocabulary(vocab)).select(F.col("token").alias("disease"))
     elif options.icd_code_map_file:
         codes = trajectories.code_list(spark, options.icd_code_map_file).select(F.concat(F.lit("<DX-MAJOR_"), "code", F.lit(">")).alias("disease"))
         listed = listed.join(codes, "disease", "left_semi")
-    cells = sinks.stage2_file(cohort.cohort(points, listed, config), config.bracket_width)
-    sinks.write_parquet(cells, out := f"{options.output_dir}/{options.output_file}")
+    cells = scratch.written(cohort.cells(people, listed, config), "cells", used)
+    rows = cohort.two_class(people, cells, config)
+    sinks.write_parquet(sinks.stage2_rows(rows, config.bracket_width, vocab), out := f"{options.output_dir}/{options.output_file}")
+    if options.lists:
+        sinks.write_parquet(sinks.stage2_lists(rows, config.bracket_width, vocab), f"{options.output_dir}/lists_{options.output_file}")
+    scratch.delete(spark, used)
     return spark.read.parquet(out)
 
 
 def load_scorer(name: str, options: argparse.Namespace) -> scoring.Scorer:
-    """A Scorer, or a make_model function for ModelScorer, by module:attribute; "arithmetic" is the scorer of the tests."""
+    """A Scorer, or a make_model function for ModelScorer, by module:attribute; causal:module:attribute for the load function of
+    causal_lm(); "arithmetic" is the scorer of the tests."""
     if name == "arithmetic":
         return scoring.ArithmeticScorer()
-    module, _, attribute = name.partition(":")
+    causal = name.startswith("causal:")
+    module, _, attribute = name.removeprefix("causal:").partition(":")
     found = getattr(importlib.import_module(module), attribute)
-    return found if hasattr(found, "score") else scoring.ModelScorer(found, options.batch_size, gpus=options.gpus)
+    if hasattr(found, "score"):
+        return found
+    make = scoring.causal_lm(found, options.max_length, options.device) if causal else found
+    return scoring.ModelScorer(make, options.batch_size, gpus=options.gpus)
 
 
 def stage3(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Cells to areas; scores are kept in the output folder and reused with --skip_logits."""
+    """Cases and controls to areas; scores are kept in the output folder, by their inputs and settings, and reused with --skip_logits."""
     config = replace(Config(), max_length=options.max_length, prompt_suffix=options.last_str, sample_frac=options.sample_frac, batch_size=options.batch_size)
-    traj = spark.read.parquet(options.data_file)
-    if config.sample_frac < 1:
-        traj = sequence.head_fraction(traj, config.sample_frac)
-    traj = traj.withColumn("tokens", F.split("eval_seq", " ", -1))
+    traj = sinks.require(spark.read.parquet(options.data_file), ["row_idx", "eval_seq"], "a file of stage 1")
     rows = sinks.cohort_of(spark.read.parquet(options.case_control_ids_file))
-    listed, kept = scoring.unique_diseases(rows), f"{options.output_dir}/scores"
+    given = [scratch.fingerprint(traj, ["row_idx", "eval_seq"]), scratch.fingerprint(rows, sinks.STAGE2), str(config.max_length), config.prompt_suffix, str(config.sample_frac)]
+    kept = f"{options.output_dir}/scores-{hashlib.sha256(repr(given).encode()).hexdigest()[:24]}"
+    traj = first_rows(traj, config).withColumn("tokens", F.split("eval_seq", " ", -1))
+    listed, pairs = scoring.unique_diseases(rows), scoring.unique_pairs(rows)
     if not (options.skip_logits and sinks.exists(spark, f"{kept}/_SUCCESS")):
-        scores = load_scorer(options.scorer, options).score(scoring.prompts(scoring.unique_pairs(rows), traj, config), listed)
-        sinks.write_parquet(scores, kept)
-    cells = auc.cell_auc(scoring.join_scores(rows, spark.read.parquet(kept)))
+        scores = load_scorer(options.scorer, options).score(scoring.prompts(pairs, traj, config), listed)
+        seen = Observation("scores")
+        sinks.write_parquet(scores.observe(seen, F.count("*").alias("n")), kept)
+        print(f"scored {seen.get['n']} prompts")
+    scores = spark.read.parquet(kept)
+    if missing := scoring.missing_pairs(pairs, scores).count():
+        print(f"{missing} prompts have no score; their rows drop out")
+    cells = auc.cell_auc(scoring.join_scores(rows, scores, listed))
+    if "disease_token" in rows.columns:
+        cells = cells.join(rows.select("disease", "disease_token").distinct(), "disease", "left")
     sinks.write_csv(cells.drop("var").orderBy("disease", "sex", "age"), f"{options.output_dir}/auc_results_unpooled.csv")
     sinks.write_csv(pool.disease_auc(cells).orderBy("disease"), f"{options.output_dir}/auc_results.csv")
     pool.summary(pool.disease_auc(cells)).show()
@@ -92,11 +112,12 @@ def parser() -> argparse.ArgumentParser:
     p = stages.add_parser("cohorts")
     add(p, "data_dir", required=True), add(p, "output_dir", default="."), add(p, "output_file", default="case_controls.parquet")
     add(p, "offset", float, 365.25), add(p, "age_group_range", default="45,80,5"), add(p, "sex_index", int, 1), add(p, "icd_code_map_file"), add(p, "vocab_file")
+    flag(p, "lists")
 
     p = stages.add_parser("evaluate")
     for name in ("data_file", "case_control_ids_file", "output_dir"):
         add(p, name, required=True)
-    add(p, "scorer", required=True), add(p, "sample_frac", float, 1.0), add(p, "batch_size", int, 8), add(p, "max_length", int, 4096), add(p, "last_str", default=" <NY> <INSTRUCT-DX>"), add(p, "gpus", float, 0.0)
+    add(p, "scorer", required=True), add(p, "sample_frac", float, 1.0), add(p, "batch_size", int, 8), add(p, "max_length", int, 4096), add(p, "last_str", default=" <NY> <INSTRUCT-DX>"), add(p, "gpus", float, 0.0), add(p, "device", default="auto")
     flag(p, "skip_logits")
     return top
 

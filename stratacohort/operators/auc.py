@@ -7,44 +7,60 @@ from pyspark.sql import functions as F
 CELL = ["disease", "sex", "age"]
 
 
-def midrank(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """scored with the average rank, from 1, of its logit in its cell."""
-    ties = F.count("*").over(Window.partitionBy(*cell, "logit"))
-    rank = F.rank().over(Window.partitionBy(*cell).orderBy("logit"))
-    return scored.withColumn("midrank", rank + (ties - 1) / F.lit(2.0))
+#: Ranges of scores between the smallest and the largest number; a cell's scores are summed within ranges, then over them.
+RANGES = 1 << 16
+
+
+def score_range(logit):
+    """The range that a score is in; ranges are in the order of scores."""
+    return F.floor(F.atan(logit.cast("double")) * (RANGES / 3.2)).cast("int")
 
 
 def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
-    """One row for each cell and distinct score: its cases and controls, those with lower scores, and the cell's sizes.
+    """One row for each cell and distinct score: its cases and controls, those with lower scores, and the cell's sizes m and n.
 
-    Counts are aggregated before the shuffle; what is sorted are distinct scores, not rows.
+    Counts are aggregated before the shuffle; what is sorted are distinct scores, not rows.  A cell is not sorted as a whole: running sums
+    over its ranges of scores, RANGES at most, are added to running sums within each range.
     """
     ties = scored.groupBy(*cell, "logit").agg(F.sum("label").cast("long").alias("cases"), F.sum(1 - F.col("label")).cast("long").alias("controls"))
-    whole = Window.partitionBy(*cell)
-    lower = whole.orderBy("logit").rowsBetween(Window.unboundedPreceding, -1)
+    ties = ties.withColumn("range", score_range(F.col("logit")))
     zero = F.lit(0).cast("long")
-    ties = ties.withColumns({"cases_below": F.coalesce(F.sum("cases").over(lower), zero), "controls_below": F.coalesce(F.sum("controls").over(lower), zero)})
-    ties = ties.withColumns({"m": F.sum("cases").over(whole), "n": F.sum("controls").over(whole)})
-    return ties.where("m > 0 AND n > 0")
+    whole = Window.partitionBy(*cell)
+    lower = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ties.groupBy(*cell, "range").agg(F.sum("cases").alias("c"), F.sum("controls").alias("h"))
+    ranges = ranges.withColumns({"c_below": F.coalesce(F.sum("c").over(lower), zero), "h_below": F.coalesce(F.sum("h").over(lower), zero), "m": F.sum("c").over(whole), "n": F.sum("h").over(whole)})
+    ranges = ranges.where("m > 0 AND n > 0").drop("c", "h")
+    inner = Window.partitionBy(*cell, "range").orderBy("logit").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ties.join(ranges, [*cell, "range"])
+    below = lambda count, base: F.coalesce(F.sum(count).over(inner), zero) + F.col(base)
+    return rows.withColumns({"cases_below": below("cases", "c_below"), "controls_below": below("controls", "h_below")}).drop("range", "c_below", "h_below")
+
+
+def midrank(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """Rows of two-class cells with the average rank, from 1, of their logit in their cell."""
+    places = placements(scored, cell)
+    rank = F.col("cases_below") + F.col("controls_below") + (F.col("cases") + F.col("controls") + 1) / F.lit(2.0)
+    return scored.join(places.select(*cell, "logit", rank.alias("midrank")), [*cell, "logit"])
 
 
 def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """Cells with both classes: auc, its DeLong variance var (NULL where a class has one row), n_diseased, n_healthy.
 
     A case's placement is the share of controls below it, ties half; the AUC is the cases' mean placement, and the
-    variance sums both classes' sample variances of placements over their sizes.
+    variance sums both classes' sample variances of placements over their sizes.  Both are sums over distinct scores, of
+    placements less one half, so that a cell's rows meet in partial sums alone.
     """
     half = F.lit(0.5)
     rows = placements(scored, cell)
-    rows = rows.withColumns({"v01": (F.col("controls_below") + half * F.col("controls")) / F.col("n"), "v10": 1 - (F.col("cases_below") + half * F.col("cases")) / F.col("m")})
-    rows = rows.withColumn("auc", F.sum(F.col("cases") * F.col("v01")).over(Window.partitionBy(*cell)) / F.col("m"))
-    # Both classes' mean placement is the AUC.
-    spread = lambda count, v, size: F.sum(F.col(count) * (F.col(v) - F.col("auc")) ** 2) / F.nullif(F.first(size) - 1, F.lit(0))
-    out = rows.groupBy(*cell).agg(
-        F.first("auc").alias("auc"), (spread("cases", "v01", "m") / F.first("m") + spread("controls", "v10", "n") / F.first("n")).alias("var"),
-        F.first("m").alias("n_diseased"), F.first("n").alias("n_healthy"),
-    )
-    return out
+    a = (F.col("controls_below") + half * F.col("controls")) / F.col("n") - half
+    b = half - (F.col("cases_below") + half * F.col("cases")) / F.col("m")
+    sums = rows.groupBy(*cell, "m", "n").agg(F.sum(F.col("cases") * a).alias("a"), F.sum(F.col("cases") * a * a).alias("aa"), F.sum(F.col("controls") * b).alias("b"), F.sum(F.col("controls") * b * b).alias("bb"))
+
+    def spread(size, s, ss):
+        """A class's sample variance of placements over its size."""
+        return F.greatest(F.col(ss) - F.col(s) * F.col(s) / F.col(size), F.lit(0.0)) / F.nullif(F.col(size) - 1, F.lit(0)) / F.col(size)
+
+    return sums.select(*cell, (half + F.col("a") / F.col("m")).alias("auc"), (spread("m", "a", "aa") + spread("n", "b", "bb")).alias("var"), F.col("m").alias("n_diseased"), F.col("n").alias("n_healthy"))
 
 
 def auc_by_ranks(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:

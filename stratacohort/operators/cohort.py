@@ -35,12 +35,12 @@ def _bracket(x: Column, config: Config) -> Column:
 
 
 def patients(points: DataFrame, config: Config) -> DataFrame:
-    """row_idx, sex, targets and had of each patient.
+    """row_idx, sex, targets, had and seen of each patient.
 
     Targets, in order of k, are the points from the second on and the sentinel.  pred_idx counts the points more than the
     offset before a target, less one, by a RANGE frame over age; -1 is none.  pred_q and seq_point are the age and the place of that
     point, age the start of its bracket.  had lists the diseases that keep a patient from being their control: those at the
-    second point or later, or all if strict.
+    second point or later, or all if strict; seen lists those of all points.
     """
     rows = with_sentinel(points, config)
     before = Window.partitionBy("row_idx").orderBy("q").rangeBetween(Window.unboundedPreceding, -config.lead_q)
@@ -56,8 +56,8 @@ def patients(points: DataFrame, config: Config) -> DataFrame:
         return F.transform(rows, lambda x: x.withField("age", _bracket(x, config)))
 
     ill = "p" if config.strict_controls else F.slice("p", F.lit(2), F.size("p"))
-    had = F.array_compact(F.transform(ill, lambda x: x["token"]))
-    return whole.select("row_idx", "sex", F.element_at(F.transform(F.array("p"), found), 1).alias("targets"), had.alias("had"))
+    tokens = lambda p: F.array_compact(F.transform(p, lambda x: x["token"]))
+    return whole.select("row_idx", "sex", F.element_at(F.transform(F.array("p"), found), 1).alias("targets"), tokens(ill).alias("had"), tokens("p").alias("seen"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -122,14 +122,52 @@ def cohort(points: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
 
 
 def cell_sizes(rows: DataFrame) -> DataFrame:
-    """Sizes of the cells that have both classes."""
+    """Sizes of the cells that have both classes, from cohort rows."""
     sums = rows.groupBy("disease", "sex", "age").agg(F.sum("label").cast("long").alias("n_diseased"), F.sum(1 - F.col("label")).cast("long").alias("n_healthy"))
     return sums.where("n_diseased > 0 AND n_healthy > 0")
 
 
-def two_class(rows: DataFrame) -> DataFrame:
-    """Cohort rows of two-class cells; as many cells as diseases, sexes and brackets allow."""
-    return rows.join(cell_sizes(rows).select("disease", "sex", "age"), ["disease", "sex", "age"], "left_semi")
+def first_predictions(rows: DataFrame, config: Config) -> DataFrame:
+    """row_idx, sex, had, age, seq_point: the point of each bracket at which a patient of patients() can be a control."""
+    return rows.select("row_idx", "sex", "had", F.explode(_first_predictions(config)).alias("c")).select("row_idx", "sex", "had", "c.age", "c.seq_point")
+
+
+def cells(rows: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
+    """cell_sizes() of the cohort of patients(), without a control row: all who have a first prediction, less those who had the disease.
+
+    So the work grows with the diseases that patients have, not with those that they lack.
+    """
+    key = ["disease", "sex", "age"]
+    diseased = cases(rows).join(diseases.select("disease").distinct(), "disease", "left_semi").groupBy(key).agg(F.count("*").alias("n_diseased"))
+    firsts = first_predictions(rows, config)
+    everyone = firsts.groupBy("sex", "age").agg(F.count("*").alias("n"))
+    ill = firsts.select("sex", "age", F.explode(F.array_distinct("had")).alias("disease")).groupBy(key).agg(F.count("*").alias("n_ill"))
+    found = diseased.join(everyone, ["sex", "age"]).join(ill, key, "left")
+    healthy = F.col("n") - F.coalesce("n_ill", F.lit(0))
+    return found.select(*key, "n_diseased", healthy.alias("n_healthy")).where("n_healthy > 0")
+
+
+def with_absent(firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """first_predictions() with the diseases of the two-class cells that the patient lacks; as many cells as sexes and brackets meet them."""
+    listed = found.groupBy("sex", "age").agg(F.collect_set("disease").alias("listed"))
+    rows = firsts.join(listed, ["sex", "age"]).withColumn("absent", F.array_except("listed", "had"))
+    return rows.where(F.size("absent") > 0).drop("listed", "had")
+
+
+def two_class(rows: DataFrame, found: DataFrame, config: Config) -> DataFrame:
+    """Cohort rows of the two-class cells, from patients() and their cells()."""
+    key = ["disease", "sex", "age"]
+    columns = [*key, "row_idx", "seq_point", "label"]
+    ill = cases(rows).join(found.select(key), key, "left_semi").withColumn("label", F.lit(1))
+    healthy = with_absent(first_predictions(rows, config), found).withColumn("disease", F.explode("absent")).withColumn("label", F.lit(0))
+    return ill.select(columns).unionByName(healthy.select(columns))
+
+
+def scoring_pairs(rows: DataFrame, found: DataFrame, config: Config) -> DataFrame:
+    """Each (row_idx, seq_point) of two_class() once, without its rows."""
+    key, pair = ["disease", "sex", "age"], ["row_idx", "seq_point"]
+    ill = cases(rows).join(found.select(key), key, "left_semi").select(pair)
+    return ill.unionByName(with_absent(first_predictions(rows, config), found).select(pair)).distinct()
 
 
 def bracket_counts(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
-from .cohort import disease_list
+from .cohort import cases, disease_list, first_predictions
 
 
 def unique_pairs(cohort: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def prompts(pairs: DataFrame, traj: DataFrame, config: Config) -> DataFrame:
 
 
 class Scorer(Protocol):
-    """Scores prompts(row_idx, seq_point, prompt) for a disease list: row_idx, seq_point, disease, logit."""
+    """Scores prompts(row_idx, seq_point, prompt) for a disease list: row_idx, seq_point, logits array<double>, in the order of the sorted list."""
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame: ...
 
@@ -45,8 +45,8 @@ class ArithmeticScorer:
     """Column arithmetic for tests: a score from the numbers of a row."""
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
-        rows = prompts.select("row_idx", "seq_point", F.explode(disease_list(diseases)).alias("disease"))
-        return rows.withColumn("logit", arithmetic_logit(F.col("row_idx"), F.col("seq_point"), F.col("disease")))
+        rows = prompts.select("row_idx", "seq_point").withColumn("listed", disease_list(diseases))
+        return rows.select("row_idx", "seq_point", F.transform("listed", lambda d: arithmetic_logit(F.col("row_idx"), F.col("seq_point"), d)).alias("logits"))
 
 
 class LinearScorer:
@@ -58,10 +58,25 @@ class LinearScorer:
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
         rows = prompts.select("row_idx", "seq_point", F.explode(F.split("prompt", " ", -1)).alias("token"))
         counts = rows.groupBy("row_idx", "seq_point", "token").agg(F.count("*").alias("n"))
-        wanted = self.weights.join(F.broadcast(diseases.select("disease").distinct()), "disease", "left_semi")
-        sums = counts.join(wanted, "token").groupBy("row_idx", "seq_point", "disease").agg(F.sum(F.col("n") * F.col("weight")).alias("logit"))
-        every = prompts.select("row_idx", "seq_point", F.explode(disease_list(diseases)).alias("disease"))
-        return every.join(sums, ["row_idx", "seq_point", "disease"], "left").fillna(0.0, ["logit"])
+        wanted = self.weights.join(slots(diseases), "disease")
+        sums = counts.join(wanted, "token").groupBy("row_idx", "seq_point", "slot").agg(F.sum(F.col("n") * F.col("weight")).alias("logit"))
+        found = sums.groupBy("row_idx", "seq_point").agg(F.sort_array(F.collect_list(F.struct("slot", "logit"))).alias("found"))
+        every = prompts.select("row_idx", "seq_point").join(found, ["row_idx", "seq_point"], "left").withColumn("listed", disease_list(diseases))
+        # Zeros up to the next slot that has a weight, that slot's sum, and so on.
+        ends = F.concat(F.coalesce("found", F.array().cast("array<struct<slot:int,logit:double>>")), F.array(F.struct(F.size("listed").alias("slot"), F.lit(None).cast("double").alias("logit"))))
+        pieces = F.transform(ends, lambda x, i: F.concat(F.array_repeat(F.lit(0.0), x["slot"] - F.coalesce(F.get(ends, i - 1)["slot"] + 1, F.lit(0))), F.array_compact(F.array(x["logit"]))))
+        return every.select("row_idx", "seq_point", F.flatten(pieces).alias("logits"))
+
+
+def slots(diseases: DataFrame) -> DataFrame:
+    """(disease, slot): the places, from 0, of the diseases in the sorted list; the vocabulary's size."""
+    return diseases.agg(F.sort_array(F.collect_set("disease")).alias("d")).select(F.posexplode("d").alias("slot", "disease"))
+
+
+def long_scores(scores: DataFrame, diseases: DataFrame) -> DataFrame:
+    """scores, a row for each disease: row_idx, seq_point, disease, logit."""
+    rows = scores.withColumn("listed", disease_list(diseases)).select("row_idx", "seq_point", F.explode(F.arrays_zip("listed", "logits")).alias("x"))
+    return rows.select("row_idx", "seq_point", F.col("x.listed").alias("disease"), F.col("x.logits").alias("logit"))
 
 
 class ModelScorer:
@@ -80,35 +95,79 @@ class ModelScorer:
 
         make = self.make_model
         listed = [r["disease"] for r in diseases.select("disease").distinct().orderBy("disease").collect()]  # the vocabulary's size
+        shared = prompts.sparkSession.sparkContext.broadcast(listed)
 
         def load():
-            model = make(listed)
+            model = make(shared.value)
             return lambda batch: np.asarray(model([str(x) for x in batch]), dtype=np.float32)
 
         predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
         rows = prompts.repartition(self.partitions) if self.partitions else prompts
         # Prompts of like length share a batch, which pads to its longest.
         rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point")
-        rows = self._on_gpus(rows, listed) if self.gpus else rows.select("row_idx", "seq_point", predict("prompt").alias("logits"))
-        rows = rows.select("row_idx", "seq_point", F.posexplode("logits").alias("i", "logit"))
-        names = F.array(*[F.lit(x) for x in listed]) if listed else F.array().cast("array<string>")
-        return rows.select("row_idx", "seq_point", F.get(names, F.col("i")).alias("disease"), "logit")
-
+        rows = self._on_gpus(rows, shared) if self.gpus else rows.select("row_idx", "seq_point", predict("prompt").alias("logits"))
+        return rows.select("row_idx", "seq_point", F.col("logits").cast("array<double>").alias("logits"))
 
-    def _on_gpus(self, rows: DataFrame, listed: list[str]) -> DataFrame:
+    def _on_gpus(self, rows: DataFrame, shared) -> DataFrame:
         from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 
-        make, size = self.make_model, self.batch_size
         profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", self.gpus)).build
+        return rows.mapInPandas(batches_through(self.make_model, shared, self.batch_size), "row_idx long, seq_point long, logits array<float>", profile=profile)
+
+
+def batches_through(make: Callable[[list[str]], Callable], shared, size: int) -> Callable:
+    """A function over pandas frames of prompts: the model is made once, and sees `size` prompts at a time."""
+    def run(frames):
+        model = make(shared.value)
+        for frame in frames:
+            parts = [frame.iloc[i : i + size] for i in range(0, len(frame), size)]
+            logits = [x for p in parts for x in np.asarray(model(list(p["prompt"])), dtype=np.float32).tolist()]
+            yield frame[["row_idx", "seq_point"]].assign(logits=logits)
+
+    return run
+
+
+def device(wanted: str = "auto") -> str:
+    """The device of this task's model: the GPU that Spark gave to the task, or the first, or the CPU; `wanted` is auto, cpu, cuda or cuda:N."""
+    from pyspark import TaskContext
+
+    if wanted not in ("auto", "cuda"):
+        return wanted
+    task = TaskContext.get()
+    given = task.resources().get("gpu") if task else None
+    if given:
+        return f"cuda:{given.addresses[0]}"
+    return "cuda:0" if wanted == "cuda" else "cpu"
 
-        def run(batches):
-            model = make(listed)
-            for batch in batches:
-                parts = [batch.iloc[i : i + size] for i in range(0, len(batch), size)]
-                logits = [x for p in parts for x in np.asarray(model(list(p["prompt"])), dtype=np.float32).tolist()]
-                yield batch[["row_idx", "seq_point"]].assign(logits=logits)
 
-        return rows.mapInPandas(run, "row_idx long, seq_point long, logits array<float>", profile=profile)
+def causal_lm(load: Callable[[str], tuple[Callable, Callable]], max_length: int = 4096, wanted: str = "auto") -> Callable[[list[str]], Callable]:
+    """make_model for ModelScorer from a causal model.
+
+    load(device) returns encode, from a token's or prompt's text to ids, and forward, from (ids, mask), both prompts x places and padded
+    on the right, to logits, prompts x places x vocabulary.  A prompt's logits are those at its last real token, for the
+    diseases' ids; prompts of no tokens are an error, and so is a disease that is not one token.
+    """
+    def make(diseases: list[str]) -> Callable[[list[str]], np.ndarray]:
+        encode, forward = load(device(wanted))
+        ids = [encode(d) for d in diseases]
+        if any(len(x) != 1 for x in ids):
+            raise ValueError("a disease is not one token of the vocabulary")
+        columns = np.array([x[0] for x in ids], np.int64)
+
+        def logits(prompts: list[str]) -> np.ndarray:
+            rows = [list(encode(p))[:max_length] for p in prompts]
+            lengths = np.array([len(x) for x in rows])
+            if len(rows) and not lengths.all():
+                raise ValueError("a prompt has no tokens")
+            mask = np.arange(max(lengths, default=0)) < lengths[:, None]
+            padded = np.zeros(mask.shape, np.int64)
+            padded[mask] = np.concatenate([np.asarray(x, np.int64) for x in rows]) if rows else []
+            out = np.asarray(forward(padded, mask))
+            return out[np.arange(len(rows)), lengths - 1][:, columns]
+
+        return logits
+
+    return make
 
 
 def missing_pairs(pairs: DataFrame, cached: DataFrame) -> DataFrame:
@@ -116,9 +175,27 @@ def missing_pairs(pairs: DataFrame, cached: DataFrame) -> DataFrame:
     return pairs.join(cached.select("row_idx", "seq_point").distinct(), ["row_idx", "seq_point"], "left_anti")
 
 
-def join_scores(cohort: DataFrame, scores: DataFrame) -> DataFrame:
-    """Cohort rows with their logits; rows without a score drop out, a NULL or NaN score is an error."""
-    rows = cohort.join(scores, ["row_idx", "seq_point", "disease"])
-    bad = F.col("logit").isNull() | F.isnan(F.col("logit").cast("double"))
-    checked = F.when(bad, F.raise_error(F.lit("a score is NULL or NaN")).cast("double")).otherwise(F.col("logit").cast("double"))
-    return rows.withColumn("logit", checked).select("disease", "sex", "age", "label", "row_idx", "seq_point", "logit")
+def checked(logit):
+    """A score as a double; NULL or NaN is an error."""
+    bad = logit.isNull() | F.isnan(logit.cast("double"))
+    return F.when(bad, F.raise_error(F.lit("a score is NULL or NaN")).cast("double")).otherwise(logit.cast("double"))
+
+
+SCORED = ["disease", "sex", "age", "label", "row_idx", "seq_point", "logit"]
+
+
+def join_scores(cohort: DataFrame, scores: DataFrame, diseases: DataFrame) -> DataFrame:
+    """Cohort rows with their logits; rows without a score drop out (missing_pairs() has them), a NULL or NaN score is an error."""
+    rows = cohort.join(slots(diseases), "disease").join(scores, ["row_idx", "seq_point"])
+    return rows.withColumn("logit", checked(F.get("logits", F.col("slot")))).select(SCORED)
+
+
+def scored_rows(people: DataFrame, scores: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
+    """join_scores() of the cohort of patients(), one-class cells included, without the cohort: a pair meets its scores before it
+    becomes a row for each disease."""
+    ill = cases(people).withColumn("label", F.lit(1))
+    pair = ["row_idx", "seq_point"]
+    firsts = first_predictions(people, config).join(scores, pair).withColumn("listed", disease_list(diseases))
+    lacks = F.filter(F.arrays_zip("listed", "logits"), lambda x: ~F.array_contains("had", x["listed"]))
+    healthy = firsts.select("sex", "age", *pair, F.explode(lacks).alias("x")).select(F.col("x.listed").alias("disease"), "sex", "age", F.lit(0).alias("label"), *pair, checked(F.col("x.logits")).alias("logit"))
+    return join_scores(ill, scores, diseases).unionByName(healthy)

@@ -34,24 +34,31 @@ def walked(traj: DataFrame, config: Config) -> DataFrame:
 
 
 def with_visits(rows: DataFrame) -> DataFrame:
-    """Adds v, the gaps walked so far, and loc, the place of the next visit: gap number v + 1 of the whole sequence, or its last token."""
+    """Adds v, the gaps walked so far, and loc, the place of the next visit: gap number v + 1 of the whole sequence, or its last token.
+
+    A gap's own number counts all gaps, walked or not.  In the order of these numbers each other row comes right after the gap that it asks
+    for, so the last gap passed is the one, if it has that number: a running window, and no row carries the gaps of its patient.
+    loc means nothing on the gaps themselves.
+    """
     gap = F.col("token").startswith(tk.GAP)
     so_far = Window.partitionBy("row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("row_idx")
-    rows = rows.withColumn("v", F.sum(F.when(gap & F.col("walks"), 1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("__gaps", F.array_sort(F.collect_list(F.when(gap, F.col("pos"))).over(whole)))
-    return rows.withColumn("loc", F.coalesce(F.get("__gaps", F.col("v").cast("int")), F.col("n_tok") - 1)).drop("__gaps")
+    rows = rows.withColumns({"v": F.sum(F.when(gap & F.col("walks"), 1).otherwise(0)).over(so_far), "__gap": F.sum(F.when(gap, 1).otherwise(0)).over(so_far)})
+    rows = rows.withColumn("__asks", F.when(gap, F.col("__gap")).otherwise(F.col("v") + 1))
+    by_number = Window.partitionBy("row_idx").orderBy("__asks", F.when(gap, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__last", F.last(F.when(gap, F.struct("__gap", "pos")), ignorenulls=True).over(by_number))
+    found = F.when(F.col("__last.__gap") == F.col("__asks"), F.col("__last.pos"))
+    return rows.withColumn("loc", F.coalesce(found, F.col("n_tok") - 1)).drop("__gap", "__asks", "__last")
 
 
 def running_age(rows: DataFrame, config: Config) -> DataFrame:
-    """Adds yrs and day, which a new year resets; only walked rows stay."""
-    rows = rows.where("walks")
+    """Adds yrs and day, which a new year resets; what is not walked moves neither."""
     so_far = Window.partitionBy("row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    in_year = Window.partitionBy("row_idx", "yrs").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     token = F.col("token")
-    rows = rows.withColumn("yrs", F.sum(F.when(token.startswith(tk.NEW_YEAR), 1).otherwise(0)).over(so_far))
-    gap = F.when(token.startswith(tk.GAP), tk.number(token) * config.gap_days).otherwise(0)
-    return rows.withColumn("day", F.sum(gap).over(in_year))
+    new_year = F.col("walks") & token.startswith(tk.NEW_YEAR)
+    gap = F.when(F.col("walks") & token.startswith(tk.GAP), tk.number(token) * config.gap_days).otherwise(0)
+    rows = rows.withColumns({"yrs": F.sum(F.when(new_year, 1).otherwise(0)).over(so_far), "__days": F.sum(gap).over(so_far)})
+    before = F.last(F.when(new_year, F.col("__days")), ignorenulls=True).over(so_far)  # all days up to the last new year
+    return rows.withColumn("day", F.col("__days") - F.coalesce(before, F.lit(0))).drop("__days")
 
 
 def aged(rows: DataFrame, config: Config) -> DataFrame:
@@ -60,16 +67,15 @@ def aged(rows: DataFrame, config: Config) -> DataFrame:
         return running_age(rows, config).withColumn("q", ((F.col("start_age") + F.col("yrs")) * YEAR_Q + 4 * F.col("day")).cast("long"))
     token = F.col("token")
     so_far = Window.partitionBy("row_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
-    rows = rows.where("walks")
-    years = F.coalesce(last(F.when(token.startswith(tk.AGE), tk.number(token))), F.col("start_age"))
-    days = F.coalesce(last(F.when(token.startswith(tk.GAP), tk.number(token) * config.gap_days)), F.lit(0))
+    last = lambda kind, value: F.last(F.when(F.col("walks") & token.startswith(kind), value), ignorenulls=True).over(so_far)
+    years = F.coalesce(last(tk.AGE, tk.number(token)), F.col("start_age"))
+    days = F.coalesce(last(tk.GAP, tk.number(token) * config.gap_days), F.lit(0))
     return rows.withColumn("q", (years * YEAR_Q + 4 * days).cast("long"))
 
 
 def points(traj: DataFrame, config: Config) -> DataFrame:
     """Diagnoses of truncated sequences: row_idx, sex, token, pos, q, loc; the first of each token, or all."""
-    rows = aged(with_visits(walked(traj, config)), config).where(F.col("token").startswith(tk.DISEASE))
+    rows = with_visits(aged(walked(traj, config), config)).where(F.col("walks") & F.col("token").startswith(tk.DISEASE))
     rows = rows.select("row_idx", "sex", "token", F.col("pos").cast("long").alias("pos"), "q", F.col("loc").cast("long").alias("loc"))
     if not config.first_occurrence:
         return rows
@@ -120,9 +126,31 @@ def head_fraction(traj: DataFrame, frac: float, n: int | None = None) -> DataFra
     return traj
 
 
+#: Hexadecimal digits by which sample_exact narrows its bound down, and rows that it looks at one by one.
+SAMPLE_DIGITS, SAMPLE_ROWS = 4, 4096
+
+
 def sample_exact(traj: DataFrame, n: int, seed: int = 42, id_col: str = "person_id") -> DataFrame:
-    """n rows, or all if there are fewer: those with the smallest seeded hashes, whatever the partitions."""
-    return traj.orderBy(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.col(id_col).cast("string")).limit(n)
+    """n rows, or all if there are fewer: those with the smallest md5 of "id:seed", then row_idx, whatever the partitions.
+
+    The bound is found by counting rows by more and more digits of the hash: counts of 16 ** SAMPLE_DIGITS groups and the last few rows reach the
+    driver, and no row is shuffled.  row_idx is distinct, and an id has few rows.
+    """
+    hashed = traj.withColumn("__h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))))
+    inside, digits, left = hashed, "", n
+    while True:
+        groups = sorted(tuple(r) for r in inside.groupBy(F.substring("__h", len(digits) + 1, SAMPLE_DIGITS)).count().collect())
+        if sum(c for _, c in groups) <= left:
+            return traj
+        for group, count in groups:
+            if left < count:
+                break
+            left -= count
+        digits += group
+        inside = hashed.where(F.substring("__h", 1, len(digits)) == digits)
+        if count <= SAMPLE_ROWS or len(digits) == 32:
+            last = sorted((r["__h"], r["row_idx"]) for r in inside.select("__h", "row_idx").collect())[left]
+            return hashed.where((F.col("__h") < last[0]) | (F.col("__h") == last[0]) & (F.col("row_idx") < last[1])).drop("__h")
 
 
 def not_empty(rows: DataFrame, what: str) -> DataFrame:

@@ -55,7 +55,7 @@ _CLASS = "CASE WHEN starts_with(token, '<NY') THEN 'new_year' WHEN starts_with(t
 _POOLED = "SELECT disease, round(round(auc, 12), 6) AS auc, n_samples, n_diseased, n_healthy FROM pooled"
 
 SELECTS = {
-    "scan_trajectories": "SELECT row_idx AS person_id, len(tok)::BIGINT AS n_tok, len(tok)::BIGINT - 1 AS total_token_count, thru AS token_count_thru_2022 FROM traj",
+    "scan_trajectories": "SELECT row_number() OVER (ORDER BY row_idx)::BIGINT - 1 AS row_idx, row_idx AS person_id, row_idx::VARCHAR AS patient_id, CASE WHEN row_idx >= 100 THEN 'b' END AS site, len(tok)::BIGINT AS n_tok, len(tok)::BIGINT - 1 AS total_token_count, thru AS token_count_thru_2022 FROM traj",
     "token_class_counts": f"SELECT {_CLASS} AS token_class, count(*)::BIGINT AS n FROM tk GROUP BY 1",
     "att_units": "SELECT att_type, row_idx AS person_id, max((start_age + yrs) * 1461 + 4 * day * days)::BIGINT AS max_q FROM located, (VALUES ('day', 1), ('week', 7), ('month', 30)) u(att_type, days) GROUP BY att_type, row_idx",
     "running_age": "SELECT row_idx, pos, yrs, day FROM ages",
@@ -71,6 +71,7 @@ SELECTS = {
     "stage1_points": "SELECT row_idx, k, pos, token, q, loc FROM pts",
     "id_list_semi_join": "SELECT row_idx FROM traj WHERE row_idx IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)",
     "head_fraction": "SELECT row_idx FROM (SELECT row_idx, row_number() OVER (ORDER BY row_idx) AS r, count(*) OVER () AS n FROM traj) WHERE r <= floor(n * 0.25)",
+    "sample_exact_n": "SELECT row_idx FROM traj ORDER BY md5(row_idx::VARCHAR || ':42'), row_idx LIMIT 100",
     "sex_split": "SELECT sex, count(*)::BIGINT AS n FROM sexes GROUP BY sex",
     "sentinel_targets": "SELECT row_idx, k, q::BIGINT AS q, is_sentinel FROM tg",
     "lead_time_asof": "SELECT row_idx, k, token, pred_idx, pred_q::BIGINT AS pred_q, seq_point::BIGINT AS seq_point FROM lead WHERE pred_idx >= 0",
@@ -85,6 +86,9 @@ SELECTS = {
     "unique_score_pairs": "SELECT row_idx, seq_point::BIGINT AS seq_point FROM pairs",
     "prompt_build": "SELECT row_idx, seq_point::BIGINT AS seq_point, array_to_string(list_slice(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1, 4096), ' ') AS prompt FROM pairs JOIN traj USING (row_idx)",
     "score_subspace": "SELECT row_idx, seq_point::BIGINT AS seq_point, disease, ((row_idx * 7919 + seq_point * 31 + length(disease) * 17) % 50)::DOUBLE / 10 + row_idx % 3 AS logit FROM pairs, diseases",
+    "score_model": """SELECT row_idx, seq_point::BIGINT AS seq_point, disease, ((length(prompt) * (place + 2)) % 17)::DOUBLE / 4 AS logit
+        FROM (SELECT row_idx, seq_point, array_to_string(list_slice(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1, 4096), ' ') AS prompt FROM pairs JOIN traj USING (row_idx)),
+        (SELECT disease, row_number() OVER (ORDER BY disease) AS place FROM diseases)""",
     "score_join": "SELECT disease, sex, age, label, row_idx, logit FROM scored",
     "midrank": "SELECT a.disease, a.sex, a.age, a.row_idx, count(*) FILTER (WHERE b.logit < a.logit) + (count(*) FILTER (WHERE b.logit = a.logit) + 1) / 2.0::DOUBLE AS midrank FROM scored a JOIN scored b ON a.disease = b.disease AND a.sex = b.sex AND a.age = b.age GROUP BY a.disease, a.sex, a.age, a.row_idx, a.label",
     "cell_auc": "SELECT disease, sex, age, round(round(auc, 12), 6) AS auc, n_diseased, n_healthy FROM areas",

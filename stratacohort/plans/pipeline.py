@@ -1,72 +1,91 @@
-"""The three stages as one plan, or as stages kept under a path for each configuration."""
+"""The three stages as one plan, or as stages kept under a path for each configuration and input."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import auc, cohort, pool, scoring, sequence
-from ..sources import sinks
+from ..sources import scratch, sinks
 
 
 @dataclass
 class Evaluation:
-    """All relations of a run; nothing is computed until one is used."""
+    """All relations of a run.  Patients and cell sizes are tables; nothing else is computed until it is used."""
 
     config: Config
     traj: DataFrame
     points: DataFrame
     diseases: DataFrame
+    people: DataFrame
     cohort: DataFrame
+    pairs: DataFrame
     scores: DataFrame
     cells: DataFrame
     pooled: DataFrame
-    persisted: DataFrame | None = None
+    used: list[str] = field(default_factory=list)
+
+    def n_missing(self) -> int:
+        """Pairs that should have scores and have none: their rows have dropped out."""
+        return scoring.missing_pairs(self.pairs, self.scores).count()
 
     def release(self) -> None:
-        """Give back what the run holds in memory and on disk."""
-        if self.persisted is not None:
-            self.persisted.unpersist()
+        """Delete the tables that the run made for itself; its relations can't be used any more."""
+        scratch.delete(self.pooled.sparkSession, self.used)
+
+
+def first_rows(traj: DataFrame, config: Config) -> DataFrame:
+    return sequence.head_fraction(traj, config.sample_frac) if config.sample_frac < 1 else traj
 
 
 def evaluate(traj: DataFrame, config: Config, scorer: scoring.Scorer | None = None, diseases: DataFrame | None = None) -> Evaluation:
-    """From trajectories to pooled areas; diseases(disease) defaults to all that occur."""
-    scorer = scorer or scoring.ArithmeticScorer()
-    if config.sample_frac < 1:
-        traj = sequence.head_fraction(traj, config.sample_frac)
-    kept, points = sequence.stage1(traj, config)
-    listed = points.select(F.col("token").alias("disease")).distinct() if diseases is None else diseases
-    # Counted by cell, asked for and scored: computed once, and again only where an executor is lost.
-    every = cohort.cohort(points, listed, config).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = cohort.two_class(every)
-    asked = scoring.prompts(scoring.unique_pairs(rows), kept, config)
-    scores = scorer.score(asked, listed)
-    cells = auc.cell_auc(scoring.join_scores(rows, scores))
-    return Evaluation(config, kept, points, listed, rows, scores, cells, pool.disease_auc(cells), every)
+    """From trajectories to pooled areas; diseases(disease) defaults to all that occur.  Stages 1 and 2 run at once, into tables."""
+    scorer, used = scorer or scoring.ArithmeticScorer(), []
+    kept, points = sequence.stage1(first_rows(traj, config), config)
+    people = scratch.written(cohort.patients(points, config), "patients", used)
+    listed = (people.select(F.explode("seen").alias("disease")) if diseases is None else diseases.select("disease")).distinct()
+    listed = scratch.written(listed, "diseases", used)
+    sizes = scratch.written(cohort.cells(people, listed, config), "cells", used)
+    pairs = cohort.scoring_pairs(people, sizes, config)
+    scores = scorer.score(scoring.prompts(pairs, kept, config), listed)
+    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config))
+    return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells), used)
+
+
+#: Columns of trajectories that a run's result depends on.
+INPUT = ["row_idx", "seq", "token_count_thru_2022", "total_token_count"]
+
+
+def run_key(traj: DataFrame, config: Config, diseases: DataFrame | None = None) -> str:
+    """Keys what is kept of a run: all settings, the trajectories, and the disease list."""
+    given = scratch.fingerprint(traj, [c for c in INPUT if c in traj.columns])
+    listed = "all" if diseases is None else scratch.fingerprint(diseases.select("disease").distinct(), ["disease"])
+    return hashlib.sha256(f"{config.key} {given} {listed}".encode()).hexdigest()[:24]
 
 
 def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: str, scorer: scoring.Scorer, scorer_key: str, diseases: DataFrame | None = None) -> Evaluation:
-    """evaluate() with each stage written below path and reused where the whole configuration is the same.
+    """evaluate() with each stage written below path and reused where the configuration, the trajectories and the disease list are the same.
 
-    Scores are kept by scorer_key and configuration; only pairs that the kept table lacks are scored.
+    Scores are kept by scorer_key besides; only pairs that the kept table lacks are scored.
     """
-    run = evaluate(traj, config, scorer, diseases)
-    key = config.key
-    points = sinks.materialise(spark, path, "points", key, lambda: run.points)
-    listed = sinks.materialise(spark, path, "diseases", key, lambda: points.select(F.col("token").alias("disease")).distinct() if diseases is None else diseases.select("disease").distinct())
-    rows = sinks.materialise(spark, path, "cohort", key, lambda: cohort.two_class(cohort.cohort(points, listed, config)))
-    pairs = scoring.unique_pairs(rows)
-    scores = sinks.materialise(spark, path, f"scores-{scorer_key}", key, lambda: scorer.score(scoring.prompts(pairs, run.traj, config), listed))
+    key = run_key(traj, config, diseases)
+    kept, found = sequence.stage1(first_rows(traj, config), config)
+    points = sinks.materialise(spark, path, "points", key, lambda: found)
+    people = sinks.materialise(spark, path, "patients", key, lambda: cohort.patients(points, config))
+    listed = sinks.materialise(spark, path, "diseases", key, lambda: (people.select(F.explode("seen").alias("disease")) if diseases is None else diseases.select("disease")).distinct())
+    sizes = sinks.materialise(spark, path, "cells", key, lambda: cohort.cells(people, listed, config))
+    pairs = cohort.scoring_pairs(people, sizes, config)
+    scores = sinks.materialise(spark, path, f"scores-{scorer_key}", key, lambda: scorer.score(scoring.prompts(pairs, kept, config), listed))
     more = scoring.missing_pairs(pairs, scores)
     if not more.isEmpty():
-        extra = scorer.score(scoring.prompts(more, run.traj, config), listed)
+        extra = scorer.score(scoring.prompts(more, kept, config), listed)
         extra.write.mode("append").parquet(f"{path.rstrip('/')}/scores-{scorer_key}-{key}")
         scores = spark.read.parquet(f"{path.rstrip('/')}/scores-{scorer_key}-{key}")
-    cells = auc.cell_auc(scoring.join_scores(rows, scores))
-    return Evaluation(config, run.traj, points, listed, rows, scores, cells, pool.disease_auc(cells))
+    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config))
+    return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells))
 
 
 def report(run: Evaluation, path: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DAYS, profile
 from ..functions import tokens as tk
 from ..operators import auc, cohort, pool, scoring, sequence
-from ..sources import fixtures, trajectories
+from ..sources import fixtures, scratch, trajectories
 from .pipeline import evaluate
 
 CONFIG = profile("days")
@@ -47,17 +47,34 @@ def patients_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.patients(stage1(spark, sf_dir)[1], CONFIG)
 
 
-def all_cohort(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trajectories, cohort of all cells, diseases."""
-    kept, points = stage1(spark, sf_dir)
-    listed = diseases_of(points)
-    return kept, cohort.cohort(points, listed, CONFIG), listed
+def shards_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trajectories written as shards in nested folders, one with a column of its own, and scanned back by the source; row_idx is their order."""
+    path = scratch.folder(spark, "shards")
+    rows = traj_of(spark, sf_dir).drop("row_idx").withColumn("enrollee_id", F.col("person_id").cast("string"))
+    rows = scratch.written(rows.repartitionByRange("person_id").sortWithinPartitions("person_id"), "trajectories")
+    middle = F.col("person_id") < 100
+    rows.where(middle).write.parquet(f"{path}/a/first")
+    rows.where(~middle).withColumn("site", F.lit("b")).write.parquet(f"{path}/b/c/rest")
+    return trajectories.validate(trajectories.scan_trajectories(spark, path))
 
 
-def cohort_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Trajectories, two-class cohort, diseases."""
-    kept, rows, listed = all_cohort(spark, sf_dir)
-    return kept, cohort.two_class(rows), listed
+def people_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Truncated trajectories, patients, diseases, sizes of the two-class cells; trajectories and patients are written, as later steps read them several times."""
+    kept, points = sequence.stage1(scratch.written(traj_of(spark, sf_dir), "trajectories"), CONFIG)
+    people = scratch.written(cohort.patients(points, CONFIG), "patients")
+    listed = people.select(F.explode("seen").alias("disease")).distinct()
+    return kept, people, listed, cohort.cells(people, listed, CONFIG)
+
+
+def pairs_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truncated trajectories, pairs to be scored, diseases."""
+    kept, people, listed, sizes = people_of(spark, sf_dir)
+    return kept, cohort.scoring_pairs(people, sizes, CONFIG), listed
+
+
+def two_class_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, people, _, sizes = people_of(spark, sf_dir)
+    return cohort.two_class(people, sizes, CONFIG)
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -67,7 +84,8 @@ def scored(rows: DataFrame) -> DataFrame:
 
 def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of all cells; those of one class drop out there."""
-    return auc.cell_auc(scored(all_cohort(spark, sf_dir)[1]))
+    points = stage1(spark, sf_dir)[1]
+    return auc.cell_auc(scored(cohort.cohort(points, diseases_of(points), CONFIG)))
 
 
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -77,7 +95,7 @@ def rounded(rows: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def scan_trajectories(spark, sf_dir):
-    return traj_of(spark, sf_dir).select("person_id", F.size(tk.split_tokens(F.col("seq"))).alias("n_tok"), "total_token_count", "token_count_thru_2022")
+    return shards_of(spark, sf_dir).select("row_idx", "person_id", "patient_id", "site", F.size(tk.split_tokens(F.col("seq"))).alias("n_tok"), "total_token_count", "token_count_thru_2022")
 
 
 @query
@@ -100,7 +118,7 @@ def att_units(spark, sf_dir):
 @query
 def running_age(spark, sf_dir):
     rows = sequence.running_age(sequence.walked(truncated(spark, sf_dir), CONFIG), CONFIG)
-    return rows.select("row_idx", "pos", "yrs", "day")
+    return rows.where("walks").select("row_idx", "pos", "yrs", "day")
 
 
 @query
@@ -147,8 +165,10 @@ def stage1_points(spark, sf_dir):
 
 @query
 def id_list_semi_join(spark, sf_dir):
-    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 5").select(F.col("c_custkey").cast("string").alias("id")).distinct()
-    return sequence.filter_ids(traj_of(spark, sf_dir).withColumn("enrollee_id", F.col("person_id")), ids).select("row_idx")
+    path = scratch.folder(spark, "ids") + ".csv"
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 5").select(F.lit("x").alias("name"), F.col("c_custkey").alias("enrollee_id"))
+    ids.unionByName(ids).write.option("header", True).csv(path)
+    return sequence.filter_ids(shards_of(spark, sf_dir), trajectories.id_list(spark, path)).select(F.col("person_id").alias("row_idx"))
 
 
 @query
@@ -200,7 +220,7 @@ def control_cohort(spark, sf_dir):
 
 @query
 def cell_sizes(spark, sf_dir):
-    return cohort.cell_sizes(all_cohort(spark, sf_dir)[1])
+    return people_of(spark, sf_dir)[3]
 
 
 @query
@@ -214,44 +234,46 @@ CODES = ["B1S", "B13E", "B25P", "B2M", "B2M", "NOSUCH"]
 
 @query
 def disease_list_filter(spark, sf_dir):
-    points = stage1(spark, sf_dir)[1]
-    codes = spark.createDataFrame([(c,) for c in CODES], "code string")
-    listed = trajectories.known_diseases(fixtures.vocabulary(traj_of(spark, sf_dir)), codes).select(F.col("token").alias("disease"))
-    return cohort.cell_sizes(cohort.cohort(points, listed, CONFIG)).groupBy("disease").agg(F.count("*").alias("n_cells"))
+    path = scratch.folder(spark, "codes") + ".csv"
+    spark.createDataFrame([(i, c) for i, c in enumerate(CODES)], "place int, `ICD code` string").write.option("header", True).csv(path)
+    _, people, listed, _ = people_of(spark, sf_dir)
+    vocab = listed.select(F.col("disease").alias("token"), F.lit(1).alias("token_id"))
+    wanted = trajectories.known_diseases(vocab, trajectories.code_list(spark, path)).select(F.col("token").alias("disease"))
+    return cohort.cells(people, wanted, CONFIG).groupBy("disease").agg(F.count("*").alias("n_cells"))
 
 
 @query
 def unique_diseases(spark, sf_dir):
-    return scoring.unique_diseases(cohort_of(spark, sf_dir)[1])
+    return scoring.unique_diseases(people_of(spark, sf_dir)[3])
 
 
 @query
 def unique_score_pairs(spark, sf_dir):
-    return scoring.unique_pairs(cohort_of(spark, sf_dir)[1])
+    return pairs_of(spark, sf_dir)[1]
 
 
 @query
 def prompt_build(spark, sf_dir):
-    kept, rows, _ = cohort_of(spark, sf_dir)
-    return scoring.prompts(scoring.unique_pairs(rows), kept, CONFIG)
+    kept, pairs, _ = pairs_of(spark, sf_dir)
+    return scoring.prompts(pairs, kept, CONFIG)
 
 
 @query
 def score_subspace(spark, sf_dir):
-    kept, rows, listed = cohort_of(spark, sf_dir)
-    return scoring.ArithmeticScorer().score(scoring.prompts(scoring.unique_pairs(rows), kept, CONFIG), listed)
+    kept, pairs, listed = pairs_of(spark, sf_dir)
+    return scoring.long_scores(scoring.ArithmeticScorer().score(scoring.prompts(pairs, kept, CONFIG), listed), listed)
 
 
 @query
 def score_join(spark, sf_dir):
-    kept, rows, listed = cohort_of(spark, sf_dir)
-    scores = scoring.ArithmeticScorer().score(scoring.unique_pairs(rows), listed)
-    return scoring.join_scores(rows, scores).select("disease", "sex", "age", "label", "row_idx", "logit")
+    _, people, listed, sizes = people_of(spark, sf_dir)
+    scores = scoring.ArithmeticScorer().score(cohort.scoring_pairs(people, sizes, CONFIG), listed)
+    return scoring.join_scores(cohort.two_class(people, sizes, CONFIG), scores, listed).select("disease", "sex", "age", "label", "row_idx", "logit")
 
 
 @query
 def midrank(spark, sf_dir):
-    return auc.midrank(scored(cohort_of(spark, sf_dir)[1])).select("disease", "sex", "age", "row_idx", "midrank")
+    return auc.midrank(scored(two_class_of(spark, sf_dir))).select("disease", "sex", "age", "row_idx", "midrank")
 
 
 @query
@@ -287,9 +309,9 @@ def pipeline_e2e(spark, sf_dir):
 @query
 def score_model(spark, sf_dir):
     """A stand-in model: logits from the prompt's length and the disease's place."""
-    kept, rows, listed = cohort_of(spark, sf_dir)
+    kept, pairs, listed = pairs_of(spark, sf_dir)
 
     def make_model(diseases):
         return lambda prompts: [[(len(p) * (i + 3)) % 17 / 4 for i in range(len(diseases))] for p in prompts]
 
-    return scoring.ModelScorer(make_model, CONFIG.batch_size).score(scoring.prompts(scoring.unique_pairs(rows), kept, CONFIG), listed)
+    return scoring.long_scores(scoring.ModelScorer(make_model, CONFIG.batch_size).score(scoring.prompts(pairs, kept, CONFIG), listed), listed)

@@ -24,13 +24,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def materialise(spark: SparkSession, path: str, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table path/name-key, made if it isn't there in full: the key stands for all settings."""
+    """The table path/name-key, made if it isn't there in full: the key stands for all settings and inputs."""
     table = f"{path.rstrip('/')}/{name}-{key}"
     if not exists(spark, f"{table}/_SUCCESS"):
         write_parquet(make(), table)
     return spark.read.parquet(table)
 
 
+def require(rows: DataFrame, columns: list[str], what: str) -> DataFrame:
+    """rows, once they are known to have the columns of such a file."""
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"{what} lacks the columns {', '.join(missing)}")
+    return rows
+
+
+STAGE1 = ["row_idx", "seq", "eval_seq", "disease_points", "disease_points_ages", "disease_points_visit_location"]
+STAGE2 = ["disease", "sex", "age", "label", "row_idx", "seq_point"]
+STAGE2_LISTS = ["disease", "sex", "age", "case_ids", "control_ids", "case_seq_points", "control_seq_points"]
+
+
 def stage1_file(traj: DataFrame, points: DataFrame) -> DataFrame:
     """Trajectories with list columns of their points: the file format between stages."""
     point = F.array_sort(F.collect_list(F.struct("k", "pos", "q", "loc")))
@@ -43,6 +55,7 @@ def stage1_file(traj: DataFrame, points: DataFrame) -> DataFrame:
 
 def points_of(stage1: DataFrame, config: Config) -> DataFrame:
     """Points again from a file of stage 1: tokens are those of the whole sequence at the points' places."""
+    require(stage1, [c for c in STAGE1 if c != "eval_seq"], "a file of stage 1")
     tokens = tk.split_tokens(F.col("seq"))
     zipped = F.arrays_zip(F.col("disease_points").alias("pos"), F.col("disease_points_ages").alias("age"), F.col("disease_points_visit_location").alias("loc"))
     rows = stage1.select("row_idx", tk.sex(tokens, config.sex_index).alias("sex"), tokens.alias("tokens"), F.posexplode(zipped).alias("k", "p"))
@@ -52,20 +65,38 @@ def points_of(stage1: DataFrame, config: Config) -> DataFrame:
     )
 
 
+def with_ids(rows: DataFrame, vocab: DataFrame | None) -> DataFrame:
+    """rows with the id of their disease's token beside it, null if the vocabulary lacks it; as they are without a vocabulary."""
+    if vocab is None:
+        return rows
+    ids = vocab.select(F.col("token").alias("disease"), F.col("token_id").cast("int").alias("disease_token"))
+    return rows.join(ids, "disease", "left")
+
+
+def stage2_rows(cohort: DataFrame, age_step: int, vocab: DataFrame | None = None) -> DataFrame:
+    """The file format between stages 2 and 3: a row for each case and control of the two-class cells."""
+    return with_ids(cohort.select(*STAGE2).withColumn("age_step", F.lit(age_step)), vocab)
+
+
 def cohort_of(stage2: DataFrame) -> DataFrame:
-    """Cohort rows again from a file of stage 2."""
+    """Cohort rows again from a file of stage 2, of rows or of lists."""
+    more = [c for c in ("disease_token",) if c in stage2.columns]
+    if "case_ids" not in stage2.columns:
+        return require(stage2, STAGE2, "a file of stage 2").select(*STAGE2, *more)
+    require(stage2, STAGE2_LISTS, "a file of stage 2")
+
     def side(name: str, label: int) -> DataFrame:
         zipped = F.arrays_zip(F.col(f"{name}_ids").alias("row_idx"), F.col(f"{name}_seq_points").alias("seq_point"))
-        rows = stage2.select("disease", "sex", "age", F.explode(zipped).alias("p"))
-        return rows.select("disease", "sex", "age", "p.row_idx", "p.seq_point", F.lit(label).alias("label"))
+        rows = stage2.select("disease", "sex", "age", *more, F.explode(zipped).alias("p"))
+        return rows.select("disease", "sex", "age", F.lit(label).alias("label"), "p.row_idx", "p.seq_point", *more)
 
     return side("case", 1).unionByName(side("control", 0))
 
 
-def stage2_file(cohort: DataFrame, age_step: int) -> DataFrame:
-    """One row for each two-class cell, with its ids and scoring points as lists."""
+def stage2_lists(cohort: DataFrame, age_step: int, vocab: DataFrame | None = None) -> DataFrame:
+    """One row for each two-class cell, with its ids and scoring points as lists, for programs that read such files: a cell must fit in a row."""
     pick = lambda label, field: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("row_idx", "seq_point")))), lambda x: x[field].cast("long"))
     cells = cohort.groupBy("sex", "disease", "age").agg(
         pick(1, "row_idx").alias("case_ids"), pick(0, "row_idx").alias("control_ids"), pick(1, "seq_point").alias("case_seq_points"), pick(0, "seq_point").alias("control_seq_points")
     )
-    return cells.withColumn("age_step", F.lit(age_step)).where((F.size("case_ids") > 0) & (F.size("control_ids") > 0))
+    return with_ids(cells.withColumn("age_step", F.lit(age_step)).where((F.size("case_ids") > 0) & (F.size("control_ids") > 0)), vocab)

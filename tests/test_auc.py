@@ -42,6 +42,21 @@ def test_midranks(spark):
     assert got == [(1.0, 1.0), (2.0, 3.0), (2.0, 3.0), (2.0, 3.0), (5.0, 5.0)]
 
 
+def test_ranges_are_in_the_order_of_scores(spark):
+    """Two levels of sums give what one sort gives, also for scores that share a range, are huge, tiny or infinite."""
+    rnd = random.Random(2)
+    some = [float("-inf"), -1e300, -7.0, -1e-9, 0.0, 5e-324, 1e-9, 1e-9 + 1e-18, 3.0, 3.0 + 1e-12, 1e5, 1e300, float("inf")]
+    values = some + [rnd.gauss(0, 3) for _ in range(400)] + [rnd.gauss(5, 1e-7) for _ in range(200)]
+    cases, controls = ([rnd.choice(values) for _ in range(500)] for _ in range(2))
+    rows = {r["logit"]: r for r in auc.placements(scored(spark, cases, controls).repartition(5)).collect()}
+    for x in set(cases) | set(controls):
+        r = rows[x]
+        assert (r["cases"], r["controls"], r["cases_below"], r["controls_below"], r["m"], r["n"]) == (cases.count(x), controls.count(x), sum(c < x for c in cases), sum(c < x for c in controls), 500, 500)
+    plan = auc.cell_auc(scored(spark, cases, controls))._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if "+- Window " in line or ":- Window " in line or line.lstrip().startswith("Window ")]
+    assert windows and not any("logit" in w.rsplit("], [", 2)[-1] and "range" not in w.rsplit("], [", 2)[-2] for w in windows)  # scores are sorted within ranges alone
+
+
 def test_pooling(spark):
     cells = spark.createDataFrame([("d", 0.6, 0.01, 3, 10), ("d", 0.8, 0.03, 1, 5), ("e", 0.4, None, 1, 1)], "disease string, auc double, var double, n_diseased long, n_healthy long")
     rows = {r["disease"]: r for r in pool.disease_auc(cells).collect()}
@@ -56,14 +71,14 @@ def test_pooling(spark):
 @pytest.mark.parametrize("bad", [None, float("nan")])
 def test_scores_must_be_numbers(spark, bad):
     rows = spark.createDataFrame([("d", "male", 50, 1, 1, 2)], "disease string, sex string, age int, label int, row_idx long, seq_point long")
-    scores = spark.createDataFrame([(1, 2, "d", bad)], "row_idx long, seq_point long, disease string, logit double")
+    scores = spark.createDataFrame([(1, 2, [bad])], "row_idx long, seq_point long, logits array<double>")
     with pytest.raises(Exception, match="NULL or NaN"):
-        scoring.join_scores(rows, scores).collect()
+        scoring.join_scores(rows, scores, rows.select("disease")).collect()
 
 
 def test_linear_scorer(spark):
     weights = spark.createDataFrame([("a", "d", 1.0), ("b", "d", 10.0), ("a", "e", 5.0)], "token string, disease string, weight double")
     prompts = spark.createDataFrame([(0, 3, "a b a"), (1, 1, "c")], "row_idx long, seq_point long, prompt string")
     listed = spark.createDataFrame([("d",), ("e",)], "disease string")
-    got = {(r["row_idx"], r["disease"]): r["logit"] for r in scoring.LinearScorer(weights).score(prompts, listed).collect()}
+    got = {(r["row_idx"], r["disease"]): r["logit"] for r in scoring.long_scores(scoring.LinearScorer(weights).score(prompts, listed), listed).collect()}
     assert got == {(0, "d"): 12.0, (0, "e"): 10.0, (1, "d"): 0.0, (1, "e"): 0.0}

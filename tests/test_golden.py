@@ -143,5 +143,40 @@ def test_file_formats(spark):
     assert (row["disease_points"], row["disease_points_ages"], row["disease_points_visit_location"]) == ([6, 7, 12], [18272.5, 18272.5, 18647.75], [8, 8, 12])
     listed = spark.createDataFrame([("<DX-MAJOR_C>",)], "disease string")
     other = G1.replace(" C", " D")
-    cells = sinks.stage2_file(cohort.cohort(stage1(spark, G1, other), listed, DAYS), DAYS.bracket_width).collect()
+    cells = sinks.stage2_lists(cohort.cohort(stage1(spark, G1, other), listed, DAYS), DAYS.bracket_width).collect()
     assert [(c["case_ids"], c["control_ids"], c["case_seq_points"], c["control_seq_points"], c["age_step"]) for c in cells] == [([0], [1], [8], [8], 10)]
+
+
+def test_cells_without_control_rows(spark, sf_dir):
+    """Sizes, cohort and pairs of two-class cells are those of the whole cohort, formed row by row."""
+    from stratacohort.operators import scoring
+    from stratacohort.sources import fixtures
+
+    for config in (DAYS, profile("days", strict_controls=True), profile("days", first_occurrence=False, max_points=60)):
+        points = sequence.stage1(fixtures.trajectories(spark, sf_dir).where("row_idx < 60"), config)[1]
+        people = cohort.patients(points, config).persist()
+        listed = points.select(F.col("token").alias("disease")).distinct().where("disease < '<DX-MAJOR_B4'")
+        whole = cohort.cohort(points, listed, config).persist()
+        sizes = cohort.cells(people, listed, config)
+        rows = lambda df: sorted(map(repr, df.select("disease", "sex", "age", *df.columns[3:]).collect()))
+        assert rows(sizes) == rows(cohort.cell_sizes(whole)) != []
+        members = whole.join(sizes.select("disease", "sex", "age"), ["disease", "sex", "age"], "left_semi").select("disease", "sex", "age", "row_idx", "seq_point", "label")
+        assert rows(cohort.two_class(people, sizes, config)) == rows(members)
+        assert sorted(map(tuple, cohort.scoring_pairs(people, sizes, config).collect())) == sorted(map(tuple, scoring.unique_pairs(members).collect()))
+        people.unpersist(), whole.unpersist()
+
+
+def test_long_histories(spark):
+    """Twenty thousand visits of one patient: places and ages by running windows, in seconds."""
+    import time
+
+    text = "<BOS> <SEX-1> <R-0> <AGE_50> " + " ".join(f"<ATT-{1 + i % 3}> <DX-MAJOR_{i}>" + " <NY>" * (i % 50 == 49) for i in range(20_000))
+    config = profile("days", max_length=10**6)
+    began = time.perf_counter()
+    rows = sequence.points(sequence.truncate(traj(spark, text), config), config).orderBy("pos").collect()
+    assert len(rows) == 20_000 and time.perf_counter() - began < 60
+    tokens = text.split(" ")
+    gaps = [i for i, t in enumerate(tokens) if t.startswith("<ATT")]
+    for k in (0, 1, 49, 50, 777, 19_998):
+        assert rows[k]["loc"] == gaps[k + 1]
+    assert rows[-1]["loc"] == len(tokens) - 1

@@ -1,5 +1,6 @@
 """The three stages as programs, against the plan in one piece."""
 import pytest
+from pyspark.sql import functions as F
 
 from stratacohort.__main__ import main
 from stratacohort.config import profile
@@ -13,16 +14,20 @@ def test_three_programs_equal_one_plan(spark, sf_dir, tmp_path):
     out = f"{tmp_path}/out"
     points = main(["points", "--data_dir", f"{tmp_path}/shards", "--output_dir", out, "--demo_end_index", "3", "--longitudinal"], spark)
     assert {"disease_points", "disease_points_ages", "disease_points_visit_location", "eval_seq", "patient_id"} <= set(points.columns)
-    cells = main(["cohorts", "--data_dir", f"{out}/traj_test_pd.parquet", "--output_dir", out, "--age_group_range", "20,100,10"], spark)
+    members = main(["cohorts", "--data_dir", f"{out}/traj_test_pd.parquet", "--output_dir", out, "--age_group_range", "20,100,10", "--lists"], spark)
     areas = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "arithmetic"], spark)
     whole = evaluate(trajectories.scan_trajectories(spark, f"{tmp_path}/shards"), profile("days"))
     key = lambda r: (r["disease"], r["sex"], r["age"], r["n_diseased"], r["n_healthy"], round(r["auc"], 9))
     assert sorted(map(key, areas.collect())) == sorted(map(key, whole.cells.collect()))
-    assert cells.count() == whole.cells.count()
+    assert members.select("disease", "sex", "age").distinct().count() == whole.cells.count() and members.count() == whole.cohort.count()
+    by_lists = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/lists_case_controls.parquet", "--output_dir", f"{out}/2", "--scorer", "arithmetic"], spark)
+    assert sorted(map(key, by_lists.collect())) == sorted(map(key, whole.cells.collect())) and whole.n_missing() == 0
     pooled = spark.read.option("header", True).csv(f"{out}/auc_results.csv")
     assert pooled.count() == whole.pooled.count() and pooled.columns == ["disease", "auc", "n_samples", "n_diseased", "n_healthy"]
     reused = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "no.such:thing", "--skip_logits"], spark)
     assert reused.count() == whole.cells.count()
+    with pytest.raises(ModuleNotFoundError):  # other settings have no scores yet
+        main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "no.such:thing", "--skip_logits", "--max_length", "9"], spark)
     whole.release()
 
 
@@ -33,11 +38,28 @@ def test_formats_between_stages_round_trip(spark, sf_dir):
     back = sinks.points_of(sinks.stage1_file(run.traj, run.points), config)
     assert sorted(map(repr, back.select(columns).collect())) == sorted(map(repr, run.points.select(columns).collect()))
     columns = ["disease", "sex", "age", "row_idx", "seq_point", "label"]
-    cells = sinks.cohort_of(sinks.stage2_file(run.cohort, config.bracket_width))
-    assert sorted(map(repr, cells.select(columns).collect())) == sorted(map(repr, run.cohort.select(columns).collect()))
+    want = sorted(map(repr, run.cohort.select(columns).collect()))
+    for form in (sinks.stage2_rows, sinks.stage2_lists):
+        assert sorted(map(repr, sinks.cohort_of(form(run.cohort, config.bracket_width)).select(columns).collect())) == want
+    vocab = run.diseases.select(F.col("disease").alias("token"), F.length("disease").alias("token_id"))
+    for form in (sinks.stage2_rows, sinks.stage2_lists):
+        ids = sinks.cohort_of(form(run.cohort, config.bracket_width, vocab)).select("disease", "disease_token").distinct().collect()
+        assert ids and all(r["disease_token"] == len(r["disease"]) for r in ids)
     run.release()
 
 
+def test_files_are_checked(spark, tmp_path):
+    """A file of another stage is named with the columns that it lacks."""
+    rows = spark.createDataFrame([(1, "a")], "row_idx long, seq string")
+    with pytest.raises(ValueError, match="disease_points, disease_points_ages, disease_points_visit_location"):
+        sinks.points_of(rows, profile("days"))
+    with pytest.raises(ValueError, match="stage 2 lacks the columns disease"):
+        sinks.cohort_of(rows)
+    rows.write.parquet(f"{tmp_path}/x")
+    with pytest.raises(ValueError, match="stage 1 lacks the columns eval_seq"):
+        main(["evaluate", "--data_file", f"{tmp_path}/x", "--case_control_ids_file", f"{tmp_path}/x", "--output_dir", str(tmp_path), "--scorer", "arithmetic"], spark)
+
+
 def test_disease_lists(spark, sf_dir, tmp_path):
     traj = fixtures.trajectories(spark, sf_dir).drop("row_idx")
     traj.write.parquet(f"{tmp_path}/shards")
@@ -49,7 +71,10 @@ def test_disease_lists(spark, sf_dir, tmp_path):
     fixtures.vocabulary(fixtures.trajectories(spark, sf_dir)).where(f"token <> '{two}'").write.parquet(f"{tmp_path}/vocab")
     cohorts += ["--icd_code_map_file", f"{tmp_path}/codes.csv"]
     assert found(main(cohorts, spark)) == {one, two}
-    assert found(main([*cohorts, "--vocab_file", f"{tmp_path}/vocab"], spark)) == {one}
+    listed = main([*cohorts, "--vocab_file", f"{tmp_path}/vocab"], spark)
+    assert found(listed) == {one} and "disease_token" in listed.columns
+    main(["evaluate", "--data_file", f"{tmp_path}/traj_test_pd.parquet", "--case_control_ids_file", f"{tmp_path}/case_controls.parquet", "--output_dir", str(tmp_path), "--scorer", "arithmetic"], spark)
+    assert "disease_token" in spark.read.option("header", True).csv(f"{tmp_path}/auc_results_unpooled.csv").columns
 
 
 def test_bad_options(spark, tmp_path):

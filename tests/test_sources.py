@@ -1,11 +1,15 @@
 """Sources, sinks, samples, configurations and kept stages."""
+import hashlib
+from types import SimpleNamespace
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratacohort.config import PROFILES, Config, profile, sample_size
 from stratacohort.operators import scoring, sequence
-from stratacohort.plans.pipeline import evaluate, evaluate_kept, report
-from stratacohort.sources import fixtures, trajectories
+from stratacohort.plans.pipeline import evaluate, evaluate_kept, report, run_key
+from stratacohort.sources import fixtures, scratch, trajectories
 
 
 @pytest.fixture(scope="module")
@@ -67,10 +71,17 @@ def test_columns_are_checked(spark):
         trajectories.with_patient_id(rows)
 
 
-def test_samples(spark, traj):
+def test_samples(spark, traj, monkeypatch):
     n = traj.count()
     assert sequence.sample_exact(traj, n + 5).count() == n
     ids = lambda rows: {r["row_idx"] for r in rows.collect()}
+    order = sorted((hashlib.md5(f"{r['person_id']}:42".encode()).hexdigest(), r["row_idx"]) for r in traj.collect())
+    for k in (0, 1, 20, n - 1, n):
+        assert ids(sequence.sample_exact(traj, k)) == {i for _, i in order[:k]}
+    monkeypatch.setattr(sequence, "SAMPLE_DIGITS", 1)
+    monkeypatch.setattr(sequence, "SAMPLE_ROWS", 2)
+    for k in (0, 1, 20, n - 1, n):
+        assert ids(sequence.sample_exact(traj, k)) == {i for _, i in order[:k]}
     assert ids(sequence.sample_exact(traj, 20)) == ids(sequence.sample_exact(traj.repartition(7), 20))
     assert ids(sequence.sample_exact(traj, 20)) != ids(sequence.sample_exact(traj, 20, seed=1))
     assert ids(sequence.head_fraction(traj, 0.5)) == set(range(n // 2))
@@ -112,14 +123,102 @@ def test_kept_stages_are_reused(spark, traj, tmp_path):
 
     some = traj.where("row_idx < 60")
     first = {r["disease"]: r["auc"] for r in evaluate_kept(spark, some, config, str(tmp_path), Counting(), "a").pooled.collect()}
-    n = len(calls)
-    again = evaluate_kept(spark, some, config, str(tmp_path), Counting(), "a")
-    assert {r["disease"]: r["auc"] for r in again.pooled.collect()} == first and len(calls) == n + 1  # planned, not run: the table is there
-    assert {r["disease"]: r["auc"] for r in evaluate(some, config).pooled.collect()} == pytest.approx(first)
+    assert len(calls) == 1
+    again = evaluate_kept(spark, some.repartition(5), config, str(tmp_path), Counting(), "a")
+    assert {r["disease"]: r["auc"] for r in again.pooled.collect()} == first and len(calls) == 1
+    run = evaluate(some, config)
+    assert {r["disease"]: r["auc"] for r in run.pooled.collect()} == pytest.approx(first)
+    run.release()
     report(again, f"{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/auc_results.csv").count() == len(first)
 
 
+def test_kept_stages_are_those_of_their_input(spark, traj, tmp_path):
+    """Other patients, or another disease list, under the same path and settings have results of their own."""
+    config, scorer = profile("days"), scoring.ArithmeticScorer()
+    parts = [traj.where("row_idx < 60"), traj.where("row_idx >= 60")]
+    runs = [evaluate_kept(spark, x, config, str(tmp_path), scorer, "a") for x in parts]
+    rows = [{r["row_idx"] for r in run.cohort.select("row_idx").distinct().collect()} for run in runs]
+    assert rows[0] and rows[1] and max(rows[0]) < 60 <= min(rows[1])
+    one = runs[0].diseases.orderBy("disease").limit(3)
+    listed = evaluate_kept(spark, parts[0], config, str(tmp_path), scorer, "a", one)
+    assert {r["disease"] for r in listed.cells.collect()} <= {r["disease"] for r in one.collect()}
+    twice = parts[0].unionByName(parts[0])
+    assert len({run_key(x, config) for x in (*parts, twice, traj.limit(0))}) == 4
+
+
+def test_a_run_leaves_nothing(spark, traj, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(scratch, "folder", lambda spark, name: f"{tmp_path}/{name}")
+    run = evaluate(traj.where("row_idx < 40"), profile("days"))
+    assert run.pooled.count() > 0 and sorted(os.listdir(tmp_path)) == ["cells", "diseases", "patients"]
+    run.release()
+    assert os.listdir(tmp_path) == [] and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+def test_missing_scores_are_counted(spark, traj):
+    """Rows without a score drop out, and are counted; others keep theirs."""
+    class Partial(scoring.ArithmeticScorer):
+        def score(self, prompts, diseases):
+            return super().score(prompts.where("row_idx % 5 <> 0"), diseases)
+
+    run = evaluate(traj.where("row_idx < 50"), profile("days"), Partial())
+    pairs = run.pairs.where("row_idx % 5 = 0").count()
+    assert run.n_missing() == pairs > 0
+    kept = run.cohort.where("row_idx % 5 <> 0")
+    found = scoring.join_scores(run.cohort, run.scores, run.diseases)
+    assert sorted(map(repr, found.drop("logit").collect())) == sorted(map(repr, kept.select(found.drop("logit").columns).collect()))
+    bad = run.scores.withColumn("logits", F.transform("logits", lambda x: F.lit(float("nan"))))
+    with pytest.raises(Exception, match="NULL or NaN"):
+        scoring.join_scores(run.cohort, bad, run.diseases).collect()
+    run.release()
+
+
+def test_causal_models_are_read_at_the_last_token(spark):
+    """Padded prompts: the logits are those of the last real token; batches, devices and errors."""
+    vocabulary = {"<DX-A>": 3, "<DX-B>": 5}
+    made = []
+
+    def load(device):
+        made.append(device)
+
+        def encode(text):
+            return [vocabulary[t] if t in vocabulary else 6 + len(t) for t in text.split(" ") if t]
+
+        def forward(ids, mask):
+            assert ids.shape == mask.shape and not ids[~mask].any()
+            place = np.arange(ids.shape[1])[None, :, None]
+            return ids[:, :, None] * 100 + place * 10 + np.arange(12)[None, None, :] + 0.5 * (~mask)[:, :, None]
+
+        return encode, forward
+
+    model = scoring.causal_lm(load, max_length=4)(["<DX-B>", "<DX-A>"])
+    assert made == ["cpu"]
+    got = model(["a", "aa bbb", "a b c d eeeee"])
+    assert got.tolist() == [[705.0, 703.0], [915.0, 913.0], [735.0, 733.0]]
+    assert scoring.device("cuda:3") == "cuda:3" and scoring.device("cuda") == "cuda:0" and scoring.device("cpu") == "cpu"
+    with pytest.raises(ValueError, match="no tokens"):
+        model(["a", ""])
+    with pytest.raises(ValueError, match="one token"):
+        scoring.causal_lm(load)(["<DX-A> <DX-B>"])
+    prompts = spark.createDataFrame([(i, 1, " ".join(["x"] * (i % 5 + 1))) for i in range(30)], "row_idx long, seq_point long, prompt string")
+    diseases = spark.createDataFrame([("<DX-B>",), ("<DX-A>",), ("<DX-B>",)], "disease string")
+    want = {i: [700.0 + 10 * (i % 5) + c for c in (3, 5)] for i in range(30)}
+    scores = scoring.ModelScorer(scoring.causal_lm(load), batch_size=4).score(prompts, diseases)
+    assert {r["row_idx"]: r["logits"] for r in scores.collect()} == want
+    through = scoring.batches_through(scoring.causal_lm(load), SimpleNamespace(value=["<DX-A>", "<DX-B>"]), 4)  # what a GPU task runs
+    assert {i: x for frame in through([prompts.toPandas()]) for i, x in zip(frame["row_idx"], frame["logits"])} == want
+
+
+def test_linear_scores(spark):
+    prompts = spark.createDataFrame([(0, 2, "a a b"), (1, 1, "c")], "row_idx long, seq_point long, prompt string")
+    weights = spark.createDataFrame([("a", "D2", 1.5), ("b", "D2", 1.0), ("b", "D4", -1.0), ("c", "D9", 7.0)], "token string, disease string, weight double")
+    diseases = spark.createDataFrame([(f"D{i}",) for i in (4, 2, 3, 1)], "disease string")
+    got = {r["row_idx"]: r["logits"] for r in scoring.LinearScorer(weights).score(prompts, diseases).collect()}
+    assert got == {0: [0.0, 4.0, 0.0, -1.0], 1: [0.0] * 4}
+
+
 def test_empty_input_gives_empty_tables(spark, traj):
     run = evaluate(traj.limit(0), profile("days"))
     assert run.pooled.count() == 0 and run.pooled.columns == ["disease", "auc", "n_samples", "n_diseased", "n_healthy"]
