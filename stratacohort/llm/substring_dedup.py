@@ -8,14 +8,15 @@ is the larger, so these are some of the cuts).  It ends with the first piece by
 (three short sentences repeat by chance, and short notices are for line dedup), or LONG_WORDS words.  In a passage a start that all copies share comes after 2 * START_WINDOW - 1 words at most, the run has less
 than LONG_WORDS + CUT_WINDOW words, and its end is shared if CUT_WINDOW words of the passage follow; so any passage of
 2 * START_WINDOW + 2 * CUT_WINDOW + LONG_WORDS - 2 = 51 words has a whole run, wherever it begins and ends.  Runs are hashed (96 bits,
-over lower-cased words); the hashes meet globally, and a piece covered by any occurrence of a repeated run but the first goes.
+over lower-cased words and the ends of pieces, by prefix sums over the words' hashes); the hashes meet globally, and a piece covered by any
+occurrence of a repeated run but the first goes.
 
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
 place) only, and adaptive execution splits a hot hash; what is left of it, the occurrences of repeated runs, is written, and the first
-occurrence of each is found among these alone.  Texts move once, with the places of what goes.  Splitting
-and hashing are done by one function for both passes, in Arrow batches, one text at a time.  Used tables are deleted, but those that
-the result reads.
+occurrence of each is found among these alone.  Texts move once, with the places of what goes and the number of pieces, and only
+those from which something goes are cut again.  Splitting is done by one function for both passes, one text at a time.  Used tables are
+deleted, but those that the result reads.
 
 Edge cases: null and empty texts stay as they are, with no sentences; a text with fewer sentences than a span never
 changes; rows with equal id and text are the same document, and are treated alike; different texts of one id are told apart by 128
@@ -25,73 +26,81 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import aside, drop_paths, map_arrow, written
+from .decontaminate import Powers
 
 SPAN = 3
 MIN_WORDS = 12
 LONG_WORDS = 17
 CUT_WINDOW = 6
 START_WINDOW = 12
-HASH_BYTES = 12
-_CUT = re.compile(r"\S(?:[^\s.!?]++|[.!?]++(?!\s)|[^\S\n]++(?!\n))*+[.!?]*+\s*+")
 _WORD = re.compile(r"\S+\s*")
 _LOW = (1 << 31) - 1
 
 
-class _Ranks(dict):
+def word_hash(word: str) -> int:
+    """64 bits; the last says whether the word ends a sentence."""
+    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return h | 1 if word[-1] in ".!?" else h & ~1
+
+
+class _Hashes(dict):
     """Hashes of words; some are kept."""
 
     def __missing__(self, word: str) -> int:
-        rank = zlib.crc32(word.encode("utf-8", "surrogatepass")) << 31
+        h = word_hash(word)
         if len(self) < 1 << 16:
-            self[word] = rank
-        return rank
+            self[word] = h
+        return h
 
 
-_rank = _Ranks().__getitem__
+_hash = _Hashes().__getitem__
 
 
 class Layout(NamedTuple):
-    """A text's lower-cased words; for each piece, the words up to its end, whether it ends a sentence, and whether a run starts with it."""
+    """The hashes of a text's lower-cased words; for each piece, the words up to its end, whether it ends a sentence, and whether a run starts with it."""
 
-    words: list[str]
+    hashes: np.ndarray
     ends: np.ndarray
     closes: np.ndarray
     starts: np.ndarray
 
 
 def layout(text: str) -> Layout:
-    parts = [x.split() for x in _CUT.findall(text.lower())]
-    words = list(chain.from_iterable(parts))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    n, sentence_ends = len(words), np.cumsum(sizes)
+    lines = [x.split() for x in text.lower().split("\n")]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    n = int(sizes.sum())
+    hashes = np.fromiter(map(_hash, chain.from_iterable(lines)), np.uint64, n)
     closing, starting = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    closing[sentence_ends] = True
+    closing[1:] = hashes & np.uint64(1)
+    closing[np.cumsum(sizes)] = True
+    closing[0] = False
     starting[0] = True
-    starting[sentence_ends] = True
+    starting |= closing
     ending = closing.copy()
     # The least rank first, and of equal ones the last; windows of the one size are the least of smaller windows.
-    least, width = np.fromiter(map(_rank, words), np.int64, n) | (_LOW - np.arange(n)), 1
-    sentence = np.repeat(np.arange(len(parts)), sizes)
+    least, width = (hashes >> np.uint64(32)).astype(np.int64) << 31 | (_LOW - np.arange(n)), 1
+    sentence = np.cumsum(closing)
     for window, marks in ((CUT_WINDOW, ending), (START_WINDOW, starting)):
         while width < window and len(least):
             more = min(width, window - width)
             least, width = np.minimum(least[:-more], least[more:]), width + more
-        within = sentence[: n - window] == sentence[window:] if n > window else slice(0)  # a sentence's end cuts the windows that hold it
+        within = sentence[: n - window] == sentence[window:n] if n > window else slice(0)  # a sentence's end cuts the windows that hold it
         marks[_LOW - (least[: n - window][within] & _LOW) + 1] = True
     ends = np.flatnonzero(ending[1:]) + 1
-    return Layout(words, ends, closing[ends], starting[np.append(0, ends[:-1])] if len(ends) else ending[:0])
+    return Layout(hashes, ends, closing[ends], starting[np.append(0, ends[:-1])] if len(ends) else ending[:0])
 
 
 def cut(text: str, ends: np.ndarray) -> list[str]:
@@ -119,50 +128,64 @@ def run_ends(found: Layout, span: int = SPAN) -> np.ndarray:
     return np.where(starts, last + 1, at)[last < n]
 
 
-def runs(pieces: list[str], span: int = SPAN) -> list[int]:
-    """run_ends of a text's pieces."""
-    return run_ends(layout("".join(pieces)), span).tolist()
+@cache
+def _powers() -> Powers:
+    return Powers()
 
 
-def spans(found: Layout, span: int = SPAN) -> tuple[list[int], bytes]:
-    """The places where runs start, and their hashes, HASH_BYTES each."""
-    ends = found.ends.tolist()
-    keys = [" ".join(found.words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
-    whole = [(a, b) for a, b in enumerate(run_ends(found, span).tolist()) if a < b]
-    return [a for a, _ in whole], b"".join([hashlib.blake2b(b"\n".join(keys[a:b]), digest_size=HASH_BYTES).digest() for a, b in whole])
+def spans(found: Layout, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places where runs start, and two hashes of each run, of 64 and 32 bits."""
+    last = run_ends(found, span)
+    at = np.flatnonzero(last > np.arange(len(last)))
+    a, b = np.append(0, found.ends)[at], found.ends[last[at] - 1] if len(at) else at
+    words = found.hashes.copy()
+    powers = _powers()
+    powers.reach(len(words) + 1)
+    out = []
+    with np.errstate(over="ignore"):
+        words[found.ends - 1] += np.uint64(0xD6E8FEB86659FD93)  # where a piece ends
+        for _ in range(2):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers.up[: len(words)])])
+            h = (sums[b] - sums[a]) * powers.down[a]
+            out.append(h ^ (h >> np.uint64(31)))
+            words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            words ^= words >> np.uint64(27)
+    return at, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    kind = np.dtype([("high", "<i8"), ("low", "<i4")])
+    """Rows (high, low, id, sum, at) of all runs, and one for each text with the number of its pieces in at and no hash."""
     for batch in batches:
         ids, sums, texts = batch.columns
-        at, places, hashes = [], [], []
+        rows, found = [], []
+
+        def out() -> pa.RecordBatch:
+            take = pa.array(np.concatenate(rows))  # noqa: B023
+            at, high, low = (np.concatenate([x[k] for x in found]) for k in range(3))  # noqa: B023
+            none = np.concatenate([np.append(np.zeros(len(x[0]) - 1, bool), True) for x in found])  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(high, mask=none), pa.array(low, mask=none), ids.take(take), sums.take(take), pa.array(at.astype(np.int32))], names=names)  # noqa: B023
+
+        n = 0
         for row, text in enumerate(texts):
-            starts, raw = spans(layout(text.as_py() or ""), span)
-            found = np.frombuffer(raw, kind)
-            at.append(np.full(len(found), row, np.int32))
-            places.append(np.array(starts, np.int32))
-            hashes.append(found)
-            if sum(map(len, hashes[-64:])) > 100_000 or row % 64 == 63 or row == len(texts) - 1:
-                take, all_hashes = pa.array(np.concatenate(at)), np.concatenate(hashes)
-                high, low = (pa.array(np.ascontiguousarray(all_hashes[x])) for x in ("high", "low"))
-                yield pa.RecordBatch.from_arrays([high, low, ids.take(take), sums.take(take), pa.array(np.concatenate(places))], names=names)
-                at, places, hashes = [], [], []
-
-
-def _remove(batches: Iterable[pa.RecordBatch], span: int, text_at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, n_all, n_gone = [], [], []
-        for text, places in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-            found = layout(text or "")
-            gone = np.zeros(len(found.ends) + 1, bool)
-            ends = run_ends(found, span) if places else []
-            for p in places or ():
-                gone[p : ends[p]] = True
-            kept.append(text if not places else "".join(x for x, y in zip(cut(text, found.ends), gone) if not y))
-            n_all.append(len(found.ends))
-            n_gone.append(int(gone.sum()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string())], names=names)
+            laid = layout(text.as_py() or "")
+            at, high, low = spans(laid, span)
+            rows.append(np.full(len(at) + 1, row, np.int32))
+            found.append((np.append(at, len(laid.ends)), np.append(high, 0), np.append(low, np.int32(0))))
+            n += len(at) + 1
+            if n > 100_000:
+                yield out()
+                rows, found, n = [], [], 0
+        if rows:
+            yield out()
+
+
+def _kept(text: str, places: list[int], span: int) -> tuple[int, str]:
+    """The number of pieces that go, and what is left."""
+    found = layout(text)
+    gone, ends = np.zeros(len(found.ends), bool), run_ends(found, span)
+    for p in places:
+        gone[p : ends[p]] = True
+    return int(gone.sum()), "".join(x for x, y in zip(cut(text, found.ends), gone) if not y)
 
 
 def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,23 +193,32 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     spark, outputs, used = docs.sparkSession, ("n_sentences", "n_removed", "kept_text"), []
     docs, names = aside(docs)
     id_col, text = names[id_col], names[text]
-    key = F.unhex(F.md5(text)).alias("__sum")  # tells texts of one id apart; null for a null text, which has no runs
+    key = F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("__sum")  # tells texts of one id apart
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
     schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.BinaryType()), T.StructField("at", T.IntegerType())])
-    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs", used)  # read twice
+    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs", used)  # read several times
+    sizes, found = found.where("high IS NULL"), found.where("high IS NOT NULL")
     repeated = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = written(repeated, "repeated-runs", used)  # tables of their own, so that joins can be split at hot runs
     occurrences = written(found.join(repeated, ["high", "low"]), "occurrences", used)
     occurrence = F.struct("__id", "__sum", "at")
     firsts = written(occurrences.groupBy("high", "low").agg(F.min(occurrence).alias("first")), "first-runs", used)
     later = occurrences.join(firsts, ["high", "low"]).where(~occurrence.eqNullSafe(F.col("first")))
-    places = later.groupBy(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum")).agg(F.array_sort(F.collect_set("at")).alias("__at"))
+    none = F.lit(None).cast("int")
+    marks = later.select("__id", "__sum", "at", none.alias("n")).unionByName(sizes.select("__id", "__sum", none.alias("at"), F.col("at").alias("n")))
+    places = marks.groupBy(F.col("__id").alias("__hid"), F.col("__sum").alias("__hsum")).agg(F.max("n").alias("__n"), F.array_sort(F.collect_set("at")).alias("__at"))
     places = written(places, "places")
     drop_paths(spark, used)
+
+    @F.pandas_udf("n int, kept string")
+    def left(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if t is None else _kept(t, list(p), span) for t, p in zip(texts, places)], columns=["n", "kept"])
+
     out = docs.withColumn("__sum", key)
-    out = out.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left").drop("__sum", "__hid", "__hsum")
-    schema_out = T.StructType([*out.schema.fields[:-1], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    at = out.columns.index(text)
-    out = map_arrow(out, lambda b: _remove(b, span, at, schema_out.names), schema_out)
-    return out.select(*[F.col(hidden).alias(c) for c, hidden in names.items() if c not in outputs], *outputs)
+    out = out.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left")
+    some = F.size("__at") > 0
+    out = out.withColumn("__left", left(F.when(some, F.col(text)), F.when(some, F.col("__at"))))
+    kept = F.when(some, F.col("__left.kept")).otherwise(F.col(text))
+    results = [F.col("__n").cast("long").alias("n_sentences"), F.coalesce("__left.n", F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text")]
+    return out.select(*[F.col(hidden).alias(c) for c, hidden in names.items() if c not in outputs], *results)
