@@ -24,6 +24,9 @@ def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """
     ties = scored.groupBy(*cell, "logit").agg(F.sum("label").cast("long").alias("cases"), F.sum(1 - F.col("label")).cast("long").alias("controls"))
     ties = ties.withColumn("range", score_range(F.col("logit")))
+    # The join below would add these to one of its sides only, which then could not share the other's exchange.
+    for c in [*cell, "range"]:
+        ties = ties.where(F.col(c).isNotNull())
     zero = F.lit(0).cast("long")
     whole = Window.partitionBy(*cell)
     lower = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
