@@ -17,7 +17,8 @@ which is decided in integers.
 4. Rest: in buckets that still hold several components, every pair across components is verified exactly, in the first band that it
    shares, unless an exact upper bound (the minima of the weights' sums in BINS hash bins, added up) is too low; pairs whose sketches
    agree most come first.  Buckets are cut into blocks of about BLOCK members or BLOCK_BYTES of text that meet in pairs of blocks, and texts
-   come along, so that no pair is ever a row; only links leave.  Steps 3 and 4 thus give the components of all pairs that share a
+   come along, so that no pair is ever a row; only links leave.  A component with BLOCK members or more has blocks of its own, which don't
+   meet each other: a large group of copies meets the few others of its bucket, in linear time.  Steps 3 and 4 thus give the components of all pairs that share a
    band, without a cap on candidates; a pair at similarity 0.8 shares none with a probability of 4e-4.
 
 Nothing of the size of the documents reaches the driver: the table of common words and one row of sums for each component step do.  Tables
@@ -343,12 +344,20 @@ def near_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     comps = written(components(links, used), "components", used)
 
     labelled = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), F.sum("size").alias("size")).where("low <> high")
+    # Blocks of a bucket: those of each large component, then those of all others together (no key); `at` is the number of the first.
+    sums = labelled.groupBy("band", "bucket", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sums = sums.withColumn("key", F.when(F.col("n") >= BLOCK, F.col("comp"))).groupBy("band", "bucket", "key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("comps"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
-    mixed = written(mixed.select("band", "bucket", blocks.alias("blocks")), "buckets", used)
+    mixed = sums.groupBy("band", "bucket").agg(F.sum("comps").alias("comps"), F.array_sort(F.collect_list(F.struct("key", blocks.alias("blocks")))).alias("parts")).where("comps > 1")
+    at = F.transform("parts", lambda x, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda n, y: n + y["blocks"]))
+    parts = F.zip_with("parts", at, lambda x, i: F.struct(x["key"].alias("key"), x["blocks"].alias("blocks"), i.alias("at")))
+    mixed = written(mixed.select("band", "bucket", parts.alias("parts")), "buckets", used)
     rest = labelled.join(mixed, ["band", "bucket"])
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j")))
+    own = F.coalesce(*[F.get(F.filter("parts", f), F.lit(0)) for f in (lambda x: x["key"] == F.col("comp"), lambda x: x["key"].isNull())])
+    rest = rest.withColumn("own", own).withColumn("block", F.col("own.at") + F.pmod(F.xxhash64("node"), F.col("own.blocks")).cast("int"))
+    others = F.filter("parts", lambda x: x["key"].isNull() | ~x["key"].eqNullSafe(F.col("own.key")))
+    numbers = F.flatten(F.transform(others, lambda x: F.sequence(x["at"], x["at"] + x["blocks"] - 1)))
+    meet = F.transform(numbers, lambda y: F.struct(F.least("block", y).alias("i"), F.greatest("block", y).alias("j")))
     rest = rest.select("band", "bucket", "node", "comp", "block", F.explode(meet).alias("m")).select("band", "bucket", "node", "comp", "block", "m.i", "m.j")
     rest = rest.join(sketches.drop("size"), "node").join(held, "node")
     rest = rest.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j", "node")

@@ -100,6 +100,31 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert got.select("class_id").distinct().count() == len(set(groups))
 
 
+def test_large_components_meet_the_others(spark, monkeypatch):
+    """Groups of copies larger than a block, chains between them, and strangers, in shared buckets: the classes are those of all pairs."""
+    rnd = random.Random(6)
+    word = lambda: f"g{rnd.randint(0, 10**6)}"
+    core, rows = [word() for _ in range(150)], []
+    for group in range(4):
+        text = [*core[: 110 + 10 * group], *(word() for _ in range(40 - 10 * group))]
+        for _ in range(12):
+            rows.append((len(rows), " ".join([*text[:-2], word(), word()])))
+    for _ in range(25):
+        text = list(core)
+        for _ in range(rnd.randint(3, 25)):
+            text[rnd.randrange(150)] = word()
+        rows.append((len(rows), " ".join(text)))
+    rows = [(i, t, "", 0, "", 0, "") for i, t in rows]
+    groups = brute(spark, rows)
+    for block in (4, 9):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+        low = {}
+        for (i, *_), g in zip(rows, groups):
+            low[g] = min(low.get(g, i), i)
+        assert got == {i: low[g] for (i, *_), g in zip(rows, groups)} and len(low) > 1
+
+
 NO_IDF = nd.Idf(np.zeros(0, np.uint64), np.zeros(0))  # all words are rare: shingles weigh alike
 
 
