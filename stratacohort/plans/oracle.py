@@ -69,6 +69,8 @@ SELECTS = {
     "eval_seq_truncate": "SELECT mode, row_idx, n::BIGINT AS n_eval_tok, array_to_string(list_slice(tok, 1, n), ' ') AS eval_seq FROM (SELECT 'history' AS mode, row_idx, tok, thru + 1 AS n FROM traj UNION ALL SELECT 'whole', row_idx, tok, len(tok) FROM traj)",
     "min_two_points": "SELECT row_idx, count(*)::BIGINT AS n_points FROM points_first WHERE thru >= 9 GROUP BY row_idx HAVING count(*) >= 2",
     "stage1_points": "SELECT row_idx, k, pos, token, q, loc FROM pts",
+    "stage1_file": "SELECT row_idx, k, pos, token, q, loc FROM pts",
+    "id_list_formats": "SELECT kind, c_custkey::VARCHAR AS id FROM customer, (VALUES ('parquet'), ('csv'), ('txt')) f(kind) WHERE c_nationkey < 5",
     "id_list_semi_join": "SELECT row_idx FROM traj WHERE row_idx IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)",
     "head_fraction": "SELECT row_idx FROM (SELECT row_idx, row_number() OVER (ORDER BY row_idx) AS r, count(*) OVER () AS n FROM traj) WHERE r <= floor(n * 0.25)",
     "sample_exact_n": "SELECT row_idx FROM traj ORDER BY md5(row_idx::VARCHAR || ':42'), row_idx LIMIT 100",
@@ -80,6 +82,10 @@ SELECTS = {
     "control_anti_join": "SELECT disease, row_idx FROM (SELECT DISTINCT row_idx FROM pts) p, diseases d WHERE NOT EXISTS (SELECT 1 FROM pts x WHERE x.row_idx = p.row_idx AND x.token = d.disease AND x.k >= 1)",
     "control_cohort": "SELECT disease, sex, age, row_idx, seq_point::BIGINT AS seq_point FROM controls",
     "cell_sizes": "SELECT disease, sex, age, n_diseased, n_healthy FROM cells",
+    "cell_lists": """SELECT disease, any_value(token_id) AS disease_token, sex, age, 10::BIGINT AS age_step,
+        string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx, seq_point) FILTER (WHERE label = 1) AS case_ids, string_agg(row_idx::VARCHAR, ',' ORDER BY row_idx, seq_point) FILTER (WHERE label = 0) AS control_ids,
+        string_agg(seq_point::BIGINT::VARCHAR, ',' ORDER BY row_idx, seq_point) FILTER (WHERE label = 1) AS case_seq_points, string_agg(seq_point::BIGINT::VARCHAR, ',' ORDER BY row_idx, seq_point) FILTER (WHERE label = 0) AS control_seq_points
+        FROM cohort JOIN (SELECT DISTINCT token, dense_rank() OVER (ORDER BY token)::BIGINT AS token_id FROM tk WHERE starts_with(token, '<DX-MAJOR_')) v ON disease = v.token GROUP BY disease, sex, age""",
     "vocab_disease_map": "SELECT DISTINCT token, dense_rank() OVER (ORDER BY token)::BIGINT AS token_id FROM tk WHERE starts_with(token, '<DX-MAJOR_')",
     "disease_list_filter": "SELECT disease, count(*)::BIGINT AS n_cells FROM cells WHERE disease IN (SELECT '<DX-MAJOR_' || code || '>' FROM (VALUES ('B1S'), ('B13E'), ('B25P'), ('B2M'), ('B2M'), ('NOSUCH')) c(code)) GROUP BY disease",
     "unique_diseases": "SELECT DISTINCT disease FROM cohort",
@@ -90,6 +96,7 @@ SELECTS = {
         FROM (SELECT row_idx, seq_point, array_to_string(list_slice(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1, 4096), ' ') AS prompt FROM pairs JOIN traj USING (row_idx)),
         (SELECT disease, row_number() OVER (ORDER BY disease) AS place FROM diseases)""",
     "score_join": "SELECT disease, sex, age, label, row_idx, logit FROM scored",
+    "missing_scores": "SELECT row_idx, seq_point::BIGINT AS seq_point FROM pairs WHERE row_idx % 7 = 0",
     "midrank": "SELECT a.disease, a.sex, a.age, a.row_idx, count(*) FILTER (WHERE b.logit < a.logit) + (count(*) FILTER (WHERE b.logit = a.logit) + 1) / 2.0::DOUBLE AS midrank FROM scored a JOIN scored b ON a.disease = b.disease AND a.sex = b.sex AND a.age = b.age GROUP BY a.disease, a.sex, a.age, a.row_idx, a.label",
     "cell_auc": "SELECT disease, sex, age, round(round(auc, 12), 6) AS auc, n_diseased, n_healthy FROM areas",
     "cell_auc_variance": "SELECT disease, sex, age, round(round(var, 12), 6) AS var FROM variances",
@@ -97,6 +104,8 @@ SELECTS = {
     "disease_auc_variance": "SELECT disease, round(round(avg(auc), 12), 6) AS auc, round(round(CASE WHEN count(var) = count(*) THEN sum(var) / (count(*) * count(*)) END, 12), 6) AS var, count(*)::BIGINT AS n_samples FROM areas JOIN variances USING (disease, sex, age) GROUP BY disease",
     "auc_summary": "SELECT count(*)::BIGINT AS n_diseases, round(avg(round(round(auc, 12), 6)), 6) AS mean_auc, count(*) FILTER (WHERE round(round(auc, 12), 6) < 0.5)::BIGINT AS n_below_half FROM pooled",
     "pipeline_e2e": _POOLED,
+    "csv_report": _POOLED,
+    "kept_stages": _POOLED,
 }
 
 
@@ -110,7 +119,8 @@ def needed(sql: str) -> list[str]:
 
 
 def with_tables(sql: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({TABLES[name]})" for name in needed(sql)) + "\n" + sql
+    tables = ",\n".join(f"{name} AS MATERIALIZED ({TABLES[name]})" for name in needed(sql))
+    return f"WITH {tables}\n{sql}" if tables else sql
 
 
 ORACLES = {name: with_tables(sql) for name, sql in SELECTS.items()}

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from ..config import DAYS, profile
 from ..functions import tokens as tk
 from ..operators import auc, cohort, pool, scoring, sequence
-from ..sources import fixtures, scratch, trajectories
-from .pipeline import evaluate
+from ..sources import fixtures, scratch, sinks, trajectories
+from .pipeline import evaluate, evaluate_kept, report
 
 CONFIG = profile("days")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Ages, places and counts come out as 64-bit integers.
-LONG = ("pos", "v", "loc", "yrs", "day", "q", "k", "n_tok", "pred_idx", "pred_q", "seq_point", "age", "max_q", "n_points", "n_eval_tok", "token_id", "label", "total_token_count", "token_count_thru_2022", "n")
+LONG = ("pos", "v", "loc", "yrs", "day", "q", "k", "n_tok", "pred_idx", "pred_q", "seq_point", "age", "max_q", "n_points", "n_eval_tok", "token_id", "label", "total_token_count", "token_count_thru_2022", "n", "disease_token", "age_step", "n_samples", "n_diseased", "n_healthy")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -163,6 +163,14 @@ def stage1_points(spark, sf_dir):
     return stage1(spark, sf_dir)[1].select("row_idx", "k", "pos", "token", "q", "loc")
 
 
+@query
+def stage1_file(spark, sf_dir):
+    """The points again from the file of stage 1."""
+    path = scratch.folder(spark, "stage1") + ".parquet"
+    sinks.write_parquet(sinks.stage1_file(*stage1(spark, sf_dir)), path)
+    return sinks.points_of(spark.read.parquet(path), CONFIG).select("row_idx", "k", "pos", "token", "q", "loc")
+
+
 @query
 def id_list_semi_join(spark, sf_dir):
     path = scratch.folder(spark, "ids") + ".csv"
@@ -171,6 +179,19 @@ def id_list_semi_join(spark, sf_dir):
     return sequence.filter_ids(shards_of(spark, sf_dir), trajectories.id_list(spark, path)).select(F.col("person_id").alias("row_idx"))
 
 
+@query
+def id_list_formats(spark, sf_dir):
+    """Ids of one list from each kind of file, with blanks around them in the text, another column first in the Parquet table, and no named column in the CSV."""
+    path = scratch.folder(spark, "lists")
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 5").select(F.col("c_custkey").alias("id"))
+    ids.select(F.lit("x").alias("name"), F.col("id").alias("enrollee_id")).write.parquet(f"{path}/ids.parquet")
+    ids.select("id", F.lit("x").alias("name")).write.option("header", True).csv(f"{path}/ids.csv")
+    lines = ids.select(F.concat(F.lit("  "), F.col("id").cast("string"), F.lit("\t")).alias("value"))
+    lines.unionByName(lines.select(F.lit("   ").alias("value"))).write.text(f"{path}/ids.txt")
+    found = [trajectories.id_list(spark, f"{path}/ids.{kind}").select(F.lit(kind).alias("kind"), "id") for kind in ("parquet", "csv", "txt")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def head_fraction(spark, sf_dir):
     return sequence.head_fraction(traj_of(spark, sf_dir), 0.25).select("row_idx")
@@ -223,6 +244,16 @@ def cell_sizes(spark, sf_dir):
     return people_of(spark, sf_dir)[3]
 
 
+@query
+def cell_lists(spark, sf_dir):
+    """The file of stage 2 with a row for each cell; lists as strings."""
+    path = scratch.folder(spark, "stage2") + ".parquet"
+    vocab = trajectories.disease_vocabulary(fixtures.vocabulary(traj_of(spark, sf_dir)))
+    sinks.write_parquet(sinks.stage2_lists(two_class_of(spark, sf_dir), CONFIG.age_step, vocab), path)
+    lists = [F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("case_ids", "control_ids", "case_seq_points", "control_seq_points")]
+    return spark.read.parquet(path).select("disease", "disease_token", "sex", "age", "age_step", *lists)
+
+
 @query
 def vocab_disease_map(spark, sf_dir):
     return trajectories.disease_vocabulary(fixtures.vocabulary(traj_of(spark, sf_dir)))
@@ -271,6 +302,13 @@ def score_join(spark, sf_dir):
     return scoring.join_scores(cohort.two_class(people, sizes, CONFIG), scores, listed).select("disease", "sex", "age", "label", "row_idx", "logit")
 
 
+@query
+def missing_scores(spark, sf_dir):
+    """Pairs that a score table lacks, here those of every seventh patient."""
+    pairs = pairs_of(spark, sf_dir)[1]
+    return scoring.missing_pairs(pairs, pairs.where("row_idx % 7 <> 0"))
+
+
 @query
 def midrank(spark, sf_dir):
     return auc.midrank(scored(two_class_of(spark, sf_dir))).select("disease", "sex", "age", "row_idx", "midrank")
@@ -306,6 +344,26 @@ def pipeline_e2e(spark, sf_dir):
     return rounded(evaluate(traj_of(spark, sf_dir), CONFIG).pooled, "auc")
 
 
+@query
+def csv_report(spark, sf_dir):
+    """The pooled results again from their CSV file."""
+    path, run = scratch.folder(spark, "report"), evaluate(traj_of(spark, sf_dir), CONFIG)
+    report(run, path)
+    run.release()
+    found = spark.read.option("header", True).csv(f"{path}/auc_results.csv")
+    return rounded(found.withColumn("auc", F.col("auc").cast("double")), "auc")
+
+
+@query
+def kept_stages(spark, sf_dir):
+    """A run from kept stages: another input went before under the same path, and the stages of this one are there from the run before."""
+    path, traj = scratch.folder(spark, "kept"), scratch.written(traj_of(spark, sf_dir), "trajectories")
+    for given in (traj.where("row_idx % 2 = 0"), traj, traj):
+        run = evaluate_kept(spark, given, CONFIG, path, scoring.ArithmeticScorer(), "arithmetic")
+        pooled = scratch.written(run.pooled, "pooled")
+    return rounded(pooled, "auc")
+
+
 @query
 def score_model(spark, sf_dir):
     """A stand-in model: logits from the prompt's length and the disease's place."""
