@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, sentencepiece_codec, substring_dedup, url_filter, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, resample, sentencepiece_codec, substring_dedup, url_filter, warc
 from .common import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -177,5 +177,25 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter}
-ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "clicks"), "client_id", "ts", "value", "click_id", "Asia/Kolkata").withColumnRenamed("avg", "avg_cents")
+
+
+OP13_SQL = r"""
+WITH c AS (SELECT client_id, click_id, epoch_us(ts) AS us, floor(100 * value + 0.5)::BIGINT AS v FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+s AS (SELECT *, (us - ((us % 1000000) + 1000000) % 1000000) // 1000000 AS t FROM c),
+p AS (SELECT client_id, t, v FROM (SELECT *, row_number() OVER (PARTITION BY client_id, t ORDER BY click_id DESC NULLS LAST, v DESC) AS r FROM s) WHERE r = 1),
+n AS (SELECT *, lead(t) OVER w - t AS d, lead(v) OVER w AS w FROM p WINDOW w AS (PARTITION BY client_id ORDER BY t)),
+g AS (SELECT client_id, t, v::HUGEINT AS v, w::HUGEINT AS w, d FROM n WHERE d <= 3600),
+b AS (SELECT *, unnest(range(t - (((t + 19800) % 3600) + 3600) % 3600, t + d, 3600)) AS bucket_start FROM g),
+u AS (SELECT *, greatest(bucket_start - t, 0)::HUGEINT AS u1, least(bucket_start + 3600 - t, d)::HUGEINT AS u2 FROM b),
+q AS (SELECT *, (w - v) * u1 * u1 AS x1, (w - v) * u2 * u2 AS x2 FROM u),
+a AS (SELECT client_id, bucket_start, u2 - u1 AS covered, 2 * v * (u2 - u1) + (x2 - ((x2 % d) + d) % d) // d - (x1 - ((x1 % d) + d) % d) // d AS area2, 0 AS points FROM q
+      UNION ALL SELECT client_id, t - (((t + 19800) % 3600) + 3600) % 3600, 0, 0, 1 FROM p),
+z AS (SELECT client_id, bucket_start, sum(points)::BIGINT AS n_points, sum(covered)::BIGINT AS covered_seconds, sum(area2)::BIGINT AS area2 FROM a GROUP BY client_id, bucket_start)
+SELECT client_id, bucket_start::BIGINT AS bucket_start, n_points, covered_seconds, area2,
+       CASE WHEN covered_seconds > 0 THEN ((area2 - ((area2 % (2 * covered_seconds)) + 2 * covered_seconds) % (2 * covered_seconds)) // (2 * covered_seconds))::BIGINT END AS avg_cents FROM z
+"""
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter, "op13_resample": op13_resample}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL, "op13_resample": OP13_SQL}
