@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, quality_rules, resample, sentencepiece_codec, substring_dedup, url_filter, warc
+from . import chat_format, decontaminate, html_extract, line_dedup, near_dedup, packing, phrases, quality_rules, resample, sentencepiece_codec, substring_dedup, url_filter, warc
 from .common import new_path
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -177,6 +177,37 @@ m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h) + length(p), rule := h
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM m
 """
 
+#: A public tokenizer whose words are encoded apart; the driver reads it.
+WORD_MODEL = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), ["doc_id"], WORD_MODEL, apart=True)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+p AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) t(m) WHERE len(w) >= m),
+g AS MATERIALIZED (SELECT lang, m, list_slice(w, i, i + m - 1) AS ws, count(*)::BIGINT AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, m, ws, f AS a FROM g WHERE m > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.ws, k.a, k.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * k.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+      FROM k JOIN g x ON x.lang = k.lang AND x.ws = list_slice(k.ws, 1, k.k) JOIN g y ON y.lang = k.lang AND y.ws = list_slice(k.ws, k.k + 1, k.m)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+v AS (SELECT lang, list_slice(ws, s, s + z - 1) AS ws, max(a) AS f FROM (SELECT c.*, s.s, z.z FROM c, (VALUES (1), (2), (3)) s(s), (VALUES (2), (3)) z(z) WHERE z.z < m AND s.s + z.z - 1 <= m) GROUP BY ALL),
+e AS (SELECT b.* FROM b LEFT JOIN v ON v.lang = b.lang AND v.ws = b.ws WHERE v.f IS NULL OR 100 * v.f::HUGEINT < 80 * b.a::HUGEINT),
+z AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM e)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z) z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "clicks"), "client_id", "ts", "value", "click_id", "Asia/Kolkata").withColumnRenamed("avg", "avg_cents")
 
@@ -197,5 +228,5 @@ SELECT client_id, bucket_start::BIGINT AS bucket_start, n_points, covered_second
        CASE WHEN covered_seconds > 0 THEN ((area2 - ((area2 % (2 * covered_seconds)) + 2 * covered_seconds) % (2 * covered_seconds)) // (2 * covered_seconds))::BIGINT END AS avg_cents FROM z
 """
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter, "op13_resample": op13_resample}
-ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL, "op13_resample": OP13_SQL}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_chat_format": op2_chat_format, "op3_quality_rules": op3_quality_rules, "op4_html_extract": op4_html_extract, "op5_sentencepiece": op5_sentencepiece, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_warc": op8_warc, "op9_substring_dedup": op9_substring_dedup, "op10_url_filter": op10_url_filter, "op11_packing": op11_packing, "op12_phrases": op12_phrases, "op13_resample": op13_resample}
+ORACLES = {"op2_chat_format": OP2_SQL, "op3_quality_rules": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL, "op12_phrases": OP12_SQL, "op13_resample": OP13_SQL}
