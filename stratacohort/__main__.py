@@ -4,15 +4,18 @@ from __future__ import annotations
 import argparse
 import hashlib
 import importlib
+import importlib.util
+import os
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config, profile, sample_size
 from .operators import auc, cohort, pool, scoring, sequence
+from .operators.store import ScoreStore
 from .plans.pipeline import first_rows
-from .sources import scratch, sinks, trajectories
+from .sources import checkpoint, scratch, sinks, trajectories
 
 
 def stage1(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
@@ -58,7 +61,7 @@ def stage2(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
 
 def load_scorer(name: str, options: argparse.Namespace) -> scoring.Scorer:
     """A Scorer, or a make_model function for ModelScorer, by module:attribute; causal:module:attribute for the load function of
-    causal_lm(); "arithmetic" is the scorer of the tests."""
+    causal_lm(), which takes the folder of the checkpoint first if there is one; "arithmetic" is the scorer of the tests."""
     if name == "arithmetic":
         return scoring.ArithmeticScorer()
     causal = name.startswith("causal:")
@@ -66,25 +69,39 @@ def load_scorer(name: str, options: argparse.Namespace) -> scoring.Scorer:
     found = getattr(importlib.import_module(module), attribute)
     if hasattr(found, "score"):
         return found
+    if options.checkpoint:
+        found = checkpoint.with_folder(found, options.checkpoint)
     make = scoring.causal_lm(found, options.max_length, options.device) if causal else found
     return scoring.ModelScorer(make, options.batch_size, gpus=options.gpus)
 
 
+def scorer_key(options: argparse.Namespace) -> str:
+    """Stands for a scorer: its name, the settings that its logits depend on, and the source of its module and the files of its checkpoint as far as they can be found."""
+    given = [options.scorer, options.max_length, options.last_str]
+    module = options.scorer.removeprefix("causal:").partition(":")[0]
+    found = importlib.util.find_spec(module) if ":" in options.scorer else None
+    if found and found.origin and os.path.isfile(found.origin):
+        given.append(checkpoint.content_hash(found.origin))
+    if options.checkpoint:
+        given.append(checkpoint.content_hash(options.checkpoint))
+    return hashlib.sha256(repr(given).encode()).hexdigest()
+
+
 def stage3(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
-    """Cases and controls to areas; scores are kept in the output folder, by their inputs and settings, and reused with --skip_logits."""
+    """Cases and controls to areas; scores are kept in the output folder, by scorer, trajectories and diseases, and reused with --skip_logits."""
     config = replace(Config(), max_length=options.max_length, prompt_suffix=options.last_str, sample_frac=options.sample_frac, batch_size=options.batch_size)
     traj = sinks.require(spark.read.parquet(options.data_file), ["row_idx", "eval_seq"], "a file of stage 1")
     rows = sinks.cohort_of(spark.read.parquet(options.case_control_ids_file))
-    given = [scratch.fingerprint(traj, ["row_idx", "eval_seq"]), scratch.fingerprint(rows, sinks.STAGE2), str(config.max_length), config.prompt_suffix, str(config.sample_frac)]
-    kept = f"{options.output_dir}/scores-{hashlib.sha256(repr(given).encode()).hexdigest()[:24]}"
-    traj = first_rows(traj, config).withColumn("tokens", F.split("eval_seq", " ", -1))
     listed, pairs = scoring.unique_diseases(rows), scoring.unique_pairs(rows)
-    if not (options.skip_logits and sinks.exists(spark, f"{kept}/_SUCCESS")):
-        scores = load_scorer(options.scorer, options).score(scoring.prompts(pairs, traj, config), listed)
-        seen = Observation("scores")
-        sinks.write_parquet(scores.observe(seen, F.count("*").alias("n")), kept)
-        print(f"scored {seen.get['n']} prompts")
-    scores = spark.read.parquet(kept)
+    given = [scorer_key(options), scratch.fingerprint(traj, ["row_idx", "eval_seq"]), scratch.fingerprint(listed, ["disease"])]
+    store = ScoreStore(spark, f"{options.output_dir}/scores-{hashlib.sha256(repr(given).encode()).hexdigest()[:24]}", options.score_buckets)
+    if not options.skip_logits:
+        store.clear()
+    chosen = first_rows(traj, config).withColumn("tokens", F.split("eval_seq", " ", -1))
+    say = lambda done, missing: print(f"scored {done} of {missing} prompts", flush=True)
+    scores = store.complete(pairs, lambda missing: scoring.prompts(missing, chosen, config), lambda prompts: load_scorer(options.scorer, options).score(prompts, listed), say)
+    if config.sample_frac < 1:  # the store may have more
+        scores = scores.join(chosen.select("row_idx"), "row_idx", "left_semi")
     if missing := scoring.missing_pairs(pairs, scores).count():
         print(f"{missing} prompts have no score; their rows drop out")
     cells = auc.cell_auc(scoring.join_scores(rows, scores, listed))
@@ -118,6 +135,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("data_file", "case_control_ids_file", "output_dir"):
         add(p, name, required=True)
     add(p, "scorer", required=True), add(p, "sample_frac", float, 1.0), add(p, "batch_size", int, 8), add(p, "max_length", int, 4096), add(p, "last_str", default=" <NY> <INSTRUCT-DX>"), add(p, "gpus", float, 0.0), add(p, "device", default="auto")
+    add(p, "checkpoint"), add(p, "score_buckets", int, 8)
     flag(p, "skip_logits")
     return top
 

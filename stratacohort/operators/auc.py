@@ -1,42 +1,65 @@
 """Stage 3b: tie-aware areas under the curve, with variances, by cell."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ["disease", "sex", "age"]
 
 
-#: Ranges of scores between the smallest and the largest number; a cell's scores are summed within ranges, then over them.
-RANGES = 1 << 16
+#: Parts of an octave in the first level of ranges, and parts of such a range in the second: 9 and 21 of a double's 52 bits.
+OCTAVE, FINE = 1 << 9, 1 << 21
+#: The smallest normal double is 2 ** LEAST.
+LEAST = -1022
 
 
-def score_range(logit):
-    """The range that a score is in; ranges are in the order of scores."""
-    return F.floor(F.atan(logit.cast("double")) * (RANGES / 3.2)).cast("int")
+def score_ranges(logit: Column) -> tuple[Column, Column]:
+    """The range that a score is in, and the range within that: both in the order of scores, at any magnitude.
+
+    They are the leading bits of the double: its power of two with the first 9 bits after it, and the next 21.  A first range has FINE
+    second ones, and a second one 2 ** 22 doubles, so no level has more than that many to sort, whatever the scores are.
+    """
+    x = F.abs(logit.cast("double"))
+    near = F.floor(F.log2(F.greatest(F.least(x, F.lit(1.7e308)), F.lit(2.0 ** LEAST))))  # may be one off, next to a power of two
+    over = F.least(x, F.lit(1.7976931348623157e308)) / F.pow(F.lit(2.0), near)
+    power = near + F.when(over >= 2, 1).when(over < 1, -1).otherwise(0)
+    tiny = x < 2.0**LEAST
+    rest = F.when(tiny, x * F.lit(2.0**-LEAST)).otherwise(over / F.pow(F.lit(2.0), power - near) - 1)  # exact, and in [0, 1)
+    first = F.floor(rest * OCTAVE)
+    second = F.floor((rest * OCTAVE - first) * FINE).cast("int")
+    first = (F.when(tiny, LEAST - 1).otherwise(power) - (LEAST - 1)) * OCTAVE + first
+    first = F.when(x == float("inf"), F.lit((2048) * OCTAVE)).otherwise(first).cast("int")
+    low = logit < 0
+    return F.when(low, -1 - first).otherwise(first), F.when(low, FINE - 1 - second).otherwise(second)
 
 
 def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """One row for each cell and distinct score: its cases and controls, those with lower scores, and the cell's sizes m and n.
 
     Counts are aggregated before the shuffle; what is sorted are distinct scores, not rows.  A cell is not sorted as a whole: running sums
-    over its ranges of scores, RANGES at most, are added to running sums within each range.
+    over its ranges of scores are added to running sums over the ranges within each, and these to running sums within those.
     """
     ties = scored.groupBy(*cell, "logit").agg(F.sum("label").cast("long").alias("cases"), F.sum(1 - F.col("label")).cast("long").alias("controls"))
-    ties = ties.withColumn("range", score_range(F.col("logit")))
-    # The join below would add these to one of its sides only, which then could not share the other's exchange.
-    for c in [*cell, "range"]:
+    first, second = score_ranges(F.col("logit"))
+    ties = ties.withColumns({"range": first, "part": second})
+    # The joins below would add these to one of their sides only, which then could not share the other's exchange.
+    for c in [*cell, "range", "part"]:
         ties = ties.where(F.col(c).isNotNull())
     zero = F.lit(0).cast("long")
+    sums = lambda rows, *by, c="c", h="h": rows.groupBy(*cell, *by).agg(F.sum(c).alias("c"), F.sum(h).alias("h"))
+    before = lambda by, order: Window.partitionBy(*cell, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def below(c: str, h: str, window) -> dict[str, Column]:
+        """Running sums of what is below, on top of what is below the range that the rows are in."""
+        return {"c_below": F.coalesce(F.sum(c).over(window), zero) + F.col("c_below"), "h_below": F.coalesce(F.sum(h).over(window), zero) + F.col("h_below")}
+
+    parts = sums(ties, "range", "part", c="cases", h="controls")
     whole = Window.partitionBy(*cell)
-    lower = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ties.groupBy(*cell, "range").agg(F.sum("cases").alias("c"), F.sum("controls").alias("h"))
-    ranges = ranges.withColumns({"c_below": F.coalesce(F.sum("c").over(lower), zero), "h_below": F.coalesce(F.sum("h").over(lower), zero), "m": F.sum("c").over(whole), "n": F.sum("h").over(whole)})
-    ranges = ranges.where("m > 0 AND n > 0").drop("c", "h")
-    inner = Window.partitionBy(*cell, "range").orderBy("logit").rowsBetween(Window.unboundedPreceding, -1)
-    rows = ties.join(ranges, [*cell, "range"])
-    below = lambda count, base: F.coalesce(F.sum(count).over(inner), zero) + F.col(base)
-    return rows.withColumns({"cases_below": below("cases", "c_below"), "controls_below": below("controls", "h_below")}).drop("range", "c_below", "h_below")
+    ranges = sums(parts, "range").withColumns({"c_below": zero, "h_below": zero, "m": F.sum("c").over(whole), "n": F.sum("h").over(whole)})
+    ranges = ranges.where("m > 0 AND n > 0").withColumns(below("c", "h", before([], "range"))).drop("c", "h")
+    parts = parts.join(ranges, [*cell, "range"]).withColumns(below("c", "h", before(["range"], "part"))).drop("c", "h")
+    rows = ties.join(parts, [*cell, "range", "part"]).withColumns(below("cases", "controls", before(["range", "part"], "logit")))
+    return rows.drop("range", "part").withColumnsRenamed({"c_below": "cases_below", "h_below": "controls_below"})
 
 
 def midrank(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
@@ -66,6 +89,45 @@ def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     return sums.select(*cell, (half + F.col("a") / F.col("m")).alias("auc"), (spread("m", "a", "aa") + spread("n", "b", "bb")).alias("var"), F.col("m").alias("n_diseased"), F.col("n").alias("n_healthy"))
 
 
+def delong_covariance(scored: DataFrame, cell: list[str] = CELL, subject: tuple[str, ...] = ("row_idx", "seq_point")) -> DataFrame:
+    """Covariances of the areas of several predictors on the same subjects, a row for each cell and pair of predictors a <= b.
+
+    scored has a row for each predictor, cell, subject and label, with its logit.  Each subject's placement is kept by
+    predictor: the share of the other class that it beats, less one half.  Placements of a subject meet in one row, of as many places as there are predictors, and
+    covariances are sums of their products, aggregated before the shuffle.  A subject that lacks a predictor is an error of the input: the
+    pair's sums then cover different subjects, so such a pair is dropped.  Columns: auc_a, auc_b, cov (NULL where a class has one subject), n_diseased, n_healthy.
+    """
+    by = ["predictor", *cell]
+    places = placements(scored, by)
+    v = F.when(F.col("label") == 1, (F.col("controls_below") + F.col("controls") / F.lit(2.0)) / F.col("n")).otherwise(1 - (F.col("cases_below") + F.col("cases") / F.lit(2.0)) / F.col("m")) - 0.5
+    rows = scored.join(places, [*by, "logit"]).select(*by, *subject, "label", "m", "n", v.alias("v"))
+    whole = rows.groupBy(*cell, *subject, "label", "m", "n").agg(F.sort_array(F.collect_list(F.struct("predictor", "v"))).alias("p"))
+    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 1, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = whole.select(*cell, "label", "m", "n", F.explode(pairs).alias("x")).select(*cell, "label", "m", "n", F.col("x.a.predictor").alias("predictor_a"), F.col("x.b.predictor").alias("predictor_b"), F.col("x.a.v").alias("va"), F.col("x.b.v").alias("vb"))
+    key = [*cell, "predictor_a", "predictor_b", "m", "n"]
+    side = lambda of, what: F.sum(F.when(F.col("label") == of, what))
+    sums = pairs.groupBy(key).agg(*[side(of, what).alias(f"{name}{of}") for of in (0, 1) for name, what in (("a", F.col("va")), ("b", F.col("vb")), ("ab", F.col("va") * F.col("vb")), ("k", F.lit(1)))])
+    sums = sums.where("k1 = m AND k0 = n")
+
+    def spread(of: int, size: str) -> Column:
+        return (F.col(f"ab{of}") - F.col(f"a{of}") * F.col(f"b{of}") / F.col(size)) / F.nullif(F.col(size) - 1, F.lit(0)) / F.col(size)
+
+    area = lambda p: (F.lit(0.5) + F.col(f"{p}1") / F.col("m")).alias(f"auc_{p}")
+    return sums.select(*cell, "predictor_a", "predictor_b", area("a"), area("b"), (spread(1, "m") + spread(0, "n")).alias("cov"), F.col("m").alias("n_diseased"), F.col("n").alias("n_healthy"))
+
+
+def compare(covariances: DataFrame, cell: list[str] = CELL) -> DataFrame:
+    """Differences of two predictors' areas on the same cells: difference, its variance var, and z, which is NULL where the variance is none."""
+    own = covariances.where("predictor_a = predictor_b").select(*cell, F.col("predictor_a").alias("p"), F.col("cov").alias("own"))
+    rows = covariances.where("predictor_a < predictor_b")
+    for side in ("a", "b"):
+        rows = rows.join(own.withColumnsRenamed({"p": f"predictor_{side}", "own": f"own_{side}"}), [*cell, f"predictor_{side}"])
+    var = F.when(F.col("cov").isNotNull(), F.greatest(F.col("own_a") + F.col("own_b") - 2 * F.col("cov"), F.lit(0.0)))
+    rows = rows.withColumns({"difference": F.col("auc_a") - F.col("auc_b"), "var": var})
+    z = F.when(F.col("var") > 1e-15, F.col("difference") / F.sqrt("var"))
+    return rows.select(*cell, "predictor_a", "predictor_b", "difference", "var", z.alias("z"), "n_diseased", "n_healthy")
+
+
 def auc_by_ranks(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     """The same AUC from midranks: (sum of the cases' ranks - m (m + 1) / 2) / (m n)."""
     rows = midrank(scored, cell)

@@ -40,6 +40,7 @@ TABLES = {
     "cohort_all": "SELECT *, 1::BIGINT AS label FROM cases UNION ALL SELECT *, 0::BIGINT AS label FROM controls",
     "cells": "SELECT disease, sex, age, sum(label)::BIGINT AS n_diseased, sum(1 - label)::BIGINT AS n_healthy FROM cohort_all GROUP BY disease, sex, age HAVING sum(label) > 0 AND sum(1 - label) > 0",
     "cohort": "SELECT c.* FROM cohort_all c JOIN cells USING (disease, sex, age)",
+    "vocab": "SELECT token, row_number() OVER (ORDER BY token)::BIGINT AS token_id FROM (SELECT DISTINCT token FROM tk WHERE NOT starts_with(token, '<VT-'))",
     "pairs": "SELECT DISTINCT row_idx, seq_point FROM cohort",
     "scored": "SELECT *, ((row_idx * 7919 + seq_point * 31 + length(disease) * 17) % 50)::DOUBLE / 10 + row_idx % 3 AS logit FROM cohort",
     "versus": """SELECT disease, sex, age, a.row_idx AS case_row, b.row_idx AS control_row, CASE WHEN a.logit > b.logit THEN 1.0::DOUBLE WHEN a.logit = b.logit THEN 0.5 ELSE 0 END AS won
@@ -48,6 +49,15 @@ TABLES = {
     "case_places": "SELECT disease, sex, age, var_samp(v) / count(*) AS s FROM (SELECT disease, sex, age, case_row, avg(won) AS v FROM versus GROUP BY ALL) GROUP BY disease, sex, age",
     "control_places": "SELECT disease, sex, age, var_samp(v) / count(*) AS s FROM (SELECT disease, sex, age, control_row, avg(won) AS v FROM versus GROUP BY ALL) GROUP BY disease, sex, age",
     "variances": "SELECT disease, sex, age, a.s + b.s AS var FROM case_places a JOIN control_places b USING (disease, sex, age)",
+    "two_scored": """SELECT *, 'arithmetic' AS predictor, ((row_idx * 7919 + seq_point * 31 + length(disease) * 17) % 50)::DOUBLE / 10 + row_idx % 3 AS logit FROM cohort
+        UNION ALL SELECT *, 'other', ((row_idx * 104729 + seq_point * 13 + length(disease) * 7) % 40)::DOUBLE / 8 + row_idx % 2 FROM cohort""",
+    "two_versus": """SELECT predictor, disease, sex, age, a.row_idx AS case_row, b.row_idx AS control_row, CASE WHEN a.logit > b.logit THEN 1.0::DOUBLE WHEN a.logit = b.logit THEN 0.5 ELSE 0 END AS won
+        FROM (SELECT * FROM two_scored WHERE label = 1) a JOIN (SELECT * FROM two_scored WHERE label = 0) b USING (predictor, disease, sex, age)""",
+    "two_case_places": "SELECT predictor, disease, sex, age, case_row AS subject, avg(won) AS v FROM two_versus GROUP BY ALL",
+    "two_control_places": "SELECT predictor, disease, sex, age, control_row AS subject, avg(won) AS v FROM two_versus GROUP BY ALL",
+    "case_covariances": "SELECT disease, sex, age, a.predictor AS predictor_a, b.predictor AS predictor_b, avg(a.v) AS auc_a, avg(b.v) AS auc_b, covar_samp(a.v, b.v) / count(*) AS s, count(*)::BIGINT AS n_diseased FROM two_case_places a JOIN two_case_places b USING (disease, sex, age, subject) WHERE a.predictor <= b.predictor GROUP BY ALL",
+    "control_covariances": "SELECT disease, sex, age, a.predictor AS predictor_a, b.predictor AS predictor_b, covar_samp(a.v, b.v) / count(*) AS s, count(*)::BIGINT AS n_healthy FROM two_control_places a JOIN two_control_places b USING (disease, sex, age, subject) WHERE a.predictor <= b.predictor GROUP BY ALL",
+    "covariances": "SELECT disease, sex, age, predictor_a, predictor_b, auc_a, auc_b, a.s + b.s AS cov, n_diseased, n_healthy FROM case_covariances a JOIN control_covariances b USING (disease, sex, age, predictor_a, predictor_b)",
     "pooled": "SELECT disease, avg(auc) AS auc, count(*)::BIGINT AS n_samples, sum(n_diseased)::BIGINT AS n_diseased, sum(n_healthy)::BIGINT AS n_healthy FROM areas GROUP BY disease",
 }
 
@@ -56,6 +66,7 @@ _POOLED = "SELECT disease, round(round(auc, 12), 6) AS auc, n_samples, n_disease
 
 SELECTS = {
     "scan_trajectories": "SELECT row_number() OVER (ORDER BY row_idx)::BIGINT - 1 AS row_idx, row_idx AS person_id, row_idx::VARCHAR AS patient_id, CASE WHEN row_idx >= 100 THEN 'b' END AS site, len(tok)::BIGINT AS n_tok, len(tok)::BIGINT - 1 AS total_token_count, thru AS token_count_thru_2022 FROM traj",
+    "scan_unlike_shards": "SELECT row_idx AS person_id, CASE row_idx % 3 WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN row_idx / 4.0::DOUBLE END AS weight, len(tok)::BIGINT - 1 AS total_token_count, thru AS token_count_thru_2022, 1::BIGINT AS n, true AS numbered FROM traj",
     "token_class_counts": f"SELECT {_CLASS} AS token_class, count(*)::BIGINT AS n FROM tk GROUP BY 1",
     "att_units": "SELECT att_type, row_idx AS person_id, max((start_age + yrs) * 1461 + 4 * day * days)::BIGINT AS max_q FROM located, (VALUES ('day', 1), ('week', 7), ('month', 30)) u(att_type, days) GROUP BY att_type, row_idx",
     "running_age": "SELECT row_idx, pos, yrs, day FROM ages",
@@ -91,6 +102,10 @@ SELECTS = {
     "unique_diseases": "SELECT DISTINCT disease FROM cohort",
     "unique_score_pairs": "SELECT row_idx, seq_point::BIGINT AS seq_point FROM pairs",
     "prompt_build": "SELECT row_idx, seq_point::BIGINT AS seq_point, array_to_string(list_slice(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1, 4096), ' ') AS prompt FROM pairs JOIN traj USING (row_idx)",
+    "prompt_ids": """SELECT row_idx, seq_point, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM (SELECT row_idx, seq_point, i, coalesce(token_id, 0) AS id
+        FROM (SELECT row_idx, seq_point::BIGINT AS seq_point, unnest(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>'])) AS token, generate_subscripts(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1) AS i FROM pairs JOIN traj USING (row_idx))
+        LEFT JOIN vocab USING (token) WHERE i <= 4096) GROUP BY row_idx, seq_point""",
+    "disease_token_ids": "SELECT disease, token_id FROM diseases JOIN vocab ON token = disease",
     "score_subspace": "SELECT row_idx, seq_point::BIGINT AS seq_point, disease, ((row_idx * 7919 + seq_point * 31 + length(disease) * 17) % 50)::DOUBLE / 10 + row_idx % 3 AS logit FROM pairs, diseases",
     "score_model": """SELECT row_idx, seq_point::BIGINT AS seq_point, disease, ((length(prompt) * (place + 2)) % 17)::DOUBLE / 4 AS logit
         FROM (SELECT row_idx, seq_point, array_to_string(list_slice(list_concat(list_slice(tok, 1, seq_point), ['<NY>', '<INSTRUCT-DX>']), 1, 4096), ' ') AS prompt FROM pairs JOIN traj USING (row_idx)),
@@ -100,6 +115,10 @@ SELECTS = {
     "midrank": "SELECT a.disease, a.sex, a.age, a.row_idx, count(*) FILTER (WHERE b.logit < a.logit) + (count(*) FILTER (WHERE b.logit = a.logit) + 1) / 2.0::DOUBLE AS midrank FROM scored a JOIN scored b ON a.disease = b.disease AND a.sex = b.sex AND a.age = b.age GROUP BY a.disease, a.sex, a.age, a.row_idx, a.label",
     "cell_auc": "SELECT disease, sex, age, round(round(auc, 12), 6) AS auc, n_diseased, n_healthy FROM areas",
     "cell_auc_variance": "SELECT disease, sex, age, round(round(var, 12), 6) AS var FROM variances",
+    "auc_covariance": "SELECT disease, sex, age, predictor_a, predictor_b, round(round(auc_a, 12), 6) AS auc_a, round(round(auc_b, 12), 6) AS auc_b, round(round(cov, 12), 6) AS cov, n_diseased, n_healthy FROM covariances",
+    "auc_difference": """SELECT c.disease, c.sex, c.age, c.predictor_a, c.predictor_b, round(round(c.auc_a - c.auc_b, 12), 6) AS difference, round(round(CASE WHEN c.cov IS NOT NULL THEN greatest(a.cov + b.cov - 2 * c.cov, 0) END, 12), 6) AS var, c.n_diseased, c.n_healthy
+        FROM covariances c JOIN covariances a ON a.disease = c.disease AND a.sex = c.sex AND a.age = c.age AND a.predictor_a = c.predictor_a AND a.predictor_b = c.predictor_a
+        JOIN covariances b ON b.disease = c.disease AND b.sex = c.sex AND b.age = c.age AND b.predictor_a = c.predictor_b AND b.predictor_b = c.predictor_b WHERE c.predictor_a < c.predictor_b""",
     "disease_auc": _POOLED,
     "disease_auc_variance": "SELECT disease, round(round(avg(auc), 12), 6) AS auc, round(round(CASE WHEN count(var) = count(*) THEN sum(var) / (count(*) * count(*)) END, 12), 6) AS var, count(*)::BIGINT AS n_samples FROM areas JOIN variances USING (disease, sex, age) GROUP BY disease",
     "auc_summary": "SELECT count(*)::BIGINT AS n_diseases, round(avg(round(round(auc, 12), 6)), 6) AS mean_auc, count(*) FILTER (WHERE round(round(auc, 12), 6) < 0.5)::BIGINT AS n_below_half FROM pooled",

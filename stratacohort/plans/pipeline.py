@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import auc, cohort, pool, scoring, sequence
+from ..operators.store import ScoreStore
 from ..sources import scratch, sinks
 
 
@@ -66,10 +68,10 @@ def run_key(traj: DataFrame, config: Config, diseases: DataFrame | None = None)
     return hashlib.sha256(f"{config.key} {given} {listed}".encode()).hexdigest()[:24]
 
 
-def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: str, scorer: scoring.Scorer, scorer_key: str, diseases: DataFrame | None = None) -> Evaluation:
+def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: str, scorer: scoring.Scorer, scorer_key: str, diseases: DataFrame | None = None, buckets: int = 8, progress: Callable[[int, int], None] | None = None) -> Evaluation:
     """evaluate() with each stage written below path and reused where the configuration, the trajectories and the disease list are the same.
 
-    Scores are kept by scorer_key besides; only pairs that the kept table lacks are scored.
+    Scores are kept in a ScoreStore by scorer_key besides; only pairs that it lacks are scored, bucket by bucket.
     """
     key = run_key(traj, config, diseases)
     kept, found = sequence.stage1(first_rows(traj, config), config)
@@ -78,12 +80,8 @@ def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: st
     listed = sinks.materialise(spark, path, "diseases", key, lambda: (people.select(F.explode("seen").alias("disease")) if diseases is None else diseases.select("disease")).distinct())
     sizes = sinks.materialise(spark, path, "cells", key, lambda: cohort.cells(people, listed, config))
     pairs = cohort.scoring_pairs(people, sizes, config)
-    scores = sinks.materialise(spark, path, f"scores-{scorer_key}", key, lambda: scorer.score(scoring.prompts(pairs, kept, config), listed))
-    more = scoring.missing_pairs(pairs, scores)
-    if not more.isEmpty():
-        extra = scorer.score(scoring.prompts(more, kept, config), listed)
-        extra.write.mode("append").parquet(f"{path.rstrip('/')}/scores-{scorer_key}-{key}")
-        scores = spark.read.parquet(f"{path.rstrip('/')}/scores-{scorer_key}-{key}")
+    store = ScoreStore(spark, f"{path.rstrip('/')}/scores-{scorer_key}-{key}", buckets)
+    scores = store.complete(pairs, lambda missing: scoring.prompts(missing, kept, config), lambda rows: scorer.score(rows, listed), progress)
     cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config))
     return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells))
 

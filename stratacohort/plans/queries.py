@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import DAYS, profile
 from ..functions import tokens as tk
-from ..operators import auc, cohort, pool, scoring, sequence
+from ..operators import auc, cohort, encode, pool, scoring, sequence
 from ..sources import fixtures, scratch, sinks, trajectories
 from .pipeline import evaluate, evaluate_kept, report
 
@@ -98,6 +98,22 @@ def scan_trajectories(spark, sf_dir):
     return shards_of(spark, sf_dir).select("row_idx", "person_id", "patient_id", "site", F.size(tk.split_tokens(F.col("seq"))).alias("n_tok"), "total_token_count", "token_count_thru_2022")
 
 
+@query
+def scan_unlike_shards(spark, sf_dir):
+    """Shards whose counts are of two widths, one with a column of its own in two types, and a file that is no shard beside them; numbered without a shuffle."""
+    path = scratch.folder(spark, "shards")
+    rows = scratch.written(traj_of(spark, sf_dir).drop("row_idx"), "trajectories")
+    wide = rows.withColumn("token_count_thru_2022", F.col("token_count_thru_2022").cast("long"))
+    kinds = [rows.where("person_id % 3 = 0"), wide.where("person_id % 3 = 1").withColumn("weight", F.lit(0.5).cast("float")), wide.where("person_id % 3 = 2").withColumn("weight", F.col("person_id") / F.lit(4.0))]
+    for name, shard in zip("abc", kinds):
+        shard.write.parquet(f"{path}/{name}/{name}")
+    spark.range(1).write.csv(f"{path}/b/notes.csv")
+    found = trajectories.validate(trajectories.scan_trajectories(spark, path))
+    out = scratch.written(found.select("row_idx", "person_id", "weight", "total_token_count", "token_count_thru_2022"), "scanned")
+    scratch.delete(spark, [path])
+    return out.groupBy("person_id", "weight", "total_token_count", "token_count_thru_2022").agg(F.count("*").alias("n"), (F.max("row_idx") < out.count()).alias("numbered"))
+
+
 @query
 def token_class_counts(spark, sf_dir):
     tokens = traj_of(spark, sf_dir).select(F.explode(tk.split_tokens(F.col("seq"))).alias("token"))
@@ -289,6 +305,26 @@ def prompt_build(spark, sf_dir):
     return scoring.prompts(pairs, kept, CONFIG)
 
 
+def whole_vocabulary(traj: DataFrame) -> DataFrame:
+    """Ids from 1 for all tokens but kinds of visits, which are unknown."""
+    tokens = traj.select(F.explode(F.array_distinct(tk.split_tokens(F.col("seq")))).alias("token")).where("NOT startswith(token, '<VT-')").distinct()
+    return tokens.select("token", F.expr("row_number() OVER (ORDER BY token)").cast("int").alias("token_id"))
+
+
+@query
+def prompt_ids(spark, sf_dir):
+    """Prompts as token ids, written as text."""
+    kept, pairs, _ = pairs_of(spark, sf_dir)
+    vocab = scratch.written(whole_vocabulary(traj_of(spark, sf_dir)), "vocabulary")
+    return encode.prompt_ids(pairs, kept, vocab, CONFIG).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
+
+
+@query
+def disease_token_ids(spark, sf_dir):
+    """Ids of the diseases to be scored, each one token."""
+    return encode.disease_ids(people_of(spark, sf_dir)[2], whole_vocabulary(traj_of(spark, sf_dir)))
+
+
 @query
 def score_subspace(spark, sf_dir):
     kept, pairs, listed = pairs_of(spark, sf_dir)
@@ -324,6 +360,26 @@ def cell_auc_variance(spark, sf_dir):
     return rounded(areas(spark, sf_dir).select("disease", "sex", "age", "var"), "var")
 
 
+def two_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort's rows with two scorers' logits: the tests' scorer and one that knows other things."""
+    rows = two_class_of(spark, sf_dir)
+    other = ((F.col("row_idx") * 104729 + F.col("seq_point") * 13 + F.length("disease") * 7) % 40) / F.lit(8.0) + F.col("row_idx") % 2
+    first = scored(rows).withColumn("predictor", F.lit("arithmetic"))
+    return first.unionByName(rows.withColumn("logit", other).withColumn("predictor", F.lit("other")))
+
+
+@query
+def auc_covariance(spark, sf_dir):
+    """DeLong covariances of two scorers on the same cells."""
+    return rounded(auc.delong_covariance(two_scorers(spark, sf_dir)), "auc_a", "auc_b", "cov")
+
+
+@query
+def auc_difference(spark, sf_dir):
+    """Differences of two scorers' areas with their variance."""
+    return rounded(auc.compare(auc.delong_covariance(two_scorers(spark, sf_dir))).drop("z"), "difference", "var")
+
+
 @query
 def disease_auc(spark, sf_dir):
     return rounded(pool.disease_auc(areas(spark, sf_dir)), "auc")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place below the shared folder; where none is set and the master is local, as in tests, below a temporary one."""
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is set and the master is local, as in tests, a temporary one."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
@@ -17,13 +17,18 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stratacohort-"))
         found = context.getCheckpointDir()
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place below the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
-    """rows, computed once and kept as a table: later steps read it, also after an executor is lost.  Its path is added to `used`."""
+def written(rows: DataFrame, name: str, used: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows, computed once and kept as a table, in folders by the columns `by`: later steps read it, also after an executor is lost.  Its path is added to `used`."""
     path = folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
     if used is not None:
         used.append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1,7 +1,10 @@
 """Sources: trajectory shards, id lists, code lists, vocabularies; row identity."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,28 +12,120 @@ REQUIRED = {"seq": "string", "token_count_thru_2022": "int", "total_token_count"
 
 
 def scan_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """All Parquet files below path, columns united by name, with row_idx in file and row order."""
+    """All *.parquet files below path, columns united by name and types widened, with row_idx in file and row order."""
+    return with_patient_id(with_row_idx(united(spark, path)))
+
+
+def united(spark: SparkSession, path: str) -> DataFrame:
+    """Files below path whose columns may differ, in one scan: a column that a file lacks is null there, numbers have the widest type of any file.
+
+    Spark unites schemas in one job; where types conflict, files are told apart by folder and then by halves until each group agrees, a job for
+    each, so runs of files of one kind cost a few jobs.  The scan itself widens what the Parquet reader can widen;
+    columns with other types besides (numbers in one file, text in another) are read kind by kind, as text.
+    """
+    read = lambda **more: spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.parquet", **more)
     try:
-        rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(path)
-    except Exception as e:
+        return read(mergeSchema=True).parquet(path)
+    except AnalysisException as e:
         if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(f"no Parquet file below {path}") from e
         raise
-    return with_patient_id(with_row_idx(rows))
+    except Exception as e:
+        if not _conflict(e):
+            raise
+    kinds: dict[str, tuple[T.StructType, list[str]]] = {}
+    files = sorted(r["path"] for r in read().format("binaryFile").load(path).select("path").collect())  # the scan's listing is on the driver as well
+    for schema, some in _kinds(spark, files):
+        kinds.setdefault(schema.json(), (schema, []))[1].extend(some)
+    wide = _widest([schema for schema, _ in kinds.values()])
+    if all(_reads(schema[f.name].dataType, f.dataType) for schema, _ in kinds.values() for f in wide if f.name in schema.names):
+        return read().schema(wide).parquet(path)
+    parts = []
+    for schema, some in kinds.values():
+        rows = spark.read.schema(schema).parquet(*some).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        parts.append(rows.select(*[(F.col(f.name) if f.name in schema.names else F.lit(None)).cast(f.dataType).alias(f.name) for f in wide], "__file", "__row"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _conflict(e: Exception) -> bool:
+    return "CANNOT_MERGE_SCHEMA" in str(e) or "CANNOT_MERGE_INCOMPATIBLE_DATA_TYPE" in str(e)
+
+
+def _kinds(spark: SparkSession, files: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Groups of files whose schemas agree, with what they unite to."""
+    try:
+        return [(spark.read.option("mergeSchema", True).parquet(*files).schema, files)]
+    except Exception as e:
+        if len(files) == 1 or not _conflict(e):
+            raise
+    folders: dict[str, list[str]] = {}
+    for f in files:
+        folders.setdefault(f.rpartition("/")[0], []).append(f)
+    groups = list(folders.values()) if len(folders) > 1 else [files[: len(files) // 2], files[len(files) // 2 :]]
+    return [kind for group in groups for kind in _kinds(spark, group)]
+
 
+#: Numbers from the narrowest to the widest.
+WHOLE = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+FRACTIONS = [T.FloatType(), T.DoubleType()]
 
-def with_row_idx(rows: DataFrame) -> DataFrame:
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds both; text where there is no such number."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    for order in (WHOLE, FRACTIONS):
+        if a in order and b in order:
+            return max(a, b, key=order.index)
+    if {a, b} <= {*WHOLE[:3], *FRACTIONS}:
+        return T.DoubleType()
+    atomic = lambda x: not isinstance(x, (T.StructType, T.ArrayType, T.MapType, T.BinaryType))
+    if atomic(a) and atomic(b):
+        return T.StringType()
+    raise TypeError(f"columns of type {a.simpleString()} and {b.simpleString()} can't be united")
+
+
+def _widest(schemas: list[T.StructType]) -> T.StructType:
+    found: dict[str, T.DataType] = {}
+    for f in (f for schema in schemas for f in schema):
+        try:
+            found[f.name] = _wider(found[f.name], f.dataType) if f.name in found else f.dataType
+        except TypeError as e:
+            raise ValueError(f"column {f.name}: {e}") from e
+    return T.StructType([T.StructField(name, kind) for name, kind in found.items()])
+
+
+def _reads(stored: T.DataType, wanted: T.DataType) -> bool:
+    """Whether the Parquet reader gives the stored type as the wanted one."""
+    return stored == wanted or {stored, wanted} <= set(WHOLE) or {stored, wanted} <= set(FRACTIONS) or stored in WHOLE[:3] and wanted == T.DoubleType()
+
+
+#: Files whose offsets are broadcast: a hash and an offset each, 64 MB in all.
+BROADCAST_FILES = 2_000_000
+
+
+def with_row_idx(rows: DataFrame, broadcast_files: int = BROADCAST_FILES) -> DataFrame:
     """Consecutive numbers in the order of (file path, row in file).
 
-    Rows are counted by file with one small aggregation; a row's number is its file's offset plus its place in the file, so nothing is sorted
-    or gathered, and a recomputed task gives the same numbers.
+    Rows are counted by file with one small aggregation, from footers alone; a row's number is its file's offset plus its place in the file, so
+    nothing is sorted or gathered, and a recomputed task gives the same numbers.  Offsets go to the scan by broadcast, keyed by a 64-bit hash of the
+    path (two paths of one hash are an error), up to broadcast_files files: no trajectory is shuffled.  Beyond that they are joined.
     """
-    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    if "__file" in rows.columns:
+        placed = rows
+    else:
+        placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = placed.groupBy("__file").agg(F.count("*").alias("n"))
     # As many rows as there are files: a running sum over them is small.
     before = F.expr("coalesce(sum(n) OVER (ORDER BY __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    offsets = files.select(F.col("__file"), before.alias("__before"))
-    return placed.join(offsets, "__file").withColumn("row_idx", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+    offsets = files.select(F.xxhash64("__file").alias("__key"), before.alias("__before"))
+    same = F.count("*").over(Window.partitionBy("__key"))
+    offsets = offsets.withColumn("__same", same).select("__key", F.when(F.col("__same") == 1, F.col("__before")).otherwise(F.raise_error(F.lit("two files of one hash")).cast("long")).alias("__before"))
+    few = len(rows.inputFiles()) <= broadcast_files  # the driver has the listing
+    joined = placed.withColumn("__key", F.xxhash64("__file")).join(F.broadcast(offsets) if few else offsets, "__key")
+    return joined.withColumn("row_idx", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before", "__key")
 
 
 def with_patient_id(rows: DataFrame) -> DataFrame:

@@ -52,9 +52,66 @@ def test_ranges_are_in_the_order_of_scores(spark):
     for x in set(cases) | set(controls):
         r = rows[x]
         assert (r["cases"], r["controls"], r["cases_below"], r["controls_below"], r["m"], r["n"]) == (cases.count(x), controls.count(x), sum(c < x for c in cases), sum(c < x for c in controls), 500, 500)
-    plan = auc.cell_auc(scored(spark, cases, controls))._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.split("\n") if "+- Window " in line or ":- Window " in line or line.lstrip().startswith("Window ")]
-    assert windows and not any("logit" in w.rsplit("], [", 2)[-1] and "range" not in w.rsplit("], [", 2)[-2] for w in windows)  # scores are sorted within ranges alone
+
+
+@pytest.mark.parametrize("low, high", [(1e5, 2e5), (1e-6, 1e-4), (0.3, 0.3001), (0.3, 0.3 + 1e-6), (-1e-300, -1e-308), (-3e-310, 3e-310), (-2.0, 2.0)])
+def test_ranges_follow_the_scores(spark, low, high):
+    """Scores of any magnitude are spread: no range holds more than a few percent of what is there."""
+    n = 3000
+    rows = spark.range(n).select(F.lit("d").alias("disease"), F.lit("male").alias("sex"), F.lit(50).alias("age"), (F.col("id") % 3 == 0).cast("int").alias("label"), (low + (high - low) * F.rand(7)).alias("logit"))
+    first, second = auc.score_ranges(F.col("logit"))
+    found = rows.select("logit", first.alias("a"), second.alias("b")).orderBy("logit").collect()
+    keys = [(r["a"], r["b"]) for r in found]
+    assert keys == sorted(keys)
+    groups = {}
+    for k in keys:
+        groups[k] = groups.get(k, 0) + 1
+    assert max(groups.values()) <= n // 20
+    got, want = auc.cell_auc(rows).head()["auc"], auc.auc_by_ranks(rows).head()["auc"]
+    assert got == pytest.approx(want)
+
+
+def test_ranges_at_powers_of_two(spark):
+    """Where a logarithm may be one off, and at both ends of the doubles."""
+    import math
+
+    values = [float("-inf"), float("inf"), 0.0, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    for e in range(-1070, 1024, 3):
+        x = math.ldexp(1.0, e)
+        values += [x, math.nextafter(x, 0), math.nextafter(x, math.inf)]
+    values = sorted({*values, *(-x for x in values)})
+    rows = spark.createDataFrame([(x,) for x in values], "logit double")
+    first, second = auc.score_ranges(F.col("logit"))
+    found = {r["logit"]: (r["a"], r["b"]) for r in rows.select("logit", first.alias("a"), second.alias("b")).collect()}
+    keys = [found[x] for x in values]
+    assert keys == sorted(keys) and all(0 <= b < auc.FINE for _, b in keys)
+
+
+def test_covariance_of_predictors(spark):
+    """Against numpy over placements of all pairs; a predictor with itself is cell_auc's variance; other subjects are no pair."""
+    import numpy as np
+
+    rnd = random.Random(3)
+    data = {p: ([rnd.randint(0, 9) + (p == "b") * rnd.random() for _ in range(15)], [rnd.randint(0, 7) for _ in range(25)]) for p in "abc"}
+    rows = [(p, "d", "male", 50, i, 0, label, float(x)) for p, sides in data.items() for label, xs in zip((1, 0), sides) for i, x in enumerate(xs)]
+    frame = spark.createDataFrame(rows, "predictor string, disease string, sex string, age int, row_idx long, seq_point long, label int, logit double")
+    got = {(r["predictor_a"], r["predictor_b"]): r for r in auc.delong_covariance(frame).collect()}
+    won = lambda x, y: (x > y) + 0.5 * (x == y)
+    v10 = np.array([[np.mean([won(x, y) for y in data[p][1]]) for x in data[p][0]] for p in "abc"])
+    v01 = np.array([[np.mean([won(x, y) for x in data[p][0]]) for y in data[p][1]] for p in "abc"])
+    cov = np.cov(v10) / 15 + np.cov(v01) / 25
+    assert len(got) == 6
+    for i, a in enumerate("abc"):
+        for j in range(i, 3):
+            r = got[a, "abc"[j]]
+            assert (r["auc_a"], r["auc_b"], r["cov"]) == pytest.approx((v10[i].mean(), v10[j].mean(), cov[i, j]))
+    own = auc.cell_auc(frame.where("predictor = 'b'")).head()
+    assert got["b", "b"]["cov"] == pytest.approx(own["var"])
+    d = {(r["predictor_a"], r["predictor_b"]): r for r in auc.compare(auc.delong_covariance(frame)).collect()}
+    assert d["a", "b"]["var"] == pytest.approx(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1]) and d["a", "b"]["z"] == pytest.approx((v10[0].mean() - v10[1].mean()) / d["a", "b"]["var"] ** 0.5)
+    lacking = auc.delong_covariance(frame.where("NOT (predictor = 'c' AND row_idx = 3)"))
+    assert {(r["predictor_a"], r["predictor_b"]) for r in lacking.collect()} == {("a", "a"), ("a", "b"), ("b", "b"), ("c", "c")}
+    assert auc.delong_covariance(frame.limit(0)).count() == 0
 
 
 def test_pooling(spark):

@@ -1,14 +1,18 @@
 """The three stages as programs, against the plan in one piece."""
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+import stratacohort.__main__ as programs
 from stratacohort.__main__ import main
 from stratacohort.config import profile
+from stratacohort.operators.store import ScoreStore
 from stratacohort.plans.pipeline import evaluate
 from stratacohort.sources import fixtures, sinks, trajectories
 
 
-def test_three_programs_equal_one_plan(spark, sf_dir, tmp_path):
+def test_three_programs_equal_one_plan(spark, sf_dir, tmp_path, monkeypatch):
     traj = fixtures.trajectories(spark, sf_dir).where("row_idx < 80").drop("row_idx")
     traj.repartition(3).write.parquet(f"{tmp_path}/shards/a")
     out = f"{tmp_path}/out"
@@ -24,13 +28,110 @@ def test_three_programs_equal_one_plan(spark, sf_dir, tmp_path):
     assert sorted(map(key, by_lists.collect())) == sorted(map(key, whole.cells.collect())) and whole.n_missing() == 0
     pooled = spark.read.option("header", True).csv(f"{out}/auc_results.csv")
     assert pooled.count() == whole.pooled.count() and pooled.columns == ["disease", "auc", "n_samples", "n_diseased", "n_healthy"]
-    reused = main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "no.such:thing", "--skip_logits"], spark)
-    assert reused.count() == whole.cells.count()
-    with pytest.raises(ModuleNotFoundError):  # other settings have no scores yet
-        main(["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--scorer", "no.such:thing", "--skip_logits", "--max_length", "9"], spark)
+    evaluate_again = ["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--skip_logits", "--scorer"]
+    with monkeypatch.context() as m:
+        m.setattr(programs, "load_scorer", lambda *a: pytest.fail("scored again"))
+        assert main([*evaluate_again, "arithmetic"], spark).count() == whole.cells.count()
+        with pytest.raises(pytest.fail.Exception):  # other settings have no scores yet
+            main([*evaluate_again, "arithmetic", "--max_length", "9"], spark)
+    (tmp_path / "other_scorer.py").write_text(OTHER)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    other = main([*evaluate_again, "other_scorer:scorer"], spark)  # another scorer's areas, not those that are kept
+    assert {r["auc"] for r in other.collect()} == {0.5}
+    (tmp_path / "other_scorer.py").write_text(OTHER.replace("0.0", "row_idx * 1.0"))  # the same name, another source
+    import sys
+
+    del sys.modules["other_scorer"]
+    assert {r["auc"] for r in main([*evaluate_again, "other_scorer:scorer"], spark).collect()} != {0.5}
     whole.release()
 
 
+OTHER = """
+from pyspark.sql import functions as F
+from stratacohort.operators import scoring
+
+
+class Same:
+    def score(self, prompts, diseases):
+        rows = prompts.withColumn("listed", scoring.disease_list(diseases))
+        return rows.select("row_idx", "seq_point", F.transform("listed", lambda d: F.expr("0.0").cast("double")).alias("logits"))
+
+
+scorer = Same()
+"""
+
+
+CHECKPOINT = """
+import json
+import numpy as np
+
+
+def load(folder, device):
+    with open(f"{folder}/config/model.json") as file:
+        scale, vocabulary = (x := json.load(file))["scale"], x["vocabulary"]
+    ids = {t: i for i, t in enumerate(vocabulary)}
+
+    def forward(rows, mask):
+        return np.cumsum(rows * mask, axis=1)[:, :, None] * scale + np.arange(len(vocabulary)) % 7
+
+    return lambda text: [ids.get(t, 0) for t in text.split(" ")], forward
+"""
+
+
+def test_a_checkpoint_folder(spark, sf_dir, tmp_path, monkeypatch, capsys):
+    """A model on disk is shipped, opened and scored; another content under the same path has scores of its own."""
+    import json
+
+    traj = fixtures.trajectories(spark, sf_dir).where("row_idx < 60").drop("row_idx")
+    traj.write.parquet(f"{tmp_path}/shards")
+    out = str(tmp_path / "out")
+    main(["points", "--data_dir", f"{tmp_path}/shards", "--output_dir", out, "--demo_end_index", "3", "--longitudinal"], spark)
+    main(["cohorts", "--data_dir", f"{out}/traj_test_pd.parquet", "--output_dir", out, "--age_group_range", "20,100,10"], spark)
+    (tmp_path / "disk_model.py").write_text(CHECKPOINT)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "disk_model.py"))
+    tokens = sorted(r["token"] for r in traj.select(F.explode(F.split("seq", " ")).alias("token")).distinct().collect())
+    (tmp_path / "model" / "config").mkdir(parents=True)
+    call = ["evaluate", "--data_file", f"{out}/traj_test_pd.parquet", "--case_control_ids_file", f"{out}/case_controls.parquet", "--output_dir", out, "--skip_logits", "--scorer", "causal:disk_model:load", "--checkpoint", str(tmp_path / "model")]
+    found = []
+    for scale in (1, -1):
+        (tmp_path / "model" / "config" / "model.json").write_text(json.dumps({"scale": scale, "vocabulary": tokens}))
+        found.append({(r["disease"], r["sex"], r["age"]): r["auc"] for r in main(call, spark).collect()})
+    said = capsys.readouterr().out
+    assert found[0] and found[0].keys() == found[1].keys() and all(found[1][k] == pytest.approx(1 - v) for k, v in found[0].items())
+    assert said.count("scored ") > 2  # progress by bucket
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    """Half of the buckets are committed when the scorer fails; the next run scores the others only, and another cohort what it adds."""
+    pairs = spark.range(200).select(F.col("id").alias("row_idx"), (F.col("id") % 7).alias("seq_point"))
+    store, seen, told = ScoreStore(spark, f"{tmp_path}/scores", 10), [], []
+
+    def scorer(fails_after):
+        def score(prompts):
+            if len(seen) >= fails_after:
+                raise RuntimeError("stopped")
+            seen.append({r["row_idx"] for r in prompts.collect()})
+            return prompts.select("row_idx", "seq_point", F.array(F.col("row_idx") * 1.0).alias("logits"))
+        return score
+
+    prompts = lambda rows: rows.withColumn("prompt", F.lit("a"))
+    with pytest.raises(RuntimeError):
+        store.complete(pairs, prompts, scorer(5), lambda done, n: told.append((done, n)))
+    first = set().union(*seen)
+    assert len(told) == 5 and told[0][0] < told[-1][0] == len(first) < 200 and told[0][1] == 200  # told while the run went on
+    os.makedirs(f"{tmp_path}/scores/half/00000")
+    (tmp_path / "scores" / "half" / "00000" / "part-0.parquet").write_text("what a stopped job left")
+    seen.clear()
+    got = store.complete(pairs, prompts, scorer(100))
+    assert not first & set().union(*seen) and sorted(r["row_idx"] for r in got.collect()) == list(range(200))
+    seen.clear()
+    more = pairs.unionByName(spark.createDataFrame([(500, 1)], "row_idx long, seq_point long"))
+    assert store.complete(more, prompts, scorer(100)).count() == 201 and seen == [{500}]
+    store.clear()
+    assert store.read().count() == 0
+
+
 def test_formats_between_stages_round_trip(spark, sf_dir):
     config = profile("days")
     run = evaluate(fixtures.trajectories(spark, sf_dir).where("row_idx < 40"), config)

@@ -30,6 +30,32 @@ def test_scan_of_nested_shards(spark, traj, tmp_path):
     assert again == {r["person_id"]: r["row_idx"] for r in got.collect()}
 
 
+def test_scan_of_unlike_shards(spark, traj, tmp_path):
+    """Other files in the folder, columns that some shards lack, counts of two widths, and ids that are numbers here and text there."""
+    rows = traj.drop("row_idx").where("person_id < 40")
+    wide = rows.withColumns({"token_count_thru_2022": F.col("token_count_thru_2022").cast("long"), "x": F.lit(1.5)})
+    rows.where("person_id < 10").withColumn("token_count_thru_2022", F.col("token_count_thru_2022").cast("int")).coalesce(1).write.parquet(f"{tmp_path}/a")
+    wide.where("person_id >= 10 AND person_id < 20").coalesce(1).write.parquet(f"{tmp_path}/b/c")
+    wide.where("person_id >= 20").withColumn("x", F.col("x").cast("float")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b/c")  # beside the others
+    (tmp_path / "b" / "notes.csv").write_text("not a shard")
+    got = trajectories.validate(trajectories.scan_trajectories(spark, str(tmp_path)))
+    types = dict(got.dtypes)
+    assert types["token_count_thru_2022"] == "bigint" and types["x"] == "double"
+    want = {r["person_id"]: (r["seq"], r["token_count_thru_2022"]) for r in rows.collect()}
+    assert {r["person_id"]: (r["seq"], r["token_count_thru_2022"]) for r in got.collect()} == want
+    assert sorted(r["row_idx"] for r in got.collect()) == list(range(len(want))) and got.where("x IS NULL").count() == rows.where("person_id < 10").count()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "Exchange" not in plan  # no trajectory is shuffled
+    joined = trajectories.with_row_idx(spark.read.parquet(f"{tmp_path}/a"), 0)  # beyond the bound of the broadcast
+    assert sorted(r["row_idx"] for r in joined.collect()) == list(range(joined.count()))
+    rows.where("person_id < 5").withColumn("person_id", F.concat(F.lit("p"), "person_id")).write.parquet(f"{tmp_path}/z")
+    got = trajectories.scan_trajectories(spark, str(tmp_path)).collect()
+    assert {"p1", "1"} <= {r["person_id"] for r in got} and sorted(r["row_idx"] for r in got) == list(range(len(got)))
+    rows.limit(1).withColumn("seq", F.array("seq")).write.parquet(f"{tmp_path}/zz")
+    with pytest.raises(ValueError, match="column seq"):
+        trajectories.scan_trajectories(spark, str(tmp_path))
+
+
 def test_scan_of_nothing(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         trajectories.scan_trajectories(spark, str(tmp_path)).count()
@@ -122,10 +148,10 @@ def test_kept_stages_are_reused(spark, traj, tmp_path):
             return super().score(prompts, diseases)
 
     some = traj.where("row_idx < 60")
-    first = {r["disease"]: r["auc"] for r in evaluate_kept(spark, some, config, str(tmp_path), Counting(), "a").pooled.collect()}
-    assert len(calls) == 1
+    first = {r["disease"]: r["auc"] for r in evaluate_kept(spark, some, config, str(tmp_path), Counting(), "a", buckets=3).pooled.collect()}
+    assert len(calls) == 3
     again = evaluate_kept(spark, some.repartition(5), config, str(tmp_path), Counting(), "a")
-    assert {r["disease"]: r["auc"] for r in again.pooled.collect()} == first and len(calls) == 1
+    assert {r["disease"]: r["auc"] for r in again.pooled.collect()} == first and len(calls) == 3
     run = evaluate(some, config)
     assert {r["disease"]: r["auc"] for r in run.pooled.collect()} == pytest.approx(first)
     run.release()
