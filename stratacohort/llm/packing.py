@@ -7,7 +7,7 @@ Rows of one length are interchangeable, so what is packed are counts by length,
 however many documents there are.  Bins with the same lengths are one pattern with a count, and the search exchanges between whole patterns.  It begins
 with best-fit decreasing and then takes the emptiest bins and moves a document to a fuller bin, or exchanges one for one, two for one or one for two, so that the
 fuller bin gets fuller and the sum of squared fills rises, until the bin is empty or nothing can be exchanged; it ends when the number
-of bins meets a lower bound (documents over half a bin, and volume) or no exchange is left.  Then every row finds its place from its rank among the
+of bins meets a lower bound (documents over half a bin, and volume) or after TRIES bins in a row that can't be emptied.  Then every row finds its place from its rank among the
 rows of its length: its rank within its task's rows and its length, and sums of the tasks' counts before it.
 
 Memory and skew: the driver holds counts by length and the patterns, both bounded by the capacity; rows of one length, however many, stay where they
@@ -18,90 +18,153 @@ extra columns pass through `pack` whatever their names, but those it adds; a len
 """
 from __future__ import annotations
 
-import hashlib
+import json
 import os
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, written
 
-#: A worker's cache of encoded words: how many, and up to which length.
-WORDS, LONG = 400_000, 60
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
+#: Words after which a worker's cache begins anew, and the longest word that is kept there.
+WORDS, LONG = 500_000, 60
+#: A letter or digit and a mark after it, which is no part of the same token.
+BEFORE_MARK = r"([a-z0-9])([.,;:!?])"
+#: Bytes of texts whose words are looked up at once, words that are encoded at once, and those that are encoded as one text.
+TEXTS, AT_ONCE, JOINED = 16 << 20, 4096, 512
 
 
-def _encoder_of(key: str, shipped: Broadcast, apart: bool) -> Callable[[str], bytes]:
-    """This worker's encoder: one is made, whatever the number of tasks, and one is kept."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = _encoder(shipped.value, apart)
-    return _ENCODERS[key]
+@lru_cache(maxsize=1)
+def _encoder_of(model: str, apart: bool) -> Callable[[pa.Array], list[bytes]]:
+    """The encoder that a worker keeps, with its words."""
+    return _encoder(model, apart)
 
 
-def _encoder(text: str, apart: bool) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian bytes."""
+def _encoder(text: str, apart: bool) -> Callable[[pa.Array], list[bytes]]:
+    """A function from texts to their ids as little-endian bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_str(text)
-    coded = lambda x: np.array(x.ids, "<u4").tobytes()
-    if not apart:
-        return lambda text: coded(model.encode(text, add_special_tokens=False))
-    known: dict[str, bytes] = {"": b""}
-
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            known[""] = b""
-            new = list(set(words) - {""})
-        made = dict(zip(new, map(coded, model.encode_batch_fast(new, add_special_tokens=False))))
-        known.update((w, x) for w, x in made.items() if len(w) <= LONG)
-        return b"".join([known[w] if w in known else made[w] for w in words])
 
-    return encode
+    def whole(texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), AT_ONCE):  # the library's results are many times as large as their ids
+            out += [array("I", x.ids).tobytes() for x in model.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)]
+        return out
+
+    suffix = json.loads(text)["model"].get("end_of_word_suffix")
+    closes = np.zeros(max(model.get_vocab().values()) + 1, bool)  # tokens that end a word
+    if suffix:
+        closes[[i for token, i in model.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def letters(words: list[str]) -> list[bytes]:
+        """whole() of words of ASCII letters, many as one text: each ends with the token that ends a word."""
+        out = []
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = np.array(model.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) != len(some):
+                out += whole(some)
+                continue
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    known: dict[str, bytes] = {}
+
+    def coded(words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        out = [known.get(w) for w in words]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for some, f in (([i for i in new if words[i].isascii() and words[i].isalpha()], letters), ([i for i in new if not (words[i].isascii() and words[i].isalpha())], whole)):
+            for i, ids in zip(some, f([words[i] for i in some])):
+                out[i] = ids
+        if len(known) + len(new) > WORDS:
+            known.clear()  # what these texts have goes in again
+        known.update((w, ids) for w, ids in zip(words, out) if len(w) <= LONG)
+        return out
+
+    def by_word(texts: pa.Array) -> list[bytes]:
+        special = pc.match_substring(texts, "<|")
+        if pc.any(special).as_py():  # the names of special tokens, which have their case
+            rest = iter(by_word(pc.if_else(special, "", texts)))
+            return [whole([t])[0] if x else y for t, x, y in zip(texts.to_pylist(), special.to_pylist(), rest)]
+        plain = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), BEFORE_MARK, r"\1 \2")
+        split = pc.split_pattern(plain, " ")
+        words = split.flatten().dictionary_encode()
+        ids = coded(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(np.append(np.int32(0), np.cumsum(sizes, dtype=np.int32)), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        ends, out = split.offsets.to_numpy() - split.offsets[0].as_py(), []
+        for row in range(0, len(texts), 256):
+            cut = ends[row : row + 257]
+            taken = lists.take(words.indices.slice(cut[0], cut[-1] - cut[0]))
+            upto = taken.offsets.to_numpy()
+            data, cuts = taken.values.to_numpy().tobytes(), (4 * (upto - upto[0])[cut - cut[0]]).tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    return by_word if apart else lambda texts: whole(texts.to_pylist())
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, up to TEXTS bytes or one batch."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > TEXTS:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield held
 
 
 def pieces(docs: DataFrame, carry: list[str], model: str, capacity: int = 2048, last: int = 0, apart: bool = False) -> DataFrame:
     """The carried columns, piece, start, length and ids (little-endian unsigned 32 bits) of `text` under a tokenizers file, `last` being appended.
 
-    `apart` says that the model drops white space, so that words are encoded on their own and a worker encodes a frequent one once.
+    `apart` says that the model drops white space, lower-cases character by character and has no token of a letter or digit with a mark (BEFORE_MARK)
+    after it, so that words and marks are encoded on their own and a worker encodes a frequent one once.
     """
     with open(model, encoding="utf-8") as file:
         text = file.read()
-    shipped, key = docs.sparkSession.sparkContext.broadcast(text), f"{apart}-{hashlib.sha256(text.encode()).hexdigest()}"
+    shipped = docs.sparkSession.sparkContext.broadcast(text)
     columns = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col("text"), F.lit("")))
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
     width, end = 4 * capacity, np.array([last], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder_of(key, shipped, apart)
-        for batch in batches:
-            rows, number, ids, size = [], [], [], 0
-            for row, text in enumerate(batch.column(len(carry)).to_pylist()):
-                data = encode(text) + end
-                for k in range(0, len(data), width):
-                    rows.append(row)
-                    number.append(k // width)
-                    ids.append(data[k : k + width])
-                size += len(data)
-                if size > 4 << 20 or row == batch.num_rows - 1:
-                    taken = pa.array(rows, pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(i).take(taken) for i in range(len(carry))]
-                        + [pa.array(number, pa.int32()), pa.array([capacity * k for k in number], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                        names=[*carry, "piece", "start", "length", "ids"],
-                    )
-                    rows, number, ids, size = [], [], [], 0
+        encode = _encoder_of(shipped.value, apart)
+        for group in _groups(batches):
+            texts = pa.chunked_array([batch.column(len(carry)) for batch in group]).combine_chunks()
+            coded, at = encode(texts), 0
+            for batch in group:
+                some, at = coded[at : at + batch.num_rows], at + batch.num_rows
+                rows, number, ids = [], [], []
+                for row, data in enumerate(some):
+                    data += end
+                    for k in range(0, len(data), width):
+                        rows.append(row)
+                        number.append(k // width)
+                        ids.append(data[k : k + width])
+                taken = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).take(taken) for i in range(len(carry))]
+                    + [pa.array(number, pa.int32()), pa.array([capacity * k for k in number], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=[*carry, "piece", "start", "length", "ids"],
+                )
 
     return map_arrow(columns, cut, schema)
 
@@ -156,6 +219,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter:
     return Counter({p: n for held in by_room.values() for p, n in held.items()})
 
 
+#: Bins in a row that the search can't empty before it ends, and exchanges for each document of a bin.
+TRIES, EXCHANGES = 16, 4
+
+
 def _exchange(giver: tuple, taker: tuple, room: int) -> tuple[int, tuple, tuple] | None:
     """What the giver hands over and gets back so that the taker's fill rises most, within its room: (rise, over, back)."""
     ones = sorted(set(giver))
@@ -194,39 +261,38 @@ def _swapped(pattern: tuple, out: tuple, into: tuple) -> tuple:
     return tuple(sorted(held.elements(), reverse=True))
 
 
-def search(bins: Counter, capacity: int, bound: int) -> Counter:
-    """Exchange between underfull bins until the bound is met or nothing is left to exchange; each exchange raises the sum of squared fills."""
+def search(bins: Counter, capacity: int, bound: int, tries: int = TRIES) -> Counter:
+    """Exchange between underfull bins until the bound is met or `tries` bins in a row could not be emptied; each exchange raises the sum of squared fills."""
     bins = Counter(bins)
-    total = sum(bins.values())
-    stuck: set[tuple] = set()  # emptiest bins that found no exchange among the others as they are
-    while total > bound:
-        under = sorted((sum(p), p) for p in bins if sum(p) < capacity)
-        giver = next((p for _, p in under if p not in stuck), None)
+    total, failed, stuck = sum(bins.values()), 0, set()
+    while total > bound and failed < tries:
+        under = sorted(((sum(p), p) for p in bins if sum(p) < capacity), reverse=True)
+        giver = next((p for _, p in reversed(under) if p not in stuck), None)
         if giver is None:
             break
-        fill, found = sum(giver), None
-        for other_fill, other in reversed(under):
-            if other_fill < fill:
+        left = EXCHANGES * (len(giver) + 1)
+        while giver and left:
+            left -= 1
+            fill = sum(giver)
+            found = ((other, swap) for f, other in under if f >= fill and other in bins and (other != giver or bins[giver] > 1) and (swap := _exchange(giver, other, capacity - f)))
+            other, swap = next(found, (None, None))
+            if not swap:
                 break
-            if other == giver and bins[giver] < 2:
-                continue
-            swap = _exchange(giver, other, capacity - other_fill)
-            if swap and (found is None or swap[0] > found[0][0]):
-                found = swap, other
-                if swap[0] >= min(fill, capacity - other_fill):
-                    break
-        if found is None:
+            _, over, back = swap
+            many = bins[giver] // 2 if other == giver else min(bins[giver], bins[other])
+            less, more = _swapped(giver, over, back), _swapped(other, back, over)
+            bins.subtract({giver: many, other: many} if other != giver else {giver: 2 * many})
+            bins.update({less: many, more: many} if less else {more: many})
+            bins, giver = +bins, less
+            if sum(more) < capacity:
+                insort(under, (sum(more), more), key=lambda x: (-x[0], tuple(-n for n in x[1])))
+        if giver:
             stuck.add(giver)
-            continue
-        (_, over, back), other = found
-        many = bins[giver] // 2 if other == giver else min(bins[giver], bins[other])
-        less, more = _swapped(giver, over, back), _swapped(other, back, over)
-        bins.subtract({giver: many, other: many} if other != giver else {giver: 2 * many})
-        bins.update({less: many} if less else {})
-        bins.update({more: many})
-        total -= 0 if less else many
-        bins = +bins
-        stuck.clear()
+            failed += 1
+        else:
+            total = sum(bins.values())
+            stuck.clear()
+            failed = 0
     return bins
 
 
