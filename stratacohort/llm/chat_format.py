@@ -8,7 +8,7 @@ A message is "<|im_start|>" + header + newline + text + "<|im_end|>" + newline,
 "user name=" + speaker, or "system".  "<|" inside a text is broken up by a zero-width space, so that a text cannot
 forge a mark; white space and marks in a name become "_".
 
-A rendering is one row.  Only what no row should hold, a rendering of more than part_chars characters, goes on in further rows: part i has
+A rendering is one row, however long.  Whoever has conversations that no row should hold can ask for parts: part i has
 the messages that start in characters [i * part_chars, (i + 1) * part_chars), so a row is bounded by part_chars and the
 longest message, and the parts of a rendering, one after the other, are the rendering.
 
@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PART_CHARS = 1 << 20
 #: Characters of a text that tell the ranges apart; texts with the same beginning, turn and speaker share a range.
 BEGINNING = 64
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: tuple[str, ...] = ("system",), part_chars: int = PART_CHARS) -> DataFrame:
+def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: tuple[str, ...] = ("system",), part_chars: int | None = None) -> DataFrame:
     """One row for each conversation, perspective and part: n_messages, n_trained, text, masks array<struct<start, end>>."""
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(speaker).alias("speaker"), F.col(text).alias("said"))
     rows = rows.groupBy("conv_id", "turn", "speaker", "said").agg(F.count("*").alias("copies"))
@@ -67,7 +66,7 @@ def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speak
     placed = placed.join(before, same).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     placed = placed.withColumn("start", F.col("start") + F.col("before") + F.col("copy") * F.col("n"))
 
-    part = F.floor(F.col("start") / part_chars).cast("long").alias("part")
+    part = (F.floor(F.col("start") / part_chars) if part_chars else F.lit(0)).cast("long").alias("part")
     message = F.struct("start", F.concat("head", "body").alias("text"), "own", "n_head", "n")
     parts = placed.select(*key, part, message.alias("m")).groupBy(*key, "part").agg(F.array_sort(F.collect_list("m")).alias("m"))
     first = F.col("m")[0]["start"]

@@ -4,7 +4,7 @@ Every rule votes good (1), bad (-1) or abstains (0) on a document; a vote needs
 its two thresholds is an abstention.  A two-class latent model with, for each rule, its rate of bad votes among good and
 among bad documents (abstentions carry no weight) is fitted by expectation maximisation, without labels, and the
 posterior probability of "good" takes the place of all-must-pass filtering.  The fit ends when no rate moves by TOLERANCE
-any more, after ROUNDS rounds at the latest.
+any more, after ROUNDS rounds at the latest; `converged` says whether it did.
 
 No two rules count the same thing, but each fault is seen from two sides, since the model can't tell what a single rule
 sees from that rule's own errors: marks (symbols counted; words that are made of letters and digits alone), repeats (repeated windows of
@@ -33,7 +33,7 @@ PLAIN = r"(?<!\S)[\p{L}\p{M}\p{Nd}'\u2019-]++[.,;:!?]*+(?!\S)"
 WINDOW = 8
 #: Words in a block whose distinct words are counted.
 BLOCK = 64
-ROUNDS = 60
+ROUNDS = 400
 TOLERANCE = 1e-10
 #: Bounds of a rule's rates, so that no rule alone is ever certain.
 LEAST, MOST = 0.005, 0.995
@@ -118,7 +118,7 @@ RULES = {
 
 
 def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
-    """patterns(votes array<int>, n bigint) with the posterior of each, the model and its rounds: one row collects all patterns, at most 3 ** n_rules."""
+    """patterns(votes array<int>, n bigint) with the posterior of each, the model, its rounds and whether it converged within them: one row collects all patterns, at most 3 ** n_rules."""
     rules = range(n_rules)
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("p"))
 
@@ -157,25 +157,25 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
     fitted = one.select("p", state(let(weighed(F.col("p"), start), model), F.lit(0), F.lit(True)).alias("s"))
     better = lambda m: let(weighed(F.col("p"), lambda x: posterior(x["votes"], m)), model)
     step = lambda s, _: F.when(s["going"], let(better(s["m"]), lambda m: state(m, s["rounds"] + 1, moved(s["m"], m)))).otherwise(s)
-    fitted = fitted.select("p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("s"), step).alias("s")).select("p", "s.m", "s.rounds")
-    return fitted.select(F.explode("p").alias("x"), "m", "rounds").select("x.votes", "x.n", posterior(F.col("x.votes"), F.col("m")).alias("p_good"), "m", "rounds")
+    fitted = fitted.select("p", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("s"), step).alias("s")).select("p", "s.m", "s.rounds", (~F.col("s.going")).alias("converged"))
+    return fitted.select(F.explode("p").alias("x"), "m", "rounds", "converged").select("x.votes", "x.n", posterior(F.col("x.votes"), F.col("m")).alias("p_good"), "m", "rounds", "converged")
 
 
 def judge(docs: DataFrame, text: str = "text", carry: list[str] | None = None, rules: dict | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The columns in carry (all, if None) with the counts, base_failed, votes, p_good and kept."""
+    """The columns in carry (all, if None) with the counts, base_failed, votes, p_good, kept and converged: false in all rows if `rounds` were not enough."""
     rules = RULES if rules is None else rules
     carry = docs.columns if carry is None else carry
     counts = docs.select(*carry, F.col(text).alias("__text")).select(*carry, _counts(F.col("__text")).alias("__c"))
     names = counts.schema["__c"].dataType.names
-    carry = [c for c in carry if c not in {*names, "votes", "base_failed", "p_good", "kept"}]
+    carry = [c for c in carry if c not in {*names, "votes", "base_failed", "p_good", "kept", "converged"}]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     votes = F.array(*[rule(F.col("__c")).cast("int") for rule in rules.values()])
     seen = written(counts.select(*carry, "__c.*", votes.alias("votes")).withColumn("base_failed", failed), "quality-votes")
     patterns = seen.groupBy("votes").agg(F.count("*").alias("n"))
-    fitted = fit(patterns, len(rules), rounds).select("votes", "p_good")
+    fitted = fit(patterns, len(rules), rounds).select("votes", "p_good", "converged")
     out = seen.join(F.broadcast(fitted), "votes")  # at most 3 ** rules rows
     kept = ~F.col("base_failed") & (F.col("p_good") >= MIN_POSTERIOR)
-    return out.withColumn("kept", kept).select(*carry, *names, "votes", "base_failed", "p_good", "kept")
+    return out.withColumn("kept", kept).select(*carry, *names, "votes", "base_failed", "p_good", "kept", "converged")
 
 
 def reject(docs: DataFrame, text: str = "text") -> DataFrame:

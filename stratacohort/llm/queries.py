@@ -18,8 +18,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A conversation may hold a third of all rows: no row of the query's result holds more characters than this and one message.
+PART_CHARS = 1 << 20
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat_format.rotate(table(spark, sf_dir, "conversations"))
+    out = chat_format.rotate(table(spark, sf_dir, "conversations"), part_chars=PART_CHARS)
     return out.withColumn("masks", F.array_join(F.transform("masks", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
 
 
@@ -36,7 +40,7 @@ z AS (SELECT *, s - min(s) OVER (PARTITION BY conv_id, perspective, part) AS pos
 SELECT conv_id, perspective, part, count(*)::BIGINT AS n_messages, count_if(own)::BIGINT AS n_trained, string_agg(head || body, '' ORDER BY k) AS text,
        coalesce(string_agg((pos + length(head))::BIGINT::VARCHAR || '-' || (pos + length(head) + length(body) - 1)::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (WHERE own), '') AS masks
 FROM z GROUP BY conv_id, perspective, part
-""".replace("@PART@", str(chat_format.PART_CHARS))
+""".replace("@PART@", str(PART_CHARS))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +48,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+#: Rounds that the SQL spells out; the fit ends before (22 rounds at sf0.1), so more change nothing.
+SQL_ROUNDS = 60
+
+
 def _em_sql() -> str:
     """The rounds of expectation maximisation, each a table of rates r{k}(j, g, b) and a prior pr{k}(prior)."""
     q = quality_rules
     bound = lambda a, b: f"CASE WHEN {b} > 0 THEN greatest({q.LEAST}, least({q.MOST}, {a} / {b})) ELSE 0.5 END"
     out = [f"s0 AS MATERIALIZED (SELECT votes, n, CASE WHEN list_contains(votes, -1) THEN 1 - {q.PRIOR}::DOUBLE ELSE {q.PRIOR}::DOUBLE END AS p FROM pat)"]
-    for k in range(q.ROUNDS + 1):
+    for k in range(SQL_ROUNDS + 1):
         out.append(f"pr{k} AS MATERIALIZED (SELECT {bound('sum(n * p)', 'sum(n)')} AS prior FROM s{k})")
         side = lambda w: bound(f"sum({w}) FILTER (WHERE v = -1)", f"coalesce(sum({w}) FILTER (WHERE v <> 0), 0)")
         zero = lambda x: x.replace("sum(n * p) FILTER (WHERE v = -1)", "coalesce(sum(n * p) FILTER (WHERE v = -1), 0)").replace("sum(n * (1 - p)) FILTER (WHERE v = -1)", "coalesce(sum(n * (1 - p)) FILTER (WHERE v = -1), 0)")
@@ -80,7 +88,7 @@ FROM v JOIN @LAST@ USING (votes)
 _RATIOS = [("n_symbols", "n_words", 5, 25, 1), ("n_plain", "n_words", 70, 90, -1), ("n_repeat_words", "n_words", 10, 30, 1), ("n_block_distinct", "n_words", 45, 65, -1), ("n_dup_lines", "n_lines", 10, 50, 1), ("n_caps", "n_words", 5, 25, 1), ("n_marks", "n_words", 40, 80, 1)]
 OP3_SQL = (
     OP3_SQL.replace("@RATIOS@", ", ".join(f"CASE WHEN {b} = 0 THEN 0 WHEN 100 * {a} <= {lo} * {b} THEN {v} WHEN 100 * {a} >= {hi} * {b} THEN {-v} ELSE 0 END" for a, b, lo, hi, v in _RATIOS))
-    .replace("@EM@", _em_sql()).replace("@LAST@", f"s{quality_rules.ROUNDS + 1}")
+    .replace("@EM@", _em_sql()).replace("@LAST@", f"s{SQL_ROUNDS + 1}")
 )
 
 

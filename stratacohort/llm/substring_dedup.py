@@ -1,20 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after ., ! or ? and white space, and after line ends.  Sentences are cut on by winnowing: of every
-CUT_WINDOW words in a row of a sentence, it is cut after the one with the least hash, the last of equal ones.  Such a cut depends on the
-words around it only, so a passage is cut alike wherever it stands, but for a few words at both ends, and no piece has more than
-CUT_WINDOW words.  A run starts where a sentence does, and after the least word of every START_WINDOW words in a row of a sentence (START_WINDOW
-is the larger, so these are some of the cuts).  It ends with the first piece by which it has SPAN ends of sentences and MIN_WORDS words
-(three short sentences repeat by chance, and short notices are for line dedup), or LONG_WORDS words.  In a passage a start that all copies share comes after 2 * START_WINDOW - 1 words at most, the run has less
-than LONG_WORDS + CUT_WINDOW words, and its end is shared if CUT_WINDOW words of the passage follow; so any passage of
-2 * START_WINDOW + 2 * CUT_WINDOW + LONG_WORDS - 2 = 51 words has a whole run, wherever it begins and ends.  Runs are hashed (96 bits,
-over lower-cased words and the ends of pieces, by prefix sums over the words' hashes); the hashes meet globally, and a piece covered by any
-occurrence of a repeated run but the first goes.
+A text is cut into sentences: after ., ! or ? and white space, and after line ends.  Every run of SPAN consecutive sentences, of whatever length, is
+hashed (96 bits, over lower-cased words and the ends of sentences, by prefix sums over the words' hashes).  The hashes meet globally, and a
+sentence covered by any occurrence of a repeated run but the first goes; nothing else is touched.
+
+A passage that is repeated without SPAN whole sentences in it stays.  `window` is for texts without sentence ends: sentences of more than `window`
+words are cut on by winnowing, after the word with the least hash of every `window` words in a row, the last of equal ones.  Such a cut depends on the
+words around it only, so a passage is cut alike wherever it stands, and one of (SPAN + 2) * window words has a whole run; but then pieces of
+sentences go.  It is off by default.
 
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
 place) only, and adaptive execution splits a hot hash; what is left of it, the occurrences of repeated runs, is written, and the first
-occurrence of each is found among these alone.  Texts move once, with the places of what goes and the number of pieces, and only
+occurrence of each is found among these alone.  Texts move once, with the places of what goes and the number of sentences, and only
 those from which something goes are cut again.  Splitting is done by one function for both passes, one text at a time.  Used tables are
 deleted, but those that the result reads.
 
@@ -42,10 +40,6 @@ from .common import aside, drop_paths, map_arrow, written
 from .decontaminate import Powers
 
 SPAN = 3
-MIN_WORDS = 12
-LONG_WORDS = 17
-CUT_WINDOW = 6
-START_WINDOW = 12
 _WORD = re.compile(r"\S+\s*")
 _LOW = (1 << 31) - 1
 
@@ -70,37 +64,30 @@ _hash = _Hashes().__getitem__
 
 
 class Layout(NamedTuple):
-    """The hashes of a text's lower-cased words; for each piece, the words up to its end, whether it ends a sentence, and whether a run starts with it."""
+    """The hashes of a text's lower-cased words, and for each sentence (or piece of one) the words up to its end."""
 
     hashes: np.ndarray
     ends: np.ndarray
-    closes: np.ndarray
-    starts: np.ndarray
 
 
-def layout(text: str) -> Layout:
+def layout(text: str, window: int | None = None) -> Layout:
     lines = [x.split() for x in text.lower().split("\n")]
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     n = int(sizes.sum())
     hashes = np.fromiter(map(_hash, chain.from_iterable(lines)), np.uint64, n)
-    closing, starting = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    closing[1:] = hashes & np.uint64(1)
-    closing[np.cumsum(sizes)] = True
-    closing[0] = False
-    starting[0] = True
-    starting |= closing
-    ending = closing.copy()
-    # The least rank first, and of equal ones the last; windows of the one size are the least of smaller windows.
-    least, width = (hashes >> np.uint64(32)).astype(np.int64) << 31 | (_LOW - np.arange(n)), 1
-    sentence = np.cumsum(closing)
-    for window, marks in ((CUT_WINDOW, ending), (START_WINDOW, starting)):
-        while width < window and len(least):
+    ending = np.zeros(n + 1, bool)
+    ending[1:] = hashes & np.uint64(1)
+    ending[np.cumsum(sizes)] = True
+    ending[0] = False
+    if window and n > window:
+        # The least rank first, and of equal ones the last; windows of the one size are the least of smaller windows.
+        least, width, sentence = (hashes >> np.uint64(32)).astype(np.int64) << 31 | (_LOW - np.arange(n)), 1, np.cumsum(ending)
+        while width < window:
             more = min(width, window - width)
             least, width = np.minimum(least[:-more], least[more:]), width + more
-        within = sentence[: n - window] == sentence[window:n] if n > window else slice(0)  # a sentence's end cuts the windows that hold it
-        marks[_LOW - (least[: n - window][within] & _LOW) + 1] = True
-    ends = np.flatnonzero(ending[1:]) + 1
-    return Layout(hashes, ends, closing[ends], starting[np.append(0, ends[:-1])] if len(ends) else ending[:0])
+        within = sentence[: n - window] == sentence[window:n]  # a sentence's end cuts the windows that hold it
+        ending[_LOW - (least[: n - window][within] & _LOW) + 1] = True
+    return Layout(hashes, np.flatnonzero(ending[1:]) + 1)
 
 
 def cut(text: str, ends: np.ndarray) -> list[str]:
@@ -113,21 +100,10 @@ def cut(text: str, ends: np.ndarray) -> list[str]:
 
 
 def sentences(text: str) -> list[str]:
-    """Pieces that joined give the text."""
+    """Sentences that joined give the text."""
     return cut(text, layout(text).ends)
 
 
-def run_ends(found: Layout, span: int = SPAN) -> np.ndarray:
-    """The place after each piece's run, its own place if none starts there; pieces near the end are left out."""
-    _, ends, closes, starts = found
-    n = len(ends)
-    at, close = np.arange(n), np.append(np.flatnonzero(closes), np.full(span, n))
-    begin = np.append(0, ends[:-1])[:n]
-    closed = np.maximum(close[np.searchsorted(close[: len(close) - span], at) + span - 1], np.searchsorted(ends, begin + MIN_WORDS))
-    last = np.minimum(closed, np.searchsorted(ends, begin + LONG_WORDS))
-    return np.where(starts, last + 1, at)[last < n]
-
-
 @cache
 def _powers() -> Powers:
     return Powers()
@@ -135,15 +111,14 @@ def _powers() -> Powers:
 
 def spans(found: Layout, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places where runs start, and two hashes of each run, of 64 and 32 bits."""
-    last = run_ends(found, span)
-    at = np.flatnonzero(last > np.arange(len(last)))
-    a, b = np.append(0, found.ends)[at], found.ends[last[at] - 1] if len(at) else at
+    at = np.arange(max(0, len(found.ends) - span + 1))
+    a, b = np.append(0, found.ends)[at], found.ends[at + span - 1]
     words = found.hashes.copy()
     powers = _powers()
     powers.reach(len(words) + 1)
     out = []
     with np.errstate(over="ignore"):
-        words[found.ends - 1] += np.uint64(0xD6E8FEB86659FD93)  # where a piece ends
+        words[found.ends - 1] += np.uint64(0xD6E8FEB86659FD93)  # where a sentence ends
         for _ in range(2):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers.up[: len(words)])])
             h = (sums[b] - sums[a]) * powers.down[a]
@@ -153,8 +128,8 @@ def spans(found: Layout, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.n
     return at, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows (high, low, id, sum, at) of all runs, and one for each text with the number of its pieces in at and no hash."""
+def _emit(batches: Iterable[pa.RecordBatch], span: int, window: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (high, low, id, sum, at) of all runs, and one for each text with the number of its sentences in at and no hash."""
     for batch in batches:
         ids, sums, texts = batch.columns
         rows, found = [], []
@@ -167,7 +142,7 @@ def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Ite
 
         n = 0
         for row, text in enumerate(texts):
-            laid = layout(text.as_py() or "")
+            laid = layout(text.as_py() or "", window)
             at, high, low = spans(laid, span)
             rows.append(np.full(len(at) + 1, row, np.int32))
             found.append((np.append(at, len(laid.ends)), np.append(high, 0), np.append(low, np.int32(0))))
@@ -179,16 +154,16 @@ def _emit(batches: Iterable[pa.RecordBatch], span: int, names: list[str]) -> Ite
             yield out()
 
 
-def _kept(text: str, places: list[int], span: int) -> tuple[int, str]:
-    """The number of pieces that go, and what is left."""
-    found = layout(text)
-    gone, ends = np.zeros(len(found.ends), bool), run_ends(found, span)
+def _kept(text: str, places: list[int], span: int, window: int | None) -> tuple[int, str]:
+    """The number of sentences that go, and what is left."""
+    ends = layout(text, window).ends
+    gone = np.zeros(len(ends), bool)
     for p in places:
-        gone[p : ends[p]] = True
-    return int(gone.sum()), "".join(x for x, y in zip(cut(text, found.ends), gone) if not y)
+        gone[p : p + span] = True
+    return int(gone.sum()), "".join(x for x, y in zip(cut(text, ends), gone) if not y)
 
 
-def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text", window: int | None = None) -> DataFrame:
     """docs with n_sentences, n_removed and kept_text."""
     spark, outputs, used = docs.sparkSession, ("n_sentences", "n_removed", "kept_text"), []
     docs, names = aside(docs)
@@ -197,7 +172,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
     schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.BinaryType()), T.StructField("at", T.IntegerType())])
-    found = written(map_arrow(rows, lambda b: _emit(b, span, schema.names), schema), "sentence-runs", used)  # read several times
+    found = written(map_arrow(rows, lambda b: _emit(b, span, window, schema.names), schema), "sentence-runs", used)  # read several times
     sizes, found = found.where("high IS NULL"), found.where("high IS NOT NULL")
     repeated = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = written(repeated, "repeated-runs", used)  # tables of their own, so that joins can be split at hot runs
@@ -213,7 +188,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
 
     @F.pandas_udf("n int, kept string")
     def left(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else _kept(t, list(p), span) for t, p in zip(texts, places)], columns=["n", "kept"])
+        return pd.DataFrame([(None, None) if t is None else _kept(t, list(p), span, window) for t, p in zip(texts, places)], columns=["n", "kept"])
 
     out = docs.withColumn("__sum", key)
     out = out.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left")
