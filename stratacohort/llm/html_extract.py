@@ -7,7 +7,8 @@ here on `labelled_pages`, some thousand labelled blocks made by a rule) says whi
 nothing, half of the labelled ones, word counts and link densities alone decide.
 
 A name counts only if it is a whole class, id or role and all its parts are telling or neutral ones ("comment-list", not
-"comment-policy-study"), and never on an article itself.
+"comment-policy-study"), or one other part before a telling one ("reader-comments", not on headings, whose names are anchors) or related matter
+("related-posts"), and never on an article itself.  A form is furniture, but not one that holds most of the page's words and a long block: it wraps the page.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order by
 one space.  Scripts, styles, templates, comments, the head and hidden elements are not text.
@@ -43,12 +44,16 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An element of these is closed by the opening of the others.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
-FURNITURE = {"nav", "footer", "aside", "form", "menu", "button", "dialog", "search", "label", "fieldset", "select"}
+FURNITURE = {"nav", "footer", "aside", "menu", "button", "dialog", "search", "label", "fieldset", "select"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form", "toolbar", "tablist"}
 #: Parts of class and id names that tell furniture, that tell main text, and that tell nothing.
 TELLING = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup privacy promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar".split())
 CONTENT = set("article articlebody content entry maincontent maintext post prose story".split())
 NEUTRAL = set("area bar body block bottom box button buttons col column container group inner item items left link links list main middle outer page panel right row section site slot text top unit widget wrap wrapper".split())
+#: Parts that tell furniture before the others: names of lists of other pages.
+RELATED, OTHERS = {"related", "recommended", "similar", "popular", "trending"}, {"posts", "post", "articles", "article", "stories", "story", "content", "news", "reading", "pages"}
+#: Words of a block that is long, for forms.
+LONG_BLOCK = 20
 FEATURES = ("words", "link_density", "words_before_2", "link_density_before_2", "words_before", "link_density_before", "words_after", "link_density_after", "words_after_2", "link_density_after_2", "heading", "in_article", "in_named_content", "in_furniture", "in_telling", "page_has_article")
 
 
@@ -61,6 +66,17 @@ def tells(value: str, parts: set[str]) -> bool:
     return False
 
 
+def ends_telling(value: str) -> bool:
+    """Whether a name is one part and then a telling one, or related matter, neutral parts and numbers after them aside."""
+    for name in value.split():
+        found = [x.lower() for x in _NAMES.findall(name)]
+        while len(found) > 1 and (found[-1] in NEUTRAL or found[-1].isdigit()):
+            found.pop()
+        if len(found) == 2 and (found[1] in TELLING or found[0] in RELATED and found[1] in OTHERS):
+            return True
+    return False
+
+
 class Page:
     """Blocks of a page: lists of texts and of feature rows."""
 
@@ -68,11 +84,18 @@ class Page:
         self.texts: list[str] = []
         self.rows: list[list[float]] = []
         self.parts: list[str] = []
-        self.stack: list[tuple[str, tuple[bool, ...]]] = []
-        self.flags = (False,) * 5  # in an article, in named content, in furniture, in something telling, hidden
+        self.stack: list[tuple[str, tuple]] = []
+        self.flags = (False,) * 5 + (0,)  # in an article, in named content, in furniture, in something telling, hidden; the number of the form
+        self.forms, self.form_of = 0, []
         self.link_words, self.link, self.heading = 0, False, False
         self._walk(source)
         self._flush()
+        words = [0] * (self.forms + 1)
+        for r, form in zip(self.rows, self.form_of):
+            words[form] += r[0]
+        wraps = {form for r, form in zip(self.rows, self.form_of) if r[0] >= LONG_BLOCK and 2 * words[form] > sum(words)}
+        for r, form in zip(self.rows, self.form_of):
+            r[5] = r[5] or bool(form) and form not in wraps
         none = [[0.0, 0.0]] * 2
         around, has_article = [*none, *[r[:2] for r in self.rows], *none], any(r[3] for r in self.rows)
         self.rows = [[*r[:2], *around[i], *around[i + 1], *around[i + 3], *around[i + 4], *r[2:], has_article] for i, r in enumerate(self.rows)]
@@ -126,8 +149,11 @@ class Page:
             self.flags = flags
         self.heading |= name in HEADINGS
 
-    def _flags(self, name: str, inside: str) -> tuple[bool, ...]:
-        article, named, furniture, telling, hidden = self.flags
+    def _flags(self, name: str, inside: str) -> tuple:
+        article, named, furniture, telling, hidden, form = self.flags
+        if name == "form":
+            self.forms += 1
+            form = self.forms
         own = name in ("article", "main")
         if name == "head" or name in FURNITURE or name == "header" and not article:
             furniture = True
@@ -141,10 +167,10 @@ class Page:
                     furniture |= value.lower() in FURNITURE_ROLES
                     own |= value.lower() in ("main", "article")
                 elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                    about = tells(value, TELLING)
+                    about = tells(value, TELLING) or name not in HEADINGS and ends_telling(value)
                     telling |= about
                     named |= not about and tells(value, CONTENT)
-        return article or own, named, furniture, telling, hidden
+        return article or own, named, furniture, telling, hidden, form
 
     def _close(self, name: str) -> None:
         if name == "a":
@@ -168,6 +194,7 @@ class Page:
             words = text.count(" ") + 1
             self.texts.append(text)
             self.rows.append([words, min(1.0, self.link_words / words), self.heading, *self.flags[:4]])
+            self.form_of.append(self.flags[5])
         self.link_words, self.heading = 0, False
 
 

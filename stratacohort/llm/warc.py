@@ -6,7 +6,9 @@ to a task attempt; the commit writes a manifest of the files that count, so retr
 
 Reading: one partition per file (files are bounded by the writer).  Predicates on record type and headers are pushed down (=, IN,
 starts-with, IS [NOT] NULL on record_type, record_id, target_uri, payload_digest, refers_to).  A record's headers are
-parsed first; its payload is inflated only if the record passes and `payload` is among the columns asked for.
+parsed first; its payload is inflated only if the record passes and `payload` is among the columns asked for.  A head of HTTP is taken
+off records of HTTP messages; of others (conversion, resource, metadata, warcinfo) the payload is the whole block.  A gzip member may hold any number
+of records; only one that says that it ends with its record is stepped over.
 
 Files are opened with Arrow's file systems (local, HDFS, S3, GCS), in a folder that driver and executors share.
 
@@ -101,32 +103,45 @@ class Records:
         return True
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], "Records"]]:
-        while self._need(1):
-            self.zipped = self._need(2) and self.raw[:2] == b"\x1f\x8b"
-            self.length = self._length() if self.zipped else None
-            self.used, self.text, self.ended = 0, b"", False
-            self.inflate = zlib.decompressobj(31) if self.zipped else None
-            while b"\r\n\r\n" not in self.text and self._more():
+        self.zipped, self.ended, self.text = False, True, b""
+        while True:
+            if not self.zipped or self.ended and not self.text.strip(b"\r\n"):  # else a member holds more than one record
+                if not self._need(1):
+                    break
+                self.zipped = self._need(2) and self.raw[:2] == b"\x1f\x8b"
+                self.length, self.whole = self._length() if self.zipped else (None, None)
+                self.used, self.text, self.ended, self.first = 0, b"", False, True
+                self.inflate = zlib.decompressobj(31) if self.zipped else None
+            while b"\r\n\r\n" not in self.text.lstrip(b"\r\n") and self._more():
                 pass
-            if not self.text.strip():
+            before = len(self.text)
+            self.text = self.text.lstrip(b"\r\n")
+            if not self.text:
+                if self.zipped and self.ended:
+                    continue
+                if self.zipped:
+                    raise ValueError("a record is cut off")
                 break
             head, found, self.text = self.text.partition(b"\r\n\r\n")
             if not found:
                 raise ValueError("a record is cut off")
-            lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+            lines = head.decode("utf-8", "replace").split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError("not a WARC record")
             headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
             self.left = int(headers["content-length"])
-            self.wanted = False
+            # The member ends with this record, if it says how long it is.
+            self.single = self.first and self.whole == (before - len(self.text) + self.left + 4) & 0xFFFFFFFF
+            self.wanted = self.first = False
             yield headers, self
             if not self.wanted:
                 self._skip()
 
-    def _length(self) -> int | None:
+    def _length(self) -> tuple[int | None, int | None]:
+        """The length of a member, compressed and not, where its header tells."""
         if not self._need(24) or not self.raw[3] & 4 or self.raw[12:14] != b"sl":
-            return None
-        return struct.unpack("<I", self.raw[16:20])[0]
+            return None, None
+        return struct.unpack("<II", self.raw[16:24])
 
     def _more(self, most: int = 1 << 14) -> bool:
         """Take or inflate another piece of this record, of `most` bytes at most."""
@@ -156,32 +171,36 @@ class Records:
         whole = b"".join(parts)
         if len(whole) < self.left:
             raise ValueError("a record is cut off")
-        self._finish(whole[self.left + 4 :])
+        self._after(whole[self.left :])
         return whole[: self.left]
 
-    def _finish(self, rest: bytes) -> None:
-        if not self.zipped:
-            self.raw = rest + self.raw
-            return
-        while not self.ended and self._more(1 << 20):
-            self.text = b""
+    def _after(self, rest: bytes) -> None:
+        """Go on with what follows the block."""
+        if self.zipped:
+            self.text = rest
+        else:
+            self.text, self.raw = b"", rest + self.raw
 
     def _skip(self) -> None:
-        if not self.zipped:
-            left = self.left + 4 - len(self.text)
-            if left <= 0:
-                self.raw = self.text[self.left + 4 :] + self.raw
-                return
+        if self.single and not self.ended:  # step over the rest, still deflated
+            left = self.length - self.used
             while left > 0 and self._need(1):
                 n = min(left, len(self.raw))
                 self.raw, left = self.raw[n:], left - n
-        elif self.length and not self.ended:  # step over the rest, still deflated
-            left = self.length - self.used
+            self.text, self.ended = b"", True
+            return
+        left = self.left - len(self.text)
+        if left > 0 and not self.zipped:
+            self.text = b""
             while left > 0 and self._need(1):
                 n = min(left, len(self.raw))
                 self.raw, left = self.raw[n:], left - n
-        else:
-            self._finish(b"")
+        while left > 0:
+            self.text = b""
+            if not self._more(1 << 20):
+                break
+            left -= len(self.text)
+        self._after(self.text[len(self.text) + left :] if left < 0 else b"")
 
 
 def _clean(column: str, value: str | None) -> str | None:
@@ -192,6 +211,16 @@ def _clean(column: str, value: str | None) -> str | None:
     return value.removeprefix("sha256:") if column == "payload_digest" else value
 
 
+def _payload(headers: dict[str, str], block: bytes) -> tuple[int | None, bytes]:
+    """The length that an HTTP head gives, and what follows it; a block that is no HTTP message is the payload as a whole."""
+    kind = headers.get("content-type", "").lower()
+    if not kind.startswith("application/http") and (kind or not block.startswith(b"HTTP/")):
+        return None, block
+    head, _, body = block.partition(b"\r\n\r\n")
+    found = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+    return int(found[1]) if found else None, body
+
+
 def _passes(filters: list, row: dict) -> bool:
     for kind, column, value in filters:
         x = row[column]
@@ -250,9 +279,8 @@ class WarcReader(DataSourceReader):
                 if not _passes(self.filters, row):
                     continue
                 if "payload" in self.names or "http_length" in self.names:
-                    http, _, body = at.block().partition(b"\r\n\r\n")
-                    found = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-                    row |= {"http_length": int(found[1]) if found else None, "payload": None if row["record_type"] == "revisit" else body}
+                    length, body = _payload(headers, at.block())
+                    row |= {"http_length": length, "payload": None if row["record_type"] == "revisit" else body}
                     size += len(body)
                 rows.append(row)
                 if size > BATCH_BYTES or len(rows) >= 5000:

@@ -3,6 +3,7 @@ import glob
 import gzip
 import hashlib
 import html
+import io
 import random
 import re
 
@@ -115,6 +116,33 @@ def test_pages(source, text):
     assert html_extract.main_text(html_extract.train().root, source) == text
 
 
+ARTICLE = "<h1>Title here</h1><p>" + "word " * 60 + "</p><p>More text of the story follows and it goes on for a while with more to say.</p>"
+COMMENTS = "".join(f"<p>I think that this is comment number {k} and it goes on for quite some time as comments do.</p>" for k in range(4))
+PLAIN_ARTICLE = "Title here " + "word " * 60 + "More text of the story follows and it goes on for a while with more to say."
+
+
+@pytest.mark.parametrize("source", [
+    f'<article>{ARTICLE}<div class="post-comments">{COMMENTS}</div></article>',
+    f'<article>{ARTICLE}</article><div id="reader-comments">{COMMENTS}</div>',
+    f'<article>{ARTICLE}<div class="article-footer"><p>Filed by the desk in the evening of that day.</p></div></article>',
+    f'<article>{ARTICLE}</article><section class="related-posts"><h2>Related posts</h2><ul><li><a href="/a">Another story</a></li><li><a href="/b">One more</a></li></ul></section>',
+    f'<form method="post" action="/page.aspx"><input type="hidden" name="state" value="x"><nav><a href="/">Home</a></nav><div id="content">{ARTICLE}</div><footer>All rights reserved</footer></form>',
+    f'<form id="aspnetForm"><article>{ARTICLE}</article><fieldset><label>Your name</label><input></fieldset></form>',
+    f'<article>{ARTICLE}</article><form><p>Write to us and tell us what you think of this page today.</p><label>Name</label></form>',
+    f'<article>{ARTICLE}</article><div class="userCommentsList2">{COMMENTS}</div>',
+])
+def test_ordinary_pages(source):
+    root = html_extract.train().root
+    assert html_extract.main_text(root, f"<html><body>{source}</body></html>") == PLAIN_ARTICLE
+
+
+def test_headings_that_end_in_a_telling_word():
+    """An anchor on a heading says nothing about what it heads."""
+    root = html_extract.train().root
+    body = f'<article>{ARTICLE}<h2 id="session-cookies">Session cookies</h2><p>They last for a session and no longer than that one.</p></article>'
+    assert html_extract.main_text(root, body) == PLAIN_ARTICLE + " Session cookies They last for a session and no longer than that one."
+
+
 def test_long_and_broken_pages():
     root = html_extract.train().root
     assert html_extract.main_text(root, "<article>" + "<p>w</p>" * 50_000).count("w") == 50_000
@@ -178,6 +206,39 @@ def test_archives_are_readable_by_others(spark, table, tmp_path):
         assert warc.read(spark, source, ["record_id", "record_type"]).count() == len(pages())
 
 
+def other_record(kind, content_type, block, n=0):
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}{n}>\r\n" + (f"Content-Type: {content_type}\r\n" if content_type else "") + f"Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["plain", "members", "one member", "one member that tells its length", "pairs"])
+def test_records_that_are_no_http(spark, tmp_path, form):
+    """Blocks of other records are payloads as a whole, blank lines and all, however the records are packed."""
+    import gzip
+
+    text, http = b"first paragraph\r\n\r\nsecond\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\na\r\n\r\nb"
+    cases = [
+        ("warcinfo", "application/warc-fields", b"software: x\r\nformat: y\r\n", None), ("conversion", "text/plain", text, None), ("resource", "text/html", b"<p>\r\n\r\n</p>", None),
+        ("metadata", "application/warc-fields", b"", None), ("response", "application/http; msgtype=response", http, b"a\r\n\r\nb"), ("response", None, http, b"a\r\n\r\nb"), ("resource", None, text, None),
+        ("conversion", "text/plain", b"x" * 200_000, None), ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\n\r\n", b""),
+    ]
+    rows = [other_record(kind, content_type, block, n) for n, (kind, content_type, block, _) in enumerate(cases)]
+    data = {
+        "plain": b"".join(rows), "members": b"".join(gzip.compress(x) for x in rows), "one member": gzip.compress(b"".join(rows)),
+        "one member that tells its length": warc.member(b"".join(rows)), "pairs": b"".join(warc.member(b"".join(rows[i : i + 2])) for i in range(0, len(rows), 2)),
+    }[form]
+    path = tmp_path / ("x.warc" if form == "plain" else "x.warc.gz")
+    path.write_bytes(data)
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read(spark, str(path)).collect()}
+    assert got == {f"urn:x:{kind}{n}": block if payload is None else payload for n, (kind, _, block, payload) in enumerate(cases)}
+    assert warc.read(spark, str(path), ["record_id"]).count() == len(cases)
+    some = warc.read(spark, str(path)).where("record_type = 'conversion'").collect()
+    assert sorted(len(r["payload"]) for r in some) == [len(text), 200_000]
+    for size in (1, 7, 100):
+        records = warc.Records(io.BytesIO(data), size)
+        assert [(h["warc-type"], at.block() if i % 2 else None) for i, (h, at) in enumerate(records)] == [(c[0], c[2] if i % 2 else None) for i, c in enumerate(cases)]
+
+
 def test_a_cut_archive_fails(spark, tmp_path):
     data = warc.member(warc.record({"record_id": "x", "record_type": "response", "target_uri": None, "payload_digest": None, "refers_to": None, "http_length": None, "payload": b"p" * 5000}, "2020-01-01T00:00:00Z"))
     (tmp_path / "cut.warc.gz").write_bytes(data[:-20])
