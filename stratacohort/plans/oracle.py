@@ -115,8 +115,8 @@ SELECTS = {
     "midrank": "SELECT a.disease, a.sex, a.age, a.row_idx, count(*) FILTER (WHERE b.logit < a.logit) + (count(*) FILTER (WHERE b.logit = a.logit) + 1) / 2.0::DOUBLE AS midrank FROM scored a JOIN scored b ON a.disease = b.disease AND a.sex = b.sex AND a.age = b.age GROUP BY a.disease, a.sex, a.age, a.row_idx, a.label",
     "cell_auc": "SELECT disease, sex, age, round(round(auc, 12), 6) AS auc, n_diseased, n_healthy FROM areas",
     "cell_auc_variance": "SELECT disease, sex, age, round(round(var, 12), 6) AS var FROM variances",
-    "auc_covariance": "SELECT disease, sex, age, predictor_a, predictor_b, round(round(auc_a, 12), 6) AS auc_a, round(round(auc_b, 12), 6) AS auc_b, round(round(cov, 12), 6) AS cov, n_diseased, n_healthy FROM covariances",
-    "auc_difference": """SELECT c.disease, c.sex, c.age, c.predictor_a, c.predictor_b, round(round(c.auc_a - c.auc_b, 12), 6) AS difference, round(round(CASE WHEN c.cov IS NOT NULL THEN greatest(a.cov + b.cov - 2 * c.cov, 0) END, 12), 6) AS var, c.n_diseased, c.n_healthy
+    "auc_covariance": "SELECT disease, sex, age, predictor_a, predictor_b, round(round(auc_a, 12), 6) AS auc_a, round(round(auc_b, 12), 6) AS auc_b, round(round(cov, 12), 6) + 0.0::DOUBLE AS cov, n_diseased, n_healthy FROM covariances",
+    "auc_difference": """SELECT c.disease, c.sex, c.age, c.predictor_a, c.predictor_b, round(round(c.auc_a - c.auc_b, 12), 6) + 0.0::DOUBLE AS difference, round(round(CASE WHEN c.cov IS NOT NULL THEN greatest(a.cov + b.cov - 2 * c.cov, 0) END, 12), 6) AS var, c.n_diseased, c.n_healthy
         FROM covariances c JOIN covariances a ON a.disease = c.disease AND a.sex = c.sex AND a.age = c.age AND a.predictor_a = c.predictor_a AND a.predictor_b = c.predictor_a
         JOIN covariances b ON b.disease = c.disease AND b.sex = c.sex AND b.age = c.age AND b.predictor_a = c.predictor_b AND b.predictor_b = c.predictor_b WHERE c.predictor_a < c.predictor_b""",
     "disease_auc": _POOLED,

@@ -89,8 +89,8 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rounded(rows: DataFrame, *columns: str) -> DataFrame:
-    """Twelve places first, so that what is half a unit of the sixth is so on both sides."""
-    return rows.withColumns({c: F.round(F.round(c, 12), 6) for c in columns})
+    """Twelve places first, so that what is half a unit of the sixth is so on both sides; no negative zero."""
+    return rows.withColumns({c: F.round(F.round(c, 12), 6) + F.lit(0.0) for c in columns})
 
 
 @query
