@@ -337,7 +337,7 @@ def test_texts_of_one_id_are_told_apart(spark):
     texts = spark.range(400_000).select(F.concat(F.lit("text number "), "id").alias("t"))
     twins = texts.groupBy(F.hash("t")).agg(F.collect_list("t").alias("ts")).where("size(ts) > 1").head()["ts"][:2]
     rnd = random.Random(8)
-    shared = " ".join(f"s{rnd.randint(0, 10**6)}" for _ in range(200)) + "."
+    shared = " ".join(f"s{rnd.randint(0, 10**6)}" + "." * (k % 20 == 19) for k in range(200))
     rows = [(None, twins[0], 1, "a", 2)] + [(None, f"{t}. {shared}", 1, "a", 2) for t in twins] + [(5, twins[1], 1, "a", 2)]
     got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, __sum int, __id string, n_removed int"))
     assert got.columns == ["doc_id", "text", "__sum", "__id", "n_sentences", "n_removed", "kept_text"]
