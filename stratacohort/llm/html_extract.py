@@ -287,7 +287,7 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[str]:
             whole = named("div", ["content", "post-body", "entry", "article-text", "story"], whole)
         before = [f"<nav>{links(7)}</nav>", f"<header>{words(1, 12)}</header>", named("div", ["ad", "ads", "banner", "x2", "sponsored"], words(2, 60)), named("div", ["cookie-bar", "notice", "x3"], f"<p>{words(5, 40)}</p>"), named("div", ["menu", "topbar", "x4"], link(1, 3) + " " + link(1, 3)), links(6)]
         after = [f"<aside><p>{words(2, 60)}</p>{links(4)}</aside>", f"<footer>&copy; {words(2, 12)}</footer>", named("div", ["comments", "discussion", "x5"], "".join(f"<p>{words(3, 80)}</p>" for _ in range(3))), f"<form><label>{words(1, 4)}</label><p>{words(2, 20)}</p></form>", named("section", ["sidebar", "related", "x6"], f"<p>{words(2, 50)}</p>"), named("div", ["footer", "x7"], words(2, 15)), links(8)]
-        return some(before) + whole + some(after)
+        return some(before) + whole + (some(after) if rnd.random() < 0.6 else "")  # main text may end the page
 
     def by_density() -> str:
         names = ["x1", "c-2", "box", "row", "left", "ads-free-2", "menu-of-the-day"]
