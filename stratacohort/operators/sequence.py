@@ -134,7 +134,7 @@ def sample_exact(traj: DataFrame, n: int, seed: int = 42, id_col: str = "person_
     """n rows, or all if there are fewer: those with the smallest md5 of "id:seed", then row_idx, whatever the partitions.
 
     The bound is found by counting rows by more and more digits of the hash: counts of 16 ** SAMPLE_DIGITS groups and the last few rows reach the
-    driver, and no row is shuffled.  row_idx is distinct, and an id has few rows.
+    driver, and no row is shuffled.  row_idx is distinct; ids may be null or repeated, however often.
     """
     hashed = traj.withColumn("__h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))))
     inside, digits, left = hashed, "", n
@@ -148,7 +148,11 @@ def sample_exact(traj: DataFrame, n: int, seed: int = 42, id_col: str = "person_
             left -= count
         digits += group
         inside = hashed.where(F.substring("__h", 1, len(digits)) == digits)
-        if count <= SAMPLE_ROWS or len(digits) == 32:
+        if count > SAMPLE_ROWS and len(digits) == 32:  # one id, or none, has all these rows: their first by row_idx
+            last = head_fraction(inside, 1.0, left).agg(F.max("row_idx")).head()[0] if left else None
+            within = (F.col("__h") == digits) & (F.col("row_idx") <= last) if left else F.lit(False)
+            return hashed.where((F.col("__h") < digits) | within).drop("__h")
+        if count <= SAMPLE_ROWS:
             last = sorted((r["__h"], r["row_idx"]) for r in inside.select("__h", "row_idx").collect())[left]
             return hashed.where((F.col("__h") < last[0]) | (F.col("__h") == last[0]) & (F.col("row_idx") < last[1])).drop("__h")
 

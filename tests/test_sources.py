@@ -117,6 +117,18 @@ def test_samples(spark, traj, monkeypatch):
             sample_size(*bad)
 
 
+def test_samples_of_one_id(spark, monkeypatch):
+    """Null ids, or one id, in all rows: the first rows by number, without gathering them."""
+    monkeypatch.setattr(sequence, "SAMPLE_ROWS", 5)
+    rows = spark.range(0, 300, 3).select(F.col("id").alias("row_idx"), F.lit(None).cast("string").alias("person_id"))
+    for n in (1, 40, 100, 200):
+        assert sorted(r["row_idx"] for r in sequence.sample_exact(rows, n).collect()) == list(range(0, 300, 3))[:n]
+    mixed = rows.withColumn("person_id", F.when(F.col("row_idx") >= 90, "x").otherwise(F.col("row_idx").cast("string")))
+    whole = [r["row_idx"] for r in mixed.withColumn("h", F.md5(F.concat_ws(":", "person_id", F.lit("42")))).orderBy("h", "row_idx").collect()]
+    for n in (3, 60, 99):
+        assert {r["row_idx"] for r in sequence.sample_exact(mixed, n).collect()} == set(whole[:n])
+
+
 def test_head_fraction_counts_rows_not_numbers(spark, monkeypatch):
     """Row numbers keep their gaps through filters; the first rows are still int(n * frac) of those that are left."""
     ids = [3, 1_000_000, 70_000, 70_001, 999_999, 12, 65_536, 500_000, 65_535]
