@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = ["disease", "sex", "age"]
+from ..sources import scratch
 
+CELL = ["disease", "sex", "age"]
 
 #: Parts of an octave in the first level of ranges, and parts of such a range in the second: 9 and 21 of a double's 52 bits.
 OCTAVE, FINE = 1 << 9, 1 << 21
@@ -39,12 +40,13 @@ def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     Counts are aggregated before the shuffle; what is sorted are distinct scores, not rows.  A cell is not sorted as a whole: running sums
     over its ranges of scores are added to running sums over the ranges within each, and these to running sums within those.
     """
+    # The joins below would add these to one of their sides only, which then could not share the other's exchange.
+    for c in [*cell, "logit"]:
+        scored = scored.where(F.col(c).isNotNull())
     ties = scored.groupBy(*cell, "logit").agg(F.sum("label").cast("long").alias("cases"), F.sum(1 - F.col("label")).cast("long").alias("controls"))
     first, second = score_ranges(F.col("logit"))
-    ties = ties.withColumns({"range": first, "part": second})
-    # The joins below would add these to one of their sides only, which then could not share the other's exchange.
-    for c in [*cell, "range", "part"]:
-        ties = ties.where(F.col(c).isNotNull())
+    # Never null, so that no join below asks for it: Spark would push that question, all of the arithmetic, down to each row.
+    ties = ties.withColumns({"range": F.coalesce(first, F.lit(0)), "part": F.coalesce(second, F.lit(0))})
     zero = F.lit(0).cast("long")
     sums = lambda rows, *by, c="c", h="h": rows.groupBy(*cell, *by).agg(F.sum(c).alias("c"), F.sum(h).alias("h"))
     before = lambda by, order: Window.partitionBy(*cell, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,11 +64,21 @@ def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     return rows.drop("range", "part").withColumnsRenamed({"c_below": "cases_below", "h_below": "controls_below"})
 
 
-def midrank(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
+#: Distinct scores of all cells, about 64 MB, that are broadcast to the rows; more are joined.
+BROADCAST_SCORES = 1 << 19
+
+
+def by_score(places: DataFrame, used: list[str] | None = None, most: int = BROADCAST_SCORES) -> DataFrame:
+    """places as a table, to be joined with rows that have their scores: while there are few, no row moves.  Its path is added to `used`."""
+    places = scratch.written(places, "places", used)
+    return F.broadcast(places) if places.limit(most + 1).count() <= most else places
+
+
+def midrank(scored: DataFrame, cell: list[str] = CELL, used: list[str] | None = None) -> DataFrame:
     """Rows of two-class cells with the average rank, from 1, of their logit in their cell."""
-    places = placements(scored, cell)
     rank = F.col("cases_below") + F.col("controls_below") + (F.col("cases") + F.col("controls") + 1) / F.lit(2.0)
-    return scored.join(places.select(*cell, "logit", rank.alias("midrank")), [*cell, "logit"])
+    places = by_score(placements(scored, cell).select(*cell, "logit", rank.alias("midrank")), used)
+    return scored.join(places, [*cell, "logit"])
 
 
 def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
@@ -89,24 +101,38 @@ def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     return sums.select(*cell, (half + F.col("a") / F.col("m")).alias("auc"), (spread("m", "a", "aa") + spread("n", "b", "bb")).alias("var"), F.col("m").alias("n_diseased"), F.col("n").alias("n_healthy"))
 
 
-def delong_covariance(scored: DataFrame, cell: list[str] = CELL, subject: tuple[str, ...] = ("row_idx", "seq_point")) -> DataFrame:
+def delong_covariance(scored: DataFrame, cell: list[str] = CELL, subject: tuple[str, ...] = ("row_idx", "seq_point"), used: list[str] | None = None) -> DataFrame:
     """Covariances of the areas of several predictors on the same subjects, a row for each cell and pair of predictors a <= b.
 
-    scored has a row for each predictor, cell, subject and label, with its logit.  Each subject's placement is kept by
-    predictor: the share of the other class that it beats, less one half.  Placements of a subject meet in one row, of as many places as there are predictors, and
-    covariances are sums of their products, aggregated before the shuffle.  A subject that lacks a predictor is an error of the input: the
+    scored has a row for each predictor, cell, subject and label, with its logit.  Scores of a subject meet in one row, of as many places as there
+    are predictors; covariances() does the rest.
+    """
+    logits = F.sort_array(F.collect_list(F.struct("predictor", "logit"))).alias("logits")
+    return covariances(scored.groupBy(*cell, *subject, "label").agg(logits), cell, used)
+
+
+def covariances(subjects: DataFrame, cell: list[str] = CELL, used: list[str] | None = None) -> DataFrame:
+    """delong_covariance() of subjects with all their scores in one row: cell, label, logits array<struct<predictor, logit>>, by predictor.
+
+    A subject's placement by a predictor is the share of the other class that it beats, less one half.  Subjects of like scores are counted before
+    any shuffle, and covariances are sums of products of placements over these.  A subject that lacks a predictor is an error of the input: the
     pair's sums then cover different subjects, so such a pair is dropped.  Columns: auc_a, auc_b, cov (NULL where a class has one subject), n_diseased, n_healthy.
     """
-    by = ["predictor", *cell]
-    places = placements(scored, by)
-    v = F.when(F.col("label") == 1, (F.col("controls_below") + F.col("controls") / F.lit(2.0)) / F.col("n")).otherwise(1 - (F.col("cases_below") + F.col("cases") / F.lit(2.0)) / F.col("m")) - 0.5
-    rows = scored.join(places, [*by, "logit"]).select(*by, *subject, "label", "m", "n", v.alias("v"))
-    whole = rows.groupBy(*cell, *subject, "label", "m", "n").agg(F.sort_array(F.collect_list(F.struct("predictor", "v"))).alias("p"))
-    pairs = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 1, F.size("p")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    pairs = whole.select(*cell, "label", "m", "n", F.explode(pairs).alias("x")).select(*cell, "label", "m", "n", F.col("x.a.predictor").alias("predictor_a"), F.col("x.b.predictor").alias("predictor_b"), F.col("x.a.v").alias("va"), F.col("x.b.v").alias("vb"))
+    long = subjects.select(*cell, "label", F.explode("logits").alias("x")).select("x.predictor", *cell, "label", "x.logit")
+    beats = (F.col("controls_below") + F.col("controls") / F.lit(2.0)) / F.col("n") - 0.5, 0.5 - (F.col("cases_below") + F.col("cases") / F.lit(2.0)) / F.col("m")
+    places = by_score(placements(long, ["predictor", *cell]).select("predictor", *cell, "logit", "m", "n", beats[0].alias("v1"), beats[1].alias("v0")), used)
+    alike = subjects.groupBy(*cell, "label", "logits").agg(F.count("*").alias("k"))
+    pairs = F.flatten(F.transform("logits", lambda a, i: F.transform(F.slice("logits", i + 1, F.size("logits")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = alike.select(*cell, "label", "k", F.explode(pairs).alias("x"))
+    pairs = pairs.select(*cell, "label", "k", *[F.col(f"x.{p}.{c}").alias(f"{c}_{p}") for p in "ab" for c in ("predictor", "logit")])
+    for p in "ab":
+        of = places.withColumnsRenamed({c: f"{c}_{p}" for c in ("predictor", "logit", "m", "n", "v1", "v0")})
+        pairs = pairs.join(of, [*cell, f"predictor_{p}", f"logit_{p}"])
+    pairs = pairs.where("m_a = m_b AND n_a = n_b").withColumnsRenamed({"m_a": "m", "n_a": "n"})
+    v = {p: F.when(F.col("label") == 1, F.col(f"v1_{p}")).otherwise(F.col(f"v0_{p}")) for p in "ab"}
     key = [*cell, "predictor_a", "predictor_b", "m", "n"]
-    side = lambda of, what: F.sum(F.when(F.col("label") == of, what))
-    sums = pairs.groupBy(key).agg(*[side(of, what).alias(f"{name}{of}") for of in (0, 1) for name, what in (("a", F.col("va")), ("b", F.col("vb")), ("ab", F.col("va") * F.col("vb")), ("k", F.lit(1)))])
+    side = lambda of, what: F.sum(F.when(F.col("label") == of, F.col("k") * what))
+    sums = pairs.groupBy(key).agg(*[side(of, what).alias(f"{name}{of}") for of in (0, 1) for name, what in (("a", v["a"]), ("b", v["b"]), ("ab", v["a"] * v["b"]), ("k", F.lit(1)))])
     sums = sums.where("k1 = m AND k0 = n")
 
     def spread(of: int, size: str) -> Column:

@@ -47,7 +47,7 @@ def patients(points: DataFrame, config: Config) -> DataFrame:
     # The last place under the cap is a target, never history.
     counted = F.sum(F.when(F.col("k") < config.max_points - 1, 1).otherwise(0)).over(before)
     rows = rows.withColumn("pred_idx", F.coalesce(counted, F.lit(0)).cast("int") - 1)
-    whole = rows.groupBy("row_idx", "sex").agg(F.array_sort(F.collect_list(F.struct("k", "token", "q", "loc", "pred_idx", "is_sentinel"))).alias("p"))
+    whole = rows.groupBy("row_idx", "sex").agg(F.sort_array(F.collect_list(F.struct("k", "token", "q", "loc", "pred_idx", "is_sentinel"))).alias("p"))
 
     def found(p: Column) -> Column:
         at = lambda x, field: F.when(x["pred_idx"] >= 0, F.get(p, x["pred_idx"])[field])

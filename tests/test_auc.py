@@ -87,6 +87,21 @@ def test_ranges_at_powers_of_two(spark):
     assert keys == sorted(keys) and all(0 <= b < auc.FINE for _, b in keys)
 
 
+def test_ranges_are_made_of_distinct_scores(spark):
+    """Their arithmetic is for distinct scores; as a filter it would be done for each row, three times."""
+    plan = auc.placements(scored(spark, [1, 2], [2, 2, 5]))._jdf.queryExecution().executedPlan().toString()
+    assert "LOG2" in plan and not any("LOG2" in line for line in plan.splitlines() if "Filter" in line)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 19])
+def test_rows_meet_few_scores_without_a_shuffle(spark, monkeypatch, most):
+    rows = scored(spark, [1, 2], [2, 2, 5])
+    monkeypatch.setattr(auc.by_score, "__defaults__", (None, most))
+    got = auc.midrank(rows)
+    assert ("ResolvedHint" in got._jdf.queryExecution().analyzed().toString()) == (most > 0)
+    assert sorted(r["midrank"] for r in got.collect()) == [1.0, 3.0, 3.0, 3.0, 5.0]
+
+
 def test_covariance_of_predictors(spark):
     """Against numpy over placements of all pairs; a predictor with itself is cell_auc's variance; other subjects are no pair."""
     import numpy as np
