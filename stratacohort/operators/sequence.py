@@ -12,17 +12,25 @@ def history_filter(traj: DataFrame, config: Config) -> DataFrame:
     return traj.where(F.col("token_count_thru_2022") + 1 >= config.min_history)
 
 
+def _last(config: Config) -> str:
+    """The column with the place of the last token."""
+    return "total_token_count" if config.longitudinal else "token_count_thru_2022"
+
+
 def truncate(traj: DataFrame, config: Config) -> DataFrame:
     """traj with tokens (the history, or all if longitudinal), n_tok and eval_seq."""
-    last = "total_token_count" if config.longitudinal else "token_count_thru_2022"
-    tokens = F.slice(tk.split_tokens(F.col("seq")), F.lit(1), F.greatest(F.col(last) + 1, F.lit(0)))
+    tokens = F.slice(tk.split_tokens(F.col("seq")), F.lit(1), F.greatest(F.col(_last(config)) + 1, F.lit(0)))
     return traj.withColumn("tokens", tokens).withColumns({"n_tok": F.size("tokens"), "eval_seq": F.array_join("tokens", " ")})
 
 
+#: Tokens, before they are filtered, of the patients that a task walks: their number is known from a count column.
+TASK_TOKENS = 1 << 19
+
+
 def walked(traj: DataFrame, config: Config) -> DataFrame:
     """The tokens that move a walk (new years, gaps, ages, diagnoses) of truncated sequences: row_idx, sex, pos, token, n_tok, start_age, walks.
 
-    Classes are filtered before anything is shuffled.  walks is false before the demographic prefix ends and from
+    Classes are filtered before anything is shuffled, to partitions of TASK_TOKENS tokens.  walks is false before the demographic prefix ends and from
     the length cap on; gaps there only count as places of visits.
     """
     start_age = tk.number(F.get("tokens", config.age_index))
@@ -30,6 +38,9 @@ def walked(traj: DataFrame, config: Config) -> DataFrame:
     rows = traj.select("row_idx", sex.alias("sex"), "n_tok", start_age.alias("start_age"), F.posexplode("tokens").alias("pos", "token"))
     token = F.col("token")
     rows = rows.where(token.startswith(tk.NEW_YEAR) | token.startswith(tk.GAP) | token.startswith(tk.AGE) | token.startswith(tk.DISEASE))
+    # A number given by hand, which Spark doesn't lower: sorted, a partition takes many times its bytes in the shuffle.
+    n = traj.agg(F.sum(F.greatest(F.col(_last(config)) + 1, F.lit(0)).cast("long"))).head()[0] or 0
+    rows = rows.repartition(max(traj.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_TOKENS)), "row_idx")
     return rows.withColumn("walks", (F.col("pos") >= config.demo_end_index) & (F.col("pos") < F.least("n_tok", F.lit(config.max_length))))
 
 

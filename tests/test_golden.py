@@ -180,3 +180,11 @@ def test_long_histories(spark):
     for k in (0, 1, 49, 50, 777, 19_998):
         assert rows[k]["loc"] == gaps[k + 1]
     assert rows[-1]["loc"] == len(tokens) - 1
+
+
+def test_tasks_walk_so_many_tokens(spark, monkeypatch):
+    """Partitions that are small in the shuffle aren't merged: sorted, they take many times that."""
+    monkeypatch.setattr(sequence, "TASK_TOKENS", 3)
+    rows = sequence.points(sequence.truncate(traj(spark, G1, G2, G3), DAYS), DAYS)
+    assert rows.rdd.getNumPartitions() == 13  # 13, 11 and 13 tokens
+    assert rows.count() == 8
