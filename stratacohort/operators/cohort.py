@@ -27,37 +27,38 @@ def with_sentinel(points: DataFrame, config: Config) -> DataFrame:
     return rows.select("row_idx", "sex", F.explode(F.when(last, F.array(here, after)).otherwise(F.array(here))).alias("p")).select("row_idx", "sex", "p.*")
 
 
-def _bracket(x: Column, config: Config) -> Column:
-    """The start of the bracket of a target's prediction point; null if it has none."""
+def _bracket(q: Column, config: Config) -> Column:
+    """The start of the bracket of an age; null outside all."""
     start, width = config.age_start, config.bracket_width
-    i = F.floor((x["pred_q"] - start * YEAR_Q) / F.lit(width * YEAR_Q)).cast("int")
-    return F.when((x["pred_idx"] >= 0) & (x["pred_q"] >= start * YEAR_Q) & (i < len(config.brackets)), i * width + start)
+    i = F.floor((q - start * YEAR_Q) / F.lit(width * YEAR_Q)).cast("int")
+    return F.when((q >= start * YEAR_Q) & (i < len(config.brackets)), i * width + start)
 
 
 def patients(points: DataFrame, config: Config) -> DataFrame:
-    """row_idx, sex, targets, had and seen of each patient.
+    """row_idx, sex, targets, had, seen, ill and firsts of each patient.
 
     Targets, in order of k, are the points from the second on and the sentinel.  pred_idx counts the points more than the
     offset before a target, less one, by a RANGE frame over age; -1 is none.  pred_q and seq_point are the age and the place of that
     point, age the start of its bracket.  had lists the diseases that keep a patient from being their control: those at the
-    second point or later, or all if strict; seen lists those of all points.
+    second point or later, or all if strict; seen lists those of all points.  ill are the patient's cases, and firsts has for each bracket its first
+    prediction, or a null place: looked up once here, as all later steps read them.
     """
     rows = with_sentinel(points, config)
     before = Window.partitionBy("row_idx").orderBy("q").rangeBetween(Window.unboundedPreceding, -config.lead_q)
     # The last place under the cap is a target, never history.
     counted = F.sum(F.when(F.col("k") < config.max_points - 1, 1).otherwise(0)).over(before)
-    rows = rows.withColumn("pred_idx", F.coalesce(counted, F.lit(0)).cast("int") - 1)
-    whole = rows.groupBy("row_idx", "sex").agg(F.sort_array(F.collect_list(F.struct("k", "token", "q", "loc", "pred_idx", "is_sentinel"))).alias("p"))
+    rows = rows.withColumn("pred_idx", F.coalesce(counted, F.lit(0)).cast("int") - 1).withColumn("bracket", _bracket(F.col("q"), config))
+    whole = rows.groupBy("row_idx", "sex").agg(F.sort_array(F.collect_list(F.struct("k", "token", "q", "loc", "pred_idx", "is_sentinel", "bracket"))).alias("p"))
 
     def found(p: Column) -> Column:
         at = lambda x, field: F.when(x["pred_idx"] >= 0, F.get(p, x["pred_idx"])[field])
         targets = F.slice(p, F.lit(2), F.size(p))
-        rows = F.transform(targets, lambda x: F.struct(x["k"].alias("k"), x["token"].alias("token"), x["q"].alias("q"), x["pred_idx"].alias("pred_idx"), at(x, "q").alias("pred_q"), at(x, "loc").alias("seq_point"), x["is_sentinel"].alias("is_sentinel")))
-        return F.transform(rows, lambda x: x.withField("age", _bracket(x, config)))
+        return F.transform(targets, lambda x: F.struct(x["k"].alias("k"), x["token"].alias("token"), x["q"].alias("q"), x["pred_idx"].alias("pred_idx"), at(x, "q").alias("pred_q"), at(x, "loc").alias("seq_point"), x["is_sentinel"].alias("is_sentinel"), at(x, "bracket").alias("age")))
 
-    ill = "p" if config.strict_controls else F.slice("p", F.lit(2), F.size("p"))
-    tokens = lambda p: F.array_compact(F.transform(p, lambda x: x["token"]))
-    return whole.select("row_idx", "sex", F.element_at(F.transform(F.array("p"), found), 1).alias("targets"), tokens(ill).alias("had"), tokens("p").alias("seen"))
+    ill = F.col("p") if config.strict_controls else F.slice("p", F.lit(2), F.size("p"))
+    tokens = lambda p: F.array_compact(p["token"])
+    rows = whole.select("row_idx", "sex", F.element_at(F.transform(F.array("p"), found), 1).alias("targets"), tokens(ill).alias("had"), tokens(F.col("p")).alias("seen"))
+    return rows.withColumns({"ill": _cases(), "firsts": _first_predictions(config)})
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -71,24 +72,24 @@ def _cases() -> Column:
     Targets in the order of (token, k), each beside the one before: n log n in a patient's points.
     """
     known = F.filter("targets", lambda x: x["token"].isNotNull())
-    ordered = F.array_sort(F.transform(known, lambda x: F.struct(x["token"].alias("disease"), x["k"].alias("k"), x["age"].alias("age"), x["seq_point"].alias("seq_point"))))
+    ordered = F.sort_array(F.transform(known, lambda x: F.struct(x["token"].alias("disease"), x["k"].alias("k"), x["age"].alias("age"), x["seq_point"].alias("seq_point"))))
     first = lambda xs: F.filter(xs, lambda x, i: ((i == 0) | (F.get(xs, i - 1)["disease"] != x["disease"])) & x["age"].isNotNull())
     chosen = F.element_at(F.transform(F.array(ordered), first), 1)  # within a lambda the list is made once
     return F.transform(chosen, lambda x: F.struct(x["disease"].alias("disease"), x["age"].alias("age"), x["seq_point"].alias("seq_point"), F.lit(1).alias("label")))
 
 
 def _first_predictions(config: Config) -> Column:
-    """The earliest target of each bracket: no disease matters yet."""
-    first = lambda b: F.get(F.filter("targets", lambda x: x["age"] == b), F.lit(0))
-    ages = F.array(*[F.lit(b) for b in config.brackets])
-    return F.filter(F.transform(ages, lambda b: F.struct(b.alias("age"), first(b)["seq_point"].alias("seq_point"))), lambda x: x["seq_point"].isNotNull())
+    """The earliest target of each bracket, its place null if there is none: no disease matters yet."""
+    place = lambda b: F.array_position("targets.age", b).cast("int")
+    first = lambda b: F.when(place(b) > 0, F.get("targets.seq_point", place(b) - 1))
+    return F.array(*[F.struct(F.lit(b).alias("age"), first(b).alias("seq_point")) for b in config.brackets])
 
 
-def _controls(config: Config) -> Column:
+def _controls() -> Column:
     """First predictions, for every listed disease that the patient doesn't have."""
-    absent = F.array_except("listed", "had")
+    absent, firsts = F.array_except("listed", "had"), F.filter("firsts", lambda x: x["seq_point"].isNotNull())
     of = lambda x, ds: F.transform(ds, lambda d: F.struct(d.alias("disease"), x["age"].alias("age"), x["seq_point"].alias("seq_point"), F.lit(0).alias("label")))
-    each = F.transform(F.array(absent), lambda ds: F.flatten(F.transform(_first_predictions(config), lambda x: of(x, ds))))
+    each = F.transform(F.array(absent), lambda ds: F.flatten(F.transform(firsts, lambda x: of(x, ds))))
     return F.element_at(each, 1)
 
 
@@ -103,12 +104,12 @@ def disease_list(diseases: DataFrame) -> Column:
 
 def cases(rows: DataFrame) -> DataFrame:
     """disease, sex, age, row_idx, seq_point of the cases among patients()."""
-    return rows.select("sex", "row_idx", F.explode(_cases()).alias("c")).select("c.disease", "sex", "c.age", "row_idx", "c.seq_point")
+    return rows.select("sex", "row_idx", F.explode("ill").alias("c")).select("c.disease", "sex", "c.age", "row_idx", "c.seq_point")
 
 
 def controls(rows: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
     """disease, sex, age, row_idx, seq_point of the controls among patients()."""
-    return with_list(rows, diseases).select("sex", "row_idx", F.explode(_controls(config)).alias("c")).select("c.disease", "sex", "c.age", "row_idx", "c.seq_point")
+    return with_list(rows, diseases).select("sex", "row_idx", F.explode(_controls()).alias("c")).select("c.disease", "sex", "c.age", "row_idx", "c.seq_point")
 
 
 def absent_diseases(rows: DataFrame, diseases: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def absent_diseases(rows: DataFrame, diseases: DataFrame) -> DataFrame:
 def cohort(points: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
     """Cases (label 1) and controls (label 0) of the listed diseases in all cells, two-class or not."""
     rows = with_list(patients(points, config), diseases)
-    ill = F.filter(_cases(), lambda x: F.array_contains("listed", x["disease"]))
-    rows = rows.select("sex", "row_idx", F.explode(F.concat(ill, _controls(config))).alias("c"))
+    ill = F.filter("ill", lambda x: F.array_contains("listed", x["disease"]))
+    rows = rows.select("sex", "row_idx", F.explode(F.concat(ill, _controls())).alias("c"))
     return rows.select("c.disease", "sex", "c.age", "row_idx", "c.seq_point", "c.label")
 
 
@@ -132,7 +133,7 @@ def cell_sizes(rows: DataFrame) -> DataFrame:
 
 def first_predictions(rows: DataFrame, config: Config) -> DataFrame:
     """row_idx, sex, had, age, seq_point: the point of each bracket at which a patient of patients() can be a control."""
-    return rows.select("row_idx", "sex", "had", F.explode(_first_predictions(config)).alias("c")).select("row_idx", "sex", "had", "c.age", "c.seq_point")
+    return rows.select("row_idx", "sex", "had", F.explode("firsts").alias("c")).select("row_idx", "sex", "had", "c.age", "c.seq_point").where("seq_point IS NOT NULL")
 
 
 def cells(rows: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
@@ -153,8 +154,7 @@ def cells(rows: DataFrame, diseases: DataFrame, config: Config) -> DataFrame:
 def with_absent(firsts: DataFrame, found: DataFrame) -> DataFrame:
     """first_predictions() with the diseases of the two-class cells that the patient lacks; as many cells as sexes and brackets meet them."""
     listed = found.groupBy("sex", "age").agg(F.collect_set("disease").alias("listed"))
-    rows = firsts.join(listed, ["sex", "age"]).withColumn("absent", F.array_except("listed", "had"))
-    return rows.where(F.size("absent") > 0).drop("listed", "had")
+    return firsts.join(listed, ["sex", "age"]).withColumn("absent", F.array_except("listed", "had")).drop("listed", "had")
 
 
 def two_class(rows: DataFrame, found: DataFrame, config: Config) -> DataFrame:
@@ -162,7 +162,8 @@ def two_class(rows: DataFrame, found: DataFrame, config: Config) -> DataFrame:
     key = ["disease", "sex", "age"]
     columns = [*key, "row_idx", "seq_point", "label"]
     ill = cases(rows).join(found.select(key), key, "left_semi").withColumn("label", F.lit(1))
-    healthy = with_absent(first_predictions(rows, config), found).withColumn("disease", F.explode("absent")).withColumn("label", F.lit(0))
+    # Not explode(): Spark would ask for the size of its list first, and make the list again for that.
+    healthy = with_absent(first_predictions(rows, config), found).withColumn("disease", F.explode_outer("absent")).where("disease IS NOT NULL").withColumn("label", F.lit(0))
     return ill.select(columns).unionByName(healthy.select(columns))
 
 
@@ -170,7 +171,7 @@ def scoring_pairs(rows: DataFrame, found: DataFrame, config: Config) -> DataFram
     """Each (row_idx, seq_point) of two_class() once, without its rows."""
     key, pair = ["disease", "sex", "age"], ["row_idx", "seq_point"]
     ill = cases(rows).join(found.select(key), key, "left_semi").select(pair)
-    return ill.unionByName(with_absent(first_predictions(rows, config), found).select(pair)).distinct()
+    return ill.unionByName(with_absent(first_predictions(rows, config), found).where(F.size("absent") > 0).select(pair)).distinct()
 
 
 def bracket_counts(rows: DataFrame) -> DataFrame:

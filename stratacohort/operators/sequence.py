@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import YEAR_Q, Config
 from ..functions import tokens as tk
+from ..sources import scratch
 
 
 def history_filter(traj: DataFrame, config: Config) -> DataFrame:
@@ -38,9 +39,8 @@ def walked(traj: DataFrame, config: Config) -> DataFrame:
     rows = traj.select("row_idx", sex.alias("sex"), "n_tok", start_age.alias("start_age"), F.posexplode("tokens").alias("pos", "token"))
     token = F.col("token")
     rows = rows.where(token.startswith(tk.NEW_YEAR) | token.startswith(tk.GAP) | token.startswith(tk.AGE) | token.startswith(tk.DISEASE))
-    # A number given by hand, which Spark doesn't lower: sorted, a partition takes many times its bytes in the shuffle.
-    n = traj.agg(F.sum(F.greatest(F.col(_last(config)) + 1, F.lit(0)).cast("long"))).head()[0] or 0
-    rows = rows.repartition(max(traj.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_TOKENS)), "row_idx")
+    n = traj.agg(F.sum(F.greatest(F.col(_last(config)) + 1, F.lit(0)).cast("long"))).head()[0]
+    rows = rows.repartition(scratch.tasks_for(traj.sparkSession, n, TASK_TOKENS), "row_idx")
     return rows.withColumn("walks", (F.col("pos") >= config.demo_end_index) & (F.col("pos") < F.least("n_tok", F.lit(config.max_length))))
 
 
@@ -90,15 +90,15 @@ def points(traj: DataFrame, config: Config) -> DataFrame:
     rows = rows.select("row_idx", "sex", "token", F.col("pos").cast("long").alias("pos"), "q", F.col("loc").cast("long").alias("loc"))
     if not config.first_occurrence:
         return rows
-    first = rows.groupBy("row_idx", "sex", "token").agg(F.min(F.struct("pos", "q", "loc")).alias("p"))
-    return first.select("row_idx", "sex", "token", "p.pos", "p.q", "p.loc")
+    # Numbers, not a struct of them, which would be aggregated by another sort.
+    return rows.groupBy("row_idx", "sex", "token").agg(F.min("pos").alias("pos"), F.min_by("q", "pos").alias("q"), F.min_by("loc", "pos").alias("loc"))
 
 
 def enough_points(rows: DataFrame, config: Config) -> DataFrame:
     """Points of patients with at least min_points, numbered k from 0."""
     whole = Window.partitionBy("row_idx")
-    rows = rows.withColumn("__n", F.count("*").over(whole)).where(F.col("__n") >= config.min_points).drop("__n")
-    return rows.withColumn("k", F.row_number().over(whole.orderBy("pos")).cast("long") - 1)
+    rows = rows.withColumn("k", F.row_number().over(whole.orderBy("pos")).cast("long") - 1)  # first, so that its order serves the count too
+    return rows.withColumn("__n", F.count("*").over(whole)).where(F.col("__n") >= config.min_points).drop("__n")
 
 
 def stage1(traj: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:

@@ -25,15 +25,26 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame, name: str, used: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """rows, computed once and kept as a table, in folders by the columns `by`: later steps read it, also after an executor is lost.  Its path is added to `used`."""
-    path = folder(rows.sparkSession, name)
+def written(rows: DataFrame, name: str, used: list[str] | None = None, by: list[str] | None = None, below: str | None = None) -> DataFrame:
+    """rows, computed once and kept as a table, in folders by the columns `by`: later steps read it, also after an executor is lost.  Its path is added to `used`.
+
+    With the path of another table in `below` it is kept in a hidden folder there, and goes with that table.
+    """
+    path = folder(rows.sparkSession, name) if below is None else f"{below}/_tables/{name}-{uuid.uuid4().hex}"
     (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
-    if used is not None:
+    if used is not None and below is None:
         used.append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int | None, most: int) -> int:
+    """Partitions for a repartition of so many rows, at most about `most` in each.
+
+    A number given by hand, which Spark doesn't lower: sorted, a partition takes many times its bytes in the shuffle, by which Spark would merge it with others.
+    """
+    return max(spark.sparkContext.defaultParallelism, -(-(rows or 0) // most))
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     while paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())

@@ -147,6 +147,38 @@ def test_file_formats(spark):
     assert [(c["case_ids"], c["control_ids"], c["case_seq_points"], c["control_seq_points"], c["age_step"]) for c in cells] == [([0], [1], [8], [8], 10)]
 
 
+def test_visits_are_in_as_many_tasks_as_they_ask_for(spark, sf_dir, monkeypatch):
+    """Visits of patients are put together in partitions of so many rows, whatever their bytes are."""
+    from stratacohort.sources import fixtures
+
+    want = sorted(fixtures.trajectories(spark, sf_dir).collect())
+    monkeypatch.setattr(fixtures, "TASK_VISITS", 100)
+    monkeypatch.setattr(fixtures, "TASK_ITEMS", 1000)
+    got = fixtures.trajectories(spark, sf_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() == 15 and "l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
+    assert sorted(got.collect()) == want
+
+
+def test_patients_have_cases_and_first_predictions(spark, sf_dir):
+    """Looked up once, and by single pass: no step after asks the targets again, and no list of lacking diseases is made twice."""
+    from stratacohort.sources import fixtures
+
+    people = cohort.patients(sequence.stage1(fixtures.trajectories(spark, sf_dir).where("row_idx < 60"), DAYS)[1], DAYS).persist()
+    for row in people.collect():
+        firsts = [(b, next((t["seq_point"] for t in row["targets"] if t["age"] == b), None)) for b in DAYS.brackets]
+        assert [tuple(x) for x in row["firsts"]] == firsts
+        first = {}
+        for t in row["targets"]:
+            if t["token"] is not None:
+                first.setdefault(t["token"], t)
+        assert sorted(map(tuple, (x[:3] for x in row["ill"]))) == sorted((d, t["age"], t["seq_point"]) for d, t in first.items() if t["age"] is not None)
+    listed = people.select(F.explode("seen").alias("disease")).distinct()
+    plan = cohort.two_class(people, cohort.cells(people, listed, DAYS), DAYS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_except") == 1
+    people.unpersist()
+
+
 def test_cells_without_control_rows(spark, sf_dir):
     """Sizes, cohort and pairs of two-class cells are those of the whole cohort, formed row by row."""
     from stratacohort.operators import scoring
