@@ -34,16 +34,18 @@ def score_ranges(logit: Column) -> tuple[Column, Column]:
     return F.when(low, -1 - first).otherwise(first), F.when(low, FINE - 1 - second).otherwise(second)
 
 
-def placements(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
+def placements(scored: DataFrame, cell: list[str] = CELL, used: list[str] | None = None, count: str | None = None, below: str | None = None) -> DataFrame:
     """One row for each cell and distinct score: its cases and controls, those with lower scores, and the cell's sizes m and n.
 
-    Counts are aggregated before the shuffle; what is sorted are distinct scores, not rows.  A cell is not sorted as a whole: running sums
+    A row stands for as many as its column `count` says, or one.  Counts are aggregated before the shuffle and written, as all levels read them: rows are
+    made and scored once.  `used` and `below` say where, as for scratch.written().  What is sorted are distinct scores, not rows.  A cell is not sorted as a whole: running sums
     over its ranges of scores are added to running sums over the ranges within each, and these to running sums within those.
     """
-    # The joins below would add these to one of their sides only, which then could not share the other's exchange.
+    k = F.lit(1) if count is None else F.col(count)
+    ties = scored.groupBy(*cell, "logit").agg(F.sum(F.col("label") * k).cast("long").alias("cases"), F.sum((1 - F.col("label")) * k).cast("long").alias("controls"))
+    ties = scratch.written(ties, "ties", used, below=below)
     for c in [*cell, "logit"]:
-        scored = scored.where(F.col(c).isNotNull())
-    ties = scored.groupBy(*cell, "logit").agg(F.sum("label").cast("long").alias("cases"), F.sum(1 - F.col("label")).cast("long").alias("controls"))
+        ties = ties.where(F.col(c).isNotNull())
     first, second = score_ranges(F.col("logit"))
     # Never null, so that no join below asks for it: Spark would push that question, all of the arithmetic, down to each row.
     ties = ties.withColumns({"range": F.coalesce(first, F.lit(0)), "part": F.coalesce(second, F.lit(0))})
@@ -77,11 +79,11 @@ def by_score(places: DataFrame, used: list[str] | None = None, most: int = BROAD
 def midrank(scored: DataFrame, cell: list[str] = CELL, used: list[str] | None = None) -> DataFrame:
     """Rows of two-class cells with the average rank, from 1, of their logit in their cell."""
     rank = F.col("cases_below") + F.col("controls_below") + (F.col("cases") + F.col("controls") + 1) / F.lit(2.0)
-    places = by_score(placements(scored, cell).select(*cell, "logit", rank.alias("midrank")), used)
+    places = by_score(placements(scored, cell, used).select(*cell, "logit", rank.alias("midrank")), used)
     return scored.join(places, [*cell, "logit"])
 
 
-def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
+def cell_auc(scored: DataFrame, cell: list[str] = CELL, used: list[str] | None = None, below: str | None = None) -> DataFrame:
     """Cells with both classes: auc, its DeLong variance var (NULL where a class has one row), n_diseased, n_healthy.
 
     A case's placement is the share of controls below it, ties half; the AUC is the cases' mean placement, and the
@@ -89,7 +91,7 @@ def cell_auc(scored: DataFrame, cell: list[str] = CELL) -> DataFrame:
     placements less one half, so that a cell's rows meet in partial sums alone.
     """
     half = F.lit(0.5)
-    rows = placements(scored, cell)
+    rows = placements(scored, cell, used, below=below)
     a = (F.col("controls_below") + half * F.col("controls")) / F.col("n") - half
     b = half - (F.col("cases_below") + half * F.col("cases")) / F.col("m")
     sums = rows.groupBy(*cell, "m", "n").agg(F.sum(F.col("cases") * a).alias("a"), F.sum(F.col("cases") * a * a).alias("aa"), F.sum(F.col("controls") * b).alias("b"), F.sum(F.col("controls") * b * b).alias("bb"))
@@ -115,13 +117,13 @@ def covariances(subjects: DataFrame, cell: list[str] = CELL, used: list[str] | N
     """delong_covariance() of subjects with all their scores in one row: cell, label, logits array<struct<predictor, logit>>, by predictor.
 
     A subject's placement by a predictor is the share of the other class that it beats, less one half.  Subjects of like scores are counted before
-    any shuffle, and covariances are sums of products of placements over these.  A subject that lacks a predictor is an error of the input: the
+    any shuffle and written; placements are of these counts, and covariances are sums of products of placements over these.  A subject that lacks a predictor is an error of the input: the
     pair's sums then cover different subjects, so such a pair is dropped.  Columns: auc_a, auc_b, cov (NULL where a class has one subject), n_diseased, n_healthy.
     """
-    long = subjects.select(*cell, "label", F.explode("logits").alias("x")).select("x.predictor", *cell, "label", "x.logit")
+    alike = scratch.written(subjects.groupBy(*cell, "label", "logits").agg(F.count("*").alias("k")), "alike", used)
+    long = alike.select(*cell, "label", "k", F.explode("logits").alias("x")).select("x.predictor", *cell, "label", "x.logit", "k")
     beats = (F.col("controls_below") + F.col("controls") / F.lit(2.0)) / F.col("n") - 0.5, 0.5 - (F.col("cases_below") + F.col("cases") / F.lit(2.0)) / F.col("m")
-    places = by_score(placements(long, ["predictor", *cell]).select("predictor", *cell, "logit", "m", "n", beats[0].alias("v1"), beats[1].alias("v0")), used)
-    alike = subjects.groupBy(*cell, "label", "logits").agg(F.count("*").alias("k"))
+    places = by_score(placements(long, ["predictor", *cell], used, "k").select("predictor", *cell, "logit", "m", "n", beats[0].alias("v1"), beats[1].alias("v0")), used)
     pairs = F.flatten(F.transform("logits", lambda a, i: F.transform(F.slice("logits", i + 1, F.size("logits")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     pairs = alike.select(*cell, "label", "k", F.explode(pairs).alias("x"))
     pairs = pairs.select(*cell, "label", "k", *[F.col(f"x.{p}.{c}").alias(f"{c}_{p}") for p in "ab" for c in ("predictor", "logit")])

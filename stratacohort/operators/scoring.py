@@ -195,10 +195,10 @@ def scored_rows(people: DataFrame, scores: DataFrame, diseases: DataFrame, confi
     becomes a row for each disease."""
     ill = cases(people).withColumn("label", F.lit(1))
     pair = ["row_idx", "seq_point"]
-    # Slots of the diseases that a patient lacks: a difference of small integers, once for each patient.
-    rows = people.withColumn("listed", disease_list(diseases)).withColumn("had", F.transform("had", lambda d: F.array_position("listed", d) - 1))
-    every = F.transform("listed", lambda d, i: i.cast("long"))
-    firsts = first_predictions(rows.withColumn("had", F.array_except(every, "had")), config).withColumn("listed", disease_list(diseases))
-    lacks = F.transform("had", lambda i: F.struct(F.get("listed", i.cast("int")).alias("disease"), F.get("logits", i.cast("int")).alias("logit")))
-    healthy = firsts.join(scores, pair).select("sex", "age", *pair, F.explode(lacks).alias("x")).select("x.disease", "sex", "age", F.lit(0).alias("label"), *pair, checked(F.col("x.logit")).alias("logit"))
+    # Slots of the diseases that a patient had, few small integers, move to the scores; those that the patient lacks are told there.
+    rows = people.withColumn("listed", disease_list(diseases)).withColumn("had", F.transform("had", lambda d: F.array_position("listed", d).cast("int") - 1))
+    firsts = first_predictions(rows, config).join(scores, pair).withColumn("listed", disease_list(diseases))
+    every = F.slice(F.sequence(F.lit(0), F.size("listed")), F.lit(1), F.size("listed"))
+    slots_of = firsts.select("sex", "age", *pair, "listed", "logits", F.explode_outer(F.array_except(every, "had")).alias("slot")).where("slot IS NOT NULL")
+    healthy = slots_of.select(F.get("listed", "slot").alias("disease"), "sex", "age", F.lit(0).alias("label"), *pair, checked(F.get("logits", "slot")).alias("logit"))
     return join_scores(ill, scores, diseases).unionByName(healthy)

@@ -16,7 +16,7 @@ from ..sources import scratch, sinks
 
 @dataclass
 class Evaluation:
-    """All relations of a run.  Patients and cell sizes are tables; nothing else is computed until it is used."""
+    """All relations of a run.  Patients, cell sizes and counts of scores are tables; nothing else is computed until it is used."""
 
     config: Config
     traj: DataFrame
@@ -44,7 +44,7 @@ def first_rows(traj: DataFrame, config: Config) -> DataFrame:
 
 
 def evaluate(traj: DataFrame, config: Config, scorer: scoring.Scorer | None = None, diseases: DataFrame | None = None) -> Evaluation:
-    """From trajectories to pooled areas; diseases(disease) defaults to all that occur.  Stages 1 and 2 run at once, into tables."""
+    """From trajectories to pooled areas; diseases(disease) defaults to all that occur.  Stages 1 and 2 run at once, into tables, and so do counts of scores."""
     scorer, used = scorer or scoring.ArithmeticScorer(), []
     kept, points = sequence.stage1(first_rows(traj, config), config)
     people = scratch.written(cohort.patients(points, config), "patients", used)
@@ -53,7 +53,7 @@ def evaluate(traj: DataFrame, config: Config, scorer: scoring.Scorer | None = No
     sizes = scratch.written(cohort.cells(people, listed, config), "cells", used)
     pairs = cohort.scoring_pairs(people, sizes, config)
     scores = scorer.score(scoring.prompts(pairs, kept, config), listed)
-    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config))
+    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config), below=used[-1])
     return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells), used)
 
 
@@ -76,14 +76,14 @@ def evaluate_kept(spark: SparkSession, traj: DataFrame, config: Config, path: st
     key = run_key(traj, config, diseases)
     kept, found = sequence.stage1(first_rows(traj, config), config)
     points = sinks.materialise(spark, path, "points", key, lambda: found)
-    people = sinks.materialise(spark, path, "patients", key, lambda: cohort.patients(points, config))
+    people = sinks.materialise(spark, path, "people", key, lambda: cohort.patients(points, config))
     listed = sinks.materialise(spark, path, "diseases", key, lambda: (people.select(F.explode("seen").alias("disease")) if diseases is None else diseases.select("disease")).distinct())
     sizes = sinks.materialise(spark, path, "cells", key, lambda: cohort.cells(people, listed, config))
     pairs = cohort.scoring_pairs(people, sizes, config)
     store = ScoreStore(spark, f"{path.rstrip('/')}/scores-{scorer_key}-{key}", buckets)
     scores = store.complete(pairs, lambda missing: scoring.prompts(missing, kept, config), lambda rows: scorer.score(rows, listed), progress)
-    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config))
-    return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells))
+    cells = auc.cell_auc(scoring.scored_rows(people, scores, listed, config), used=(used := []))
+    return Evaluation(config, kept, points, listed, people, cohort.two_class(people, sizes, config), pairs, scores, cells, pool.disease_auc(cells), used)
 
 
 def report(run: Evaluation, path: str) -> None:

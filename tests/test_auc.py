@@ -87,6 +87,23 @@ def test_ranges_at_powers_of_two(spark):
     assert keys == sorted(keys) and all(0 <= b < auc.FINE for _, b in keys)
 
 
+def test_rows_are_made_once(spark):
+    """All levels, both places of a pair of predictors and the report read counts: rows are scored once, whatever is asked of the result."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = scored(spark, [1, 2], [2, 2, 5])
+    cells = auc.cell_auc(rows.mapInArrow(make, rows.schema))
+    assert cells.head() == cells.orderBy("auc").head() and seen.value == 5
+    logits = F.array(*[F.struct(F.lit(p).alias("predictor"), "logit") for p in "ab"])
+    found = auc.covariances(rows.mapInArrow(make, rows.schema).withColumn("logits", logits))
+    assert len(auc.compare(found).collect()) == 1 and seen.value == 10
+
+
 def test_ranges_are_made_of_distinct_scores(spark):
     """Their arithmetic is for distinct scores; as a filter it would be done for each row, three times."""
     plan = auc.placements(scored(spark, [1, 2], [2, 2, 5]))._jdf.queryExecution().executedPlan().toString()
