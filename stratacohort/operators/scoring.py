@@ -45,8 +45,14 @@ class ArithmeticScorer:
     """Column arithmetic for tests: a score from the numbers of a row."""
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
-        rows = prompts.select("row_idx", "seq_point").withColumn("listed", disease_list(diseases))
-        return rows.select("row_idx", "seq_point", F.transform("listed", lambda d: arithmetic_logit(F.col("row_idx"), F.col("seq_point"), d)).alias("logits"))
+        # A row is a few bytes until it is scored, by which Spark would put all into a few tasks.  Not by the pair itself: joins would take that for their
+        # own exchange, and each would score the rows again.
+        n = int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = prompts.select("row_idx", "seq_point").repartition(n, F.xxhash64("row_idx", "seq_point")).withColumn("listed", disease_list(diseases))
+        # What is the same for all diseases is made once: a lambda's body is interpreted for each.
+        own = F.struct((F.col("row_idx") * 7919 + F.col("seq_point") * 31).alias("of"), (F.col("row_idx") % 3).cast("double").alias("rest"))
+        logits = F.transform(F.array(own), lambda x: F.transform("listed", lambda d: (x["of"] + F.length(d) * 17) % 50 / F.lit(10.0) + x["rest"]))
+        return rows.select("row_idx", "seq_point", F.element_at(logits, 1).alias("logits"))
 
 
 class LinearScorer:
@@ -186,7 +192,7 @@ SCORED = ["disease", "sex", "age", "label", "row_idx", "seq_point", "logit"]
 
 def join_scores(cohort: DataFrame, scores: DataFrame, diseases: DataFrame) -> DataFrame:
     """Cohort rows with their logits; rows without a score drop out (missing_pairs() has them), a NULL or NaN score is an error."""
-    rows = cohort.join(slots(diseases), "disease").join(scores, ["row_idx", "seq_point"])
+    rows = cohort.join(F.broadcast(slots(diseases)), "disease").join(scores, ["row_idx", "seq_point"])
     return rows.withColumn("logit", checked(F.get("logits", F.col("slot")))).select(SCORED)
 
 
@@ -195,10 +201,7 @@ def scored_rows(people: DataFrame, scores: DataFrame, diseases: DataFrame, confi
     becomes a row for each disease."""
     ill = cases(people).withColumn("label", F.lit(1))
     pair = ["row_idx", "seq_point"]
-    # Slots of the diseases that a patient had, few small integers, move to the scores; those that the patient lacks are told there.
-    rows = people.withColumn("listed", disease_list(diseases)).withColumn("had", F.transform("had", lambda d: F.array_position("listed", d).cast("int") - 1))
-    firsts = first_predictions(rows, config).join(scores, pair).withColumn("listed", disease_list(diseases))
-    every = F.slice(F.sequence(F.lit(0), F.size("listed")), F.lit(1), F.size("listed"))
-    slots_of = firsts.select("sex", "age", *pair, "listed", "logits", F.explode_outer(F.array_except(every, "had")).alias("slot")).where("slot IS NOT NULL")
-    healthy = slots_of.select(F.get("listed", "slot").alias("disease"), "sex", "age", F.lit(0).alias("label"), *pair, checked(F.get("logits", "slot")).alias("logit"))
+    firsts = first_predictions(people, config).join(scores, pair).withColumn("absent", F.array_except(disease_list(diseases), "had"))
+    rows = firsts.select("sex", "age", *pair, "logits", F.explode_outer("absent").alias("disease")).where("disease IS NOT NULL").join(F.broadcast(slots(diseases)), "disease")
+    healthy = rows.select("disease", "sex", "age", F.lit(0).alias("label"), *pair, checked(F.get("logits", "slot")).alias("logit"))
     return join_scores(ill, scores, diseases).unionByName(healthy)

@@ -171,3 +171,15 @@ def test_linear_scorer(spark):
     listed = spark.createDataFrame([("d",), ("e",)], "disease string")
     got = {(r["row_idx"], r["disease"]): r["logit"] for r in scoring.long_scores(scoring.LinearScorer(weights).score(prompts, listed), listed).collect()}
     assert got == {(0, "d"): 12.0, (0, "e"): 10.0, (1, "d"): 0.0, (1, "e"): 0.0}
+
+
+def test_scores_are_made_in_as_many_tasks_as_shuffles_have(spark):
+    """Prompts of a few bytes in one partition; the scores are those of arithmetic_logit(), and a join has an exchange of its own, which two joins share."""
+    listed = spark.createDataFrame([("a",), ("bbb",)], "disease string")
+    prompts = spark.range(40, numPartitions=1).select(F.col("id").alias("row_idx"), (F.col("id") % 3).alias("seq_point"), F.lit("").alias("prompt"))
+    found = scoring.ArithmeticScorer().score(prompts, listed)
+    assert found.rdd.getNumPartitions() == 4
+    want = [scoring.arithmetic_logit(F.col("row_idx"), F.col("seq_point"), F.lit(d)) for d in ("a", "bbb")]
+    assert found.count() == 40 and found.where(F.col("logits") != F.array(*want)).isEmpty()
+    plan = prompts.hint("merge").join(found, ["row_idx", "seq_point"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64(row_idx" in plan and plan.count("hashpartitioning(row_idx") == 2
