@@ -167,7 +167,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # Passages of over 50 words are found wherever they begin and end.
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=51)
     return out.select("doc_id", "n_sentences", "n_removed", F.col("kept_text").alias("text"))
 
 

@@ -9,6 +9,10 @@ words are cut on by winnowing, after the word with the least hash of every `wind
 words around it only, so a passage is cut alike wherever it stands, and one of (SPAN + 2) * window words has a whole run; but then pieces of
 sentences go.  It is off by default.
 
+`passage` is for passages that begin and end within sentences, and leaves the sentences as they are: besides the runs of whole sentences, stretches of
+k = passage // 2 words are hashed, of every passage - k + 1 in a row the one with the least hash (winnowing), so that whatever `passage` words
+two places share, a stretch within it is hashed in both.  Of a repeated one the words go, and no more of their sentences; n_removed counts sentences that lose words.  It is off by default too.
+
 The first occurrence is the one with the smallest (document id, text hash, place).  Hashes are counted with map-side
 aggregation, so a span that a third of the documents hold is a single row by then; the join back moves (hash, document,
 place) only, and adaptive execution splits a hot hash; what is left of it, the occurrences of repeated runs, is written, and the first
@@ -128,8 +132,37 @@ def spans(found: Layout, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.n
     return at, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _emit(batches: Iterable[pa.RecordBatch], span: int, window: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows (high, low, id, sum, at) of all runs, and one for each text with the number of its sentences in at and no hash."""
+#: What is added to the place of a stretch, which is that of a word: below all places of runs, in the same order.
+STRETCH = -(1 << 31)
+
+
+def stretches(hashes: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words where chosen stretches of passage // 2 words start, and two hashes of each, as spans() has them."""
+    size = passage // 2
+    n, wide = len(hashes) - size + 1, passage - size + 1
+    if n < wide:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    at, words, powers, out = np.arange(n), hashes ^ np.uint64(0x94D049BB133111EB), _powers(), []
+    powers.reach(len(words) + 1)
+    with np.errstate(over="ignore"):
+        for _ in range(2):
+            words = (words ^ (words >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            words ^= words >> np.uint64(27)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers.up[: len(words)])])
+            h = (sums[size:] - sums[:-size]) * powers.down[:n]
+            out.append(h ^ (h >> np.uint64(31)))
+        rank = out[0] * np.uint64(0x9E3779B97F4A7C15)
+    # As in layout(): the least rank first, and of equal ones the last.
+    least, width = (rank >> np.uint64(33)).astype(np.int64) << 31 | (_LOW - at), 1
+    while width < wide:
+        more = min(width, wide - width)
+        least, width = np.minimum(least[:-more], least[more:]), width + more
+    at = np.unique(_LOW - (least & _LOW))
+    return at, out[0][at].view(np.int64), (out[1][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _emit(batches: Iterable[pa.RecordBatch], span: int, window: int | None, passage: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (high, low, id, sum, at) of all runs and stretches, and one for each text with the number of its sentences in at and no hash."""
     for batch in batches:
         ids, sums, texts = batch.columns
         rows, found = [], []
@@ -144,6 +177,9 @@ def _emit(batches: Iterable[pa.RecordBatch], span: int, window: int | None, name
         for row, text in enumerate(texts):
             laid = layout(text.as_py() or "", window)
             at, high, low = spans(laid, span)
+            if passage:
+                more = stretches(laid.hashes, passage)
+                at, high, low = np.append(at, more[0] + STRETCH), np.append(high, more[1]), np.append(low, more[2])
             rows.append(np.full(len(at) + 1, row, np.int32))
             found.append((np.append(at, len(laid.ends)), np.append(high, 0), np.append(low, np.int32(0))))
             n += len(at) + 1
@@ -154,16 +190,21 @@ def _emit(batches: Iterable[pa.RecordBatch], span: int, window: int | None, name
             yield out()
 
 
-def _kept(text: str, places: list[int], span: int, window: int | None) -> tuple[int, str]:
-    """The number of sentences that go, and what is left."""
+def _kept(text: str, places: list[int], span: int, window: int | None, passage: int | None) -> tuple[int, str]:
+    """The number of sentences of which words go, and what is left."""
     ends = layout(text, window).ends
-    gone = np.zeros(len(ends), bool)
+    starts = np.append(0, ends)
+    gone = np.zeros(starts[-1], bool)
     for p in places:
-        gone[p : p + span] = True
-    return int(gone.sum()), "".join(x for x, y in zip(cut(text, ends), gone) if not y)
+        if p < 0:
+            gone[p - STRETCH : p - STRETCH + passage // 2] = True
+        else:
+            gone[starts[p] : starts[p + span]] = True
+    left = "".join(x for x, y in zip(cut(text, np.arange(1, len(gone) + 1)), gone) if not y)
+    return int(np.logical_or.reduceat(gone, starts[:-1]).sum()), left
 
 
-def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text", window: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str = "text", window: int | None = None, passage: int | None = None) -> DataFrame:
     """docs with n_sentences, n_removed and kept_text."""
     spark, outputs, used = docs.sparkSession, ("n_sentences", "n_removed", "kept_text"), []
     docs, names = aside(docs)
@@ -172,7 +213,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("__id"), key, F.col(text).alias("__text"))
     schema = T.StructType([T.StructField("high", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("__id", id_type), T.StructField("__sum", T.BinaryType()), T.StructField("at", T.IntegerType())])
-    found = written(map_arrow(rows, lambda b: _emit(b, span, window, schema.names), schema), "sentence-runs", used)  # read several times
+    found = written(map_arrow(rows, lambda b: _emit(b, span, window, passage, schema.names), schema), "sentence-runs", used)  # read several times
     sizes, found = found.where("high IS NULL"), found.where("high IS NOT NULL")
     repeated = found.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     repeated = written(repeated, "repeated-runs", used)  # tables of their own, so that joins can be split at hot runs
@@ -188,7 +229,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text: str =
 
     @F.pandas_udf("n int, kept string")
     def left(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None, None) if t is None else _kept(t, list(p), span, window) for t, p in zip(texts, places)], columns=["n", "kept"])
+        return pd.DataFrame([(None, None) if t is None else _kept(t, list(p), span, window, passage) for t, p in zip(texts, places)], columns=["n", "kept"])
 
     out = docs.withColumn("__sum", key)
     out = out.join(places, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.col("__sum") == F.col("__hsum")), "left")

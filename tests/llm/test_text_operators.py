@@ -384,6 +384,31 @@ def test_passages_without_sentence_ends(spark):
             assert len(set(left) & set(p)) <= 40 and not set(rows[3 * k + i][1].split()) - set(p) - set(left)
 
 
+def test_passages_that_begin_within_sentences(spark):
+    """With passage=51 whatever 51 words two documents share loses words in the later one, and nothing else does; whole runs go whole, and of repeats in one text the first stays."""
+    rnd = random.Random(13)
+    words = lambda n: [f"p{rnd.randint(0, 10**9)}" for _ in range(n)]
+    shared = [words(51) for _ in range(60)]
+    for k, p in enumerate(shared):  # no end, one or two ends, so no three whole sentences
+        for at in ((), (25,), (3, 44))[k % 3]:
+            p[at] += "."
+    rows = [(10 * k + i, " ".join(words(rnd.randint(0, 70)) + p + words(rnd.randint(0, 70)))) for k, p in enumerate(shared) for i in range(3)]
+    run = " ".join(" ".join(words(8)) + "." for _ in range(3)) + " "
+    twice = " ".join(words(70))
+    rows += [(1000, run + " ".join(words(90))), (1001, "  " + run + "Own end."), (1002, twice + " between. " + twice), (1003, " ".join(shared[0][:24]) + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in substring_dedup.dedup(docs).where("n_removed > 0").collect()} == {1001}
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(docs, passage=51).collect()}
+    for k, p in enumerate(shared):
+        assert got[10 * k]["n_removed"] == 0 and got[10 * k]["kept_text"] == rows[3 * k][1]
+        for i in (1, 2):
+            left, all_words = got[10 * k + i]["kept_text"].split(), rows[3 * k + i][1].split()
+            lost = set(all_words) - set(left)
+            assert got[10 * k + i]["n_removed"] > 0 and 25 <= len(lost) <= 51 and lost <= set(p) and left == [w for w in all_words if w not in lost]
+    assert got[1000]["n_removed"] == got[1003]["n_removed"] == 0 and (got[1001]["n_removed"], got[1001]["kept_text"]) == (3, "Own end.")
+    assert got[1002]["kept_text"].startswith(twice + " between.") and 0 < len(got[1002]["kept_text"].split()) - 71 <= 45
+
+
 def test_sentences_join_to_the_text():
     for text in ("A b. C d! E?\n\nF", "  lead. x", "no end", "w " * 50 + ". y", "Hm... ok. \t\nz.", ".", "a.b c.d e"):
         assert "".join(substring_dedup.sentences(text)) == text
