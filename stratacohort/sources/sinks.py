@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import tokens as tk
+from . import scratch
 
 
 def write_parquet(rows: DataFrame, path: str) -> None:
@@ -93,10 +94,19 @@ def cohort_of(stage2: DataFrame) -> DataFrame:
     return side("case", 1).unionByName(side("control", 0))
 
 
-def stage2_lists(cohort: DataFrame, age_step: int, vocab: DataFrame | None = None) -> DataFrame:
-    """One row for each two-class cell, with its ids and scoring points as lists, for programs that read such files: a cell must fit in a row."""
-    pick = lambda label, field: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("row_idx", "seq_point")))), lambda x: x[field].cast("long"))
-    cells = cohort.groupBy("sex", "disease", "age").agg(
-        pick(1, "row_idx").alias("case_ids"), pick(0, "row_idx").alias("control_ids"), pick(1, "seq_point").alias("case_seq_points"), pick(0, "seq_point").alias("control_seq_points")
-    )
-    return with_ids(cells.withColumn("age_step", F.lit(age_step)).where((F.size("case_ids") > 0) & (F.size("control_ids") > 0)), vocab)
+#: Cohort rows, of several cells or of one, that a task makes lists of.
+TASK_ROWS = 1 << 20
+
+
+def stage2_lists(cohort: DataFrame, age_step: int, vocab: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """One row for each two-class cell, with its ids and scoring points as lists, for programs that read such files: a cell must fit in a row.
+
+    Cells are dealt out by the number of rows, n, which are counted unless given: a task holds the lists of TASK_ROWS rows, or of one larger cell.
+    """
+    key = ["sex", "disease", "age"]
+    rows = cohort.repartition(scratch.tasks_for(cohort.sparkSession, cohort.count() if n is None else n, TASK_ROWS), *key)
+    side = lambda label: F.collect_list(F.when(F.col("label") == label, F.struct("row_idx", "seq_point")))
+    # Not array_sort(), which compares by an interpreted lambda.
+    cells = rows.groupBy(*key).agg(F.sort_array(side(1)).alias("case"), F.sort_array(side(0)).alias("control"))
+    lists = [F.col(f"{name}.{field}").cast("array<bigint>").alias(f"{name}_{plural}") for field, plural in (("row_idx", "ids"), ("seq_point", "seq_points")) for name in ("case", "control")]
+    return with_ids(cells.where((F.size("case") > 0) & (F.size("control") > 0)).select(*key, *lists, F.lit(age_step).alias("age_step")), vocab)

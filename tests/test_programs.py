@@ -149,6 +149,22 @@ def test_formats_between_stages_round_trip(spark, sf_dir):
     run.release()
 
 
+def test_lists_are_made_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    """Cells are dealt out by their rows, and lists are not sorted by an interpreted lambda."""
+    monkeypatch.setattr(sinks, "TASK_ROWS", 100)
+    rows = [(f"d{i % 7}", "male" if i % 2 else "female", 20, int(i % 5 == 0), (i * 37) % 1000, i % 9) for i in range(1000)] + [("alone", "male", 20, 1, 1, 1)]
+    cohort = spark.createDataFrame(rows, "disease string, sex string, age int, label int, row_idx long, seq_point long")
+    lists = sinks.stage2_lists(cohort, 10)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert lists.rdd.getNumPartitions() == 11 and "REPARTITION_BY_NUM" in plan and "array_sort" not in plan
+    want = {}
+    for d, sex, age, label, row, point in sorted(rows, key=lambda r: r[4:]):
+        want.setdefault((d, sex, age), ([], [], [], []))[1 - label].append(row)
+        want[d, sex, age][3 - label].append(point)
+    del want["alone", "male", 20]
+    assert {(r["disease"], r["sex"], r["age"]): (r["case_ids"], r["control_ids"], r["case_seq_points"], r["control_seq_points"]) for r in lists.collect()} == want
+
+
 def test_files_are_checked(spark, tmp_path):
     """A file of another stage is named with the columns that it lacks."""
     rows = spark.createDataFrame([(1, "a")], "row_idx long, seq string")
