@@ -1,16 +1,18 @@
 """Stage 3a: distinct prompts and their scores through a pluggable scorer."""
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import Config
 from .cohort import cases, disease_list, first_predictions
+from .sequence import by_tokens
 
 
 def unique_pairs(cohort: DataFrame) -> DataFrame:
@@ -23,11 +25,16 @@ def unique_diseases(cohort: DataFrame) -> DataFrame:
 
 
 def prompts(pairs: DataFrame, traj: DataFrame, config: Config) -> DataFrame:
-    """row_idx, seq_point, prompt: the first seq_point tokens and the suffix, cut at max_length tokens.  Pairs without a trajectory drop out."""
-    rows = pairs.join(traj.select("row_idx", "tokens"), "row_idx")
-    text = F.concat(F.array_join(F.slice("tokens", F.lit(1), F.col("seq_point").cast("int")), " "), F.lit(config.prompt_suffix))
-    cut = F.array_join(F.slice(F.split(text, " ", -1), 1, config.max_length), " ")
-    return rows.select("row_idx", "seq_point", cut.alias("prompt"))
+    """row_idx, seq_point, prompt: the first seq_point tokens and the suffix, cut at max_length tokens.  Pairs without a trajectory drop out.
+
+    Both sides of the join are dealt out by the tokens of trajectories: pairs and texts take few bytes, by which Spark would put many into a task.
+    A sequence goes as text, of which a prompt is the part up to a blank: tokens hold none.
+    """
+    n = by_tokens(traj, config)
+    dealt = lambda rows: rows.repartition(n, "row_idx") if n else rows
+    rows = dealt(pairs).join(dealt(traj.select("row_idx", F.array_join("tokens", " ").alias("text"))), "row_idx")
+    text = F.concat(F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("seq_point").cast("int")), F.lit(config.prompt_suffix))
+    return rows.select("row_idx", "seq_point", F.substring_index(text, " ", config.max_length).alias("prompt"))
 
 
 class Scorer(Protocol):
@@ -97,22 +104,14 @@ class ModelScorer:
         self.make_model, self.batch_size, self.partitions, self.gpus = make_model, batch_size, partitions, gpus
 
     def score(self, prompts: DataFrame, diseases: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import predict_batch_udf
-
-        make = self.make_model
         listed = [r["disease"] for r in diseases.select("disease").distinct().orderBy("disease").collect()]  # the vocabulary's size
         shared = prompts.sparkSession.sparkContext.broadcast(listed)
-
-        def load():
-            model = make(shared.value)
-            return lambda batch: np.asarray(model([str(x) for x in batch]), dtype=np.float32)
-
-        predict = predict_batch_udf(load, return_type=T.ArrayType(T.FloatType()), batch_size=self.batch_size)
         rows = prompts.repartition(self.partitions) if self.partitions else prompts
         # Prompts of like length share a batch, which pads to its longest.
-        rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point")
-        rows = self._on_gpus(rows, shared) if self.gpus else rows.select("row_idx", "seq_point", predict("prompt").alias("logits"))
-        return rows.select("row_idx", "seq_point", F.col("logits").cast("array<double>").alias("logits"))
+        rows = rows.sortWithinPartitions(F.length("prompt"), "row_idx", "seq_point").select("row_idx", "seq_point", "prompt")
+        if self.gpus:
+            return self._on_gpus(rows, shared).select("row_idx", "seq_point", F.col("logits").cast("array<double>").alias("logits"))
+        return rows.mapInArrow(arrow_through(self.make_model, shared, self.batch_size), "row_idx long, seq_point long, logits array<double>")
 
     def _on_gpus(self, rows: DataFrame, shared) -> DataFrame:
         from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
@@ -121,6 +120,39 @@ class ModelScorer:
         return rows.mapInPandas(batches_through(self.make_model, shared, self.batch_size), "row_idx long, seq_point long, logits array<float>", profile=profile)
 
 
+#: Logits that go back to Spark at once, or those of one batch of prompts if they are more.
+BATCH_LOGITS = 1 << 20
+
+
+def arrow_through(make: Callable[[list[str]], Callable], shared, size: int) -> Callable:
+    """A function over Arrow batches of prompts: the model is made once for each worker and sees `size` prompts at a time; logits of many such batches
+    go back as one, as a message to Spark costs more than a small model."""
+    key = uuid.uuid4()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.ml.model_cache import ModelCache
+
+        model, width = ModelCache.get(key), len(shared.value)
+        if model is None:
+            model = make(shared.value)
+            ModelCache.add(key, model)
+        step = max(1, BATCH_LOGITS // (max(1, width) * size)) * size
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = [str(x) for x in part.column("prompt").to_pylist()]
+                logits = np.empty((len(texts), width), np.float32)
+                for i in range(0, len(texts), size):
+                    found = np.asarray(model(texts[i : i + size]), dtype=np.float32)
+                    if found.shape != logits[i : i + size].shape:
+                        raise ValueError(f"logits of a batch are {found.shape}, not prompts x diseases {logits[i : i + size].shape}")
+                    logits[i : i + size] = found
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * width), pa.array(logits.ravel().astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([part.column("row_idx").cast(pa.int64()), part.column("seq_point").cast(pa.int64()), lists], names=["row_idx", "seq_point", "logits"])
+
+    return run
+
+
 def batches_through(make: Callable[[list[str]], Callable], shared, size: int) -> Callable:
     """A function over pandas frames of prompts: the model is made once, and sees `size` prompts at a time."""
     def run(frames):

@@ -28,6 +28,14 @@ def truncate(traj: DataFrame, config: Config) -> DataFrame:
 TASK_TOKENS = 1 << 19
 
 
+def by_tokens(traj: DataFrame, config: Config) -> int | None:
+    """Partitions for truncated trajectories by TASK_TOKENS; None if they lack the count."""
+    if _last(config) not in traj.columns:
+        return None
+    n = traj.agg(F.sum(F.greatest(F.col(_last(config)) + 1, F.lit(0)).cast("long"))).head()[0]
+    return scratch.tasks_for(traj.sparkSession, n, TASK_TOKENS)
+
+
 def walked(traj: DataFrame, config: Config) -> DataFrame:
     """The tokens that move a walk (new years, gaps, ages, diagnoses) of truncated sequences: row_idx, sex, pos, token, n_tok, start_age, walks.
 
@@ -39,8 +47,7 @@ def walked(traj: DataFrame, config: Config) -> DataFrame:
     rows = traj.select("row_idx", sex.alias("sex"), "n_tok", start_age.alias("start_age"), F.posexplode("tokens").alias("pos", "token"))
     token = F.col("token")
     rows = rows.where(token.startswith(tk.NEW_YEAR) | token.startswith(tk.GAP) | token.startswith(tk.AGE) | token.startswith(tk.DISEASE))
-    n = traj.agg(F.sum(F.greatest(F.col(_last(config)) + 1, F.lit(0)).cast("long"))).head()[0]
-    rows = rows.repartition(scratch.tasks_for(traj.sparkSession, n, TASK_TOKENS), "row_idx")
+    rows = rows.repartition(by_tokens(traj, config), "row_idx")
     return rows.withColumn("walks", (F.col("pos") >= config.demo_end_index) & (F.col("pos") < F.least("n_tok", F.lit(config.max_length))))
 
 

@@ -260,6 +260,45 @@ def test_causal_models_are_read_at_the_last_token(spark):
     assert {i: x for frame in through([prompts.toPandas()]) for i, x in zip(frame["row_idx"], frame["logits"])} == want
 
 
+def test_prompts_are_dealt_out_by_tokens(spark, monkeypatch):
+    """As many tasks as the tokens of trajectories ask for, whatever bytes a shuffle has; prompts cut anywhere."""
+    monkeypatch.setattr(sequence, "TASK_TOKENS", 100)
+    rows = [(i, ["<BOS>", "", *"abcdefgh"], 9) for i in range(60)]
+    pairs = spark.createDataFrame([(i, at) for i, _, _ in rows for at in (0, 1, 2, 1 + i % 12)], "row_idx long, seq_point long").distinct()
+    config = profile("days", max_length=9)
+    found = scoring.prompts(pairs, spark.createDataFrame(rows, "row_idx long, tokens array<string>, total_token_count int"), config)
+    assert found.rdd.getNumPartitions() == 6
+    want = {(i, at): " ".join((" ".join(rows[i][1][:at]) + config.prompt_suffix).split(" ")[:9]) for i, at in map(tuple, pairs.collect())}
+    assert {(r["row_idx"], r["seq_point"]): r["prompt"] for r in found.collect()} == want
+
+
+def test_logits_of_many_batches_go_back_at_once(monkeypatch):
+    """The model sees `size` prompts at a time, is made once, and its logits are one message; wide ones are several."""
+    import pyarrow as pa
+
+    made, seen = [], []
+
+    def make(diseases):
+        made.append(diseases)
+
+        def model(prompts):
+            seen.append(len(prompts))
+            return [[len(p) + 0.1, -len(p)] for p in prompts]
+
+        return model
+
+    run = scoring.arrow_through(make, SimpleNamespace(value=["A", "B"]), 4)
+    batch = pa.RecordBatch.from_pydict({"row_idx": list(range(10)), "seq_point": [1] * 10, "prompt": ["x" * i for i in range(10)]})
+    want = [[float(np.float32(i + 0.1)), float(-i)] for i in range(10)]
+    (found,) = run([batch])
+    assert found.column("logits").to_pylist() == want and found.column("row_idx").to_pylist() == list(range(10)) and seen == [4, 4, 2]
+    monkeypatch.setattr(scoring, "BATCH_LOGITS", 8)
+    parts = list(run([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [4, 4, 2] and [x for p in parts for x in p.column("logits").to_pylist()] == want and len(made) == 1
+    with pytest.raises(ValueError, match="not prompts x diseases"):
+        list(scoring.arrow_through(lambda diseases: lambda prompts: [[1.0]] * len(prompts), SimpleNamespace(value=["A", "B"]), 4)([batch]))
+
+
 def test_linear_scores(spark):
     prompts = spark.createDataFrame([(0, 2, "a a b"), (1, 1, "c")], "row_idx long, seq_point long, prompt string")
     weights = spark.createDataFrame([("a", "D2", 1.5), ("b", "D2", 1.0), ("b", "D4", -1.0), ("c", "D9", 7.0)], "token string, disease string, weight double")
