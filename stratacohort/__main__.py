@@ -54,7 +54,7 @@ def stage2(spark: SparkSession, options: argparse.Namespace) -> DataFrame:
     rows = cohort.two_class(people, cells, config)
     sinks.write_parquet(sinks.stage2_rows(rows, config.bracket_width, vocab), out := f"{options.output_dir}/{options.output_file}")
     if options.lists:
-        sinks.write_parquet(sinks.stage2_lists(rows, config.bracket_width, vocab), f"{options.output_dir}/lists_{options.output_file}")
+        sinks.write_lists(sinks.stage2_lists(rows, config.bracket_width, vocab), f"{options.output_dir}/lists_{options.output_file}")
     scratch.delete(spark, used)
     return spark.read.parquet(out)
 

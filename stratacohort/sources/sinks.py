@@ -1,10 +1,14 @@
 """Sinks, the file formats between stages and back, and stages that are computed once for each configuration."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions import tokens as tk
@@ -94,19 +98,50 @@ def cohort_of(stage2: DataFrame) -> DataFrame:
     return side("case", 1).unionByName(side("control", 0))
 
 
-#: Cohort rows, of several cells or of one, that a task makes lists of.
+#: Cohort rows, on the average, that a task makes lists of.
 TASK_ROWS = 1 << 20
+CELL, LISTS = ["sex", "disease", "age"], ["case_ids", "control_ids", "case_seq_points", "control_seq_points"]
+
+
+def _lists_of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell, in any order, to one row with its lists, to none if it lacks a class; of several cells if their hashes are the same."""
+    cells, types = {}, []
+    for batch in batches:
+        types = [batch.schema.field(c).type for c in CELL]
+        while batch.num_rows:
+            key = tuple(batch.column(c)[0].as_py() for c in CELL)
+            here = [pc.is_null(batch.column(c)) if k is None else pc.fill_null(pc.equal(batch.column(c), k), False) for c, k in zip(CELL, key)]
+            here = pc.and_(pc.and_(here[0], here[1]), here[2])
+            own = batch if pc.all(here).as_py() else batch.filter(here)
+            # Copies: a view would keep the batch with the cell's name in every row.
+            cells.setdefault(key, []).append([np.array(pc.fill_null(own.column("label"), -1)), np.array(own.column("row_idx")), np.array(own.column("seq_point"))])
+            batch = batch.slice(0, 0) if own is batch else batch.filter(pc.invert(here))
+    for key, parts in cells.items():
+        label, row, point = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        places = [np.flatnonzero(label == side) for side in (1, 0)]
+        if all(len(x) for x in places):
+            places = [x[np.lexsort((point[x], row[x]))] for x in places]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(values[x], pa.int64())) for values in (row, point) for x in places]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types)), *lists], names=[*CELL, *LISTS])
 
 
 def stage2_lists(cohort: DataFrame, age_step: int, vocab: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """One row for each two-class cell, with its ids and scoring points as lists, for programs that read such files: a cell must fit in a row.
 
-    Cells are dealt out by the number of rows, n, which are counted unless given: a task holds the lists of TASK_ROWS rows, or of one larger cell.
+    Cells are dealt out by the number of rows, n, which are counted unless given.  A hash may give a task several large cells: Spark sorts its rows by
+    a cell's hash (one number, which it sorts by digits), on disk if need be, and one cell at a time becomes arrays of numbers, so no task holds more lists than those of a cell.
     """
-    key = ["sex", "disease", "age"]
-    rows = cohort.repartition(scratch.tasks_for(cohort.sparkSession, cohort.count() if n is None else n, TASK_ROWS), *key)
-    side = lambda label: F.collect_list(F.when(F.col("label") == label, F.struct("row_idx", "seq_point")))
-    # Not array_sort(), which compares by an interpreted lambda.
-    cells = rows.groupBy(*key).agg(F.sort_array(side(1)).alias("case"), F.sort_array(side(0)).alias("control"))
-    lists = [F.col(f"{name}.{field}").cast("array<bigint>").alias(f"{name}_{plural}") for field, plural in (("row_idx", "ids"), ("seq_point", "seq_points")) for name in ("case", "control")]
-    return with_ids(cells.where((F.size("case") > 0) & (F.size("control") > 0)).select(*key, *lists, F.lit(age_step).alias("age_step")), vocab)
+    rows = cohort.select(F.xxhash64(*CELL).alias("cell"), *CELL, "label", "row_idx", "seq_point")
+    rows = rows.repartition(scratch.tasks_for(cohort.sparkSession, cohort.count() if n is None else n, TASK_ROWS), "cell")
+    schema = T.StructType([*(cohort.schema[c] for c in CELL), *(T.StructField(c, T.ArrayType(T.LongType())) for c in LISTS)])
+    return with_ids(rows.groupBy("cell").applyInArrow(_lists_of_cells, schema).withColumn("age_step", F.lit(age_step)), vocab)
+
+
+#: Bytes of lists that a writer, and a reader's batch, holds, or those of one cell if they are more.
+LISTS_BYTES = 16 << 20
+
+
+def write_lists(rows: DataFrame, path: str) -> None:
+    """A file of stage2_lists().  Parquet's writer would look at its size after a hundred rows only, and a reader takes all rows of a row group at once."""
+    rows.write.mode("overwrite").option("parquet.block.size", LISTS_BYTES).option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 1).parquet(path)

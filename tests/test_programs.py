@@ -165,6 +165,41 @@ def test_lists_are_made_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     assert {(r["disease"], r["sex"], r["age"]): (r["case_ids"], r["control_ids"], r["case_seq_points"], r["control_seq_points"]) for r in lists.collect()} == want
 
 
+def test_lists_of_cells_are_never_held_together(spark, tmp_path, monkeypatch):
+    """Rows are sorted by cell rather than collected, cells of one hash stay apart, and a row group of the file ends with the cell that fills it."""
+    import glob
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(f"d{i % 6}", "male", 20, int(i % 4 == 0), (i * 37) % 1009, i % 9) for i in range(1000)]
+    columns = ["disease", "sex", "age", "label", "row_idx", "seq_point"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in [*rows, ("alone", None, 20, 1, 5, 5)]])
+    want = {d: tuple([r[i] for r in sorted(rows, key=lambda r: r[4:]) if r[0] == d and r[3] == label] for i in (4, 5) for label in (1, 0)) for d in {r[0] for r in rows if r[3]}}
+    want = {d: x for d, x in want.items() if x[0] and x[1]}
+    lists = ["case_ids", "control_ids", "case_seq_points", "control_seq_points"]
+    found = [r for b in sinks._lists_of_cells(iter([batch.slice(0, 7), batch.slice(7)])) for r in b.to_pylist()]
+    assert {r["disease"]: tuple(r[c] for c in lists) for r in found} == want and len(found) == len(want) > 1
+    monkeypatch.setattr(sinks, "LISTS_BYTES", 1024)
+    table = sinks.stage2_lists(spark.createDataFrame(rows, "disease string, sex string, age int, label int, row_idx long, seq_point long").coalesce(1), 10, n=1)
+    assert "ObjectHashAggregate" not in table._jdf.queryExecution().sparkPlan().toString()
+    sinks.write_lists(table.coalesce(1), f"{tmp_path}/lists")
+    (path,) = glob.glob(f"{tmp_path}/lists/*.parquet")
+    assert pq.ParquetFile(path).metadata.num_row_groups == len(want)
+    assert {r["disease"]: tuple(r[c] for c in lists) for r in spark.read.parquet(f"{tmp_path}/lists").collect()} == want
+
+
+def test_lists_meet_the_vocabulary_where_they_are(spark, sf_dir, monkeypatch):
+    """Joined to a vocabulary that is still to be computed, lists were shuffled and sorted by disease."""
+    from stratacohort.plans import queries
+
+    plans, made, traj_of, write = [], [], queries.traj_of, sinks.write_lists
+    monkeypatch.setattr(queries, "traj_of", lambda *given: made.append(given) or traj_of(*given))
+    monkeypatch.setattr(sinks, "write_lists", lambda rows, path: plans.append(rows._jdf.queryExecution().sparkPlan().toString()) or write(rows, path))
+    assert queries.QUERIES["cell_lists"](spark, sf_dir).where("disease_token IS NULL").count() == 0
+    assert len(made) == len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
 def test_files_are_checked(spark, tmp_path):
     """A file of another stage is named with the columns that it lacks."""
     rows = spark.createDataFrame([(1, "a")], "row_idx long, seq string")
